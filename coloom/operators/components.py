@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from coloom.session import cut
 
 
-def _fingerprint(e: DataFrame):
-    return tuple(
-        e.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 998244353)
-        ).first()
+def _is_stars(e: DataFrame) -> bool:
+    """True when every node hangs off one root and no root hangs off another."""
+    sides = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
     )
+    roles = sides.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return roles.where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -40,15 +41,12 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(stars: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the edges ``stars(u, v)``; the smallest node names it."""
     e = cut(_small_star(stars))
-    seen = _fingerprint(e)
-    for _ in range(max_rounds):
+    rounds = 0
+    while not _is_stars(e):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         e = cut(_small_star(_large_star(e)))
-        now = _fingerprint(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds += 1
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
