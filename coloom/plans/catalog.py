@@ -475,24 +475,25 @@ def cohens_d_degree(spark, sf):
 def group_contrast(spark, sf):
     cases = T.ship_cases(spark, sf)
     pos = contrast.case_positions(cases, T.ship_visits(spark, sf), 3, paths=False)
-    pos = pos.withColumn("local_rank", F.col("local_rank") * F.lit(1e6))
+    # Rounded, so that equal ranks tie whatever order their terms were added in.
+    pos = pos.withColumn("local_rank", F.round(F.col("local_rank") * 1e6, 4))
     return tidy(contrast.group_contrast(pos, cases, "is_asymptomatic", ["degree", "local_rank", "transitivity"]))
 
 
 @query
 def its_normal_sums(spark, sf):
     s = I.active(_series(spark, sf)).withColumn("one", F.lit(1.0))
-    return tidy(I.normal_sums(s, ["one", "t", "post", "post_weeks"], "avg_degree"))
+    return tidy(I.normal_sums(s, ["one", "t", "post", "post_weeks"], "n_edges"))
 
 
 @query
 def its_regression(spark, sf):
-    return tidy(I.segmented_regression(_series(spark, sf), "avg_degree"))
+    return tidy(I.segmented_regression(_series(spark, sf), "n_edges"))
 
 
 @query
 def its_with_festival(spark, sf):
-    return tidy(I.segmented_regression(_series(spark, sf), "avg_degree", festival=True))
+    return tidy(I.segmented_regression(_series(spark, sf), "n_edges", festival=True))
 
 
 @query

@@ -172,9 +172,9 @@ def its(terms: list[str], xs: list[str]) -> str:
     picks = " UNION ALL ".join(
         f"SELECT '{t}' AS term, b_{i} AS coef, sqrt(greatest(mse * v_{i}_{i}, 0)) AS se, r2, n, df FROM fitted" for i, t in enumerate(terms)
     )
-    return f"""{WITH_SERIES}, {design(xs, 'avg_degree', 'act', 'norm')}, {ctes},
-    res AS (SELECT sum(pow(avg_degree - ({fit}), 2)) AS ss_res,
-      sum(pow(avg_degree - (SELECT avg(avg_degree) FROM act), 2)) AS ss_tot FROM act, {last}),
+    return f"""{WITH_SERIES}, {design(xs, 'n_edges', 'act', 'norm')}, {ctes},
+    res AS (SELECT sum(pow(n_edges - ({fit}), 2)) AS ss_res,
+      sum(pow(n_edges - (SELECT avg(n_edges) FROM act), 2)) AS ss_tot FROM act, {last}),
     fitted AS (SELECT {last}.*, ss_res / greatest(n - {k}, 1) AS mse, 1 - ss_res / (ss_tot + 1e-12) AS r2,
       greatest(n - {k}, 1) AS df FROM {last}, res),
     rows AS ({picks}),
@@ -454,9 +454,9 @@ SLOT = "CAST(floor(epoch(ts) / 3600) AS INTEGER)"
 ORACLES: dict[str, str] = {
     "venue_frequency": f"WITH {CLICKS} SELECT venue, count(*) AS n_events, count(DISTINCT case_id) AS n_cases FROM clicks GROUP BY 1",
     "event_type_share": f"WITH {CLICKS} {share('clicks', 'venue')}",
-    "top5_venues_per_province": f"""WITH {VISITS} SELECT province, venue, n, CAST(rank AS INTEGER) AS rank FROM (
-        SELECT province, venue, count(*) AS n, row_number() OVER (PARTITION BY province ORDER BY count(*) DESC, venue) AS rank
-        FROM visits GROUP BY ALL) WHERE rank <= 5""",
+    "top5_venues_per_province": f"""WITH {VISITS} SELECT province, venue, n, CAST(pos AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY province ORDER BY n DESC, venue) AS pos
+        FROM (SELECT province, venue, count(*) AS n FROM visits GROUP BY province, venue)) WHERE pos <= 5""",
     "daily_counts": f"""WITH {CLICKS}, c AS (SELECT day, count(*) AS n FROM clicks GROUP BY 1)
         SELECT CAST(d AS DATE) AS date, coalesce(n, 0) AS count, CASE WHEN d < DATE '2024-01-16' THEN 'pre' ELSE 'post' END AS period
         FROM generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY) AS s(d) LEFT JOIN c ON c.day = CAST(s.d AS DATE)""",
@@ -465,8 +465,9 @@ ORACLES: dict[str, str] = {
         CAST(sum(CAST(is_asymptomatic AS INTEGER)) AS BIGINT) AS asymptomatic, CAST(sum(CAST(wuhan_connection AS INTEGER)) AS BIGINT) AS wuhan_related,
         min(list_min(dates)) AS first_date, max(list_max(dates)) AS last_date FROM details GROUP BY 1""",
     "top5_symptoms_per_province": f"""{WITH_BLOCKS}, {DETAILS}, s AS (SELECT province, unnest(symptoms) AS symptom FROM details)
-        SELECT province, symptom, n, CAST(rank AS INTEGER) AS rank FROM (SELECT province, symptom, count(*) AS n,
-        row_number() OVER (PARTITION BY province ORDER BY count(*) DESC, symptom) AS rank FROM s GROUP BY ALL) WHERE rank <= 5""",
+        SELECT province, symptom, n, CAST(pos AS INTEGER) AS rank FROM (SELECT *,
+        row_number() OVER (PARTITION BY province ORDER BY n DESC, symptom) AS pos
+        FROM (SELECT province, symptom, count(*) AS n FROM s GROUP BY province, symptom)) WHERE pos <= 5""",
     "dataset_stats": f"""{WITH_BLOCKS}, {DETAILS}, src AS (SELECT unnest(dates) AS d FROM details), {coverage('src', "DATE '2020-01-23'")},
         t AS (SELECT count(*) AS total_cases, count(DISTINCT province) AS province_count, count(*) FILTER (is_asymptomatic) AS asymptomatic_count,
           count(*) FILTER (wuhan_connection) AS wuhan_connection_count FROM details)
@@ -590,9 +591,9 @@ ORACLES: dict[str, str] = {
             for j, b in enumerate(["1.0", "t", "post", "post_weeks"])
             if j >= i
         ]
-        + [f"{r(f'sum({a} * avg_degree)')} AS xy_{i}" for i, a in enumerate(["1.0", "t", "post", "post_weeks"])]
+        + [f"{r(f'sum({a} * n_edges)')} AS xy_{i}" for i, a in enumerate(["1.0", "t", "post", "post_weeks"])]
     )
-    + f", {r('sum(avg_degree * avg_degree)')} AS yy, {r('sum(avg_degree)')} AS y_sum FROM act",
+    + f", {r('sum(n_edges * n_edges)')} AS yy, {r('sum(n_edges)')} AS y_sum FROM act",
     "its_regression": its(["intercept", "time", "level", "trend"], ["1.0", "t", "post", "post_weeks"]),
     "its_with_festival": its(
         ["intercept", "time", "level", "trend", "festival"], ["1.0", "t", "post", "post_weeks", "spring_festival"]
@@ -693,7 +694,7 @@ _CONTRAST = f"""{DEGREES}, s AS (SELECT arcs.src, sum(1.0 / d.degree) AS s FROM
 q AS (SELECT pos.*, 0.85 * coalesce(s.s, 0) AS q, coalesce(closed * 1.0 / deg2.degree, 0.0) AS transitivity, count(*) OVER () AS nn
   FROM pos LEFT JOIN s ON s.src = case_id LEFT JOIN cl ON cl.src = case_id LEFT JOIN deg2 ON deg2.src = case_id),
 z AS (SELECT is_asymptomatic, CAST(degree AS DOUBLE) AS degree, transitivity,
-  round(1e6 * (1 + q + q * q + q * q * q + q * q * q * q + q * q * q * q * q) / nn, 7) AS local_rank FROM q)"""
+  round(1e6 * (1 + q + q * q + q * q * q + q * q * q * q + q * q * q * q * q) / nn, 4) AS local_rank FROM q)"""
 ORACLES["group_contrast"] = (
     f"WITH {_CONTRAST}, "
     + ", ".join(mwu("z", m, m[:2]) for m in ("degree", "local_rank", "transitivity"))
