@@ -15,7 +15,7 @@ DEFAULT_YEAR = 2020
 
 # -- fixed values: record and sentence delimiters -----------------------------
 CASE_MARKER = "第[0-9０-９]+号确诊病例"
-SENTENCE = "[^。；;]+[。；;]"
+TERMINATORS = "。；;"
 
 # -- fixed values: event types ------------------------------------------------
 EVENT_TYPES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coloom.functions import text as X
@@ -32,12 +32,25 @@ def extract_events(
 ) -> DataFrame:
     """One row per sentence with a date, a venue or a transport."""
     s = F.col("sentence")
+
+    def read(x: Column) -> Column:
+        return F.struct(
+            x.alias("sentence"),
+            F.try_element_at(X.date_mentions(x), F.lit(1)).alias("date"),
+            X.venue_types(x).alias("venues"),
+            X.transport_codes(x).alias("transports"),
+        )
+
+    # Read inside the array: a filter after the explode would be pushed below the
+    # projection and evaluate every extractor twice.
+    parts = F.filter(
+        F.transform(X.sentences(F.col("case_text")), read),
+        lambda e: e["date"].isNotNull() | (F.size(e["venues"]) > 0) | (F.size(e["transports"]) > 0),
+    )
     found = (
-        blocks.select("case_id", "province", F.explode(X.sentences(F.col("case_text"))).alias("sentence"))
-        .withColumn("venues", X.venue_types(s))
-        .withColumn("transports", X.transport_codes(s))
-        .withColumn("date", F.try_element_at(X.date_mentions(s), F.lit(1)))
-        .where(F.col("date").isNotNull() | (F.size("venues") > 0) | (F.size("transports") > 0))
+        blocks.select("case_id", "province", F.explode_outer(parts).alias("e"))
+        .where("e is not null")
+        .select("case_id", "province", "e.*")
         .withColumn("event_type", X.event_type(s))
     )
     names = F.create_map(*[F.lit(v) for kv in vocab.EVENT_TYPES.items() for v in kv])

@@ -174,7 +174,7 @@ def case_details(spark, sf):
 
 @query
 def document_sentences(spark, sf):
-    found = X.sentences(F.col("text"), "[^.;]+[.;]", 3)
+    found = X.sentences(F.col("text"), ".;", 3)
     return T.table(spark, sf, "documents").select("doc_id", F.size(found).alias("n_sentences"))
 
 

@@ -72,19 +72,26 @@ def split_cases(
     Adds ``case_seq`` (position in the report), ``case_no``, ``case_id`` and
     ``case_text``; a block runs up to the next marker.
     """
-    blocks = F.regexp_extract_all(
-        F.col(content), F.lit(f"(?s){marker}.*?(?={marker}|\\z)"), F.lit(0)
-    )
+    blocks = F.filter(F.split(content, f"(?={marker})"), lambda b: b.rlike(f"^{marker}"))
     keep = [c for c in reports.columns if c != content]
-    return reports.select(*keep, F.posexplode(blocks).alias("case_seq", "case_text")).select(
-        *keep,
-        "case_seq",
-        X.case_number(F.col("case_text")).alias("case_no"),
-        case_key(F.col("province"), X.case_number(F.col("case_text"))).alias("case_id"),
-        "case_text",
+    # The outer form spares a second evaluation of the array in an inferred filter.
+    rows = spread(reports).select(*keep, F.posexplode_outer(blocks).alias("case_seq", "case_text"))
+    rows = rows.where("case_text is not null").withColumn("case_no", X.case_number(F.col("case_text")))
+    return rows.select(
+        *keep, "case_seq", "case_no", case_key(F.col("province"), F.col("case_no")).alias("case_id"), "case_text"
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than cores.
+
+    Text work is bound by the processor.  Inputs of any size have more splits than
+    the cluster has cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def case_key(province: Column, number: Column) -> Column:
     return F.concat(X.prefix(province, 2), F.lit("_"), number)
 
