@@ -72,6 +72,17 @@ def label_cases(cases: DataFrame, labels: DataFrame) -> DataFrame:
     return cases.select("case_id").join(labels, "case_id", "left").na.fill(0, names)
 
 
+def crowd_labels(degrees: DataFrame, min_others: int) -> DataFrame:
+    """(case_id, label): 1 with at least ``min_others`` distinct neighbours.
+
+    ``degrees(node, degree)`` comes from ``neighbor_sums``.  ``cluster_labels`` is the
+    cheaper way for ``min_others=1``.
+    """
+    return degrees.select(
+        F.col("node").alias("case_id"), (F.col("degree") >= min_others).cast("int").alias("label")
+    )
+
+
 # -- clique form --------------------------------------------------------------
 
 

@@ -6,12 +6,14 @@ combine.  numpy only multiplies an Arrow batch of feature rows by a fixed matrix
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coloom.operators.centrality import global_rank, two_hop_walks
 from coloom.operators.colocation import FANOUT, members, shared, symmetric
 from coloom.operators.neighbors import decayed_sums, neighbor_sums
 from coloom.session import cut
@@ -102,6 +104,68 @@ def gcn_propagate(edges: DataFrame, values: DataFrame, cols: Sequence[str]) -> D
     )
 
 
+# -- feature sets for the graph-aware classifiers -----------------------------
+
+
+def structure_features(m: DataFrame, values: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Five structural features per node of ``values``.
+
+    Degree and two-step walks relative to their maxima, mean and population std of
+    the neighbour means across the columns, and the global rank.
+    """
+    s = m if "n" in m.columns else cut(shared(m))
+    means = neighbor_means(s, values, cols)
+    walks = two_hop_walks(s).select("node", "walks")
+    rank = global_rank(s, values.select("node"))
+    rows = cut(
+        values.select("node").join(means, "node", "left").join(walks, "node", "left").join(rank, "node").na.fill(0)
+    )
+    top = rows.agg(F.max("degree").alias("d"), F.max("walks").alias("w"))
+    means_of = [F.col(f"mean_{c}") for c in cols]
+    mean = sum(means_of[1:], means_of[0]) / len(cols)
+    spread = sum(((c - mean) * (c - mean) for c in means_of), F.lit(0.0)) / len(cols)
+    return rows.select(
+        "node",
+        (F.col("degree") / F.greatest(top.select("d").scalar(), F.lit(1))).alias("degree_norm"),
+        mean.alias("nbr_mean"),
+        F.sqrt(spread).alias("nbr_std"),
+        "global_rank",
+        (F.col("walks") / F.greatest(top.select("w").scalar(), F.lit(1))).alias("walks_norm"),
+    )
+
+
+def temporal_features(m: DataFrame, edges: DataFrame, values: DataFrame, cols: Sequence[str], days: DataFrame) -> DataFrame:
+    """Own columns, neighbour means and maxima, squared norm, day cycle, proximity, degree.
+
+    ``edges`` is the case-case relation; ``days(node, day)`` gives a day number.
+    """
+    s = m if "n" in m.columns else cut(shared(m))
+    rows = (
+        values.select("node", *cols)
+        .join(neighbor_means(s, values, cols), "node", "left")
+        .join(neighbor_maxima(s, values, cols), "node", "left")
+        .join(days, "node", "left")
+        .join(temporal_proximity(edges, days), "node", "left")
+        .na.fill(0)
+    )
+    rows = cut(rows)
+    top = rows.agg(F.max("degree")).scalar()
+    squares = [F.col(c) * F.col(c) for c in cols]
+    angle = F.col("day") * F.lit(2 * math.pi / 30)
+    return rows.select(
+        "node",
+        *cols,
+        *[f"mean_{c}" for c in cols],
+        *[f"max_{c}" for c in cols],
+        sum(squares[1:], squares[0]).alias("self_norm"),
+        "day",
+        F.sin(angle).alias("day_sin"),
+        F.cos(angle).alias("day_cos"),
+        "proximity",
+        (F.col("degree") / (top + F.lit(1e-9))).alias("degree_norm"),
+    )
+
+
 # -- embeddings ---------------------------------------------------------------
 
 

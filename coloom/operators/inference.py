@@ -112,32 +112,50 @@ def normal_sums(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     )
 
 
-def _solve(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
-    """One row: coefficients, their squared-error factors, residual and total sums."""
-    k = len(xs)
-    sums = normal_sums(df, xs, y)
+def _solve(df: DataFrame, systems: dict[str, tuple[Sequence[str], str, str]]) -> DataFrame:
+    """(name, n, rank, beta, inv, ss_res, ss_tot), one row per least-squares system.
+
+    ``systems`` maps a name to (regressors, response, row condition).  All sums of
+    all systems come from one aggregate; only the small matrices are solved in numpy.
+    """
+    cells = []
+    for name, (xs, y, cond) in systems.items():
+        on = lambda e, c=cond: F.when(F.expr(c), e)
+        for i, a in enumerate(xs):
+            for j in range(i, len(xs)):
+                cells.append(F.sum(on(F.col(a).cast("double") * F.col(xs[j]))).alias(f"{name}_xx_{i}_{j}"))
+            cells.append(F.sum(on(F.col(a).cast("double") * F.col(y))).alias(f"{name}_xy_{i}"))
+        cells.append(F.count(on(F.lit(1))).alias(f"{name}_n"))
+        cells.append(F.sum(on(F.col(y).cast("double") * F.col(y))).alias(f"{name}_yy"))
+        cells.append(F.sum(on(F.col(y).cast("double"))).alias(f"{name}_y"))
+    sizes = {name: len(xs) for name, (xs, _, _) in systems.items()}
+    columns = ["name", "n", "rank", "beta", "inv", "ss_res", "ss_tot"]
 
     def solver(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.to_dict("records"):
-                a = np.zeros((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        v = r[f"xx_{i}_{j}"]
-                        a[i, j] = a[j, i] = 0.0 if v is None else v
-                b = np.array([r[f"xy_{i}"] or 0.0 for i in range(k)])
-                n, yy, ys = int(r["n"]), r["yy"] or 0.0, r["y_sum"] or 0.0
-                inv = np.linalg.pinv(a, hermitian=True, rcond=1e-12)
-                beta = inv @ b
-                res = max(yy - 2 * beta @ b + beta @ a @ beta, 0.0)
-                rank = int(np.linalg.matrix_rank(a, hermitian=True, tol=1e-10 * max(1.0, np.abs(a).max())))
-                rows.append((n, rank, beta.tolist(), np.diag(inv).tolist(), res, yy - ys * ys / n if n else 0.0))
-            yield pd.DataFrame(rows, columns=["n", "rank", "beta", "inv", "ss_res", "ss_tot"])
-
-    return sums.mapInPandas(
+            for r in pdf.fillna(0.0).to_dict("records"):
+                for name, k in sizes.items():
+                    a = np.zeros((k, k))
+                    for i in range(k):
+                        for j in range(i, k):
+                            a[i, j] = a[j, i] = r[f"{name}_xx_{i}_{j}"]
+                    b = np.array([r[f"{name}_xy_{i}"] for i in range(k)])
+                    n, yy, ys = int(r[f"{name}_n"]), r[f"{name}_yy"], r[f"{name}_y"]
+                    # Scaling to unit diagonal keeps the rank test independent of units.
+                    d = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+                    unit = a / np.outer(d, d)
+                    rank = int(np.linalg.matrix_rank(unit, hermitian=True, tol=1e-9))
+                    inv = np.linalg.inv(unit) / np.outer(d, d) if rank == k else np.linalg.pinv(a, hermitian=True, rcond=1e-12)
+                    beta = inv @ b
+                    res = max(yy - 2 * beta @ b + beta @ a @ beta, 0.0)
+                    total = yy - ys * ys / n if n else 0.0
+                    rows.append((name, n, rank, beta.tolist(), np.diag(inv).tolist(), res, total))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return df.agg(*cells).mapInPandas(
         solver,
-        "n long, rank int, beta array<double>, inv array<double>, ss_res double, ss_tot double",
+        "name string, n long, rank int, beta array<double>, inv array<double>, ss_res double, ss_tot double",
     )
 
 
@@ -156,7 +174,7 @@ def segmented_regression(
     """
     xs = ["one", "t", "post", "post_weeks"] + (["spring_festival"] if festival else [])
     terms = ITS_TERMS + (["festival"] if festival else [])
-    fit = _solve(active(series).withColumn("one", F.lit(1.0)), xs, metric)
+    fit = _solve(active(series).withColumn("one", F.lit(1.0)), {"its": (xs, metric, "true")})
     k = len(xs)
     df = F.greatest(F.col("n") - k, F.lit(1))
     rows = fit.where(F.col("n") >= min_weeks).select(
@@ -228,33 +246,36 @@ def granger(series: DataFrame, metric: str, lags: Sequence[int] = (1, 2, 3), cau
     All weeks count, also those without an edge.  A lag with too few weeks has a
     note and no numbers.
     """
-    rows = lagged(series, metric, max(lags), cause).withColumn("one", F.lit(1.0))
-    out = None
+    systems = {}
     for lag in lags:
-        used = rows.where(F.col(f"y_{lag}").isNotNull())
         own = ["one", *[f"y_{i}" for i in range(1, lag + 1)]]
         full = own + [f"x_{i}" for i in range(1, lag + 1)]
-        small = _solve(used, own, "y").select(F.col("n").alias("n"), F.col("ss_res").alias("ss_r"))
-        big = _solve(used, full, "y").select(F.col("n").alias("n"), F.col("ss_res").alias("ss_u"))
-        df = F.col("n") - len(full)
-        f = F.when(
-            F.col("ss_u") > 0,
-            (F.greatest(F.col("ss_r") - F.col("ss_u"), F.lit(0.0)) / lag) / (F.col("ss_u") / F.greatest(df, F.lit(1))),
-        ).otherwise(0.0)
-        one = small.join(big, "n").select(
-            F.lit(lag).alias("lag"), F.col("n"), f.alias("f"), df.alias("df_den")
-        )
-        enough = (F.col("n") + lag > 2 * lag + 2) & (F.col("df_den") > 0)
-        one = one.select(
+        systems[f"own{lag}"] = (own, "y", f"y_{lag} is not null")
+        systems[f"full{lag}"] = (full, "y", f"y_{lag} is not null")
+    fits = _solve(lagged(series, metric, max(lags), cause).withColumn("one", F.lit(1.0)), systems)
+    side = lambda kind: F.max(F.when(F.col("name").startswith(kind), F.col("ss_res")))
+    lag, df = F.col("lag"), F.col("df_den")
+    tests = (
+        fits.groupBy(F.regexp_extract("name", "([0-9]+)$", 1).cast("int").alias("lag"))
+        .agg(F.max("n").alias("n"), side("own").alias("ss_r"), side("full").alias("ss_u"))
+        .withColumn("df_den", F.col("n") - 1 - 2 * lag)
+    )
+    gain = F.when(F.col("ss_r") > F.col("ss_u"), F.col("ss_r") - F.col("ss_u")).otherwise(0.0)
+    f = F.when(F.col("ss_u") > 0, gain / lag / (F.col("ss_u") / df)).otherwise(0.0)
+    enough = (F.col("n") + lag > 2 * lag + 2) & (df > 0)
+    return (
+        tests.withColumn("f", F.when(enough, f))
+        .withColumn("p", F.when(enough, f_upper(F.col("f"), lag, df)))
+        .select(
             "lag",
-            F.when(enough, F.col("f")).alias("f"),
-            F.when(enough, f_upper(F.col("f"), F.lit(lag), F.col("df_den"))).alias("p"),
-            F.lit(lag).alias("df_num"),
+            "f",
+            "p",
+            lag.alias("df_num"),
             "df_den",
+            F.coalesce(stars(F.col("p")), F.lit("")).alias("sig"),
             F.when(enough, "").otherwise("too few weeks").alias("note"),
         )
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("sig", F.coalesce(stars(F.col("p")), F.lit("")))
+    )
 
 
 # -- paired tests over seeds --------------------------------------------------

@@ -230,6 +230,13 @@ def label_band(spark, sf):
     return L.label_cases(T.ship_cases(spark, sf), labels)
 
 
+@query
+def label_two_others(spark, sf):
+    nodes = T.ship_cases(spark, sf).select(F.col("case_id").alias("node"))
+    deg = C.with_nodes(nodes, neighbor_sums(L.members(T.ship_visits(spark, sf), 3)))
+    return L.crowd_labels(deg, 2)
+
+
 @query
 def label_window_sweep(spark, sf):
     return tidy(sweeps.label_counts(T.ship_cases(spark, sf), T.ship_visits(spark, sf)))
@@ -432,6 +439,22 @@ def gcn_propagation(spark, sf):
     return tidy(E.gcn_propagate(pairs, _values(spark, sf), ["balance", "nation"]))
 
 
+@query
+def structure_features(spark, sf):
+    m = L.members(T.ship_visits(spark, sf), 0)
+    out = E.structure_features(m, _values(spark, sf), ["balance", "nation"])
+    n = F.lit(1.0) * _nodes(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return tidy(out.withColumn("global_rank", F.col("global_rank") * n))
+
+
+@query
+def temporal_features(spark, sf):
+    visits = T.ship_visits(spark, sf)
+    days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
+    m = cut(L.shared(L.members(visits, 3)))
+    return tidy(E.temporal_features(m, L.bounded_pairs(m), _values(spark, sf), ["balance", "nation"], days))
+
+
 # -- risk and inference -------------------------------------------------------
 
 

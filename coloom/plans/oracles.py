@@ -705,3 +705,45 @@ ORACLES["group_contrast"] = (
         for m in ("degree", "local_rank", "transitivity")
     )
 )
+
+
+def _between(top: str = "") -> str:
+    return f"""WITH RECURSIVE {VISITS}, {band(0)}, reach(s, v, d) AS (
+      SELECT DISTINCT src, src, 0 FROM arcs UNION SELECT reach.s, arcs.dst, reach.d + 1 FROM reach JOIN arcs ON arcs.src = reach.v WHERE reach.d < 30),
+    dist AS (SELECT s, v, min(d) AS d FROM reach GROUP BY ALL),
+    sp(s, t, path) AS (SELECT DISTINCT src, src, [src] FROM arcs
+      UNION ALL SELECT sp.s, arcs.dst, list_append(path, arcs.dst) FROM sp JOIN arcs ON arcs.src = sp.t
+        JOIN dist ON dist.s = sp.s AND dist.v = arcs.dst AND dist.d = len(path)),
+    sigma AS (SELECT s, t, count(*) AS n FROM sp GROUP BY ALL),
+    inner_nodes AS (SELECT unnest(path[2:len(path) - 1]) AS node, 1.0 / n AS part FROM sp JOIN sigma USING (s, t) WHERE len(path) > 2),
+    b AS (SELECT node, sum(part) AS b FROM inner_nodes GROUP BY 1), k AS (SELECT count(*) AS n FROM customer)
+    SELECT node, {r('coalesce(b, 0) * 1e6 / ((n - 1.0) * (n - 2.0))')} AS {'betweenness' if top else 'betweenness_ppm'}
+    FROM (SELECT DISTINCT src AS node FROM arcs) LEFT JOIN b USING (node), k {top}"""
+
+
+ORACLES["betweenness"] = _between()
+ORACLES["top10_betweenness"] = _between("ORDER BY 2 DESC, 1 LIMIT 10")
+ORACLES["label_two_others"] = f"WITH {DEGREES} SELECT case_id, CAST(degree >= 2 AS INTEGER) AS label FROM pos"
+
+
+def _structure() -> str:
+    ranks = _global_rank()
+    head = ranks[: ranks.rindex(" SELECT node")]
+    return f"""{head}, deg AS (SELECT src, count(*) AS degree FROM arcs GROUP BY 1),
+    f AS (SELECT arcs.src, count(*) AS degree, sum(d.degree) AS walks, avg(c_acctbal) AS mb, avg(c_nationkey) AS mn
+      FROM arcs JOIN deg d ON d.src = arcs.dst JOIN customer ON c_custkey = arcs.dst GROUP BY 1),
+    x AS (SELECT node, r, coalesce(degree, 0) AS degree, coalesce(walks, 0) AS walks, coalesce(mb, 0) AS mb, coalesce(mn, 0) AS mn FROM r5 LEFT JOIN f ON f.src = node)
+    SELECT node, {r('degree * 1.0 / (SELECT max(degree) FROM x)')} AS degree_norm, {r('(mb + mn) / 2')} AS nbr_mean, {r('abs(mb - mn) / 2')} AS nbr_std,
+      {r('r')} AS global_rank, {r('walks * 1.0 / (SELECT max(walks) FROM x)')} AS walks_norm FROM x"""
+
+
+ORACLES["structure_features"] = _structure()
+ORACLES["temporal_features"] = f"""WITH {VISITS}, {band(3)}, f AS (SELECT case_id, min(day) AS d, CAST(min(day) - DATE '1970-01-01' AS INTEGER) AS day FROM visits GROUP BY 1),
+    n AS (SELECT src, count(*) AS degree, avg(c_acctbal) AS mb, avg(c_nationkey) AS mn, max(c_acctbal) AS xb, max(c_nationkey) AS xn,
+      exp(-min(abs(a.d - b.d)) / 7.0) AS prox FROM arcs JOIN customer ON c_custkey = dst JOIN f a ON a.case_id = src JOIN f b ON b.case_id = dst GROUP BY 1),
+    x AS (SELECT c_custkey AS node, c_acctbal AS balance, CAST(c_nationkey AS DOUBLE) AS nation, coalesce(day, 0) AS day, n.*
+      FROM customer LEFT JOIN n ON src = c_custkey LEFT JOIN f ON case_id = c_custkey)
+    SELECT node, {r('balance')} AS balance, {r('nation')} AS nation, {r('coalesce(mb, 0)')} AS mean_balance, {r('coalesce(mn, 0)')} AS mean_nation,
+      {r('coalesce(xb, 0)')} AS max_balance, {r('coalesce(xn, 0)')} AS max_nation, {r('balance * balance + nation * nation')} AS self_norm, day,
+      {r('sin(2 * pi() * day / 30)')} AS day_sin, {r('cos(2 * pi() * day / 30)')} AS day_cos, {r('coalesce(prox, 0)')} AS proximity,
+      {r('coalesce(degree, 0) / ((SELECT max(degree) FROM x) + 1e-9)')} AS degree_norm FROM x"""
