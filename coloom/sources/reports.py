@@ -88,6 +88,8 @@ def spread(df: DataFrame) -> DataFrame:
     Text work is bound by the processor.  Inputs of any size have more splits than
     the cluster has cores and are left as they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
