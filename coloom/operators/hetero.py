@@ -102,14 +102,23 @@ def node_map(
 
 
 def indexed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src_type, dst_type, src, dst, weight) with node ids."""
+    """(src_type, dst_type, src, dst, weight) with node ids.
+
+    Venues, transports and symptoms come from vocabularies and dates from the
+    calendar, so those ids are broadcast; cases are joined by shuffle.
+    """
     case = nodes.where("node_type = 'case'").select(F.col("name").alias("case_name"), F.col("idx").alias("src"))
-    item = nodes.select(F.col("node_type").alias("dst_type"), F.col("name").alias("item"), F.col("idx").alias("dst"))
+    dims = nodes.where("node_type <> 'case'").select(
+        F.col("node_type").alias("dst_type"), F.col("name").alias("item"), F.col("idx").alias("dst")
+    )
+    other = case.withColumnsRenamed({"case_name": "item", "src": "dst"})
+    with_src = edges.withColumn("case_name", F.col("case_id").cast("string")).join(case, "case_name")
+    columns = ["src_type", "dst_type", "src", "dst", "weight"]
     return (
-        edges.withColumn("case_name", F.col("case_id").cast("string"))
-        .join(case, "case_name")
-        .join(item, ["dst_type", "item"])
-        .select("src_type", "dst_type", "src", "dst", "weight")
+        with_src.where("dst_type <> 'case'")
+        .join(F.broadcast(dims), ["dst_type", "item"])
+        .select(columns)
+        .unionByName(with_src.where("dst_type = 'case'").join(other, "item").select(columns))
     )
 
 

@@ -45,19 +45,27 @@ def extraction_stats(events: DataFrame, cases: DataFrame) -> DataFrame:
         F.count(F.when(~F.col("is_lockdown"), 1)).alias("pre_lockdown_events"),
         F.count(F.when(F.col("is_lockdown"), 1)).alias("post_lockdown_events"),
     )
-    total_cases = c.select("total_cases").scalar()
-    return e.select(
-        total_cases.alias("total_cases"),
+    t = one_row(e, c)
+    return t.select(
+        "total_cases",
         "total_events",
-        (F.col("total_events") / total_cases).alias("avg_events_per_case"),
+        (F.col("total_events") / F.col("total_cases")).alias("avg_events_per_case"),
         "dated_events",
         (F.col("dated_events") / F.col("total_events") * 100).alias("dated_ratio"),
         "pre_lockdown_events",
         "post_lockdown_events",
-        c.select("asymptomatic_count").scalar().alias("asymptomatic_count"),
+        "asymptomatic_count",
     )
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of several one-row frames side by side."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])
+
+
 def province_stats(details: DataFrame) -> DataFrame:
     """Per province: cases, date records, flags, first and last date.
 
@@ -147,14 +155,9 @@ def dataset_stats(details: DataFrame, cutover: dt.date = vocab.LOCKDOWN_DATE) ->
         F.sum(F.col("wuhan_connection").cast("long")).alias("wuhan_connection_count"),
     )
     cover = coverage(details.select(F.explode("dates").alias("date")), cutover)
-    return totals.select(
-        "*",
-        (F.col("asymptomatic_count") / F.col("total_cases") * 100).alias("asymptomatic_ratio"),
-        (F.col("wuhan_connection_count") / F.col("total_cases") * 100).alias("wuhan_connection_ratio"),
-        *[
-            cover.select(c).scalar().alias(c)
-            for c in ("first_date", "last_date", "days_span", "pre_records", "post_records", "coverage")
-        ],
+    asym, hot, n = F.col("asymptomatic_count"), F.col("wuhan_connection_count"), F.col("total_cases")
+    return one_row(totals, cover).withColumns(
+        {"asymptomatic_ratio": asym / n * 100, "wuhan_connection_ratio": hot / n * 100}
     )
 
 

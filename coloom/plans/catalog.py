@@ -24,6 +24,7 @@ from coloom.operators.extract import extract_case_details, extract_cases, extrac
 from coloom.operators.neighbors import decayed_sums, neighbor_sums
 from coloom.operators.split import hash_split
 from coloom.plans import contrast, risk, sweeps
+from coloom.plans import graph_models as GM
 from coloom.session import cut
 from coloom.sources import tables as T
 from coloom.sources.reports import split_cases
@@ -700,3 +701,24 @@ def graph_embedding(spark, sf):
     edges = cut(L.bounded_pairs(L.members(visits, 0)))
     weights = E.random_weights(len(cols), 8)
     return tidy(E.embed(feats, cols, edges, visits, E.fit_scale(feats, cols), weights))
+
+
+@query
+def graph_model_scores(spark, sf):
+    table = _training(spark, sf).withColumn("label", F.col("label_0")).drop("label_0")
+    cols = ["age_norm", "is_male", "first_day_norm", "duration_norm", "event_count_norm", "venue_total"]
+    visits = cut(T.ship_visits(spark, sf))
+    # The ±3 day graph contains the same-day one, so the label shows through the degree.
+    m = cut(L.shared(L.members(visits, 3)))
+    edges = cut(L.bounded_pairs(m))
+    days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
+    parts = {
+        "embedding": GM.embedding_scores(table, cols, edges, visits, d=8, hidden=[16], maxIter=40),
+        "structure": GM.structure_scores(table, cols, m, hidden=[16], maxIter=40),
+        "temporal": GM.temporal_scores(table, cols, m, edges, days, maxIter=5),
+    }
+    out = None
+    for name, one in parts.items():
+        one = one.select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return tidy(out)

@@ -36,10 +36,9 @@ def group_contrast(positions: DataFrame, cases: DataFrame, flag: str, metrics: l
     rows = cut(positions.join(cases.select("case_id", flag), "case_id"))
     out = None
     for m in metrics:
-        d = cohens_d(rows, flag, m)
-        u = mann_whitney(rows, flag, m).select("u_stat", "z", "p_value")
-        one = d.select(
-            F.lit(m).alias("metric"), "*", *[u.select(c).scalar().alias(c) for c in ("u_stat", "z", "p_value")]
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        d = cohens_d(rows, flag, m).withColumn("metric", F.lit(m))
+        u = mann_whitney(rows, flag, m).select(F.lit(m).alias("metric"), "u_stat", "z", "p_value")
+        both = d.unionByName(u, allowMissingColumns=True)
+        out = both if out is None else out.unionByName(both)
+    # Two rows per metric, each with its own columns filled.
+    return out.groupBy("metric").agg(*[F.max(c).alias(c) for c in out.columns if c != "metric"])
