@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", app: str = "coloom", **conf) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.compress", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

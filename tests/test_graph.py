@@ -97,6 +97,17 @@ def test_neighbor_sums_match_brute_force(spark, crowd, k, fanout, narrow):
     assert got == {a: (len(s), round(sum(float(j * j % 17) for j in s), 6)) for a, s in near.items()}
 
 
+def test_hot_group_and_hot_case_are_counted_without_pairs(spark):
+    n = 4000
+    everyone = spark.range(n).select(F.col("id").alias("case_id"), F.lit("p").alias("province"), F.lit("hot").alias("venue"))
+    alone = spark.range(n).select(F.lit(0).cast("long").alias("case_id"), F.lit("p").alias("province"), F.col("id").cast("string").alias("venue"))
+    friend = spark.range(10).select((F.col("id") + n).alias("case_id"), F.lit("p").alias("province"), F.col("id").cast("string").alias("venue"))
+    v = everyone.unionByName(alone).unionByName(friend).withColumn("day", F.lit(DAY))
+    got = {r.node: r.degree for r in neighbor_sums(L.members(v)).collect()}
+    assert got[0] == n - 1 + 10
+    assert all(got[i] == n - 1 for i in range(1, n)) and all(got[n + i] == 1 for i in range(10))
+
+
 def test_decayed_sums_and_maxima_with_large_groups(spark, crowd):
     v, gaps = visits(spark, crowd), brute(crowd, 2)
     values = spark.createDataFrame([(i, float(i * i % 17)) for i in range(50)], "node long, x double")
