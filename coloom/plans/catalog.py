@@ -703,22 +703,44 @@ def graph_embedding(spark, sf):
     return tidy(E.embed(feats, cols, edges, visits, E.fit_scale(feats, cols), weights))
 
 
-@query
-def graph_model_scores(spark, sf):
+def _graph_training(spark, sf):
+    """Training rows, six of their columns, and the shared groups of the ±3 day graph.
+
+    That graph contains the same-day one, so the label shows through the degree.
+    """
     table = _training(spark, sf).withColumn("label", F.col("label_0")).drop("label_0")
     cols = ["age_norm", "is_male", "first_day_norm", "duration_norm", "event_count_norm", "venue_total"]
-    visits = cut(T.ship_visits(spark, sf))
-    # The ±3 day graph contains the same-day one, so the label shows through the degree.
-    m = cut(L.shared(L.members(visits, 3)))
-    edges = cut(L.bounded_pairs(m))
+    return table, cols, cut(L.shared(L.members(T.ship_visits(spark, sf), 3)))
+
+
+@query
+def graph_embedding_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf)
+    edges, visits = cut(L.bounded_pairs(m)), T.ship_visits(spark, sf)
+    return tidy(GM.embedding_scores(table, cols, edges, visits, d=8, hidden=[16], maxIter=40))
+
+
+@query
+def graph_convolution_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf)
+    return tidy(GM.convolution_scores(table, cols, cut(L.bounded_pairs(m)), 8))
+
+
+@query
+def graph_attention_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf)
+    return tidy(GM.attention_scores(table, cols, cut(L.bounded_pairs(m)), 8))
+
+
+@query
+def graph_structure_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf)
+    return tidy(GM.structure_scores(table, cols, m, hidden=[16], maxIter=40))
+
+
+@query
+def graph_temporal_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf)
+    visits = T.ship_visits(spark, sf)
     days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
-    parts = {
-        "embedding": GM.embedding_scores(table, cols, edges, visits, d=8, hidden=[16], maxIter=40),
-        "structure": GM.structure_scores(table, cols, m, hidden=[16], maxIter=40),
-        "temporal": GM.temporal_scores(table, cols, m, edges, days, maxIter=5),
-    }
-    out = None
-    for name, one in parts.items():
-        one = one.select(F.lit(name).alias("model"), "*")
-        out = one if out is None else out.unionByName(one)
-    return tidy(out)
+    return tidy(GM.temporal_scores(table, cols, m, cut(L.bounded_pairs(m)), days, maxIter=5))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,39 @@ def embedding_scores(table: DataFrame, cols, edges, visits, d: int = 64, seed: i
     return evaluate("MLP", rows, names, seed, **{"hidden": [64, 32], **kw})
 
 
+def convolution_scores(table: DataFrame, cols, edges: DataFrame, hidden: int = 64, seed: int = 42, **kw) -> DataFrame:
+    """Scores of a logistic regression on two graph-convolution passes.
+
+    Propagate, mix through fixed random weights with a rectifier, propagate again;
+    only the output layer is trained.
+    """
+    values = table.select(F.col("case_id").alias("node"), *cols)
+    first = E.gcn_propagate(edges, values, cols)
+    weights = np.random.RandomState(seed).randn(len(cols), hidden) * 0.1
+    names, inputs = [f"g_{i}" for i in range(hidden)], list(cols)
+
+    def mix(batches):
+        for pdf in batches:
+            h = np.maximum(pdf[inputs].to_numpy(dtype=float) @ weights, 0.0)
+            yield pd.concat([pdf[["node"]], pd.DataFrame(h, columns=names, index=pdf.index)], axis=1)
+
+    kind = table.schema["case_id"].dataType.simpleString()
+    mixed = cut(first.mapInPandas(mix, f"node {kind}, " + ", ".join(f"{n} double" for n in names)))
+    second = E.gcn_propagate(edges, mixed, names).withColumnRenamed("node", "case_id")
+    rows = cut(table.select("case_id", "split", "label").join(second, "case_id"))
+    return evaluate("LR", rows, names, seed, **kw)
+
+
+def attention_scores(table: DataFrame, cols, edges: DataFrame, d: int = 64, seed: int = 42, **kw) -> DataFrame:
+    """Scores of a logistic regression on one attention pass over the relation."""
+    table = table.withColumn("node", F.col("case_id"))
+    scale = E.fit_scale(table.where("split = 'train'"), cols)
+    hidden = cut(E.project(table, cols, *scale, E.random_weights(len(cols), d, seed, 0.1)))
+    att = E.attention(edges, hidden, d).withColumnRenamed("node", "case_id")
+    rows = cut(table.select("case_id", "split", "label").join(att, "case_id"))
+    return evaluate("LR", rows, [f"att_{i}" for i in range(d)], seed, **kw)
+
+
 def structure_scores(table: DataFrame, cols, m: DataFrame, seed: int = 42, **kw) -> DataFrame:
     """Scores of an MLP on the own columns and five structural features.
 

@@ -8,7 +8,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"model_scores", "graph_model_scores", "feature_importance", "window_sweep_scores", "group_ablation_scores"}
+# Fits; the models have a test of their own.
+SLOW = {n for n in queries() if n.endswith("_scores")} | {"feature_importance"}
 
 
 @pytest.fixture(scope="module")
