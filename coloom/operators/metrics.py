@@ -30,13 +30,11 @@ def classification_metrics(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
     )
     run = running_totals(per_score, "s", ["pos", "neg"])
-    p_total = per_score.agg(F.sum("pos")).scalar()
-    n_total = per_score.agg(F.sum("neg")).scalar()
     run = run.withColumns(
         {
             # positives and negatives with a score of at least s
-            "tp": p_total - F.col("before_pos"),
-            "fp": n_total - F.col("before_neg"),
+            "tp": F.col("total_pos") - F.col("before_pos"),
+            "fp": F.col("total_neg") - F.col("before_neg"),
         }
     )
     hit = F.col("s") >= threshold

@@ -20,7 +20,7 @@ BUCKETS = 256
 def running_totals(
     df: DataFrame, key: str, sums: Sequence[str], buckets: int = BUCKETS
 ) -> DataFrame:
-    """Adds ``before_<s>``: the total of each sum over all smaller keys.
+    """Adds ``before_<s>`` and ``total_<s>``: each sum over all smaller keys and over all.
 
     ``df`` has one row per key (group first).  Bucket borders are percentiles of
     the key, so buckets hold about equally many rows whatever the distribution.
@@ -34,8 +34,11 @@ def running_totals(
     totals = slotted.groupBy("_slot").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     # At most ``buckets`` rows from here to the join.
     prior = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        "_slot", *[F.coalesce(F.sum(f"_t_{s}").over(prior), F.lit(0)).alias(f"_o_{s}") for s in sums]
+        "_slot",
+        *[F.coalesce(F.sum(f"_t_{s}").over(prior), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(every).alias(f"total_{s}") for s in sums],
     )
     inside = Window.partitionBy("_slot").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (

@@ -19,11 +19,15 @@ def hash_split(
     counts = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most 65,536 rows.
     prior = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("before"))
-    total = counts.agg(F.sum("n")).scalar()
+    every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select(
+        "bucket",
+        F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("before"),
+        F.sum("n").over(every).alias("total"),
+    )
     inside = Window.partitionBy("bucket").orderBy("h", key)
     pos = F.col("before") + F.row_number().over(inside)
-    n_train, n_val = F.floor(total * train), F.floor(total * validate)
+    n_train, n_val = F.floor(F.col("total") * train), F.floor(F.col("total") * validate)
     return (
         hashed.join(F.broadcast(offsets), "bucket")
         .withColumn("pos", pos)
