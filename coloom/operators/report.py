@@ -49,7 +49,7 @@ def latex_table(
 def cell(value, spec: str) -> str:
     if value is None:
         return "--"
-    return format(value, spec) if spec else str(value)
+    return format(value, spec) if spec else str(value).replace("_", r"\_")
 
 
 def metrics_table(results: DataFrame, metrics: Sequence[str], by: str = "AUC-ROC") -> str:
@@ -63,7 +63,7 @@ def ablation_table(results: DataFrame, baseline: str, metrics: Sequence[str], ca
     """Scores per variant with the signed difference to the baseline row."""
     shown = delta_to_baseline(results, baseline, metrics).orderBy(F.desc("`AUC-ROC`"), "variant")
     text = {
-        m: F.when(F.col("variant") == baseline, F.format_string("%.4f", F.col(f"`{m}`"))).otherwise(
+        m: F.when(F.col(f"`{m}`").isNull(), None).when(F.col("variant") == baseline, F.format_string("%.4f", F.col(f"`{m}`"))).otherwise(
             F.format_string("%.4f (%+.4f)", F.col(f"`{m}`"), F.col(f"`d_{m}`"))
         )
         for m in metrics
