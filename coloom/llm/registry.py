@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from coloom.llm import repeats, simhash
+from coloom.llm import ann, decontaminate, language, lm, pieces, repeats, simhash
 
 QUERIES = {
+    "op1_nearest_neighbours": ann.op1_nearest_neighbours,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_substring_dedup": repeats.op3_substring_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op9_lm_scoring": lm.op9_lm_scoring,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLES = {
     "op3_substring_dedup": repeats.OP3_SQL,
+    "op7_benchmark_decontamination": decontaminate.OP7_SQL,
 }
