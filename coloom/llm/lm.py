@@ -27,7 +27,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import chain
@@ -35,6 +35,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -154,9 +155,15 @@ class Filter:
     means: np.ndarray = field(default_factory=level_means)
 
     @classmethod
-    def of(cls, shift: int, first: int, blocks: list[bytes]) -> Filter:
-        sizes = np.array([len(b) for b in blocks], np.int64)
-        return cls(shift, first, np.frombuffer(b"".join(blocks), np.uint8), np.cumsum(sizes) - sizes, (sizes * 8).astype(np.uint64))
+    def of(cls, shift: int, first: int, sizes: list[int], rows: Iterable) -> Filter:
+        """From rows (bucket, block) in any order; ``sizes`` has the bytes of each block, 0 where there is none."""
+        held = np.maximum(np.array(sizes, np.int64), 8)
+        starts = np.cumsum(held) - held
+        bits = np.zeros(int(held.sum()), np.uint8)
+        for r in rows:
+            at = starts[r["bucket"] - first]
+            bits[at : at + len(r["block"])] = np.frombuffer(r["block"], np.uint8)
+        return cls(shift, first, bits, starts, (held * 8).astype(np.uint64))
 
     def covers(self, keys: np.ndarray) -> np.ndarray:
         at = ranges(keys, self.shift)
@@ -242,21 +249,15 @@ MERGED = pa.schema(
 )
 
 
-def _filled(rows: list, first: int, last: int, what: str, empty: bytes) -> list[bytes]:
-    """The blocks of the buckets first..last-1; a bucket without rows is empty."""
-    by = {r["bucket"]: bytes(r[what]) for r in rows}
-    return [by.get(i, empty) for i in range(first, last)]
-
-
-def _rounds(sizes: dict[int, int], buckets: int, most: int) -> list[tuple[int, int]]:
+def _rounds(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Consecutive buckets whose sizes add up to ``most`` bytes at most, one bucket at least."""
     out, first, total = [], 0, 0
-    for i in range(buckets):
-        if total and total + sizes.get(i, 8) > most:
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             out.append((first, i))
             first, total = i, 0
-        total += sizes.get(i, 8)
-    return [*out, (first, buckets)]
+        total += size
+    return [*out, (first, len(sizes))]
 
 
 def score(
@@ -266,25 +267,35 @@ def score(
     text_col: str = "text",
     weight: float = 0.3,
     bits: float = 12.0,
-    most_mb: int = 192,
+    most_mb: int = 128,
 ) -> tuple[DataFrame, int, int]:
     """((keys.., n_tokens, n_known, base_score, score) of each of ``docs``, N, V), learnt from ``train``."""
     spark = docs.sparkSession
     ledger, shift = gather(train, text_col, bits)
     buckets = 1 << (64 - shift)
-    by_gram = {r["gram"]: r for r in ledger.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries")).collect()}
-    total, distinct = (by_gram[1]["total"], by_gram[1]["n"]) if by_gram else (0, 0)
-
-    def words_block(rows: pa.Table) -> pa.Table:
-        fewer = most_mb * 2**20 * 8 / max(1, by_gram[1]["entries"])
-        out = [block(*unpack(k, c), fewer) for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
-        return rows.set_column(rows.schema.get_field_index("block"), "block", pa.array(out, pa.binary()))
-
-    ones = ledger.where("gram = 1")
-    if by_gram and by_gram[1]["entries"] * bits > most_mb * 2**20 * 8:
-        ones = ones.groupBy("gram", "bucket").applyInArrow(words_block, ledger.schema)
-    words = spark.sparkContext.broadcast(Filter.of(shift, 0, _filled(ones.select("bucket", "block").collect(), 0, buckets, "block", bytes(8))))
-    sizes = {r["bucket"]: r["size"] for r in ledger.groupBy("bucket").agg(F.sum(F.when(F.col("gram") == 2, F.length("block")).otherwise(12 * F.col("n"))).alias("size")).collect()}
+    # One small row for each range.
+    held = {(r["gram"], r["bucket"]): r for r in ledger.select("gram", "bucket", "n", "total", "entries", F.length("block").alias("size")).collect()}
+    ones = [r for (gram, _), r in held.items() if gram == 1]
+    total, distinct, stored = (sum(r[c] for r in ones) for c in ("total", "n", "entries"))
+    most = most_mb << 20
+
+    def sized(gram: int, low: int, high: int, what: str) -> list[int]:
+        return [held[gram, i][what] if (gram, i) in held else 0 for i in range(low, high)]
+
+    fewer = min(1.0, 8 * most / 4 / max(1, stored * bits))  # the unigrams get a quarter of the bound
+
+    def thinner(rows: pa.Table) -> pa.Table:
+        made = [block(*unpack(k, c), bits * fewer) for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
+        return pa.table([rows.column("bucket"), pa.array(made, pa.binary())], ["bucket", "block"])
+
+    single = ledger.where("gram = 1").select("bucket", "keys", "counts", "block")
+    if fewer < 1:
+        single = cut(single.groupBy("bucket").applyInArrow(thinner, "bucket int, block binary"))
+        thin = {r["bucket"]: r["size"] for r in single.select("bucket", F.length("block").alias("size")).collect()}
+        word_sizes = [thin.get(i, 0) for i in range(buckets)]
+    else:
+        word_sizes = sized(1, 0, buckets, "size")
+    words = spark.sparkContext.broadcast(Filter.of(shift, 0, word_sizes, single.select("bucket", "block").toLocalIterator()))
 
     def add_up(exact, grams, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         h, before, sizes = tokens(texts)
@@ -297,17 +308,17 @@ def score(
         mine = (bucket >= low) & (bucket < high)
         base = np.where(mine, np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)[back]
         seen = words.value.counts(uniq)
-        single = ((seen + 0.1) / (total + 0.1 * (distinct + 1)))[back]
+        alone = ((seen + 0.1) / (total + 0.1 * (distinct + 1)))[back]
         key = pairs(before, h)
         here = grams.covers(key)
         both = np.zeros(len(h))
         both[here] = grams.counts(key[here])
-        first = before == BEGIN
+        first = before == np.uint64(BEGIN)
         left = np.empty(len(h))
         left[1:] = seen[back][:-1]
         left[first] = starts
         share = np.minimum(both, left) / np.maximum(left, 1)
-        p = np.where(left > 0, weight * share + (1 - weight) * single, single)
+        p = np.where(left > 0, weight * share + (1 - weight) * alone, alone)
         model = np.where(here, np.log10(np.minimum(p, 1.0)), 0.0)
         n = len(texts)
         return (
@@ -321,13 +332,15 @@ def score(
     kind = "struct<n_tokens: long, n_known: long, base_score: double, score: double>"
     names = ["n_tokens", "n_known", "base_score", "score"]
 
-    def round_of(low: int, high: int) -> Column:
+    def round_of(low: int, high: int) -> tuple[Column, Broadcast]:
         rows = ledger.where((F.col("bucket") >= low) & (F.col("bucket") < high))
-        bigrams = rows.where("gram = 2").select("bucket", "block").collect()
-        singles = rows.where("gram = 1").select("bucket", "keys", "counts").orderBy("bucket").collect()
-        flat = [unpack(bytes(r["keys"]), bytes(r["counts"])) for r in singles]
-        known = (np.concatenate([k for k, _ in flat]), np.concatenate([c for _, c in flat])) if flat else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        sent = spark.sparkContext.broadcast(((*known, low, high), Filter.of(shift, low, _filled(bigrams, low, high, "block", bytes(8)))))
+        places = np.cumsum([0, *sized(1, low, high, "n")])
+        known, counts = np.zeros(places[-1], np.uint64), np.zeros(places[-1], np.uint32 if total < 1 << 32 else np.uint64)
+        for r in rows.where("gram = 1").select("bucket", "keys", "counts").toLocalIterator():
+            at = slice(places[r["bucket"] - low], places[r["bucket"] - low + 1])
+            known[at], counts[at] = unpack(bytes(r["keys"]), bytes(r["counts"]))
+        grams = Filter.of(shift, low, sized(2, low, high, "size"), rows.where("gram = 2").select("bucket", "block").toLocalIterator())
+        sent = spark.sparkContext.broadcast(((known, counts, low, high), grams))
 
         @F.arrow_udf(kind)
         def of(texts: pa.Array) -> pa.Array:
@@ -338,16 +351,20 @@ def score(
                     column.append(value)
             return pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else []) for c in out], names)
 
-        return of(raw(text_col))
+        return of(raw(text_col)), sent
 
-    plan = _rounds(sizes, buckets, most_mb * 2**20)
+    sizes = [12 * n + size for n, size in zip(sized(1, 0, buckets, "n"), sized(2, 0, buckets, "size"), strict=True)]
+    plan = _rounds(sizes, most * 3 // 4)
     if len(plan) == 1:
-        return docs.select(*keys, round_of(*plan[0]).alias("s")).select(*_names(docs, keys), "s.*"), total, distinct
+        return docs.select(*keys, round_of(*plan[0])[0].alias("s")).select(*_names(docs, keys), "s.*"), total, distinct
     text = raw(text_col)
-    each = [
-        docs.select(*content_key(text), text_col).dropDuplicates(["k1", "k2"]).select("k1", "k2", round_of(*r).alias("s")) for r in plan
-    ]
-    sums = reduce(DataFrame.unionByName, each).groupBy("k1", "k2").agg(
+    parts = []
+    for low, high in plan:
+        column, sent = round_of(low, high)
+        each = docs.select(*content_key(text), column.alias("s"))
+        parts.append(cut(each.groupBy("k1", "k2").agg(F.first("s").alias("s"))))
+        sent.destroy()
+    sums = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(
         F.max("s.n_tokens").alias("n_tokens"), *[F.sum(f"s.{n}").alias(n) for n in names[1:]]
     )
     own = _names(docs, keys)

@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
 The pieces and their log scores are read from a SentencePiece model file; nothing
-is trained.  A text is encoded as follows:
+is trained.  A file of merges scores a piece by minus its rank, which is no log
+probability; those ranks are read as -log((1 + rank) * H) with H the sum of all
+1 / (1 + rank), Zipf's law.  A text is encoded as follows:
 
 1. Spaces become the marker U+2581 and one marker is put in front.
 2. A text is cut before each run of markers.  A piece holds markers only at its
@@ -133,7 +135,11 @@ class Pieces:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.get_piece_size())
         kind = [BYTE if m.is_byte(i) else UNKNOWN if m.is_unknown(i) else 0 if m.is_control(i) or m.is_unused(i) else NORMAL for i in ids]
-        return cls([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], kind)
+        scores = [m.get_score(i) for i in ids]
+        if all(s == int(s) <= 0 for s in scores):  # ranks
+            whole = np.log(sum(1 / (1 - s) for s, k in zip(scores, kind, strict=True) if k == NORMAL))
+            scores = [-float(np.log1p(-s) + whole) for s in scores]
+        return cls([m.id_to_piece(i) for i in ids], scores, kind)
 
     def viterbi(self, chunk: bytes) -> list[int]:
         """The ids of the path with the largest sum of scores."""
