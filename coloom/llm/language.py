@@ -123,10 +123,10 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 300, rate: float = 8.0,
     languages = sorted(set(labels))
     code = codewords(len(languages))
     at = np.array([languages.index(v) for v in labels], int)
-    w, b = np.zeros((code.shape[1], x.shape[1] if x.size else DIMS)), np.zeros(code.shape[1])
+    w, b = np.zeros((code.shape[1], x.shape[1] if x.size else DIMS), np.float32), np.zeros(code.shape[1], np.float32)
     if code.shape[1]:
-        target = code[at]
-        weight = (1 / np.bincount(at, minlength=len(languages)))[at][:, None] / len(languages)
+        target = code[at].astype(np.float32)
+        weight = ((1 / np.bincount(at, minlength=len(languages)))[at][:, None] / len(languages)).astype(np.float32)
         step_w, step_b = np.zeros_like(w), np.zeros_like(b)
         for _ in range(rounds):
             margin = np.clip(target * (x @ (w + 0.9 * step_w).T + b + 0.9 * step_b), -30, 30)
@@ -134,7 +134,7 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 300, rate: float = 8.0,
             step_w = 0.9 * step_w + rate * (pull.T @ x - decay * w)
             step_b = 0.9 * step_b + rate * pull.sum(0)
             w, b = w + step_w, b + step_b
-    return Coder(languages, code, w.astype(np.float32), b.astype(np.float32))
+    return Coder(languages, code, w, b)
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 400) -> Coder:

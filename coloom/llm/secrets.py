@@ -38,6 +38,8 @@ class Rule:
     pattern: str
     least: int = 1
     group: int = 0
+    #: Java finds the same with fewer tries where matches that are too short need not be found.
+    fast: str | None = None
 
     @property
     def name(self) -> str:
@@ -65,8 +67,8 @@ BASE = [
         8,
         2,
     ),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 16),
-    Rule("hex", 1, r"[0-9a-f]+", 32),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 16, fast=r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", 1, r"[0-9a-f]+", 32, fast=r"[0-9a-f]{32,}"),
 ]
 # Further kinds, by the public formats of such tokens.
 MORE = [
@@ -76,8 +78,6 @@ MORE = [
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 ]
 RULES = BASE + MORE
-#: Java matches the same with fewer tries: short runs are no match, so they need not be found.
-FASTER = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
 
 FOUND = f"array<struct<rule: string, spans: {S.SPAN}>>"
 
@@ -102,12 +102,12 @@ def scan(
         known = ledger.select("blob", F.explode("found").alias("f")).groupBy("blob").agg(F.collect_set("f.rule").alias("seen"))
         todo = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0)
-    hits = todo.withColumns({f"hits_{i}": F.when(F.array_contains("todo", r.name), S.matches(F.col("body"), FASTER.get(r.kind, r.pattern))) for i, r in enumerate(rules)})
+    hits = todo.withColumns({f"hits_{i}": F.when(F.array_contains("todo", r.name), S.matches(F.col("body"), r.fast or r.pattern)) for i, r in enumerate(rules)})
     found = F.array(
         *[
             F.struct(
                 F.lit(r.name).alias("rule"),
-                S.spans(F.col("body"), FASTER.get(r.kind, r.pattern), F.col(f"hits_{i}"), r.keep).alias("spans"),
+                S.spans(F.col("body"), r.fast or r.pattern, F.col(f"hits_{i}"), r.keep).alias("spans"),
             )
             for i, r in enumerate(rules)
         ]
