@@ -6,9 +6,10 @@ probability; those ranks are read as -log((1 + rank) * H) with H the sum of all
 1 / (1 + rank), Zipf's law.  A text is encoded as follows:
 
 1. Spaces become the marker U+2581 and one marker is put in front.
-2. A text is cut before each run of markers.  A piece holds markers only at its
-   start (otherwise the text is not cut), so the best path of the text is the best
-   paths of its chunks, one after the other.
+2. A text is cut before each run of markers, and around characters that are in no
+   longer piece.  A piece holds markers only at its start (otherwise the text is
+   not cut), so the best path of the text is the best paths of its chunks, one
+   after the other.  New chunks of the same length are walked together.
 3. A chunk's path has the largest sum of scores; on ties the longest last piece
    wins.  All pieces that start at a byte come from one walk through the trie.
 4. A character without a piece costs the lowest score less 10 and is written as
@@ -38,8 +39,9 @@ from coloom.llm.common import raw, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-#: Chunks of which a worker remembers the ids.
-REMEMBER = 200_000
+#: Chunks of which a worker remembers the ids, about, and bytes of text encoded together.
+REMEMBER = 300_000
+TOGETHER = 2 << 20
 UNKNOWN_COST = 10.0
 
 
@@ -127,6 +129,18 @@ class Pieces:
             for i, (p, k) in enumerate(zip(pieces, kinds, strict=True))
         ]
         self.known: dict[bytes, bytes] = {}
+        self.arrays = (
+            np.array(self.trie.base, np.int32),
+            np.array(self.trie.check, np.int32),
+            np.array(self.trie.value, np.int32),
+            np.array(scores),
+        )
+        # An ASCII character that is in no longer piece is a chunk of its own.
+        alone = {bytes([c]) for c in range(128)} - {bytes([c]) for p in words if len(p) > 1 for c in p}
+        lone = b"".join(b"\\x%02x" % c for (c,) in alone)
+        free = b"[^%b]" % lone if lone else b"[\x00-\xff]"
+        more = b"|[%b]" % lone if lone else b""
+        self.pattern = re.compile(b"(?s)(?:%b)+(?:(?!%b)%b)*|(?:(?!%b)%b)+%b" % (MARKER, MARKER, free, MARKER, free, more))
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -168,36 +182,104 @@ class Pieces:
             at = back[at]
         return out[::-1]
 
+    def viterbi_many(self, chunks: list[bytes]) -> list[list[int]]:
+        """``viterbi`` of many chunks, those of one length together, step by step."""
+        out: list[list[int]] = [[] for _ in chunks]
+        by_size: dict[int, list[int]] = {}
+        for i, c in enumerate(chunks):
+            if len(c) > 64:
+                out[i] = self.viterbi(c)
+            elif c:
+                by_size.setdefault(len(c), []).append(i)
+        for n, every in by_size.items():
+            for at in range(0, len(every), 20_000):
+                some = every[at : at + 20_000]
+                text = np.frombuffer(b"".join([chunks[i] for i in some]), np.uint8).reshape(-1, n).astype(np.int32)
+                back, piece = self._paths(text, [chunks[i] for i in some])
+                for i, b, p in zip(some, back.tolist(), piece.tolist(), strict=True):
+                    path, end = [], n
+                    while end:
+                        if p[end] >= 0:
+                            path.append(p[end])
+                        else:
+                            path.extend(reversed(self.spelt(chunks[i][b[end] : end])))
+                        end = b[end]
+                    out[i] = path[::-1]
+        return out
+
+    def _paths(self, text: np.ndarray, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the last piece of the best path to each byte begins, and the piece (-1: none)."""
+        rows, n = text.shape
+        base, check, value, scores = self.arrays
+        best = np.full((rows, n + 1), -np.inf)
+        best[:, 0] = 0
+        back, piece = np.zeros((rows, n + 1), np.int32), np.full((rows, n + 1), -1, np.int32)
+        plain = (text < 0x80).all()
+        for start in range(n):
+            alive = np.flatnonzero(best[:, start] > -np.inf)
+            width = np.ones(rows, np.int64)
+            if not plain:
+                for i in alive[text[alive, start] >= 0x80].tolist():
+                    width[i] = _width(chunks[i], start)
+            lone = np.ones(rows, bool)  # no piece for the single character
+            reached, node = alive, np.zeros(len(alive), np.int32)
+            for end in range(start + 1, n + 1):
+                child = base[node] + text[alive, end - 1] + 1
+                ok = check[child] == node
+                alive, node = alive[ok], child[ok]
+                if not len(alive):
+                    break
+                word = value[node]
+                here, word = alive[word >= 0], word[word >= 0]
+                lone[here[width[here] == end - start]] = False
+                total = best[here, start] + scores[word]
+                better = total > best[here, end]
+                here = here[better]
+                best[here, end], back[here, end], piece[here, end] = total[better], start, word[better]
+            lost = reached[lone[reached]]
+            ends = start + width[lost]
+            total = best[lost, start] + (self.lowest - UNKNOWN_COST)
+            better = total > best[lost, ends]
+            lost, ends = lost[better], ends[better]
+            best[lost, ends], back[lost, ends], piece[lost, ends] = total[better], start, -1
+        return back, piece
+
     def spelt(self, char: bytes) -> list[int]:
         return [self.bytes[b] for b in char] if self.bytes else [self.unknown]
 
-    def chunks(self, text: bytes) -> Iterator[bytes | None]:
-        """The parts that are encoded on their own; None for a marker that the text itself holds."""
-        for i, part in enumerate(text.split(MARKER)):
-            if i:
-                yield None
-            marked = (part if i else b" " + part).replace(b" ", MARKER)
-            if self.cuts:
-                yield from CHUNK.findall(marked)
-            elif marked:
-                yield marked
+    def chunks(self, text: bytes) -> list[bytes]:
+        """The parts that are encoded on their own; an empty one for a marker that the text itself holds."""
+        if MARKER in text:
+            out: list[bytes] = []
+            for i, part in enumerate(text.split(MARKER)):
+                out += ([b""] if i else []) + self._cut((part if i else b" " + part).replace(b" ", MARKER))
+            return out
+        return self._cut((b" " + text).replace(b" ", MARKER))
+
+    def _cut(self, marked: bytes) -> list[bytes]:
+        return self.pattern.findall(marked) if self.cuts else [marked] if marked else []
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as packed 32-bit numbers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            size, first = 0, at
+            while at < len(texts) and (at == first or size + len(texts[at]) <= TOGETHER):
+                size += len(texts[at])
+                at += 1
+            cut = [self.chunks(t) if t else [] for t in texts[first:at]]
+            known = self.known if len(self.known) < REMEMBER else {}
+            self.known = known
+            fresh = list({c for chunks in cut for c in chunks if c not in known})
+            paths = self.viterbi_many(fresh)
+            known.update((c, np.array(p, "<i4").tobytes()) for c, p in zip(fresh, paths, strict=True))
+            known[b""] = np.array(self.spelt(MARKER), "<i4").tobytes()
+            out += [b"".join([known[c] for c in chunks]) for chunks in cut]
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        """The ids of a text, as packed 32-bit numbers."""
-        if not text:
-            return b""
-        known, out = self.known, []
-        for chunk in self.chunks(text):
-            ids = known.get(chunk)
-            if ids is None:
-                path = self.spelt(MARKER) if chunk is None else self.viterbi(chunk)
-                ids = np.array(path, "<i4").tobytes()
-                if len(known) >= REMEMBER:
-                    known.clear()
-                if chunk is None or len(chunk) < 64:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of the ids, without the space in front."""
@@ -209,10 +291,6 @@ class Pieces:
         return out[1:] if out[:1] == b" " else out
 
 
-#: A run of markers and what follows up to the next one.
-CHUNK = re.compile(b"(?:%b)+(?:(?!%b)[\x00-\xff])*|(?:(?!%b)[\x00-\xff])+" % (MARKER, MARKER, MARKER))
-
-
 def _width(text: bytes, at: int) -> int:
     """Bytes of the character at ``at``; 1 if it is no UTF-8."""
     first = text[at]
@@ -232,7 +310,7 @@ def encode_column(spark, text_col: str, path: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        packed = [model.value.encode(t) for t in texts.to_pylist()]
+        packed = model.value.encode_many(texts.to_pylist())
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
