@@ -61,46 +61,51 @@ def two_hop_walks(m: DataFrame) -> DataFrame:
     return out.select("node", "degree", F.col("sum_d").cast("long").alias("walks"))
 
 
-def transitivity_share(edges: DataFrame) -> DataFrame:
+def transitivity_share(m: DataFrame) -> DataFrame:
     """(node, degree, closed, share): neighbours that touch another neighbour.
 
-    Edges are pointed from the lower-degree end to the higher, so a triangle is
-    found from its lowest node and a hub opens few wedges.
+    Two members of a group of three or more are closed by that group.  So only
+    pairs that share nothing but groups of two can be open, and there are no more
+    of them than groups of two.  Each is tried with the neighbours of its end of
+    lower degree: it is closed if one of them shares a group with the other end.
     """
-    both = symmetric(edges.select("src", "dst"))
-    deg = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    ranked = (
-        edges.select("src", "dst")
-        .join(deg.withColumnsRenamed({"node": "src", "degree": "ds"}), "src")
-        .join(deg.withColumnsRenamed({"node": "dst", "degree": "dd"}), "dst")
+    s = m if "n" in m.columns else cut(shared(m))
+    deg = cut(neighbor_sums(s).select("node", "degree"))
+    twos = s.where("n = 2").groupBy("clique").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b").distinct()
+    big = s.where("n > 2").select("node", "clique")
+    inside = (
+        twos.join(big.withColumnRenamed("node", "a"), "a").join(big.withColumnRenamed("node", "b"), ["b", "clique"]).select("a", "b").distinct()
+    )
+    bare = (
+        twos.join(inside, ["a", "b"], "left_anti")
+        .join(deg.withColumnsRenamed({"node": "a", "degree": "da"}), "a")
+        .join(deg.withColumnsRenamed({"node": "b", "degree": "db"}), "b")
+    )
+    low = F.col("da") <= F.col("db")
+    bare = cut(bare.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y")))
+    groups = s.select("node", "clique")
+    thirds = (
+        bare.join(groups.withColumnRenamed("node", "x"), "x")
+        .join(groups.withColumnRenamed("node", "z"), "clique")
+        .where("z <> x and z <> y")
+        .select("x", "y", "z")
+        .distinct()
     )
-    up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    arcs = ranked.select(
-        F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"),
-        F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"),
+    closed = (
+        thirds.join(groups.withColumnRenamed("node", "z"), "z")
+        .join(groups.withColumnRenamed("node", "y"), ["y", "clique"], "left_semi")
+        .select("x", "y")
+        .distinct()
     )
-    wedges = arcs.join(arcs.withColumnRenamed("b", "c"), "a").where("b < c")
-    pairs = edges.select(F.least("src", "dst").alias("b"), F.greatest("src", "dst").alias("c"))
-    triangles = wedges.join(pairs, ["b", "c"])
-    sides = triangles.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.col(x).alias("node"), F.col(y).alias("nbr"))
-                    for x in "abc"
-                    for y in "abc"
-                    if x != y
-                ]
-            )
-        ).alias("s")
-    ).select("s.node", "s.nbr").distinct()
-    closed = sides.groupBy("node").agg(F.count(F.lit(1)).alias("closed"))
-    return deg.join(closed, "node", "left").na.fill(0).select(
-        "node", "degree", "closed", (F.col("closed") / F.col("degree")).alias("share")
+    opened = symmetric(bare.join(closed, ["x", "y"], "left_anti").select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    counts = opened.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    closed_n = F.col("degree") - F.coalesce("open", F.lit(0))
+    return deg.join(counts, "node", "left").select(
+        "node", "degree", closed_n.alias("closed"), (closed_n / F.col("degree")).alias("share")
     )
 
 
-def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False, max_depth: int = 200) -> DataFrame:
+def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False) -> DataFrame:
     """(node, betweenness): shortest-path betweenness from every source.
 
     Breadth-first waves and their back-propagation run as joins over
@@ -112,7 +117,7 @@ def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False, max_dept
     start = arcs.select("src").distinct()
     waves = [cut(start.select(F.col("src").alias("s"), F.col("src").alias("v"), F.lit(1.0).alias("paths")))]
     seen = waves[0].select("s", "v")
-    while len(waves) <= max_depth:
+    while True:
         step = (
             waves[-1]
             .join(arcs, F.col("v") == F.col("src"))
@@ -127,8 +132,6 @@ def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False, max_dept
         waves.append(step)
         # A neighbour of wave i is in wave i - 1, i or i + 1, so two waves are enough.
         seen = waves[-2].select("s", "v").unionByName(waves[-1].select("s", "v"))
-    else:
-        raise RuntimeError(f"a shortest path is longer than {max_depth}")
     total = None
     credit = waves[-1].select("s", "v", "paths", F.lit(0.0).alias("dep"))
     for i in range(len(waves) - 1, 0, -1):

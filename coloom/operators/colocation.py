@@ -2,9 +2,9 @@
 
 The co-location graph is a union of cliques: everyone at one (province, venue)
 within a window of ``k`` days is linked to everyone else there.  It is kept in
-that form, as ``members(node, clique)``, which grows with the visits.  Pairs are
-written out only for groups below a fan-out bound; larger groups stay one row per
-member and stand for all their pairs.
+that form, as ``members(node, clique)``, which grows with the visits; a group
+stands for an edge between any two of its members, whatever its size.  ``pairs``
+writes the edges out, for measures that weigh every single one.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups of this many subjects or more are not written out as pairs.
-FANOUT = 50
+# Members of a group that one task pairs with the whole group.
+BLOCK = 1000
 
 
 def day_number(day: Column) -> Column:
@@ -128,25 +128,20 @@ def shared(m: DataFrame) -> DataFrame:
     return m.join(sizes, "clique")
 
 
-def _pairs(groups: DataFrame, *keep: str) -> DataFrame:
-    """Ordered pairs of each bounded group (both directions)."""
-    arrays = groups.groupBy("clique").agg(F.collect_list("node").alias("nodes"))
-    return (
-        arrays.select("clique", "nodes", F.explode("nodes").alias("src"))
-        .select("clique", "src", F.explode("nodes").alias("dst"))
-        .where("src <> dst")
-        .select("src", "dst", *keep)
-    )
-
-
-def bounded_pairs(m: DataFrame, fanout: int = FANOUT, multigraph: bool = False) -> DataFrame:
-    """The case-case relation (src < dst) of groups of 2 to ``fanout - 1`` subjects.
+def pairs(m: DataFrame, multigraph: bool = False) -> DataFrame:
+    """All edges src < dst of the graph; ``multigraph=True`` keeps one per shared group.
 
-    The bound belongs to the relation's definition, so it is complete as it
-    stands.  ``multigraph=True`` keeps one row per shared group.
+    The number of rows is quadratic in the group sizes.  A large group is dealt to
+    many tasks: each takes a block of its members and pairs it with all of them.
     """
-    pairs = _pairs(shared(m).where(F.col("n") < fanout)).where("src < dst")
-    return pairs if multigraph else pairs.distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    s = shared(m).select("clique", "node", blocks.alias("blocks"))
+    left = s.select("clique", F.col("node").alias("src"), F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"))
+    right = s.select(
+        "clique", F.col("node").alias("dst"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
+    )
+    both = left.join(right, ["clique", "block"]).where("src < dst").select("src", "dst")
+    return both if multigraph else both.distinct()
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -157,35 +152,19 @@ def symmetric(edges: DataFrame) -> DataFrame:
     )
 
 
-def edges(m: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The whole graph: (src, dst, clique).
+def edges(m: DataFrame) -> DataFrame:
+    """The whole graph in one form for every group size: (node, clique, n).
 
-    Groups below ``fanout`` give distinct pairs src < dst with a NULL clique.
-    Larger groups give one row per member with a NULL dst; such a group stands
-    for an edge between any two of its members.
+    A group of n members stands for the n (n - 1) / 2 edges between them.
     """
-    s = shared(m)
-    hubs = s.where(F.col("n") >= fanout).select(
-        F.col("node").alias("src"),
-        F.lit(None).cast(m.schema["node"].dataType).alias("dst"),
-        F.to_json("clique").alias("clique"),
-    )
-    pairs = _pairs(s.where(F.col("n") < fanout)).where("src < dst").distinct()
-    return pairs.withColumn("clique", F.lit(None).cast("string")).unionByName(hubs)
+    return shared(m).select("node", "clique", "n")
 
 
-def band_edges(
-    visits: DataFrame,
-    k: int = 3,
-    tau: float = 7.0,
-    by: Sequence[str] = ("province", "venue"),
-    fanout: int = FANOUT,
-) -> DataFrame:
-    """The ±k day graph with decay weights: (src, dst, min_gap, weight, clique, day).
+def band_edges(visits: DataFrame, k: int = 3, by: Sequence[str] = ("province", "venue")) -> DataFrame:
+    """The ±k day graph with its days: (node, clique, day, n).
 
-    Pairs of groups below ``fanout`` carry their smallest day distance and
-    ``exp(-min_gap / tau)``.  Larger groups give one row per member and day; the
-    distance of two of their members follows from the days.
+    Two members of a group are linked at the distance of their days; the smallest
+    one over their shared groups counts.  ``pair_gaps`` writes it out.
     """
     by = list(by)
     d = dated(visits, by)
@@ -196,48 +175,29 @@ def band_edges(
     ).select(
         F.col("case_id").alias("node"),
         F.struct(*by, (F.col("d") - F.col("gap")).alias("d")).alias("clique"),
-        "d",
+        F.col("d").alias("day"),
     )
+    who = spread.groupBy("clique", "node").agg(F.min("day").alias("first"))
     sizes = (
-        spread.groupBy("clique")
-        .agg(
-            F.count_distinct("node").alias("n"),
-            F.min("d").alias("first"),
-        )
+        who.groupBy("clique")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
         .where((F.col("n") > 1) & (F.col("first") == F.col("clique.d")))
+        .drop("first")
     )
-    s = spread.join(sizes, "clique")
-    arrays = (
-        s.where(F.col("n") < fanout)
-        .groupBy("clique")
-        .agg(F.collect_list(F.struct("node", "d")).alias("items"))
+    return spread.join(sizes, "clique").select("node", "clique", "day", "n")
+
+
+def pair_gaps(band: DataFrame, tau: float = 7.0) -> DataFrame:
+    """(src, dst, min_gap, weight) of every edge of ``band_edges``, weight exp(-min_gap / tau)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = band.select("clique", F.col("node").alias("src"), F.col("day").alias("d"), F.pmod(F.xxhash64("node"), blocks.cast("long")).alias("block"))
+    right = band.select(
+        "clique", F.col("node").alias("dst"), F.col("day").alias("e"), F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block")
     )
-    pairs = (
-        arrays.select("items", F.explode("items").alias("a"))
-        .select("a", F.explode("items").alias("b"))
-        .where("a.node < b.node")
-        .select(
-            F.col("a.node").alias("src"),
-            F.col("b.node").alias("dst"),
-            F.abs(F.col("a.d") - F.col("b.d")).alias("gap"),
-        )
+    return (
+        left.join(right, ["clique", "block"])
+        .where("src < dst")
         .groupBy("src", "dst")
-        .agg(F.min("gap").alias("min_gap"))
-        .select(
-            "src",
-            "dst",
-            "min_gap",
-            F.exp(-F.col("min_gap") / F.lit(float(tau))).alias("weight"),
-            F.lit(None).cast("string").alias("clique"),
-            F.lit(None).cast("int").alias("day"),
-        )
-    )
-    hubs = s.where(F.col("n") >= fanout).select(
-        F.col("node").alias("src"),
-        F.lit(None).cast(pairs.schema["dst"].dataType).alias("dst"),
-        F.lit(None).cast("int").alias("min_gap"),
-        F.lit(None).cast("double").alias("weight"),
-        F.to_json("clique").alias("clique"),
-        F.col("d").alias("day"),
+        .agg(F.min(F.abs(F.col("d") - F.col("e"))).alias("min_gap"))
+        .withColumn("weight", F.exp(-F.col("min_gap") / F.lit(float(tau))))
     )
-    return pairs.unionByName(hubs)

@@ -38,15 +38,11 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(stars: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(stars: DataFrame) -> DataFrame:
     """(node, component) of the edges ``stars(u, v)``; the smallest node names it."""
     e = cut(_small_star(stars))
-    rounds = 0
     while not _is_stars(e):
-        if rounds == max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         e = cut(_small_star(_large_star(e)))
-        rounds += 1
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -10,12 +10,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.operators.centrality import global_rank, two_hop_walks
-from coloom.operators.colocation import FANOUT, members, shared, symmetric
-from coloom.operators.neighbors import decayed_sums, neighbor_sums
+from coloom.operators.colocation import members, pairs, shared, symmetric
+from coloom.operators.neighbors import FANOUT, decayed_sums, neighbor_sums
 from coloom.session import cut
 
 
@@ -54,53 +54,39 @@ def neighbor_maxima(m: DataFrame, values: DataFrame, cols: Sequence[str]) -> Dat
     )
 
 
-# -- edge-table neighbour aggregates ------------------------------------------
-
-
-def temporal_proximity(edges: DataFrame, days: DataFrame, tau: float = 7.0) -> DataFrame:
+def temporal_proximity(m: DataFrame, days: DataFrame, tau: float = 7.0) -> DataFrame:
     """(node, proximity): exp(-gap / tau) to the neighbour with the nearest day.
 
-    ``days(node, day)`` gives one day number per node.
+    ``days(node, day)`` gives one day number per node.  A minimum does not mind
+    that groups overlap, so it is taken group by group over (group, day) cells:
+    the nearest other node of a cell's day is in it, or in the cell before or after.
     """
-    arcs = symmetric(edges.select("src", "dst"))
+    s = m if "n" in m.columns else cut(shared(m))
+    rows = s.select("node", "clique").join(days.select("node", "day"), "node").where("day is not null")
+    cells = rows.groupBy("clique", "day").agg(F.count(F.lit(1)).alias("here"))
+    along = Window.partitionBy("clique").orderBy("day")
+    before, after = F.col("day") - F.lag("day").over(along), F.lead("day").over(along) - F.col("day")
+    gaps = cells.withColumn("gap", F.when(F.col("here") > 1, 0).otherwise(F.least(before, after)))
     return (
-        arcs.join(days.withColumnsRenamed({"node": "src", "day": "d"}), "src")
-        .join(days.withColumnsRenamed({"node": "dst", "day": "e"}), "dst")
-        .groupBy(F.col("src").alias("node"))
-        .agg(F.exp(-F.min(F.abs(F.col("d") - F.col("e"))) / F.lit(float(tau))).alias("proximity"))
-    )
-
-
-def weighted_means(
-    edges: DataFrame, values: DataFrame, cols: Sequence[str], weight: str | None = "weight"
-) -> DataFrame:
-    """(node, mean_<col>...): neighbour mean with the edge weights, or plain."""
-    arcs = symmetric(edges)
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    joined = arcs.join(values.select(F.col("node").alias("dst"), *cols), "dst")
-    return joined.groupBy(F.col("src").alias("node")).agg(
-        *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"mean_{c}") for c in cols]
+        rows.join(gaps.where("gap is not null").select("clique", "day", "gap"), ["clique", "day"])
+        .groupBy("node")
+        .agg(F.exp(-F.min("gap") / F.lit(float(tau))).alias("proximity"))
     )
 
 
-def gcn_propagate(edges: DataFrame, values: DataFrame, cols: Sequence[str]) -> DataFrame:
+def gcn_propagate(m: DataFrame, values: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One pass of D^-1/2 (A + I) D^-1/2 over the columns; degrees count the loop."""
-    arcs = symmetric(edges.select("src", "dst"))
-    deg = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    scaled = values.join(deg, "node", "left").select(
-        "node", F.sqrt(1 / (F.coalesce("k", F.lit(0)) + 1.0)).alias("root"), *cols
-    )
-    pulled = (
-        arcs.join(scaled.withColumnRenamed("node", "dst"), "dst")
-        .groupBy(F.col("src").alias("node"))
-        .agg(*[F.sum(F.col("root") * F.col(c)).alias(f"p_{c}") for c in cols])
+    cols = list(cols)
+    s = m if "n" in m.columns else cut(shared(m))
+    root = F.sqrt(1 / (F.coalesce("degree", F.lit(0)) + 1.0))
+    scaled = cut(
+        values.select("node", *cols)
+        .join(neighbor_sums(s).select("node", "degree"), "node", "left")
+        .select("node", root.alias("root"), *[(root * F.col(c)).alias(c) for c in cols])
     )
+    pulled = neighbor_sums(s, scaled.select("node", *cols), cols).drop("degree")
     return scaled.join(pulled, "node", "left").select(
-        "node",
-        *[
-            (F.col("root") * (F.coalesce(F.col(f"p_{c}"), F.lit(0.0)) + F.col("root") * F.col(c))).alias(c)
-            for c in cols
-        ],
+        "node", *[(F.col("root") * (F.coalesce(F.col(f"sum_{c}"), F.lit(0.0)) + F.col(c))).alias(c) for c in cols]
     )
 
 
@@ -134,10 +120,10 @@ def structure_features(m: DataFrame, values: DataFrame, cols: Sequence[str]) ->
     )
 
 
-def temporal_features(m: DataFrame, edges: DataFrame, values: DataFrame, cols: Sequence[str], days: DataFrame) -> DataFrame:
+def temporal_features(m: DataFrame, values: DataFrame, cols: Sequence[str], days: DataFrame) -> DataFrame:
     """Own columns, neighbour means and maxima, squared norm, day cycle, proximity, degree.
 
-    ``edges`` is the case-case relation; ``days(node, day)`` gives a day number.
+    ``days(node, day)`` gives a day number.
     """
     s = m if "n" in m.columns else cut(shared(m))
     rows = (
@@ -145,7 +131,7 @@ def temporal_features(m: DataFrame, edges: DataFrame, values: DataFrame, cols: S
         .join(neighbor_means(s, values, cols), "node", "left")
         .join(neighbor_maxima(s, values, cols), "node", "left")
         .join(days, "node", "left")
-        .join(temporal_proximity(edges, days), "node", "left")
+        .join(temporal_proximity(s, days), "node", "left")
         .na.fill(0)
     )
     rows = cut(rows)
@@ -209,16 +195,17 @@ def project(features: DataFrame, cols: Sequence[str], mean, std, weights) -> Dat
     )
 
 
-def attention(edges: DataFrame, hidden: DataFrame, d: int, slope: float = 0.2) -> DataFrame:
+def attention(m: DataFrame, hidden: DataFrame, d: int, slope: float = 0.2) -> DataFrame:
     """(node, att_0..): softmax-weighted neighbour mean of ``g``.
 
     The score of an edge is LeakyReLU(s + t).  Scores are shifted by their bound
     over all nodes, which leaves the weights unchanged and saves a pass for the
-    row maximum.  A node without neighbours keeps its own ``g``.
+    row maximum.  A node without neighbours keeps its own ``g``.  A score belongs
+    to one pair, so the edges are written out, large groups in blocks.
     """
     leaky = lambda e: F.when(e > 0, e).otherwise(e * slope)
     top = hidden.agg(F.max("t")).scalar()
-    arcs = symmetric(edges.select("src", "dst"))
+    arcs = symmetric(pairs(m))
     scored = (
         arcs.join(hidden.select(F.col("node").alias("src"), "s"), "src")
         .join(hidden.select(F.col("node").alias("dst"), "t", "g"), "dst")
@@ -237,7 +224,7 @@ def attention(edges: DataFrame, hidden: DataFrame, d: int, slope: float = 0.2) -
 def embed(
     features: DataFrame,
     cols: Sequence[str],
-    edges: DataFrame,
+    m: DataFrame,
     visits: DataFrame,
     scale: tuple,
     weights,
@@ -246,10 +233,9 @@ def embed(
 ) -> DataFrame:
     """(node, att_0.., agg_0..): attention part and neighbour-mean part.
 
-    Attention runs over the case-case relation ``edges``.  The mean runs over the
-    whole ±k day graph of ``visits`` without listing its pairs, weighted by
-    exp(-gap / tau), or plain with ``tau=None``.  To embed one split, pass its
-    edges (``within_split``) and its visits only.
+    Attention runs over the graph ``m``.  The mean runs over the ±k day graph of
+    ``visits`` without listing its pairs, weighted by exp(-gap / tau), or plain with
+    ``tau=None``.  To embed one split, pass its members and its visits only.
     """
     d = weights["project"].shape[1]
     hidden = cut(project(features, cols, *scale, weights))
@@ -263,14 +249,4 @@ def embed(
     agg = wide.join(mean, "node", "left").select(
         "node", *[F.tanh(F.coalesce(F.col(f"mean_{n}"), F.col(n))).alias(f"agg_{i}") for i, n in enumerate(names)]
     )
-    return attention(edges, hidden, d).join(agg, "node")
-
-
-def within_split(edges: DataFrame, splits: DataFrame) -> DataFrame:
-    """Edges whose two ends are in the same split (``splits(node, split)``)."""
-    return (
-        edges.join(splits.withColumnsRenamed({"node": "src", "split": "_a"}), "src")
-        .join(splits.withColumnsRenamed({"node": "dst", "split": "_b"}), "dst")
-        .where("_a = _b")
-        .drop("_a", "_b")
-    )
+    return attention(m, hidden, d).join(agg, "node")

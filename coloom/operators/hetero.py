@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coloom.functions import vocab
-from coloom.operators.colocation import FANOUT, bounded_pairs, members
+from coloom.operators.colocation import members, pairs, shared
 from coloom.operators.ranking import ranked
 
 
@@ -47,14 +47,12 @@ def item_edges(
     )
 
 
-def case_edges(visits: DataFrame, multigraph: bool = True, fanout: int = FANOUT) -> DataFrame:
+def case_edges(visits: DataFrame, multigraph: bool = True) -> DataFrame:
     """(src_type, dst_type, case_id, item, weight): same place, same day.
 
-    The relation is defined on groups of 2 to ``fanout - 1`` cases.
     ``multigraph=True`` keeps one edge per shared group.
     """
-    pairs = bounded_pairs(members(visits, 0), fanout, multigraph)
-    return pairs.select(
+    return pairs(members(visits, 0), multigraph).select(
         F.lit("case").alias("src_type"),
         F.lit("case").alias("dst_type"),
         F.col("src").alias("case_id"),
@@ -63,6 +61,14 @@ def case_edges(visits: DataFrame, multigraph: bool = True, fanout: int = FANOUT)
     )
 
 
+def case_edge_count(visits: DataFrame) -> DataFrame:
+    """(src_type, dst_type, n_edges) of ``case_edges``, from the group sizes alone."""
+    sizes = shared(members(visits, 0)).groupBy("clique").agg(F.first("n").alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("n_edges")).select(
+        F.lit("case").alias("src_type"), F.lit("case").alias("dst_type"), "n_edges"
+    )
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src_type", "dst_type").agg(F.count(F.lit(1)).alias("n_edges"))
 
@@ -128,10 +134,3 @@ def label_distribution(labels: DataFrame, label: str) -> DataFrame:
         F.sum(1 - F.col(label)).cast("long").alias("negative"),
         F.avg(F.col(label)).alias("positive_ratio"),
     )
-
-
-def one_hot(df: DataFrame, col: str, values: Sequence[str], prefix: str) -> DataFrame:
-    """Adds one 0/1 column per value."""
-    return df.withColumns(
-        {f"{prefix}_{i}": (F.col(col) == v).cast("double") for i, v in enumerate(values)}
-    )

@@ -3,13 +3,14 @@
 ``members(node, clique)`` says who belongs to which group; the neighbours of a
 node are everyone who shares at least one group with it, each counted once.
 
-Groups below a fan-out bound are expanded to pairs, which costs at most
-``fanout`` rows per membership.  A larger group is never expanded.  Nodes are
-first collapsed by the set of large groups they belong to.  For a node in a few
-large groups the union of those groups is a signed sum over the intersections
-(inclusion-exclusion), and each set adds its own total to its subsets, so the
-work is linear in the memberships.  A node in more than ``narrow`` large groups is
-matched against the collapsed sets instead.  The result is exact in every case.
+Groups below ``fanout`` are expanded to pairs, which costs at most ``fanout`` rows
+per membership.  A larger group is never expanded.  Nodes in the same set of large
+groups have the same neighbours there, so they are collapsed to one signature.
+For a signature of a few groups the union of those groups is a signed sum over
+the intersections (inclusion-exclusion), and each signature adds its own total to
+its subsets, so the work is linear.  A signature of more than ``narrow`` groups is
+matched against the other signatures that share a group with it.  Both ways are
+exact; where the one ends and the other begins only changes the cost.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coloom.operators.colocation import FANOUT, _pairs, members, shared
+from coloom.operators.colocation import members, pairs, shared, symmetric
 from coloom.session import cut
 
+# Groups of this many subjects or more are not expanded.
+FANOUT = 50
 # At most 2**NARROW - 1 subsets are formed per distinct set of large groups.
 NARROW = 8
 
@@ -32,109 +35,71 @@ def neighbor_sums(
     cols: Sequence[str] = (),
     fanout: int = FANOUT,
     narrow: int = NARROW,
-    has_large: bool | None = None,
 ) -> DataFrame:
     """(node, degree, sum_<col>...) for every node with a neighbour.
 
     ``values(node, *cols)`` holds what is summed over the neighbours; a node
-    missing there adds 0.  The memberships of groups of two or more are written
-    out once; whether any group is large is read off that table, and the branch for
-    large groups is left out when there is none.
+    missing there adds 0.
     """
     cols = list(cols)
     s = m if "n" in m.columns else cut(shared(m))
-    if has_large is None:
-        top = s.agg(F.max("n")).first()[0]
-        has_large = top is not None and top >= fanout
-    small = s.where(F.col("n") < fanout)
-    pairs = _pairs(small).distinct()
-    if not has_large:
-        return _sum_pairs(pairs, values, cols).groupBy("node").agg(*_totals(cols))
-
-    large = s.where(F.col("n") >= fanout).select("node", F.to_json("clique").alias("g"))
-    spread = large.groupBy("node").agg(F.count(F.lit(1)).alias("h"))
-    own = spread if values is None else spread.join(values.select("node", *cols), "node", "left")
-    own = own.na.fill(0, cols).withColumn("one", F.lit(1).cast("long"))
+    near = symmetric(pairs(s.where(F.col("n") < fanout)))
+    large = s.where(F.col("n") >= fanout).select("node", F.to_json(F.struct("clique")).alias("g"))
+    if large.isEmpty():  # the steps below would be run on nothing
+        return _sum_pairs(near, values, cols).groupBy("node").agg(*_totals(cols))
     sums = ["one", *cols]
 
-    few = large.join(own.where(F.col("h") <= narrow), "node")
-    few = few.groupBy("node").agg(
-        F.array_sort(F.collect_list("g")).alias("sig"), *[F.first(c).alias(c) for c in sums]
+    # Two 64-bit sums over the groups and their number stand for the set of groups.
+    own = large.groupBy("node").agg(
+        F.struct(
+            F.count(F.lit(1)).alias("h"), F.bit_xor(F.xxhash64("g")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "g")).alias("b")
+        ).alias("sig")
     )
-    many = large.join(own.where(F.col("h") > narrow).drop("h"), "node")
+    if cols:
+        own = own.join(values.select("node", *cols), "node", "left").na.fill(0, cols)
+    own = own.withColumn("one", F.lit(1).cast("long"))
+    sigs = cut(own.groupBy("sig").agg(F.min("node").alias("node"), *[F.sum(c).alias(c) for c in sums]))
+    of_sig = large.join(sigs.select("node", "sig"), "node").select("sig", "g")
+    few = of_sig.where(F.col("sig.h") <= narrow).groupBy("sig").agg(F.array_sort(F.collect_list("g")).alias("groups"))
 
-    sigs = few.groupBy("sig").agg(*[F.sum(c).alias(c) for c in sums])
     subsets = F.expr(
-        "transform(sequence(1, shiftleft(1, size(sig)) - 1),"
-        " b -> filter(sig, (g, i) -> (shiftright(b, i) & 1) = 1))"
+        "transform(sequence(1, shiftleft(1, size(groups)) - 1),"
+        " b -> filter(groups, (g, i) -> (shiftright(b, i) & 1) = 1))"
     )
-    by_subset = sigs.select("sig", *sums, F.explode(subsets).alias("sub"))
+    by_subset = few.join(sigs.drop("node"), "sig").select("sig", *sums, F.explode(subsets).alias("sub"))
     overlap = by_subset.groupBy("sub").agg(*[F.sum(c).alias(f"at_{c}") for c in sums])
     sign = F.when(F.size("sub") % 2 == 1, 1).otherwise(-1)
     reach = (
         by_subset.select("sig", "sub")
         .join(overlap, "sub")
         .groupBy("sig")
-        .agg(*[F.sum(sign * F.col(f"at_{c}")).alias(f"all_{c}") for c in sums])
+        .agg(*[F.sum(sign * F.col(f"at_{c}")).alias(c) for c in sums])
     )
 
-    # Nodes in many large groups meet the collapsed sets and one another.
-    sig_groups = sigs.select("sig", *sums, F.explode("sig").alias("g"))
-    many_sig = (
-        many.select(F.col("node"), "g", *[F.col(c).alias(f"my_{c}") for c in sums])
-        .join(sig_groups, "g")
-        .groupBy("node", "sig")
-        .agg(*[F.first(c).alias(c) for c in [*sums, *[f"my_{c}" for c in sums]]])
-    )
-    many_many = (
-        many.select(F.col("node"), "g")
-        .join(many.select(F.col("node").alias("other"), "g", *sums), "g")
-        .where("node <> other")
-        .groupBy("node", "other")
-        .agg(*[F.first(c).alias(c) for c in sums])
-    )
-    sig_extra = many_sig.groupBy("sig").agg(*[F.sum(f"my_{c}").alias(f"plus_{c}") for c in sums])
-    reach = reach.join(sig_extra, "sig", "left").na.fill(0)
-    from_few = few.join(reach, "sig").select(
-        "node",
-        *[(F.col(f"all_{c}") + F.col(f"plus_{c}") - F.col(c)).alias(c) for c in sums],
-    )
-    from_many = (
-        many_sig.select("node", *sums)
-        .unionByName(many_many.select("node", *sums))
-        .groupBy("node")
-        .agg(*[F.sum(c).alias(c) for c in sums])
+    # Signatures of many groups meet the signatures they share a group with, themselves too.
+    wide = of_sig.where(F.col("sig.h") > narrow).select(F.col("sig").alias("w"), "g")
+    meets = cut(wide.join(of_sig.select(F.col("sig").alias("o"), "g"), "g").select("w", "o").distinct())
+    from_wide = (
+        meets.join(sigs.select(F.col("sig").alias("o"), *sums), "o").select(F.col("w").alias("sig"), *sums)
+    ).unionByName(
+        meets.where(F.col("o.h") <= narrow)
+        .join(sigs.select(F.col("sig").alias("w"), *sums), "w")
+        .select(F.col("o").alias("sig"), *sums)
     )
+    reach = reach.unionByName(from_wide).groupBy("sig").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    from_large = own.join(reach, "sig").select("node", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in sums])
 
     # Pairs from small groups that no large group already covers.
-    sig_of = few.select("node", "sig")
-    wide = many.select("node").distinct().withColumn("wide", F.lit(True))
-    open_pairs = (
-        pairs.join(sig_of.withColumnsRenamed({"node": "src", "sig": "s_sig"}), "src", "left")
-        .join(sig_of.withColumnsRenamed({"node": "dst", "sig": "d_sig"}), "dst", "left")
-        .where(~F.coalesce(F.arrays_overlap("s_sig", "d_sig"), F.lit(False)))
-        .join(wide.withColumnsRenamed({"node": "src", "wide": "s_wide"}), "src", "left")
-        .join(wide.withColumnsRenamed({"node": "dst", "wide": "d_wide"}), "dst", "left")
-    )
-    covered = (
-        many_many.select(F.col("node").alias("src"), F.col("other").alias("dst"))
-        .unionByName(
-            open_pairs.where("s_wide and d_sig is not null")
-            .join(many_sig.select(F.col("node").alias("src"), F.col("sig").alias("d_sig")), ["src", "d_sig"])
-            .select("src", "dst")
-        )
-        .unionByName(
-            open_pairs.where("d_wide and s_sig is not null")
-            .join(many_sig.select(F.col("node").alias("dst"), F.col("sig").alias("s_sig")), ["dst", "s_sig"])
-            .select("src", "dst")
-        )
-    )
-    rest = open_pairs.select("src", "dst").join(covered, ["src", "dst"], "left_anti")
-    parts = (
-        _sum_pairs(rest, values, cols)
-        .unionByName(from_few.select("node", F.col("one"), *cols))
-        .unionByName(from_many.select("node", F.col("one"), *cols))
+    sig_of = own.select("node", "sig").join(few, "sig", "left")
+    both_ways = meets.unionByName(meets.select(F.col("o").alias("w"), F.col("w").alias("o"))).distinct()
+    rest = (
+        near.join(sig_of.withColumnsRenamed({"node": "src", "sig": "w", "groups": "s_groups"}), "src", "left")
+        .join(sig_of.withColumnsRenamed({"node": "dst", "sig": "o", "groups": "d_groups"}), "dst", "left")
+        .where(~F.coalesce(F.arrays_overlap("s_groups", "d_groups"), F.lit(False)))
+        .join(both_ways, ["w", "o"], "left_anti")
+        .select("src", "dst")
     )
+    parts = _sum_pairs(rest, values, cols).unionByName(from_large)
     return parts.groupBy("node").agg(*_totals(cols)).where("degree > 0")
 
 

@@ -260,22 +260,62 @@ def _hour_slots(spark, sf):
 
 @query
 def edges_capped_multigraph(spark, sf):
-    return L.bounded_pairs(L.members(_hour_slots(spark, sf), 0, ["venue"]), multigraph=True)
+    e = L.edges(L.members(_hour_slots(spark, sf), 0, ["venue"]))
+    return e.select("node", "clique.venue", F.col("clique.d").alias("slot"), "n")
 
 
 @query
 def edges_same_day(spark, sf):
-    return L.edges(L.members(T.ship_visits(spark, sf), 0))
+    return L.edges(L.members(T.ship_visits(spark, sf), 0)).select("node", "clique.*", "n")
 
 
 @query
 def edges_band_weighted(spark, sf):
-    return tidy(L.band_edges(T.ship_visits(spark, sf), 3, 7.0))
+    return L.band_edges(T.ship_visits(spark, sf), 3).select("node", "clique.*", "day", "n")
 
 
 @query
 def edges_offset_expanded(spark, sf):
-    return L.edges(L.members(T.ship_visits(spark, sf), 6))
+    return L.edges(L.members(T.ship_visits(spark, sf), 6)).select("node", "clique.*", "n")
+
+
+# The same measures where places are crowded: all customers of a segment in a quarter.
+
+
+def _crowd(spark, sf):
+    return L.members(T.quarter_visits(spark, sf), 0)
+
+
+@query
+def crowd_edge_count(spark, sf):
+    return neighbor_sums(_crowd(spark, sf)).agg((F.sum("degree") / 2).cast("long").alias("n_edges"))
+
+
+@query
+def crowd_multi_edge_count(spark, sf):
+    return H.case_edge_count(T.quarter_visits(spark, sf)).select("n_edges")
+
+
+@query
+def crowd_degree(spark, sf):
+    return neighbor_sums(_crowd(spark, sf)).select("node", "degree")
+
+
+@query
+def crowd_proximity(spark, sf):
+    visits = T.quarter_visits(spark, sf)
+    days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
+    return tidy(E.temporal_proximity(_crowd(spark, sf), days, 30.0))
+
+
+@query
+def crowd_gcn(spark, sf):
+    return tidy(E.gcn_propagate(_crowd(spark, sf), _values(spark, sf), ["balance", "nation"]))
+
+
+@query
+def crowd_transitivity(spark, sf):
+    return tidy(C.transitivity_share(_crowd(spark, sf)))
 
 
 @query
@@ -288,8 +328,7 @@ def item_edge_counts(spark, sf):
 def relation_edge_counts(spark, sf):
     cases, visits = T.ship_cases(spark, sf), T.ship_visits(spark, sf)
     items = H.item_edges(T.ship_events(spark, sf), cases)
-    both = items.select("src_type", "dst_type").unionByName(H.case_edges(visits).select("src_type", "dst_type"))
-    return H.edge_counts(both)
+    return H.edge_counts(items).unionByName(H.case_edge_count(visits))
 
 
 @query
@@ -383,19 +422,19 @@ def two_hop_walks(spark, sf):
 
 @query
 def transitivity_share(spark, sf):
-    return tidy(C.transitivity_share(cut(L.bounded_pairs(L.members(T.ship_visits(spark, sf), 6)))))
+    return tidy(C.transitivity_share(L.members(T.ship_visits(spark, sf), 6)))
 
 
 @query
 def betweenness(spark, sf):
-    pairs = L.bounded_pairs(L.members(T.ship_visits(spark, sf), 0))
+    pairs = L.pairs(L.members(T.ship_visits(spark, sf), 0))
     out = C.betweenness(pairs, _nodes(spark, sf).count())
     return tidy(out.select("node", (F.col("betweenness") * 1e6).alias("betweenness_ppm")))
 
 
 @query
 def top10_betweenness(spark, sf):
-    pairs = L.bounded_pairs(L.members(T.ship_visits(spark, sf), 0))
+    pairs = L.pairs(L.members(T.ship_visits(spark, sf), 0))
     out = tidy(C.betweenness(pairs, _nodes(spark, sf).count()).withColumn("betweenness", F.col("betweenness") * 1e6))
     return out.orderBy(F.desc("betweenness"), "node").limit(10)
 
@@ -431,13 +470,13 @@ def temporal_neighbor_mean(spark, sf):
 def temporal_proximity(spark, sf):
     visits = T.ship_visits(spark, sf)
     days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
-    return tidy(E.temporal_proximity(L.bounded_pairs(L.members(visits, 3)), days))
+    return tidy(E.temporal_proximity(L.members(visits, 3), days))
 
 
 @query
 def gcn_propagation(spark, sf):
-    pairs = cut(L.bounded_pairs(L.members(T.ship_visits(spark, sf), 3)))
-    return tidy(E.gcn_propagate(pairs, _values(spark, sf), ["balance", "nation"]))
+    m = L.members(T.ship_visits(spark, sf), 3)
+    return tidy(E.gcn_propagate(m, _values(spark, sf), ["balance", "nation"]))
 
 
 @query
@@ -453,7 +492,7 @@ def temporal_features(spark, sf):
     visits = T.ship_visits(spark, sf)
     days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
     m = cut(L.shared(L.members(visits, 3)))
-    return tidy(E.temporal_features(m, L.bounded_pairs(m), _values(spark, sf), ["balance", "nation"], days))
+    return tidy(E.temporal_features(m, _values(spark, sf), ["balance", "nation"], days))
 
 
 # -- risk and inference -------------------------------------------------------
@@ -642,10 +681,10 @@ def delta_to_baseline(spark, sf):
 # -- models (no SQL counterpart) ----------------------------------------------
 
 
-def _training(spark, sf, ks=(0,)):
+def _training(spark, sf, ks=(0,), visits=None):
     cases, events = _cases_events(spark, sf)
     feats = FT.row_stats(FT.case_features(cases, events, cutover=SHIP_CUTOVER))
-    return sweeps.training_table(feats, L.cluster_labels(T.ship_visits(spark, sf), ks))
+    return sweeps.training_table(feats, L.cluster_labels(T.ship_visits(spark, sf) if visits is None else visits, ks))
 
 
 def _columns(df):
@@ -698,38 +737,40 @@ def graph_embedding(spark, sf):
     feats = cut(FT.case_features(cases, events, cutover=SHIP_CUTOVER).withColumnRenamed("case_id", "node"))
     cols = [c for c in feats.columns if c != "node"]
     visits = T.ship_visits(spark, sf)
-    edges = cut(L.bounded_pairs(L.members(visits, 0)))
     weights = E.random_weights(len(cols), 8)
-    return tidy(E.embed(feats, cols, edges, visits, E.fit_scale(feats, cols), weights))
+    return tidy(E.embed(feats, cols, L.members(visits, 0), visits, E.fit_scale(feats, cols), weights))
 
 
 def _graph_training(spark, sf):
     """Training rows, six of their columns, and the shared groups of the ±3 day graph.
 
-    That graph contains the same-day one, so the label shows through the degree.
+    The graph is that of the first period and the label that of the second, so no
+    feature shows the label.
     """
-    table = _training(spark, sf).withColumn("label", F.col("label_0")).drop("label_0")
+    visits = T.ship_visits(spark, sf)
+    later = visits.where(F.col("day") >= SHIP_CUTOVER)
+    table = _training(spark, sf, visits=later).withColumn("label", F.col("label_0")).drop("label_0")
     cols = ["age_norm", "is_male", "first_day_norm", "duration_norm", "event_count_norm", "venue_total"]
-    return table, cols, cut(L.shared(L.members(T.ship_visits(spark, sf), 3)))
+    return table, cols, cut(L.shared(L.members(visits.where(F.col("day") < SHIP_CUTOVER), 3)))
 
 
 @query
 def graph_embedding_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
-    edges, visits = cut(L.bounded_pairs(m)), T.ship_visits(spark, sf)
-    return tidy(GM.embedding_scores(table, cols, edges, visits, d=8, hidden=[16], maxIter=40))
+    visits = T.ship_visits(spark, sf).where(F.col("day") < SHIP_CUTOVER)
+    return tidy(GM.embedding_scores(table, cols, m, visits, d=8, hidden=[16], maxIter=40))
 
 
 @query
 def graph_convolution_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
-    return tidy(GM.convolution_scores(table, cols, cut(L.bounded_pairs(m)), 8))
+    return tidy(GM.convolution_scores(table, cols, m, 8))
 
 
 @query
 def graph_attention_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
-    return tidy(GM.attention_scores(table, cols, cut(L.bounded_pairs(m)), 8))
+    return tidy(GM.attention_scores(table, cols, m, 8))
 
 
 @query
@@ -743,4 +784,4 @@ def graph_temporal_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
     visits = T.ship_visits(spark, sf)
     days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
-    return tidy(GM.temporal_scores(table, cols, m, cut(L.bounded_pairs(m)), days, maxIter=5))
+    return tidy(GM.temporal_scores(table, cols, m, days, maxIter=5))

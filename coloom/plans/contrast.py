@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coloom.operators.centrality import betweenness, local_rank, transitivity_share
-from coloom.operators.colocation import bounded_pairs, members, shared
+from coloom.operators.colocation import members, pairs, shared
 from coloom.operators.inference import cohens_d, mann_whitney
 from coloom.session import cut
 
@@ -16,18 +16,16 @@ def case_positions(
 ) -> DataFrame:
     """(case_id, degree, local_rank, transitivity[, betweenness]), 0 for isolates.
 
-    Degree and local rank use the whole ±k day graph.  Transitivity and
-    betweenness use the pairs of its groups below the fan-out bound.
+    All of them use the whole ±k day graph.
     """
     nodes = cases.select(F.col("case_id").alias("node"))
     s = cut(shared(members(visits, k)))
     out = local_rank(s, nodes)
-    pairs = cut(bounded_pairs(s))
-    closed = transitivity_share(pairs).select("node", F.col("share").alias("transitivity"))
+    closed = transitivity_share(s).select("node", F.col("share").alias("transitivity"))
     out = out.join(closed, "node", "left")
     if paths:
         total = nodes.count() if n_nodes is None else n_nodes
-        out = out.join(betweenness(pairs, total), "node", "left")
+        out = out.join(betweenness(cut(pairs(s)), total), "node", "left")
     return out.na.fill(0).withColumnRenamed("node", "case_id")
 
 

@@ -17,7 +17,7 @@ from coloom.session import cut
 def embedded(
     table: DataFrame,
     cols: Sequence[str],
-    edges: DataFrame,
+    m: DataFrame,
     visits: DataFrame,
     d: int = 64,
     seed: int = 42,
@@ -30,8 +30,6 @@ def embedded(
     training rows.  ``tau=None`` leaves out the time decay.
     """
     table = table.withColumn("node", F.col("case_id"))
-    splits = table.select("node", "split")
-    kept = E.within_split(edges, splits)
     scale = E.fit_scale(table.where("split = 'train'"), cols)
     weights = E.random_weights(len(cols), d, seed)
     out = None
@@ -41,7 +39,7 @@ def embedded(
         part = E.embed(
             rows,
             cols,
-            kept.join(rows.select(F.col("node").alias("src")), "src", "left_semi"),
+            m.select("node", "clique").join(rows.select("node"), "node", "left_semi"),
             visits.join(mine, "case_id", "left_semi"),
             scale,
             weights,
@@ -52,21 +50,21 @@ def embedded(
     return cut(out.join(table.select("node", "case_id", "split", "label"), "node").drop("node"))
 
 
-def embedding_scores(table: DataFrame, cols, edges, visits, d: int = 64, seed: int = 42, k: int = 3, tau: float | None = 7.0, **kw) -> DataFrame:
+def embedding_scores(table: DataFrame, cols, m, visits, d: int = 64, seed: int = 42, k: int = 3, tau: float | None = 7.0, **kw) -> DataFrame:
     """Scores of an MLP on the embedding."""
-    rows = embedded(table, cols, edges, visits, d, seed, k, tau)
+    rows = embedded(table, cols, m, visits, d, seed, k, tau)
     names = [f"{p}_{i}" for p in ("att", "agg") for i in range(d)]
     return evaluate("MLP", rows, names, seed, **{"hidden": [64, 32], **kw})
 
 
-def convolution_scores(table: DataFrame, cols, edges: DataFrame, hidden: int = 64, seed: int = 42, **kw) -> DataFrame:
+def convolution_scores(table: DataFrame, cols, m: DataFrame, hidden: int = 64, seed: int = 42, **kw) -> DataFrame:
     """Scores of a logistic regression on two graph-convolution passes.
 
     Propagate, mix through fixed random weights with a rectifier, propagate again;
     only the output layer is trained.
     """
     values = table.select(F.col("case_id").alias("node"), *cols)
-    first = E.gcn_propagate(edges, values, cols)
+    first = E.gcn_propagate(m, values, cols)
     weights = np.random.RandomState(seed).randn(len(cols), hidden) * 0.1
     names, inputs = [f"g_{i}" for i in range(hidden)], list(cols)
 
@@ -77,17 +75,17 @@ def convolution_scores(table: DataFrame, cols, edges: DataFrame, hidden: int = 6
 
     kind = table.schema["case_id"].dataType.simpleString()
     mixed = cut(first.mapInPandas(mix, f"node {kind}, " + ", ".join(f"{n} double" for n in names)))
-    second = E.gcn_propagate(edges, mixed, names).withColumnRenamed("node", "case_id")
+    second = E.gcn_propagate(m, mixed, names).withColumnRenamed("node", "case_id")
     rows = cut(table.select("case_id", "split", "label").join(second, "case_id"))
     return evaluate("LR", rows, names, seed, **kw)
 
 
-def attention_scores(table: DataFrame, cols, edges: DataFrame, d: int = 64, seed: int = 42, **kw) -> DataFrame:
-    """Scores of a logistic regression on one attention pass over the relation."""
+def attention_scores(table: DataFrame, cols, m: DataFrame, d: int = 64, seed: int = 42, **kw) -> DataFrame:
+    """Scores of a logistic regression on one attention pass over the graph."""
     table = table.withColumn("node", F.col("case_id"))
     scale = E.fit_scale(table.where("split = 'train'"), cols)
     hidden = cut(E.project(table, cols, *scale, E.random_weights(len(cols), d, seed, 0.1)))
-    att = E.attention(edges, hidden, d).withColumnRenamed("node", "case_id")
+    att = E.attention(m, hidden, d).withColumnRenamed("node", "case_id")
     rows = cut(table.select("case_id", "split", "label").join(att, "case_id"))
     return evaluate("LR", rows, [f"att_{i}" for i in range(d)], seed, **kw)
 
@@ -103,10 +101,10 @@ def structure_scores(table: DataFrame, cols, m: DataFrame, seed: int = 42, **kw)
     return evaluate("MLP", rows, names, seed, **{"hidden": [128, 64], **kw})
 
 
-def temporal_scores(table: DataFrame, cols, m: DataFrame, edges: DataFrame, days: DataFrame, seed: int = 42, **kw) -> DataFrame:
+def temporal_scores(table: DataFrame, cols, m: DataFrame, days: DataFrame, seed: int = 42, **kw) -> DataFrame:
     """Scores of boosted trees on own, neighbour and time features."""
     values = table.withColumn("node", F.col("case_id"))
-    extra = E.temporal_features(m, edges, values, cols, days)
+    extra = E.temporal_features(m, values, cols, days)
     names = [c for c in extra.columns if c != "node"]
     rows = cut(table.select("case_id", "split", "label").join(extra.withColumnRenamed("node", "case_id"), "case_id"))
     return evaluate("GBM", rows, names, seed, **kw)

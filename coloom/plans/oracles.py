@@ -356,12 +356,30 @@ def cohen(source: str, value: str) -> str:
 COHEN_D = "(mean_1 - mean_0) / (sqrt((std_1 * std_1 + std_0 * std_0) / 2) + 1e-9)"
 
 
-def closed(fanout: int = 50) -> str:
-    """Transitivity over the pairs of windows below the fan-out bound (k days each)."""
+def closed() -> str:
+    """Transitivity over all edges."""
     return """deg2 AS (SELECT src, count(*) AS degree FROM arcs GROUP BY src),
-tri AS (SELECT DISTINCT ab.src, ab.dst FROM arcs ab JOIN arcs ac ON ab.src = ac.src AND ab.dst <> ac.dst
-  JOIN arcs cb ON cb.src = ac.dst AND cb.dst = ab.dst),
-cl AS (SELECT src, count(*) AS closed FROM tri GROUP BY src)"""
+cl AS (SELECT src, count(*) AS closed FROM arcs ab WHERE EXISTS (
+  SELECT 1 FROM arcs ac JOIN arcs cb ON cb.src = ac.dst WHERE ac.src = ab.src AND cb.dst = ab.dst) GROUP BY src)"""
+
+
+def windows(k: int) -> str:
+    """Windows of k days with two people or more, from a day somebody was there: days, people, sizes."""
+    return f"""vs AS (SELECT DISTINCT case_id AS node, province, venue, day FROM visits),
+days AS (SELECT DISTINCT node, province, venue, s, day FROM vs JOIN (SELECT DISTINCT province, venue, day AS s FROM vs) st USING (province, venue)
+  WHERE day BETWEEN s AND s + {k}),
+w AS (SELECT DISTINCT node, province, venue, s FROM days),
+sizes AS (SELECT province, venue, s, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1)"""
+
+
+GCN = """deg AS (SELECT src, count(*) AS k FROM arcs GROUP BY 1),
+v AS (SELECT c_custkey AS node, sqrt(1 / (coalesce(k, 0) + 1.0)) AS root, c_acctbal AS balance, CAST(c_nationkey AS DOUBLE) AS nation
+  FROM customer LEFT JOIN deg ON src = c_custkey),
+p AS (SELECT src, sum(root * balance) AS b, sum(root * nation) AS n FROM arcs JOIN v ON v.node = dst GROUP BY 1)"""
+
+# Customers of a market segment who ordered in the same quarter: groups of a hundred and more.
+CROWD = """visits AS (SELECT o_custkey AS case_id, c_mktsegment AS province, 'all' AS venue, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS day
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 # -- features -----------------------------------------------------------------
@@ -506,20 +524,29 @@ ORACLES: dict[str, str] = {
     ),
     "label_distribution": f"""WITH {VISITS}, {CASES}, {all_labels(0)} SELECT CAST(sum(label_0) AS BIGINT) AS positive,
         CAST(sum(1 - label_0) AS BIGINT) AS negative, {r('avg(label_0)')} AS positive_ratio FROM labels""",
-    "edges_capped_multigraph": f"""WITH g AS (SELECT DISTINCT user_id AS node, event_type, {SLOT} AS slot FROM events),
-        s AS (SELECT event_type, slot, count(*) AS n FROM g GROUP BY ALL HAVING count(*) BETWEEN 2 AND 49)
-        SELECT a.node AS src, b.node AS dst FROM g a JOIN g b ON a.event_type = b.event_type AND a.slot = b.slot AND a.node < b.node
-        JOIN s ON s.event_type = a.event_type AND s.slot = a.slot""",
-    "edges_same_day": f"""WITH {VISITS}, {band(0)} SELECT src, dst, CAST(NULL AS VARCHAR) AS clique FROM arcs WHERE src < dst""",
-    "edges_band_weighted": f"""WITH {VISITS}, {band(3)} SELECT src, dst, CAST(gap AS INTEGER) AS min_gap, {r('exp(-gap / 7.0)')} AS weight,
-        CAST(NULL AS VARCHAR) AS clique, CAST(NULL AS INTEGER) AS day FROM arcs WHERE src < dst""",
-    "edges_offset_expanded": f"""WITH {VISITS}, {band(6)} SELECT src, dst, CAST(NULL AS VARCHAR) AS clique FROM arcs WHERE src < dst""",
+    "edges_capped_multigraph": f"""WITH g AS (SELECT DISTINCT user_id AS node, event_type AS venue, {SLOT} AS slot FROM events)
+        SELECT node, venue, CAST(slot AS INTEGER) AS slot, count(*) OVER (PARTITION BY venue, slot) AS n FROM g QUALIFY n > 1""",
+    "edges_same_day": f"WITH {VISITS}, {windows(0)} SELECT node, province, venue, s - DATE '1970-01-01' AS d, n FROM w JOIN sizes USING (province, venue, s)",
+    "edges_band_weighted": f"""WITH {VISITS}, {windows(3)} SELECT node, province, venue, s - DATE '1970-01-01' AS d, day - DATE '1970-01-01' AS day, n
+        FROM days JOIN sizes USING (province, venue, s)""",
+    "edges_offset_expanded": f"WITH {VISITS}, {windows(6)} SELECT node, province, venue, s - DATE '1970-01-01' AS d, n FROM w JOIN sizes USING (province, venue, s)",
+    "crowd_edge_count": f"WITH {CROWD}, {band(0)} SELECT count(*) // 2 AS n_edges FROM arcs",
+    "crowd_multi_edge_count": f"""WITH {CROWD}, s AS (SELECT province, venue, day, count(DISTINCT case_id) AS n FROM visits GROUP BY ALL)
+        SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n_edges FROM s""",
+    "crowd_degree": f"WITH {CROWD}, {band(0)} SELECT src AS node, count(*) AS degree FROM arcs GROUP BY 1",
+    "crowd_proximity": f"""WITH {CROWD}, {band(0)}, f AS (SELECT case_id, min(day) AS d FROM visits GROUP BY 1)
+        SELECT src AS node, {r('exp(-min(abs(a.d - b.d)) / 30.0)')} AS proximity FROM arcs JOIN f a ON a.case_id = src JOIN f b ON b.case_id = dst GROUP BY 1""",
+    "crowd_gcn": f"""WITH {CROWD}, {band(0)}, {GCN}
+        SELECT node, {r('root * (coalesce(b, 0) + root * balance)')} AS balance, {r('root * (coalesce(n, 0) + root * nation)')} AS nation
+        FROM v LEFT JOIN p ON p.src = node""",
+    "crowd_transitivity": f"""WITH {CROWD}, {band(0)}, {closed()} SELECT deg2.src AS node, degree, coalesce(closed, 0) AS closed,
+        {r('coalesce(closed, 0) * 1.0 / degree')} AS share FROM deg2 LEFT JOIN cl ON cl.src = deg2.src""",
     "item_edge_counts": f"""WITH {SHIP_EVENTS}, i AS (SELECT 'venue' AS dst_type, venue AS item FROM evt
         UNION ALL SELECT 'date', CAST(date AS VARCHAR) FROM evt WHERE date IS NOT NULL UNION ALL SELECT 'transport', transport FROM evt WHERE transport IS NOT NULL
         UNION ALL SELECT 'symptom', symptom FROM evt WHERE symptom IN ({', '.join(lit(s) for s in vocab.GRAPH_SYMPTOMS)}))
         SELECT dst_type, item, count(*) AS n_edges FROM i GROUP BY ALL""",
     "relation_edge_counts": f"""WITH {VISITS}, {SHIP_EVENTS}, g AS (SELECT DISTINCT * FROM visits),
-        s AS (SELECT province, venue, day, count(*) AS n FROM g GROUP BY ALL HAVING count(*) BETWEEN 2 AND 49)
+        s AS (SELECT province, venue, day, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1)
         SELECT 'case' AS src_type, dst_type, CAST(n AS BIGINT) AS n_edges FROM (
           SELECT 'venue' AS dst_type, count(*) AS n FROM evt UNION ALL SELECT 'date', count(date) FROM evt UNION ALL SELECT 'transport', count(transport) FROM evt
           UNION ALL SELECT 'symptom', count(*) FROM evt WHERE symptom IN ({', '.join(lit(s) for s in vocab.GRAPH_SYMPTOMS)})
@@ -559,10 +586,7 @@ ORACLES: dict[str, str] = {
         {r('sum(exp(-gap / 7.0) * c_acctbal) / sum(exp(-gap / 7.0))')} AS mean_balance FROM arcs JOIN customer ON c_custkey = dst GROUP BY 1""",
     "temporal_proximity": f"""WITH {VISITS}, {band(3)}, f AS (SELECT case_id, min(day) AS d FROM visits GROUP BY 1)
         SELECT src AS node, {r('exp(-min(abs(a.d - b.d)) / 7.0)')} AS proximity FROM arcs JOIN f a ON a.case_id = src JOIN f b ON b.case_id = dst GROUP BY 1""",
-    "gcn_propagation": f"""WITH {VISITS}, {band(3)}, deg AS (SELECT src, count(*) AS k FROM arcs GROUP BY 1),
-        v AS (SELECT c_custkey AS node, sqrt(1 / (coalesce(k, 0) + 1.0)) AS root, c_acctbal AS balance, CAST(c_nationkey AS DOUBLE) AS nation
-          FROM customer LEFT JOIN deg ON src = c_custkey),
-        p AS (SELECT src, sum(root * balance) AS b, sum(root * nation) AS n FROM arcs JOIN v ON v.node = dst GROUP BY 1)
+    "gcn_propagation": f"""WITH {VISITS}, {band(3)}, {GCN}
         SELECT node, {r('root * (coalesce(b, 0) + root * balance)')} AS balance, {r('root * (coalesce(n, 0) + root * nation)')} AS nation
         FROM v LEFT JOIN p ON p.src = node""",
     "venue_risk_ranking": f"""WITH {RATES}, v AS (SELECT venue, coalesce(avg(c * 1.0 / n_cases) FILTER (n_cases >= 5), 0.0) AS avg_risk,

@@ -53,6 +53,20 @@ def ship_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quarter_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, province, venue, day): customers by market segment and quarter of their orders."""
+    return (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .select(
+            F.col("o_custkey").alias("case_id"),
+            F.col("c_mktsegment").alias("province"),
+            F.lit("all").alias("venue"),
+            F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("day"),
+        )
+    )
+
+
 def ship_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects with attributes.  ``flagged`` marks the group RQ2 compares."""
     customers = table(spark, sf_dir, "customer").join(

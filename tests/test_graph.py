@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coloom.operators import centrality as C
 from coloom.operators import colocation as L
 from coloom.operators import embedding as E
+from coloom.operators import hetero as H
 from coloom.operators import network as N
 from coloom.operators.components import components, member_components
 from coloom.operators.neighbors import decayed_sums, neighbor_sums
@@ -51,31 +52,71 @@ def neighbours(gaps):
     return out
 
 
-def edge_set(df):
-    return {(r.src, r.dst) for r in df.collect()}
+def edge_set(m):
+    return {(r.src, r.dst) for r in L.pairs(m).collect()}
+
+
+def as_groups(spark, pairs):
+    """Edges as groups of two."""
+    return spark.createDataFrame([(n, f"{a}-{b}") for a, b in pairs for n in (a, b)], "node long, clique string")
 
 
 def test_known_edges_and_labels(spark):
     v = visits(spark, BASIC)
-    assert edge_set(L.edges(L.members(v, 0))) == {(1, 2)}
-    assert edge_set(L.edges(L.members(v, 3))) == {(1, 2), (1, 3), (2, 3)}
-    assert edge_set(L.edges(L.members(v, 6))) == {(1, 2), (1, 3), (2, 3)}
-    assert edge_set(L.edges(L.members(v, 7))) == {(1, 2), (1, 3), (2, 3), (3, 4)}
+    assert edge_set(L.members(v, 0)) == {(1, 2)}
+    assert edge_set(L.members(v, 3)) == {(1, 2), (1, 3), (2, 3)}
+    assert edge_set(L.members(v, 6)) == {(1, 2), (1, 3), (2, 3)}
+    assert edge_set(L.members(v, 7)) == {(1, 2), (1, 3), (2, 3), (3, 4)}
     labels = {r.case_id: (r.label_0, r.label_3) for r in L.cluster_labels(v, [0, 3]).collect()}
     assert labels == {1: (1, 1), 2: (1, 1), 3: (0, 1)}
-    weights = {(r.src, r.dst): (r.min_gap, round(r.weight, 9)) for r in L.band_edges(v, 3).collect()}
+    weights = {(r.src, r.dst): (r.min_gap, round(r.weight, 9)) for r in L.pair_gaps(L.band_edges(v, 3)).collect()}
     assert weights == {(1, 2): (0, 1.0), (1, 3): (3, round(math.exp(-3 / 7), 9)), (2, 3): (3, round(math.exp(-3 / 7), 9))}
 
 
-def test_multigraph_and_group_bound(spark):
+def test_multigraph_and_large_groups(spark, monkeypatch):
     two = visits(spark, [(1, "p", "v", 0), (2, "p", "v", 0), (1, "p", "w", 0), (2, "p", "w", 0)])
-    assert L.bounded_pairs(L.members(two), multigraph=True).count() == 2
-    assert L.bounded_pairs(L.members(two)).count() == 1
-    for size, pairs in ((49, 1176), (50, 0)):
+    assert L.pairs(L.members(two), multigraph=True).count() == 2
+    assert L.pairs(L.members(two)).count() == 1
+    monkeypatch.setattr(L, "BLOCK", 30)
+    for size in (49, 50, 300):
         v = visits(spark, [(i, "p", "v", 0) for i in range(size)])
-        assert L.bounded_pairs(L.members(v)).count() == pairs
-    whole = L.edges(L.members(v))
-    assert whole.count() == 50 and whole.where("clique is null").count() == 0
+        want = size * (size - 1) // 2
+        assert L.pairs(L.members(v)).count() == L.pair_gaps(L.band_edges(v, 0)).count() == want
+        assert [r.n for r in L.edges(L.members(v)).collect()] == [size] * size
+        assert H.case_edge_count(v).first().n_edges == H.case_edges(v).count() == want
+
+
+@pytest.mark.parametrize("size", [49, 50, 5000])
+def test_measures_of_one_group(spark, size):
+    v = spark.range(size).selectExpr("id as case_id", "'p' as province", "'v' as venue", "date'2020-01-01' as day")
+    m = L.members(v)
+    assert {(r.degree, r.closed) for r in C.transitivity_share(m).collect()} == {(size - 1, size - 1)}
+    days = v.selectExpr("case_id as node", "cast(case_id * 3 as int) as day")
+    assert {round(r.proximity, 9) for r in E.temporal_proximity(m, days, 3.0).collect()} == {round(math.exp(-1), 9)}
+    x = v.selectExpr("case_id as node", "cast(case_id as double) as x")
+    assert {round(r.x, 6) for r in E.gcn_propagate(m, x, ["x"]).collect()} == {(size - 1) / 2}
+    assert neighbor_sums(m).agg(F.sum("degree")).first()[0] == size * (size - 1)
+
+
+def test_measures_of_overlapping_groups(spark, crowd):
+    v, near = visits(spark, crowd), neighbours(brute(crowd, 2))
+    m = L.members(v, 2)
+    want = {a: (len(s), sum(1 for b in s if near[b] & s - {a})) for a, s in near.items()}
+    assert {r.node: (r.degree, r.closed) for r in C.transitivity_share(m).collect()} == want
+    days = spark.createDataFrame([(i, i * 7 % 40) for i in range(50)], "node long, day int")
+    got = {r.node: round(r.proximity, 9) for r in E.temporal_proximity(m, days).collect()}
+    assert got == {a: round(math.exp(-min(abs(a * 7 % 40 - b * 7 % 40) for b in s) / 7), 9) for a, s in near.items()}
+    x = spark.createDataFrame([(i, float(i * i % 17)) for i in range(50)], "node long, x double")
+    deg = {i: len(near.get(i, ())) + 1 for i in range(50)}
+    got = {r.node: round(r.x, 9) for r in E.gcn_propagate(m, x, ["x"]).collect()}
+    assert got == {i: round(sum(j * j % 17 / math.sqrt(deg[i] * deg[j]) for j in {i} | near.get(i, set())), 9) for i in range(50)}
+
+
+def test_many_hot_days_stay_near_linear(spark):
+    """Everyone at one place on nine days: one signature, so the cost is that of the memberships."""
+    v = spark.range(6000).selectExpr("id as case_id", "'p' as province", "'v' as venue", "explode(sequence(0, 8)) as d")
+    v = v.selectExpr("case_id", "province", "venue", "date_add(date'2020-01-01', d * 2) as day")
+    assert {r.degree for r in neighbor_sums(L.members(v)).collect()} == {5999}
 
 
 @pytest.mark.parametrize("k", [0, 2])
@@ -84,7 +125,7 @@ def test_labels_and_band_edges_match_brute_force(spark, crowd, k):
     near = neighbours(gaps)
     labels = {r.case_id for r in L.cluster_labels(v, [k]).collect() if r[1] == 1}
     assert labels == set(near)
-    got = {(r.src, r.dst): r.min_gap for r in L.band_edges(v, k, fanout=1000).collect()}
+    got = {(r.src, r.dst): r.min_gap for r in L.pair_gaps(L.band_edges(v, k)).collect()}
     assert got == {p: g for p, g in gaps.items() if p[0] < p[1]}
 
 
@@ -181,7 +222,7 @@ def test_betweenness_and_transitivity_match_brute_force(spark):
     want = brandes(near)
     assert set(got) == set(want)
     assert all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-12 for v in want)
-    share = {r.node: (r.degree, r.closed) for r in C.transitivity_share(edges).collect()}
+    share = {r.node: (r.degree, r.closed) for r in C.transitivity_share(as_groups(spark, pairs)).collect()}
     assert share == {a: (len(s), sum(1 for b in s if near[b] & s - {a})) for a, s in near.items()}
 
 
@@ -190,7 +231,8 @@ def test_path_graph(spark):
     for coded, value in ((False, 1.0), (True, 2.0)):
         got = {r.node: r.betweenness for r in C.betweenness(edges, 3, coded).collect()}
         assert got == {1: 0.0, 2: value, 3: 0.0}
-    assert {r.node: r.share for r in C.transitivity_share(edges).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+    groups = as_groups(spark, [(1, 2), (2, 3)])
+    assert {r.node: r.share for r in C.transitivity_share(groups).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
 
 
 def test_triangle_and_isolate(spark):
@@ -198,7 +240,7 @@ def test_triangle_and_isolate(spark):
     r = N.slice_metrics(v, "s").first()
     assert (r.n_cases, r.n_edges, r.n_connected, r.avg_degree, r.lcc_size) == (4, 3, 3, 2.0, 3)
     assert r.density == 0.5 and r.lcc_ratio == 0.75
-    share = C.transitivity_share(L.bounded_pairs(L.members(v)))
+    share = C.transitivity_share(L.members(v))
     assert {x.node: x.share for x in share.collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
 
 
@@ -231,19 +273,19 @@ def test_isolation(spark):
 
 
 def test_attention_weights(spark):
-    edges = spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long")
+    groups = as_groups(spark, [(1, 2), (1, 3)])
     hidden = spark.createDataFrame(
         [(1, [0.1], 0.5, 0.2), (2, [0.4], -0.5, 0.3), (3, [0.8], 0.1, -0.9), (4, [0.6], 0.0, 0.0)],
         "node long, g array<double>, s double, t double",
     )
-    got = {r.node: r.att_0 for r in E.attention(edges, hidden, 1).collect()}
+    got = {r.node: r.att_0 for r in E.attention(groups, hidden, 1).collect()}
     w2, w3 = math.exp(0.8), math.exp(-0.4 * 0.2)
     assert abs(got[1] - math.tanh((w2 * 0.4 + w3 * 0.8) / (w2 + w3))) < 1e-12
     assert abs(got[2] - math.tanh(0.1)) < 1e-12 and abs(got[4] - math.tanh(0.6)) < 1e-12
 
 
 def test_gcn_propagation(spark):
-    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    groups = as_groups(spark, [(1, 2)])
     x = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, 5.0)], "node long, x double")
-    got = {r.node: round(r.x, 9) for r in E.gcn_propagate(edges, x, ["x"]).collect()}
+    got = {r.node: round(r.x, 9) for r in E.gcn_propagate(groups, x, ["x"]).collect()}
     assert got == {1: 3.0, 2: 3.0, 3: 5.0}
