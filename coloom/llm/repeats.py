@@ -33,7 +33,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -62,12 +61,27 @@ def owned(words: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, np.nda
     """Word hashes; for each owning gram in order its hash, and its first and last window."""
     h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     grams = _rolling(h, gram, ODD[0])
-    at = sliding_window_view(grams, depth - gram + 1).argmin(1) + np.arange(len(words) - depth + 1)
+    at = _lowest(grams, depth - gram + 1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], len(at)) - 1
     return h, grams[at[first]].view(np.int64), first, last
 
 
+def _lowest(grams: np.ndarray, width: int) -> np.ndarray:
+    """Where the first of the lowest of every ``width`` consecutive grams stands.
+
+    The lowest of 1, 2, 4, .. grams are combined.  Equal windows get equal offsets.
+    """
+    least, at, have = grams, np.arange(len(grams)), 1
+    while have < width:
+        step = min(have, width - have)
+        later = least[step:] < least[: len(least) - step]
+        at = np.where(later, at[step:], at[: len(at) - step])
+        least = np.where(later, least[step:], least[: len(least) - step])
+        have += step
+    return at
+
+
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
 
@@ -112,7 +126,7 @@ def _places(found: DataFrame, depth: int, gram: int) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["h", "k1", "k2", "start", "body"]
             )
 
-    some = found.where(F.size("calm") > 0).select("text", "k1", "k2", "calm")
+    some = found.where(F.size("calm") > 0).select("text", "k1", "k2", "copies", "calm")
     return some.mapInArrow(cut_out, "h long, k1 long, k2 long, start long, body binary")
 
 
@@ -191,7 +205,7 @@ def _full_prefixes(found: DataFrame, depth: int, gram: int) -> DataFrame:
                     [w1, w2, np.full(n, k1), np.full(n, k2), start], ["w1", "w2", "k1", "k2", "start"]
                 )
 
-    some = found.where(F.size("crowded") > 0).select("text", "k1", "k2", "crowded")
+    some = found.where(F.size("crowded") > 0).select("text", "k1", "k2", "copies", "crowded")
     windows = some.mapInArrow(write, "w1 long, w2 long, k1 long, k2 long, start long")
     nodes = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     return windows.join(nodes, ["w1", "w2"], "left_semi").select(
@@ -200,7 +214,7 @@ def _full_prefixes(found: DataFrame, depth: int, gram: int) -> DataFrame:
 
 
 def repeats(
-    docs: DataFrame, text_col: str = "text", depth: int = 35, gram: int = 5, group: int = 1000
+    docs: DataFrame, text_col: str = "text", depth: int = 35, gram: int = 5, group: int = 20_000
 ) -> DataFrame:
     """(k1, k2, text, copies, runs): each distinct text, as bytes, with its runs of repeated windows."""
     whole = docs.select(raw(text_col).alias("text"))
@@ -209,7 +223,7 @@ def repeats(
         .groupBy("k1", "k2")
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
-    grams = _grams(texts.select("k1", "k2", "text"), depth, gram)
+    grams = _grams(texts, depth, gram)
     shared = grams.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1")
     wanted = (
         grams.join(shared, "h")
