@@ -41,8 +41,9 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 
 
-def prefix(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
+def prefix(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or the whole text without ``n``."""
+    return text if n is None else F.substring(text, 1, n)
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -188,9 +189,9 @@ def all_dates(text: Column, year: int = vocab.DEFAULT_YEAR, as_coded: bool = Fal
 # -- case attributes ----------------------------------------------------------
 
 
-def case_number(text: Column) -> Column:
-    """Case number from the first 100 characters, four patterns in turn."""
-    head = prefix(text, 100)
+def case_number(text: Column, chars: int | None = None) -> Column:
+    """Case number, four patterns in turn; ``chars`` looks at the start only."""
+    head = prefix(text, chars)
     patterns = [
         f"第({DIGIT}+)号确诊病例",
         f"第({DIGIT}+)号",
@@ -202,20 +203,27 @@ def case_number(text: Column) -> Column:
     )
 
 
-def age(text: Column) -> Column:
-    return first_number(prefix(text, 200), [f"(?U)({DIGIT}+)\\s*岁"])
+def age(text: Column, chars: int | None = None) -> Column:
+    return first_number(prefix(text, chars), [f"(?U)({DIGIT}+)\\s*岁"])
 
 
-def age_statistics(text: Column) -> Column:
+def age_statistics(text: Column, chars: int | None = None) -> Column:
     return first_number(
-        prefix(text, 200), [f"({DIGIT}+)岁", f"年龄({DIGIT}+)", f"约({DIGIT}+)岁"]
+        prefix(text, chars), [f"({DIGIT}+)岁", f"年龄({DIGIT}+)", f"约({DIGIT}+)岁"]
     )
 
 
-def gender(text: Column, male: str = "M", female: str = "F") -> Column:
-    """From the first 50 characters; the male word wins when both occur."""
-    head = prefix(text, 50)
-    return F.when(head.contains("男"), male).when(head.contains("女"), female)
+def gender(text: Column, male: str = "M", female: str = "F", chars: int | None = None) -> Column:
+    """By the word that comes first in the text.
+
+    With ``chars``, as published: from the start only, where the male word wins
+    when both occur.
+    """
+    if chars is not None:
+        head = prefix(text, chars)
+        return F.when(head.contains("男"), male).when(head.contains("女"), female)
+    m, f = F.instr(text, "男"), F.instr(text, "女")
+    return F.when((m > 0) & ((f == 0) | (m < f)), male).when(f > 0, female)
 
 
 def hotspot_flag(text: Column, words: Sequence[str] = tuple(vocab.HOTSPOT_WORDS)) -> Column:
@@ -231,17 +239,17 @@ def asymptomatic_flag(
 # -- labels -------------------------------------------------------------------
 
 
-def province_label(name: Column, labels: Mapping[str, str] = vocab.PROVINCE_EN) -> Column:
-    """English name of the first known province in ``name``; else a short remainder."""
+def province_label(name: Column, labels: Mapping[str, str] = vocab.PROVINCE_EN, chars: int | None = None) -> Column:
+    """English name of the first known province in ``name``; else the remainder, or its start."""
     expr = F.when(name.isNull() | (name == ""), F.lit("Unknown"))
     for cn, en in labels.items():
         expr = expr.when(name.contains(cn), F.lit(en))
-    rest = prefix(strip(F.regexp_replace(name, "省|市|自治区|确诊.*", "")), 8)
+    rest = prefix(strip(F.regexp_replace(name, "省|市|自治区|确诊.*", "")), chars)
     return expr.otherwise(F.coalesce(F.nullif(rest, F.lit("")), F.lit("Unknown")))
 
 
-def venue_label(name: Column, labels: Mapping[str, str] = vocab.VENUE_EN) -> Column:
+def venue_label(name: Column, labels: Mapping[str, str] = vocab.VENUE_EN, chars: int | None = None) -> Column:
     expr = F.when(name.isin(list(labels.values())), name)
     for cn, en in labels.items():
         expr = expr.when(name == cn, F.lit(en))
-    return expr.otherwise(prefix(name, 10))
+    return expr.otherwise(prefix(name, chars))

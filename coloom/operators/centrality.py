@@ -105,17 +105,35 @@ def transitivity_share(m: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False) -> DataFrame:
+def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False, block: int = 4096) -> DataFrame:
     """(node, betweenness): shortest-path betweenness from every source.
 
     Breadth-first waves and their back-propagation run as joins over
     (source, node) rows, so sources and nodes spread over the cluster and no task
-    holds the graph.  Each wave is written out.  The usual scale counts an
-    unordered pair once; ``as_coded=True`` counts it twice.
+    holds the graph.  Sources are taken in blocks of about ``block``, so the rows
+    held at a time are those of one block; every source has its turn.  Each wave
+    is written out.  The usual scale counts an unordered pair once;
+    ``as_coded=True`` counts it twice.
     """
     arcs = cut(symmetric(edges.select("src", "dst")))
     start = arcs.select("src").distinct()
-    waves = [cut(start.select(F.col("src").alias("s"), F.col("src").alias("v"), F.lit(1.0).alias("paths")))]
+    blocks = max(1, -(-start.count() // block))
+    total = start.select(F.col("src").alias("node"), F.lit(0.0).alias("dep"))
+    for i in range(blocks):
+        some = start if blocks == 1 else start.where(F.pmod(F.xxhash64("src"), F.lit(blocks)) == i)
+        part = _dependencies(arcs, some)
+        if part is not None:
+            total = total.unionByName(part)
+            if blocks > 1:  # one small table of nodes instead of all waves so far
+                total = cut(total.groupBy("node").agg(F.sum("dep").alias("dep")))
+    pairs = (n_nodes - 1) * (n_nodes - 2)
+    scale = (2.0 if as_coded else 1.0) / pairs if pairs > 0 else 1.0
+    return total.groupBy("node").agg((F.sum("dep") * scale).alias("betweenness"))
+
+
+def _dependencies(arcs: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """(node, dep): how much each node lies on the shortest paths from ``sources(src)``; None without a path."""
+    waves = [cut(sources.select(F.col("src").alias("s"), F.col("src").alias("v"), F.lit(1.0).alias("paths")))]
     seen = waves[0].select("s", "v")
     while True:
         step = (
@@ -151,8 +169,4 @@ def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False) -> DataF
             .join(give, ["s", "v"], "left")
             .select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dep"))
         )
-    pairs = (n_nodes - 1) * (n_nodes - 2)
-    scale = (2.0 if as_coded else 1.0) / pairs if pairs > 0 else 1.0
-    if total is None:
-        total = start.select(F.col("src").alias("node"), F.lit(0.0).alias("dep"))
-    return total.groupBy("node").agg((F.sum("dep") * scale).alias("betweenness"))
+    return total

@@ -27,8 +27,19 @@ def extract_cases(blocks: DataFrame) -> DataFrame:
     )
 
 
+def event_dates(text: Column) -> Column:
+    """The date, or null, of every sentence that is an event, by the rule of ``extract_events``."""
+
+    def read(x: Column) -> Column:
+        named = (F.size(X.venue_types(x)) > 0) | (F.size(X.transport_codes(x)) > 0)
+        return F.struct(F.try_element_at(X.date_mentions(x), F.lit(1)).alias("date"), named.alias("named"))
+
+    found = F.filter(F.transform(X.sentences(text), read), lambda e: e["date"].isNotNull() | e["named"])
+    return F.transform(found, lambda e: e["date"])
+
+
 def extract_events(
-    blocks: DataFrame, cutover: dt.date = vocab.LOCKDOWN_DATE, max_chars: int = 200
+    blocks: DataFrame, cutover: dt.date = vocab.LOCKDOWN_DATE, max_chars: int | None = None
 ) -> DataFrame:
     """One row per sentence with a date, a venue or a transport."""
     s = F.col("sentence")
@@ -68,13 +79,13 @@ def extract_events(
     )
 
 
-def extract_case_details(blocks: DataFrame, as_coded: bool = False) -> DataFrame:
+def extract_case_details(blocks: DataFrame, as_coded: bool = False, max_chars: int | None = None) -> DataFrame:
     """The statistics view of a case: whole-text vocabularies, min/max dates."""
     t = F.col("case_text")
     return blocks.withColumn("dates", X.all_dates(t, as_coded=as_coded)).select(
         "province",
         F.col("case_no").alias("case_id"),
-        X.prefix(t, 500).alias("text"),
+        X.prefix(t, max_chars).alias("text"),
         "dates",
         F.array_min("dates").alias("first_date"),
         F.array_max("dates").alias("last_date"),

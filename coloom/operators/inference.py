@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from coloom.functions.distributions import f_upper, normal_upper, stars, t_two_sided
 from coloom.operators.ranking import average_ranks
+from coloom.session import cut
 
 
 def anova(df: DataFrame, group: str, value: str, min_size: int = 3) -> DataFrame:
@@ -297,32 +298,35 @@ def paired_t(pairs: DataFrame, delta: str = "delta") -> DataFrame:
     )
 
 
-def wilcoxon_greater(pairs: DataFrame, delta: str = "delta", max_pairs: int = 60) -> DataFrame:
-    """One row: n, w and the exact one-sided p that the differences are positive.
+def wilcoxon_greater(pairs: DataFrame, delta: str = "delta", exact_up_to: int = 60) -> DataFrame:
+    """One row: n, w and the one-sided p that the differences are positive.
 
-    Zero differences are dropped and tied sizes share their mean rank.  The null
-    distribution is counted over all sign patterns by adding one rank at a time.
-    One pair per seed goes in; more than ``max_pairs`` is refused.
+    Zero differences are dropped and tied sizes share their mean rank.  Up to
+    ``exact_up_to`` pairs the null distribution is counted over all sign patterns,
+    by adding one rank at a time; beyond that it is normal with the variance of
+    the tied ranks, from aggregates alone.
     """
     used = pairs.select(F.col(delta).cast("double").alias("d")).where("d is not null and d <> 0")
     packed = used.groupBy(F.abs("d").alias("size")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("d") > 0, 1)).alias("up")
     )
-    rows = average_ranks(packed, "size").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("up") * F.col("avg_rank")).alias("w"),
-        F.collect_list(F.struct("avg_rank", "n")).alias("ranks"),
+    ranks = cut(average_ranks(packed, "size"))
+    rank, n = F.col("avg_rank"), F.col("n")
+    totals = ranks.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.sum(F.col("up") * rank).alias("w"),
+        F.sum(n * rank).alias("whole"),
+        F.sum(n * rank * rank).alias("squares"),
     )
+    if totals.first()["n"] > exact_up_to:
+        z = (F.col("w") - F.col("whole") / 2) / F.sqrt(F.col("squares") / 4)
+        return totals.select("n", "w", normal_upper(z).alias("p"))
+    listed = ranks.agg(F.collect_list(F.struct("avg_rank", "n")).alias("ranks"))  # exact_up_to ranks at most
 
     def exact(batches):
         for pdf in batches:
             out = []
-            for n, w, ranks in zip(pdf["n"], pdf["w"], pdf["ranks"]):
-                if n is None or n != n or n == 0:
-                    out.append((0, None, None))
-                    continue
-                if n > max_pairs:
-                    raise ValueError(f"{n} pairs: the exact test is for up to {max_pairs}")
+            for ranks in pdf["ranks"]:
                 steps = [int(round(2 * r["avg_rank"])) for r in ranks for _ in range(int(r["n"]))]
                 ways = np.zeros(sum(steps) + 1)
                 ways[0] = 1
@@ -330,7 +334,13 @@ def wilcoxon_greater(pairs: DataFrame, delta: str = "delta", max_pairs: int = 60
                     shifted = np.zeros_like(ways)
                     shifted[s:] = ways[: len(ways) - s]
                     ways = ways + shifted
-                out.append((int(n), float(w), float(ways[int(round(2 * w)) :].sum() / ways.sum())))
-            yield pd.DataFrame(out, columns=["n", "w", "p"])
+                out.append((list(ways[::-1].cumsum()[::-1] / ways.sum()),))
+            yield pd.DataFrame(out, columns=["tail"])
 
-    return rows.mapInPandas(exact, "n long, w double, p double")
+    tail = listed.mapInPandas(exact, "tail array<double>")
+    at = F.round(2 * F.col("w")).cast("int") + 1
+    return (
+        totals.select("n", "w", F.lit(0).alias("one"))
+        .join(tail.withColumn("one", F.lit(0)), "one")
+        .select("n", "w", F.when(F.col("n") > 0, F.element_at("tail", at)).alias("p"))
+    )

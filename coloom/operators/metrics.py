@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.operators.ranking import running_totals
@@ -95,8 +95,10 @@ def paired_by_seed(results: DataFrame, a: str, b: str, metric: str) -> DataFrame
 
 
 def delta_to_baseline(results: DataFrame, baseline: str, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Adds ``d_<metric>``: the signed difference to the baseline variant."""
-    base = results.where(F.col("variant") == baseline)
-    return results.withColumns(
-        {f"d_{m}": F.col(f"`{m}`") - base.select(F.col(f"`{m}`").alias("m")).scalar() for m in metrics}
-    )
+    """Adds ``d_<metric>``: the signed difference to the baseline variant.
+
+    One row per variant, so the baseline is one value per window.
+    """
+    every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of = lambda m: F.max(F.when(F.col("variant") == baseline, F.col(f"`{m}`"))).over(every)
+    return results.withColumns({f"d_{m}": F.col(f"`{m}`") - of(m) for m in metrics})

@@ -137,6 +137,15 @@ def layered_members(
     return layers
 
 
+def decayed_weights(visits: DataFrame, taus: Sequence[float], k: int = 3, by: Sequence[str] = ("province", "venue")) -> DataFrame:
+    """(node, tau, weight): the summed weight exp(-min gap / tau) of each node's edges, every tau from one pass."""
+    layer = F.col("node.layer")
+    each = neighbor_sums(layered_members(visits, k, by)).withColumn("tau", F.explode(F.lit([float(t) for t in taus])))
+    here = F.exp(-layer / F.col("tau"))
+    after = F.when(layer == k, 0.0).otherwise(F.exp(-(layer + 1) / F.col("tau")))
+    return each.groupBy(F.col("node.id").alias("node"), "tau").agg(F.sum((here - after) * F.col("degree")).alias("weight"))
+
+
 def decayed_sums(
     visits: DataFrame,
     values: DataFrame,

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coloom.functions import text as X
 from coloom.functions import vocab
+from coloom.operators.extract import event_dates
 
 
 def frequency(df: DataFrame, col: str) -> DataFrame:
@@ -58,6 +60,41 @@ def extraction_stats(events: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """One row of totals over the cases of ``blocks`` and their events.
+
+    Events are counted inside each block's row, so the text is read once.
+    """
+    dates = F.transform(event_dates(F.col("case_text")), lambda d: F.struct(d.alias("day")))
+    late = lambda d: d["day"] >= F.lit(vocab.LOCKDOWN_DATE)
+    rows = blocks.select(dates.alias("dates"), X.asymptomatic_flag(F.col("case_text")).alias("flag"))
+    each = rows.select(
+        F.col("flag").cast("long").alias("flag"),
+        F.size("dates").alias("n"),
+        F.size(F.filter("dates", lambda d: d["day"].isNotNull())).alias("dated"),
+        F.size(F.filter("dates", lambda d: ~late(d))).alias("pre"),
+        F.size(F.filter("dates", late)).alias("post"),
+    )
+    t = each.agg(
+        F.count(F.lit(1)).alias("total_cases"),
+        F.sum("flag").alias("asymptomatic_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
+        F.coalesce(F.sum("dated"), F.lit(0)).alias("dated_events"),
+        F.coalesce(F.sum("pre"), F.lit(0)).alias("pre_lockdown_events"),
+        F.coalesce(F.sum("post"), F.lit(0)).alias("post_lockdown_events"),
+    )
+    return t.select(
+        "total_cases",
+        "total_events",
+        (F.col("total_events") / F.col("total_cases")).alias("avg_events_per_case"),
+        "dated_events",
+        (F.col("dated_events") / F.col("total_events") * 100).alias("dated_ratio"),
+        "pre_lockdown_events",
+        "post_lockdown_events",
+        "asymptomatic_count",
+    )
+
+
 def one_row(*parts: DataFrame) -> DataFrame:
     """The columns of several one-row frames side by side."""
     every = parts[0]

@@ -20,9 +20,9 @@ from coloom.operators import models as ML
 from coloom.operators import network as N
 from coloom.operators import statistics as S
 from coloom.operators.components import member_components
-from coloom.operators.extract import extract_case_details, extract_cases, extract_events
-from coloom.operators.neighbors import decayed_sums, neighbor_sums
-from coloom.operators.split import hash_split
+from coloom.operators.extract import extract_case_details, extract_cases, extract_events, visits_of
+from coloom.operators.neighbors import decayed_sums, decayed_weights, neighbor_sums
+from coloom.operators.split import hash_split, hash_splits_by_seed
 from coloom.plans import contrast, risk, sweeps
 from coloom.plans import graph_models as GM
 from coloom.session import cut
@@ -114,7 +114,7 @@ def dataset_stats(spark, sf):
 @query
 def extraction_stats(spark, sf):
     blocks = split_cases(T.line_reports(spark, sf))
-    return tidy(S.extraction_stats(extract_events(blocks), extract_cases(blocks)))
+    return tidy(S.block_stats(blocks))
 
 
 @query
@@ -197,9 +197,9 @@ def document_prefixes(spark, sf):
     t = F.col("text")
     return T.table(spark, sf, "documents").select(
         "doc_id",
-        *[F.length(X.prefix(t, n)).alias(f"chars_{n}") for n in (50, 100, 200, 500)],
-        F.md5(X.prefix(t, 200)).alias("prefix_md5"),
-        X.first_number(X.prefix(t, 200), ["([0-9]{1,6}) ", "([0-9]{1,6})"]).alias("first_number"),
+        F.length(t).alias("chars"),
+        F.md5(t).alias("text_md5"),
+        X.first_number(t, ["([0-9]{1,6}) ", "([0-9]{1,6})"]).alias("first_number"),
         X.contains_any(t, ["@", "http"]).alias("has_contact"),
     )
 
@@ -243,6 +243,16 @@ def label_window_sweep(spark, sf):
     return tidy(sweeps.label_counts(T.ship_cases(spark, sf), T.ship_visits(spark, sf)))
 
 
+@query
+def edge_window_sweep(spark, sf):
+    return sweeps.edge_counts(T.ship_visits(spark, sf))
+
+
+@query
+def decay_sweep(spark, sf):
+    return tidy(decayed_weights(T.ship_visits(spark, sf), [3, 5, 7, 14], 3))
+
+
 @query
 def label_distribution(spark, sf):
     labels = L.label_cases(T.ship_cases(spark, sf), L.cluster_labels(T.ship_visits(spark, sf), [0]))
@@ -503,6 +513,17 @@ def venue_risk_ranking(spark, sf):
     return tidy(risk.venue_risk_ranking(T.ship_visits(spark, sf)))
 
 
+@query
+def venue_risk_with_importance(spark, sf):
+    """Risk of the kinds of venue beside what a forest makes of their columns."""
+    cases, events = _cases_events(spark, sf)
+    data = _training(spark, sf).withColumn("label", F.col("label_0"))
+    cols = _columns(data)
+    model = ML.fit("RF", data.where("split = 'train'"), cols, numTrees=20, maxDepth=5)
+    rows = risk.venue_risk_ranking(visits_of(events), ML.importances(model, cols, spark))
+    return rows.select("venue", "n_cases", (F.col("feature_importance") > 0).alias("has_importance"))
+
+
 @query
 def venue_province_rates(spark, sf):
     return tidy(risk.venue_province_rates(T.ship_visits(spark, sf)))
@@ -636,23 +657,16 @@ def precision_at_20(spark, sf):
 
 
 def _seed_results(spark, sf):
-    """Accuracy of two fixed scores on the test part of a split per seed."""
-    rows = cut(_scored(spark, sf))
-    out = None
-    for seed in sweeps.SEEDS:
-        test = hash_split(rows, "id", seed).where("split = 'test'").join(rows, "id")
-        hit = lambda s: F.avg(((F.col(s) >= 0.5).cast("int") == F.col("label")).cast("double"))
-        one = test.agg(hit("score").alias("a"), hit("other").alias("b")).select(
-            F.lit(seed).alias("seed"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit("long").alias("model"), F.col("a").alias("value")),
-                    F.struct(F.lit("short").alias("model"), F.col("b").alias("value")),
-                )
-            ).alias("x"),
-        ).select("seed", "x.model", F.lit("Accuracy").alias("metric"), "x.value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Accuracy of two fixed scores on the test part of a split per seed, all seeds in one pass."""
+    rows = _scored(spark, sf)
+    seeded = rows.select("*", F.explode(F.lit(list(sweeps.SEEDS))).alias("seed"))
+    test = hash_splits_by_seed(seeded, "id").where("split = 'test'")
+    hit = lambda s: F.avg(((F.col(s) >= 0.5).cast("int") == F.col("label")).cast("double"))
+    model = lambda name, value: F.struct(F.lit(name).alias("model"), F.col(value).alias("value"))
+    each = test.groupBy("seed").agg(hit("score").alias("a"), hit("other").alias("b"))
+    return each.select("seed", F.explode(F.array(model("long", "a"), model("short", "b"))).alias("x")).select(
+        "seed", "x.model", F.lit("Accuracy").alias("metric"), "x.value"
+    )
 
 
 @query
@@ -693,10 +707,10 @@ def _columns(df):
 
 SETTINGS = {
     "LR": {},
-    "RF": {"numTrees": 20, "maxDepth": 8},
-    "GBM": {"maxIter": 10, "maxDepth": 5},
-    "MLP": {"hidden": [32, 16], "maxIter": 60},
-    "SVM": {"dims": 64},
+    "RF": {"numTrees": 100, "maxDepth": 10},
+    "GBM": {"maxIter": 100, "maxDepth": 5},
+    "MLP": {"hidden": [128, 64], "maxIter": 60},
+    "SVM": {"dims": 256},
 }
 
 
@@ -721,14 +735,33 @@ def feature_importance(spark, sf):
 
 @query
 def window_sweep_scores(spark, sf):
-    data = _training(spark, sf, (0, 1))
-    return tidy(sweeps.window_sweep(data, _columns(data), (0, 1), "LR"))
+    data = _training(spark, sf, sweeps.WINDOWS)
+    return tidy(sweeps.window_sweep(data, _columns(data), sweeps.WINDOWS, "LR"))
 
 
 @query
 def group_ablation_scores(spark, sf):
     data = _training(spark, sf)
-    return tidy(sweeps.group_ablation(data, _columns(data), ["time", "event_count"], 0, "LR"))
+    return tidy(sweeps.group_ablation(data, _columns(data), sweeps.GROUPS, 0, "LR"))
+
+
+def _model_seeds(spark, sf):
+    """(seed, model, metric, value) of two learners over five splits."""
+    cases, events = _cases_events(spark, sf)
+    feats = cut(FT.row_stats(FT.case_features(cases, events, cutover=SHIP_CUTOVER)))
+    labels = cut(L.cluster_labels(T.ship_visits(spark, sf), (0,)))
+    cols = [c for c in feats.columns if c != "case_id"]
+    return cut(sweeps.seed_sweep(feats, labels, cols, ["LR", "RF"], 0, settings=SETTINGS))
+
+
+@query
+def model_seed_scores(spark, sf):
+    return tidy(M.seed_summary(_model_seeds(spark, sf)))
+
+
+@query
+def model_paired_scores(spark, sf):
+    return tidy(I.paired_t(M.paired_by_seed(_model_seeds(spark, sf), "RF", "LR", "AUC-ROC")))
 
 
 @query
@@ -737,7 +770,7 @@ def graph_embedding(spark, sf):
     feats = cut(FT.case_features(cases, events, cutover=SHIP_CUTOVER).withColumnRenamed("case_id", "node"))
     cols = [c for c in feats.columns if c != "node"]
     visits = T.ship_visits(spark, sf)
-    weights = E.random_weights(len(cols), 8)
+    weights = E.random_weights(len(cols))
     return tidy(E.embed(feats, cols, L.members(visits, 0), visits, E.fit_scale(feats, cols), weights))
 
 
@@ -758,25 +791,25 @@ def _graph_training(spark, sf):
 def graph_embedding_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
     visits = T.ship_visits(spark, sf).where(F.col("day") < SHIP_CUTOVER)
-    return tidy(GM.embedding_scores(table, cols, m, visits, d=8, hidden=[16], maxIter=40))
+    return tidy(GM.embedding_scores(table, cols, m, visits, maxIter=60))
 
 
 @query
 def graph_convolution_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
-    return tidy(GM.convolution_scores(table, cols, m, 8))
+    return tidy(GM.convolution_scores(table, cols, m))
 
 
 @query
 def graph_attention_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
-    return tidy(GM.attention_scores(table, cols, m, 8))
+    return tidy(GM.attention_scores(table, cols, m))
 
 
 @query
 def graph_structure_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
-    return tidy(GM.structure_scores(table, cols, m, hidden=[16], maxIter=40))
+    return tidy(GM.structure_scores(table, cols, m, maxIter=60))
 
 
 @query
@@ -784,4 +817,4 @@ def graph_temporal_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)
     visits = T.ship_visits(spark, sf)
     days = visits.groupBy(F.col("case_id").alias("node")).agg(L.day_number(F.min("day")).alias("day"))
-    return tidy(GM.temporal_scores(table, cols, m, days, maxIter=5))
+    return tidy(GM.temporal_scores(table, cols, m, days, maxIter=100))

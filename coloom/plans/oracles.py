@@ -281,14 +281,14 @@ found AS (
     {classes('sentence', {s: [s] for s in vocab.SYMPTOMS})} AS symptoms, {mentions('sentence')} AS ds FROM sents),
 ev AS (
   SELECT case_id, province, {cascade('sentence', vocab.EVENT_CASCADE, 9)} AS event_type, ds[1] AS date,
-    venues, transports, symptoms, left(sentence, 200) AS sentence, ds[1] >= DATE '2020-01-23' AS is_lockdown
+    venues, transports, symptoms, sentence, ds[1] >= DATE '2020-01-23' AS is_lockdown
   FROM found WHERE len(ds) > 0 OR len(venues) > 0 OR len(transports) > 0),
 named AS (SELECT ev.*, {sql_list(vocab.EVENT_TYPES.values())}[event_type] AS event_type_name FROM ev)"""
 
 META = f"""meta AS (
   SELECT case_id, province,
-    TRY_CAST(nullif(regexp_extract(left(case_text, 200), '([0-9]+)\\s*岁', 1), '') AS INTEGER) AS age,
-    CASE WHEN contains(left(case_text, 50), '男') THEN 'M' WHEN contains(left(case_text, 50), '女') THEN 'F' END AS gender,
+    TRY_CAST(nullif(regexp_extract(case_text, '([0-9]+)\\s*岁', 1), '') AS INTEGER) AS age,
+    CASE WHEN instr(case_text, '男') > 0 AND (instr(case_text, '女') = 0 OR instr(case_text, '男') < instr(case_text, '女')) THEN 'M' WHEN instr(case_text, '女') > 0 THEN 'F' END AS gender,
     CAST({any_word('case_text', vocab.HOTSPOT_WORDS)} AS INTEGER) AS wuhan_related,
     CAST({any_word('case_text', vocab.ASYMPTOMATIC_WORDS)} AS INTEGER) AS is_asymptomatic,
     ds[1] AS first_date, ds[len(ds)] AS last_date
@@ -300,14 +300,14 @@ _ONE = (
     f"lpad(regexp_extract(m, '{_EITHER}', 2), 2, '0') || '-' || lpad(regexp_extract(m, '{_EITHER}', 3), 2, '0') AS DATE)"
 )
 DETAILS = f"""details AS (
-  SELECT province, case_no AS case_id, left(case_text, 500) AS text,
+  SELECT province, case_no AS case_id, case_text AS text,
     list_filter(list_transform(regexp_extract_all(case_text, '{_EITHER}', 0), lambda m: {_ONE}), lambda d: d IS NOT NULL) AS dates,
     {classes('case_text', vocab.STAT_VENUES)} AS venues, {classes('case_text', vocab.STAT_SYMPTOMS)} AS symptoms,
     {any_word('case_text', vocab.ASYMPTOMATIC_WORDS)} AS is_asymptomatic, {any_word('case_text', vocab.HOTSPOT_WORDS)} AS wuhan_connection,
-    coalesce(TRY_CAST(nullif(regexp_extract(left(case_text, 200), '([0-9]+)岁', 1), '') AS INTEGER),
-      TRY_CAST(nullif(regexp_extract(left(case_text, 200), '年龄([0-9]+)', 1), '') AS INTEGER),
-      TRY_CAST(nullif(regexp_extract(left(case_text, 200), '约([0-9]+)岁', 1), '') AS INTEGER)) AS age,
-    CASE WHEN contains(left(case_text, 50), '男') THEN '男' WHEN contains(left(case_text, 50), '女') THEN '女' END AS gender
+    coalesce(TRY_CAST(nullif(regexp_extract(case_text, '([0-9]+)岁', 1), '') AS INTEGER),
+      TRY_CAST(nullif(regexp_extract(case_text, '年龄([0-9]+)', 1), '') AS INTEGER),
+      TRY_CAST(nullif(regexp_extract(case_text, '约([0-9]+)岁', 1), '') AS INTEGER)) AS age,
+    CASE WHEN instr(case_text, '男') > 0 AND (instr(case_text, '女') = 0 OR instr(case_text, '男') < instr(case_text, '女')) THEN '男' WHEN instr(case_text, '女') > 0 THEN '女' END AS gender
   FROM blocks)"""
 
 
@@ -510,9 +510,9 @@ ORACLES: dict[str, str] = {
         lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 3)) AS INTEGER) AS n_sentences FROM documents""",
     "document_keyword_classes": f"SELECT doc_id, array_to_string({classes('text', WORDS)}, '|') AS classes FROM documents",
     "document_cascade": f"WITH src AS (SELECT {cascade('text', CASCADE, 9)} AS event_type FROM documents) {share('src', 'event_type')}",
-    "document_prefixes": f"""SELECT doc_id, {', '.join(f'CAST(length(left(text, {n})) AS INTEGER) AS chars_{n}' for n in (50, 100, 200, 500))},
-        md5(left(text, 200)) AS prefix_md5, CAST(coalesce(nullif(regexp_extract(left(text, 200), '([0-9]{{1,6}}) ', 1), ''),
-        nullif(regexp_extract(left(text, 200), '([0-9]{{1,6}})', 1), '')) AS INTEGER) AS first_number,
+    "document_prefixes": f"""SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5,
+        CAST(coalesce(nullif(regexp_extract(text, '([0-9]{{1,6}}) ', 1), ''),
+        nullif(regexp_extract(text, '([0-9]{{1,6}})', 1), '')) AS INTEGER) AS first_number,
         {any_word('text', ['@', 'http'])} AS has_contact FROM documents""",
     "province_labels": f"""WITH {REPORTS} SELECT CASE length(content) % 4 WHEN 0 THEN 'Beijing' WHEN 1 THEN 'Inner Mongolia' WHEN 2 THEN '某某' ELSE 'Unknown' END AS label,
         count(*) AS n FROM reports GROUP BY 1""",
@@ -530,6 +530,11 @@ ORACLES: dict[str, str] = {
     "edges_band_weighted": f"""WITH {VISITS}, {windows(3)} SELECT node, province, venue, s - DATE '1970-01-01' AS d, day - DATE '1970-01-01' AS day, n
         FROM days JOIN sizes USING (province, venue, s)""",
     "edges_offset_expanded": f"WITH {VISITS}, {windows(6)} SELECT node, province, venue, s - DATE '1970-01-01' AS d, n FROM w JOIN sizes USING (province, venue, s)",
+    "edge_window_sweep": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {VISITS}, {band(k)} SELECT {k} AS k, count(DISTINCT src) AS n_nodes, count(*) // 2 AS n_edges FROM arcs)" for k in WINDOWS
+    ),
+    "decay_sweep": f"""WITH {VISITS}, {band(3)} SELECT src AS node, CAST(tau AS DOUBLE) AS tau, {r('sum(exp(-gap / tau))')} AS weight
+        FROM arcs, (VALUES (3.0), (5.0), (7.0), (14.0)) AS t(tau) GROUP BY ALL""",
     "crowd_edge_count": f"WITH {CROWD}, {band(0)} SELECT count(*) // 2 AS n_edges FROM arcs",
     "crowd_multi_edge_count": f"""WITH {CROWD}, s AS (SELECT province, venue, day, count(DISTINCT case_id) AS n FROM visits GROUP BY ALL)
         SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n_edges FROM s""",
@@ -593,6 +598,8 @@ ORACLES: dict[str, str] = {
           sum(c) * 1.0 / sum(n_cases) AS cluster_rate, CAST(sum(n_cases) AS BIGINT) AS n_cases, count(*) FILTER (n_cases >= 5) AS n_provinces FROM cells GROUP BY 1)
         SELECT venue, {r('avg_risk')} AS avg_risk, {r('cluster_rate')} AS cluster_rate, n_cases, n_provinces,
           row_number() OVER (ORDER BY round(avg_risk, 12) DESC, venue) AS rank FROM v""",
+    "venue_risk_with_importance": f"""WITH {CASES}, {SHIP_EVENTS} SELECT venue, count(DISTINCT case_id) AS n_cases, TRUE AS has_importance
+        FROM evt WHERE date IS NOT NULL GROUP BY 1""",
     "venue_province_rates": f"WITH {RATES} SELECT venue, province, n_cases, {r('rate')} AS rate FROM rates",
     "venue_cluster_rate": f"""WITH {VISITS}, {labels(3)}, who AS (SELECT DISTINCT venue, case_id FROM visits)
         SELECT venue, count(*) AS n_cases, {r('avg(coalesce(label_3, 0))')} AS cluster_rate FROM who LEFT JOIN hits USING (case_id) GROUP BY 1""",

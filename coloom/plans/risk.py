@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coloom.operators.colocation import cluster_labels
+from coloom.operators.features import VENUES
 from coloom.operators.inference import anova
 from coloom.operators.ranking import ranked
 
@@ -79,12 +80,15 @@ def venue_risk(
 def venue_risk_ranking(visits: DataFrame, importance: DataFrame | None = None, **kw) -> DataFrame:
     """``venue_risk`` with a 1-based rank, highest risk first, ties by venue.
 
-    ``importance(name, importance)`` adds the score filed under ``venue_<venue>``.
+    ``importance(name, importance)`` adds the score filed under ``venue_<venue>``, or
+    under ``venue_<i>``, the feature column of the i-th venue of the vocabulary.
     """
     out = ranked(venue_risk(visits, **kw), [F.desc("avg_risk"), F.col("venue")])
     if importance is not None:
+        filed = F.regexp_extract("name", "^venue_(.*)$", 1)
+        by_column = F.create_map(*[F.lit(x) for i, v in enumerate(VENUES) for x in (str(i), v)])
         score = importance.select(
-            F.regexp_extract("name", "^venue_(.*)$", 1).alias("venue"), F.col("importance").alias("feature_importance")
+            F.coalesce(F.try_element_at(by_column, filed), filed).alias("venue"), F.col("importance").alias("feature_importance")
         )
         out = out.withColumn("venue", F.col("venue").cast("string")).join(score, "venue", "left").na.fill(
             0.0, ["feature_importance"]

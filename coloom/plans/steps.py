@@ -151,13 +151,14 @@ def ablation(s: Study) -> None:
     labels = s.read(s.layout.data("labels"))
     kw = s.settings.get("GBM", {})
     table = sweeps.training_table(feats, labels)
-    groups = ["venue", "transport", "hotspot", "symptom", "age", "gender", "time", "event_count"]
-    s.keep("group_ablation", lambda: sweeps.group_ablation(table, cols, groups, s.window, "GBM", **kw))
+    s.keep("group_ablation", lambda: sweeps.group_ablation(table, cols, sweeps.GROUPS, s.window, "GBM", **kw))
     s.keep("window_sweep", lambda: sweeps.window_sweep(table, cols, sweeps.WINDOWS, "GBM", **kw))
 
 
 def rq1(s: Study) -> None:
-    s.keep("venue_risk", lambda: risk.venue_risk_ranking(s.visits, k=s.window))
+    path = s.layout.result("feature_importance")
+    importance = s.read(path) if sinks.exists(s.spark, path) else None
+    s.keep("venue_risk", lambda: risk.venue_risk_ranking(s.visits, importance, k=s.window))
     s.keep("venue_province_rates", lambda: risk.venue_province_rates(s.visits, s.window))
     s.keep("venue_anova", lambda: risk.venue_anova(s.visits, s.window))
 

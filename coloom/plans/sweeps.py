@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coloom.operators.colocation import cluster_labels
+from coloom.operators.colocation import cluster_labels, members
 from coloom.operators.features import without
 from coloom.operators.metrics import long_metrics
 from coloom.operators.models import evaluate
+from coloom.operators.neighbors import neighbor_sums
 from coloom.operators.split import hash_split
 from coloom.session import cut
 
+GROUPS = ["venue", "transport", "hotspot", "symptom", "age", "gender", "time", "event_count"]
 WINDOWS = (1, 3, 5, 7, 14)
 SEEDS = (42, 123, 456, 789, 1024)
 
@@ -32,6 +34,18 @@ def label_counts(cases: DataFrame, visits: DataFrame, ks: Sequence[int] = WINDOW
     )
 
 
+def edge_counts(visits: DataFrame, ks: Sequence[int] = WINDOWS) -> DataFrame:
+    """(k, n_nodes, n_edges) of the ±k day graph for each window."""
+    return _collect(
+        [
+            neighbor_sums(members(visits, k)).agg(
+                F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges")
+            )
+            for k in ks
+        ]
+    )
+
+
 def training_table(features: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     """(case_id, split, features..., label_<k>...) written out once for all fits."""
     names = [c for c in labels.columns if c != "case_id"]
