@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the shared one named by ``spark.checkpoint.dir``, so the data
     outlives any executor.  Only a local master without that setting gets a
-    temporary folder of its own.
+    temporary folder of its own, which goes when the program ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -47,5 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="coloom-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
