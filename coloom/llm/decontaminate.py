@@ -41,7 +41,7 @@ AS_WORD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 #: Bytes of text in one shard, about.
-SHARD = 32 << 20
+SHARD = 8 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:

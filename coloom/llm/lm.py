@@ -47,10 +47,10 @@ from coloom.session import cut
 #: A word has no white space, so these are no words.
 END, BEGIN = xxh64_intdigest(b" "), xxh64_intdigest(b"\t")
 #: Tokens that a task counts before it writes.
-FLUSH = 1 << 22
+FLUSH = 3 << 20
 #: Bytes of text that are looked at together.
-CHUNK = 8 << 20
-PROBES = 7
+CHUNK = 3 << 20
+PROBES = 5
 LEVEL_BASE = 1.5
 LEVELS = 80
 
@@ -134,13 +134,15 @@ def block(keys: np.ndarray, counts: np.ndarray, bits: float) -> bytes:
     e = entries(keys, counts)
     size = max(64, int(len(e) * bits) // 8 * 8)
     on = np.zeros(size, bool)
+    step = stride(e)
     for i in range(PROBES):
-        on[probe(e, i, np.uint64(size)).astype(np.int64)] = True
+        on[((e + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def probe(e: np.ndarray, i: int, size: np.ndarray | np.uint64) -> np.ndarray:
-    return (e + np.uint64(i) * (mix(e) | np.uint64(1))) % size
+def stride(e: np.ndarray) -> np.ndarray:
+    """How far apart the probes of an entry are."""
+    return mix(e) | np.uint64(1)
 
 
 @dataclass
@@ -176,10 +178,12 @@ class Filter:
         q, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for step in range(1, LEVELS):
             e, some = at_level(keys[alive], step), np.arange(len(alive))
+            far, size, start = stride(e), sizes[alive], starts[alive]
             for i in range(PROBES):
-                where = probe(e[some], i, sizes[alive[some]]).astype(np.int64)
-                byte = self.bits[starts[alive[some]] + (where >> 3)]
-                some = some[(byte >> (where & 7).astype(np.uint8)) & 1 == 1]
+                where = ((e + np.uint64(i) * far) % size).astype(np.int64)
+                on = self.bits[start + (where >> 3)] >> (where & 7).astype(np.uint8) & 1 == 1
+                if not on.all():
+                    e, far, size, start, some = e[on], far[on], size[on], start[on], some[on]
             alive = alive[some]
             if not len(alive):
                 break
@@ -266,7 +270,7 @@ def score(
     keys: list[Column],
     text_col: str = "text",
     weight: float = 0.3,
-    bits: float = 12.0,
+    bits: float = 10.0,
     most_mb: int = 128,
 ) -> tuple[DataFrame, int, int]:
     """((keys.., n_tokens, n_known, base_score, score) of each of ``docs``, N, V), learnt from ``train``."""

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coloom.llm.common import raw, table
+from coloom.llm.common import raw, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Chunks of which a worker remembers the ids, about, and bytes of text encoded together.
-REMEMBER = 300_000
-TOGETHER = 2 << 20
+REMEMBER = 200_000
+TOGETHER = 1 << 20
 UNKNOWN_COST = 10.0
 
 
@@ -331,12 +331,30 @@ def decode_column(spark, ids: Column, path: str = VOCABULARY) -> Column:
     return of(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def both_column(spark, text_col: str, path: str = VOCABULARY) -> Column:
+    """struct(ids, text): the ids of a text and, as bytes, what they decode to, from one worker."""
+    model = _model(spark, path)
+
+    @F.arrow_udf("struct<ids: array<int>, text: binary>")
+    def of(texts: pa.Array) -> pa.Array:
+        packed, decoded = [], []
+        for some in small_batches(iter([pa.record_batch([texts], ["text"])]), TOGETHER):
+            for ids in model.value.encode_many(some.column(0).to_pylist()):
+                packed.append(ids)
+                decoded.append(model.value.decode(np.frombuffer(ids, "<i4").tolist()))
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.binary())], ["ids", "text"])
+
+    return of(raw(text_col))
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", encode_column(spark, "text").alias("ids"))
-    return docs.withColumn("decoded", decode_column(spark, F.col("ids"))).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", raw("text").alias("raw"), both_column(spark, "text").alias("b"))
+    return docs.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == raw("text")).alias("round_trip"),
+        F.size("b.ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("b.ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("b.text", 256).alias("decoded_sha256"),
+        (F.col("b.text") == F.col("raw")).alias("round_trip"),
     )
