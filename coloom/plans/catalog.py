@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -25,9 +26,10 @@ from coloom.operators.neighbors import decayed_sums, decayed_weights, neighbor_s
 from coloom.operators.split import hash_split, hash_splits_by_seed
 from coloom.plans import contrast, risk, sweeps
 from coloom.plans import graph_models as GM
-from coloom.session import cut
+from coloom.session import checkpoint_folder, cut
+from coloom.sources import sinks
 from coloom.sources import tables as T
-from coloom.sources.reports import split_cases
+from coloom.sources.reports import read_case_blocks, read_cases, read_events, split_cases
 
 # Cut-over days on the two calendars of the tables.
 CLICK_CUTOVER = dt.date(2024, 1, 16)
@@ -132,6 +134,53 @@ def case_blocks(spark, sf):
     )
 
 
+def _folder(spark):
+    """A new folder that all executors share."""
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+@query
+def file_case_blocks(spark, sf):
+    """Reports written as text files and read back in splits."""
+    folder = _folder(spark)
+    T.line_reports(spark, sf).select("content").write.text(folder)
+    blocks = read_case_blocks(spark, folder)
+    # In a file a block runs on to the opening words of the next report.
+    text = F.regexp_replace("case_text", "\\n(通报如下。)?", "")
+    return blocks.groupBy("case_no").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length(text)).cast("long").alias("n_chars")
+    )
+
+
+@query
+def json_cases(spark, sf):
+    """Case records written as JSON and read back."""
+    folder = _folder(spark)
+    sinks.write_json(extract_cases(split_cases(T.line_reports(spark, sf))), folder)
+    return read_cases(spark, folder)
+
+
+@query
+def json_events(spark, sf):
+    """Event records written as JSON and read back."""
+    folder = _folder(spark)
+    sinks.write_json(extract_events(split_cases(T.line_reports(spark, sf))), folder)
+    return read_events(spark, folder).groupBy("event_type_name", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).cast("long").alias("n_chars"), F.sum(F.size("venues")).cast("long").alias("n_venues")
+    )
+
+
+@query
+def bundle_edges(spark, sf):
+    """The graph bundle written and read back: edges of each relation between known nodes, case-case edges too."""
+    events, cases = T.ship_events(spark, sf), T.ship_cases(spark, sf)
+    nodes = cut(H.node_map(events, cases))
+    named = H.item_edges(events, cases).unionByName(H.case_edges(T.ship_visits(spark, sf)))
+    folder = _folder(spark)
+    sinks.write_graph({"edges": H.indexed_edges(named, nodes), "nodes": nodes}, folder)
+    return H.edge_counts(sinks.read_graph(spark, folder)["edges"])
+
+
 @query
 def case_metadata(spark, sf):
     return extract_cases(split_cases(T.line_reports(spark, sf)))

@@ -500,6 +500,10 @@ ORACLES: dict[str, str] = {
     "event_type_distribution": f"{WITH_BLOCKS}, {EVENT_ROWS} {share('named', 'event_type_name')}",
     "case_blocks": f"{WITH_BLOCKS} SELECT report_id, case_seq, case_no, case_id, CAST(length(case_text) AS INTEGER) AS n_chars FROM blocks",
     "case_metadata": f"{WITH_BLOCKS}, {META} SELECT * FROM meta",
+    "json_cases": f"{WITH_BLOCKS}, {META} SELECT * FROM meta",
+    "json_events": f"""{WITH_BLOCKS}, {EVENT_ROWS} SELECT event_type_name, date, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS n_chars,
+        CAST(sum(len(venues)) AS BIGINT) AS n_venues FROM named GROUP BY ALL""",
+    "file_case_blocks": f"{WITH_BLOCKS} SELECT case_no, count(*) AS n_blocks, CAST(sum(length(case_text)) AS BIGINT) AS n_chars FROM blocks GROUP BY 1",
     "extracted_events": f"""{WITH_BLOCKS}, {EVENT_ROWS} SELECT case_id, province, event_type, event_type_name, date,
         array_to_string(venues, '|') AS venues, array_to_string(transports, '|') AS transports, array_to_string(symptoms, '|') AS symptoms,
         sentence, is_lockdown FROM named""",
@@ -778,3 +782,4 @@ ORACLES["temporal_features"] = f"""WITH {VISITS}, {band(3)}, f AS (SELECT case_i
       {r('coalesce(xb, 0)')} AS max_balance, {r('coalesce(xn, 0)')} AS max_nation, {r('balance * balance + nation * nation')} AS self_norm, day,
       {r('sin(2 * pi() * day / 30)')} AS day_sin, {r('cos(2 * pi() * day / 30)')} AS day_cos, {r('coalesce(prox, 0)')} AS proximity,
       {r('coalesce(degree, 0) / ((SELECT max(degree) FROM x) + 1e-9)')} AS degree_norm FROM x"""
+ORACLES["bundle_edges"] = ORACLES["relation_edge_counts"]

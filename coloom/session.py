@@ -32,23 +32,28 @@ def local_session(cpus: int | str = "*", app: str = "coloom", **conf) -> SparkSe
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back with an empty lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for data between jobs, which all executors share.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``, so the data
-    outlives any executor.  Only a local master without that setting gets a
-    temporary folder of its own, which goes when the program ends.
+    It is named by ``spark.checkpoint.dir``.  Only a local master without that
+    setting gets a temporary folder of its own, which goes when the program ends.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="coloom-ckpt-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back with an empty lineage.
+
+    The data outlives any executor.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

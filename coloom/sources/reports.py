@@ -161,13 +161,18 @@ def read_case_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASES).json(path, multiLine=True)
+def _records(spark: SparkSession, path: str, schema: T.StructType, array: bool) -> DataFrame:
+    """JSON records, one per line; ``array=True`` reads files that are one array, each in one task."""
+    return spark.read.schema(schema).json(path, multiLine=array)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).json(path, multiLine=True)
+def read_cases(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    return _records(spark, path, CASES, array)
 
 
-def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DAILY_COUNTS).json(path, multiLine=True)
+def read_events(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    return _records(spark, path, EVENTS, array)
+
+
+def read_daily_counts(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    return _records(spark, path, DAILY_COUNTS, array)

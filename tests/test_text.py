@@ -118,7 +118,7 @@ def test_read_cases_json(spark):
     folder = tempfile.mkdtemp(prefix="coloom-test-", dir="/tmp")
     with open(f"{folder}/cases.json", "w", encoding="utf-8") as f:
         f.write('[\n {"case_id": "a_1", "province": "p", "age": null, "first_date": "2020-01-05"}\n]')
-    r = read_cases(spark, f"{folder}/cases.json").first()
+    r = read_cases(spark, f"{folder}/cases.json", array=True).first()
     assert r.case_id == "a_1" and r.age is None and r.first_date == D(2020, 1, 5)
 
 
