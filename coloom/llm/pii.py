@@ -266,3 +266,61 @@ def op8_personal_data(spark, sf_dir: str) -> DataFrame:
         F.sha2(S.written(F.col("base")), 256).alias("base_sha256"),
         S.written(every).alias("spans"),
     )
+
+
+_DIGITS = "regexp_replace(hit, '[ -]', '', 'g')"
+_WORTH = f"CAST({_DIGITS}[i] AS INTEGER)"
+_SQL_KEEP = {
+    "email": "TRUE",
+    "ip": "list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3"
+    " AND coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INTEGER), 0) <= 255))",
+    "card": f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+      CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_WORTH} WHEN {_WORTH} > 4 THEN 2 * {_WORTH} - 9 ELSE 2 * {_WORTH} END)) % 10 = 0""",
+    "phone": "length(regexp_replace(hit, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
+}
+
+
+def _sql_words(text: str) -> str:
+    return f"list_distinct(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{WORD}'))"
+
+
+def _sql_share(n_ct: str, n_t: str) -> str:
+    whole = "log2(greatest(n, n_c) * 1.0 / n_c)"
+    return f"CASE WHEN {whole} > 0 THEN log2({n_ct} * 1.0 * n / (n_c * greatest({n_t}, {n_ct}))) / {whole} ELSE 0 END"
+
+
+def _sql_has(words: str, digit: bool) -> str:
+    test = "regexp_matches(w, '[0-9]')"
+    return f"len(list_filter({words}, lambda w: {test if digit else 'NOT ' + test})) > 0"
+
+
+def sql(reach: int = 60, support: int = 3, limit: float = 0.8) -> str:
+    kinds = [(k, {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[k], _SQL_KEEP[k]) for k in KINDS]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({S.sql_spans("d", kinds)}),
+near AS (SELECT kind || ':' || hit AS entity, greatest(s - {reach}, 0) AS first, text[greatest(s - {reach}, 0) + 1:s] AS l,
+                text[e + 1:e + {reach}] AS r FROM f JOIN d USING (rid)),
+seen AS (SELECT DISTINCT entity, CASE WHEN first > 0 THEN regexp_replace(l, '^{WORD}', '') ELSE l END || chr(10)
+                || CASE WHEN length(r) = {reach} THEN regexp_replace(r, '{WORD}$', '') ELSE r END AS around FROM near),
+around AS (SELECT entity, {_sql_words("around")} AS ws FROM seen),
+ent AS (SELECT entity, count(*) AS n_c, count(*) FILTER ({_sql_has("ws", True)}) AS c_0, count(*) FILTER ({_sql_has("ws", False)}) AS c_1
+        FROM around GROUP BY 1),
+both_ AS (SELECT entity, term, count(*) AS n_ct FROM (SELECT entity, unnest(ws) AS term FROM around) WHERE length(term) >= 3
+          GROUP BY 1, 2 HAVING count(*) >= {support}),
+w AS (SELECT rid, {_sql_words("text")} AS ws FROM d),
+terms AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(ws) AS term FROM w) GROUP BY 1),
+tot AS (SELECT count(*) AS n FROM w),
+risk AS (SELECT entity, term FROM both_ JOIN terms USING (term) JOIN ent USING (entity), tot WHERE {_sql_share("n_ct", "n_t")} >= {limit}),
+mine AS (SELECT DISTINCT rid, term FROM f JOIN risk ON entity = kind || ':' || hit),
+held AS (SELECT rid, text FROM d WHERE rid IN (SELECT rid FROM mine)),
+tok AS ({S.sql_spans("held", [("term", WORD, "TRUE")])}),
+found AS (SELECT tok.rid, s, e FROM tok JOIN mine ON mine.rid = tok.rid AND mine.term = translate(hit, '{UPPER}', '{LOWER}')
+          WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.rid = tok.rid AND f.s < tok.e AND tok.s < f.e)),
+every AS (SELECT rid, ord, kind, s, e FROM f UNION ALL SELECT rid, {len(KINDS)}, 'term', s, e FROM found),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) FILTER (ord < {len(KINDS)}) AS base,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) AS spans FROM every GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""

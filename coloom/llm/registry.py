@@ -24,4 +24,5 @@ ORACLES = {
     "op5_secret_scan": secrets.OP5_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op8_personal_data": pii.sql(),
 }

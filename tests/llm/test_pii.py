@@ -130,3 +130,17 @@ def test_query(spark, sf):
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.spans.startswith(text)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, _, _ in want) for k in pii.KINDS)
+
+
+def test_sql_of_terms(spark, tmp_path):
+    """The SQL finds the same terms where there are some."""
+    import duckdb
+
+    texts = corpus() + [f"Zorblat {i} by zed@mail.example" for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in pii.op8_personal_data(spark, str(tmp_path)).select("doc_id", "n_email", "spans").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_email, spans FROM ({pii.sql()})").fetchall())
+    assert got == want and any("term:" in r[2] for r in got)
