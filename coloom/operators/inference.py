@@ -118,7 +118,10 @@ def _solve(df: DataFrame, systems: dict[str, tuple[Sequence[str], str, str]]) ->
 
     ``systems`` maps a name to (regressors, response, row condition).  All sums of
     all systems come from one aggregate; only the small matrices are solved in numpy.
+    The coefficients, a handful of numbers, go into a second aggregate that sums the
+    squared residuals themselves, so a close fit loses no digits.
     """
+    df = cut(df)
     cells = []
     for name, (xs, y, cond) in systems.items():
         on = lambda e, c=cond: F.when(F.expr(c), e)
@@ -127,10 +130,9 @@ def _solve(df: DataFrame, systems: dict[str, tuple[Sequence[str], str, str]]) ->
                 cells.append(F.sum(on(F.col(a).cast("double") * F.col(xs[j]))).alias(f"{name}_xx_{i}_{j}"))
             cells.append(F.sum(on(F.col(a).cast("double") * F.col(y))).alias(f"{name}_xy_{i}"))
         cells.append(F.count(on(F.lit(1))).alias(f"{name}_n"))
-        cells.append(F.sum(on(F.col(y).cast("double") * F.col(y))).alias(f"{name}_yy"))
         cells.append(F.sum(on(F.col(y).cast("double"))).alias(f"{name}_y"))
     sizes = {name: len(xs) for name, (xs, _, _) in systems.items()}
-    columns = ["name", "n", "rank", "beta", "inv", "ss_res", "ss_tot"]
+    columns = ["name", "n", "rank", "beta", "inv", "mean"]
 
     def solver(batches):
         for pdf in batches:
@@ -142,22 +144,35 @@ def _solve(df: DataFrame, systems: dict[str, tuple[Sequence[str], str, str]]) ->
                         for j in range(i, k):
                             a[i, j] = a[j, i] = r[f"{name}_xx_{i}_{j}"]
                     b = np.array([r[f"{name}_xy_{i}"] for i in range(k)])
-                    n, yy, ys = int(r[f"{name}_n"]), r[f"{name}_yy"], r[f"{name}_y"]
+                    n, ys = int(r[f"{name}_n"]), r[f"{name}_y"]
                     # Scaling to unit diagonal keeps the rank test independent of units.
                     d = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
                     unit = a / np.outer(d, d)
                     rank = int(np.linalg.matrix_rank(unit, hermitian=True, tol=1e-9))
                     inv = np.linalg.inv(unit) / np.outer(d, d) if rank == k else np.linalg.pinv(a, hermitian=True, rcond=1e-12)
                     beta = inv @ b
-                    res = max(yy - 2 * beta @ b + beta @ a @ beta, 0.0)
-                    total = yy - ys * ys / n if n else 0.0
-                    rows.append((name, n, rank, beta.tolist(), np.diag(inv).tolist(), res, total))
+                    rows.append((name, n, rank, beta.tolist(), np.diag(inv).tolist(), ys / n if n else 0.0))
             yield pd.DataFrame(rows, columns=columns)
 
-    return df.agg(*cells).mapInPandas(
-        solver,
-        "name string, n long, rank int, beta array<double>, inv array<double>, ss_res double, ss_tot double",
-    )
+    kind = "name string, n long, rank int, beta array<double>, inv array<double>, mean double"
+    solved = {r["name"]: r for r in df.agg(*cells).mapInPandas(solver, kind).collect()}
+    parts = []
+    for name, (xs, y, cond) in systems.items():
+        r = solved[name]
+        fitted = sum((F.lit(beta) * F.col(x) for beta, x in zip(r["beta"], xs)), F.lit(0.0))
+        square = lambda e, c=cond: F.coalesce(F.sum(F.when(F.expr(c), e * e)), F.lit(0.0))
+        parts.append(
+            F.struct(
+                F.lit(name).alias("name"),
+                F.lit(r["n"]).cast("long").alias("n"),
+                F.lit(r["rank"]).alias("rank"),
+                F.lit(r["beta"]).alias("beta"),
+                F.lit(r["inv"]).alias("inv"),
+                square(F.col(y).cast("double") - fitted).alias("ss_res"),
+                square(F.col(y).cast("double") - F.lit(r["mean"])).alias("ss_tot"),
+            )
+        )
+    return df.agg(F.array(*parts).alias("fits")).select(F.explode("fits").alias("f")).select("f.*")
 
 
 ITS_TERMS = ["intercept", "time", "level", "trend"]
