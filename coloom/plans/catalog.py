@@ -774,6 +774,15 @@ def model_scores(spark, sf):
     return tidy(out)
 
 
+@query
+def training_counts(spark, sf):
+    """Rows and positives of each part that the learners see."""
+    data = _training(spark, sf, sweeps.WINDOWS)
+    return data.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"label_{k}").cast("long").alias(f"positive_{k}") for k in sweeps.WINDOWS]
+    )
+
+
 @query
 def feature_importance(spark, sf):
     data = _training(spark, sf).withColumn("label", F.col("label_0"))

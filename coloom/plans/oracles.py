@@ -651,6 +651,9 @@ ORACLES: dict[str, str] = {
         {r("(" + " + ".join(f"transport_{t}" for t in TRANSPORTS) + f") / {len(TRANSPORTS)}")} AS transport_mean FROM feats""",
     "date_features": f"""WITH {CLICKS} SELECT DISTINCT day AS date, {r("(day - DATE '2024-01-16') / 100.0")} AS days_norm,
         {r('sin(2 * pi() * (isodow(day) - 1) / 7)')} AS dow_sin, {r('cos(2 * pi() * (isodow(day) - 1) / 7)')} AS dow_cos, 1.0::DOUBLE AS bias FROM clicks""",
+    "training_counts": f"""WITH {VISITS}, {CASES}, {all_labels(*WINDOWS)}, {split('cases', 'case_id', 42, 's')}
+        SELECT split, count(*) AS n, {", ".join(f"CAST(sum(label_{k}) AS BIGINT) AS positive_{k}" for k in WINDOWS)}
+        FROM s JOIN labels USING (case_id) GROUP BY 1""",
     "hash_splits": f"WITH {CASES}, {split('cases', 'case_id', 42, 's')} SELECT * FROM s",
     "auc_ap_confusion": f"WITH {SCORED}, {metric_row('score', 'm')} SELECT "
     + ", ".join(r(f'"{c}"') + f' AS "{c}"' for c in METRIC_NAMES)
