@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the same rows on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -32,3 +33,12 @@ def test_query_without_sql(spark, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["extraction_stats", "seed_metric_summary", "auc_ap_confusion", "crowd_multi_edge_count"])
+def test_tables_are_scanned_once(spark, name):
+    df = queries()[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = re.findall(r"FileScan parquet .*?/(\w+)\.parquet", plan)
+    assert len(scans) == len(set(scans)), scans
