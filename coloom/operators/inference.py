@@ -333,7 +333,8 @@ def wilcoxon_greater(pairs: DataFrame, delta: str = "delta", exact_up_to: int =
         F.sum(n * rank).alias("whole"),
         F.sum(n * rank * rank).alias("squares"),
     )
-    if totals.first()["n"] > exact_up_to:
+    found = totals.first()
+    if found["n"] > exact_up_to:
         z = (F.col("w") - F.col("whole") / 2) / F.sqrt(F.col("squares") / 4)
         return totals.select("n", "w", normal_upper(z).alias("p"))
     listed = ranks.agg(F.collect_list(F.struct("avg_rank", "n")).alias("ranks"))  # exact_up_to ranks at most
@@ -353,9 +354,6 @@ def wilcoxon_greater(pairs: DataFrame, delta: str = "delta", exact_up_to: int =
             yield pd.DataFrame(out, columns=["tail"])
 
     tail = listed.mapInPandas(exact, "tail array<double>")
-    at = F.round(2 * F.col("w")).cast("int") + 1
-    return (
-        totals.select("n", "w", F.lit(0).alias("one"))
-        .join(tail.withColumn("one", F.lit(0)), "one")
-        .select("n", "w", F.when(F.col("n") > 0, F.element_at("tail", at)).alias("p"))
-    )
+    w = F.lit(found["w"]).cast("double")
+    p = F.element_at("tail", F.round(2 * w).cast("int") + 1) if found["n"] else F.lit(None).cast("double")
+    return tail.select(F.lit(found["n"]).cast("long").alias("n"), w.alias("w"), p.alias("p"))
