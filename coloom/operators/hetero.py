@@ -110,8 +110,8 @@ def node_map(
 def indexed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src_type, dst_type, src, dst, weight) with node ids.
 
-    Venues, transports and symptoms come from vocabularies and dates from the
-    calendar, so those ids are broadcast; cases are joined by shuffle.
+    Joins are left to the optimiser: the ids of venues, transports, symptoms and
+    dates are few, but nothing bounds them.
     """
     case = nodes.where("node_type = 'case'").select(F.col("name").alias("case_name"), F.col("idx").alias("src"))
     dims = nodes.where("node_type <> 'case'").select(
@@ -122,7 +122,7 @@ def indexed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     columns = ["src_type", "dst_type", "src", "dst", "weight"]
     return (
         with_src.where("dst_type <> 'case'")
-        .join(F.broadcast(dims), ["dst_type", "item"])
+        .join(dims, ["dst_type", "item"])
         .select(columns)
         .unionByName(with_src.where("dst_type = 'case'").join(other, "item").select(columns))
     )
