@@ -40,8 +40,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Chunks of which a worker remembers the ids, about, and bytes of text encoded together.
-REMEMBER = 200_000
-TOGETHER = 1 << 20
+REMEMBER = 300_000
+TOGETHER = 3 << 20
 UNKNOWN_COST = 10.0
 
 
