@@ -5,9 +5,9 @@ n-grams, predicts that bit; a text gets the language whose codeword has the
 lowest loss against the predicted margins, and is flagged where the next one is
 close.  A few wrong bits do not change the result.
 
-``learn`` fits the classifiers on a sample of labelled rows: about ``per_language``
-rows of each language, chosen by a hash of the id, so the sample is bounded
-whatever the size of the table.  The weights (bits x ``DIMS``) are what is
+``learn`` fits the classifiers on a sample of labelled rows: the ``per_language``
+rows of each language with the smallest hashes of id and text, one for each hash, so
+the sample is bounded whatever the size of the table and whatever ids are shared.  The weights (bits x ``DIMS``) are what is
 broadcast.  ``predict_column`` is a column expression over the text alone.
 
 A text that is null or has no letter is ``und`` with score 0.  A language is learnt
@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.llm.common import raw, table
@@ -138,25 +138,37 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 300, rate: float = 8.0,
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 400) -> Coder:
-    """Classifiers from about ``per_language`` rows of each language of ``labelled``."""
+    """Classifiers from at most ``per_language`` rows of each language of ``labelled``."""
     named = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in named.groupBy(lang_col).count().collect()}  # one row per language
-    if not counts:
+    named = named.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col, F.lit("sample")).alias("h"))
+    # The sample is the same however the rows are dealt.  Hashes first, and texts only of those that are chosen.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = named.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_language)
+    last = {r[0]: r[1] for r in least.groupBy("lang").agg(F.max("h")).collect()}  # one row per language
+    if not last:
         return fit(np.zeros((0, DIMS)), [])
-    # A share of the hash range: the sample is the same however the rows are dealt.
-    spread = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    chosen = F.coalesce(*[F.when(F.col(lang_col) == v, spread < per_language / n) for v, n in counts.items()])
+    chosen = F.coalesce(*[F.when(F.col("lang") == v, F.col("h") <= h) for v, h in last.items()])
 
     @F.arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([features(t).tobytes() if has_letter(t) else None for t in texts.to_pylist()], pa.binary())
 
-    sample = named.where(chosen).select(F.col(lang_col).alias("lang"), of(raw(text_col)).alias("x"))
+    sample = named.where(chosen).dropDuplicates(["lang", "h"]).select("lang", of(raw("text")).alias("x"))
     rows = [(r["lang"], np.frombuffer(r["x"], np.float32)) for r in sample.collect() if r["x"] is not None]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))
     return fit(np.array([x for _, x in rows], np.float32).reshape(-1, DIMS), [v for v, _ in rows])
 
 
+def letter_column(text_col: str) -> Column:
+    """Whether the text has a letter."""
+
+    @F.arrow_udf("boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_())
+
+    return of(raw(text_col))
+
+
 def predict_column(coder: Coder, text_col: str) -> Column:
     """struct(lang, score, ambiguous) of the text."""
 
