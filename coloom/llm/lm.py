@@ -13,9 +13,9 @@
 The unigrams of a corpus are few and go out in every round; bigram blocks and the
 exact unigram counts of the base score go out in as many rounds as ``most_mb``
 asks for.  A round adds the tokens and bigrams of its ranges, so the sums are the
-same however many rounds there are.  Only where the unigram filter alone would
-exceed the bound do its entries get fewer bits, which raises its error rate and
-leaves no n-gram out.
+same however many rounds there are.  Where the unigram filter exceeds a quarter of
+the bound, its blocks go out in rounds of their own before the others, which write
+the level of each token of each text.  Entries have the same bits at every size.
 
 The base score takes the exact counts: the sum of log10((c + 0.1) / (N + 0.1 (V + 1))).
 
@@ -173,6 +173,10 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The stored counts, 0 where level 1 is absent; for keys that the blocks cover."""
+        return self.means[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The stored levels, 0 where level 1 is absent; for keys that the blocks cover."""
         at = ranges(keys, self.shift) - self.first
         starts, sizes = self.starts[at], self.sizes[at]
         q, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -188,7 +192,7 @@ class Filter:
             if not len(alive):
                 break
             q[alive] = step
-        return self.means[q]
+        return q
 
 
 def ranges(keys: np.ndarray, shift: int) -> np.ndarray:
@@ -280,28 +284,22 @@ def score(
     # One small row for each range.
     held = {(r["gram"], r["bucket"]): r for r in ledger.select("gram", "bucket", "n", "total", "entries", F.length("block").alias("size")).collect()}
     ones = [r for (gram, _), r in held.items() if gram == 1]
-    total, distinct, stored = (sum(r[c] for r in ones) for c in ("total", "n", "entries"))
+    total, distinct = (sum(r[c] for r in ones) for c in ("total", "n"))
     most = most_mb << 20
 
     def sized(gram: int, low: int, high: int, what: str) -> list[int]:
         return [held[gram, i][what] if (gram, i) in held else 0 for i in range(low, high)]
 
-    fewer = min(1.0, 8 * most / 4 / max(1, stored * bits))  # the unigrams get a quarter of the bound
-
-    def thinner(rows: pa.Table) -> pa.Table:
-        made = [block(*unpack(k, c), bits * fewer) for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
-        return pa.table([rows.column("bucket"), pa.array(made, pa.binary())], ["bucket", "block"])
-
-    single = ledger.where("gram = 1").select("bucket", "keys", "counts", "block")
-    if fewer < 1:
-        single = cut(single.groupBy("bucket").applyInArrow(thinner, "bucket int, block binary"))
-        thin = {r["bucket"]: r["size"] for r in single.select("bucket", F.length("block").alias("size")).collect()}
-        word_sizes = [thin.get(i, 0) for i in range(buckets)]
+    single = ledger.where("gram = 1").select("bucket", "block")
+    word_sizes = sized(1, 0, buckets, "size")
+    looked = sum(word_sizes) > most // 4  # the unigrams get a quarter of the bound
+    if looked:
+        docs, keys, text_col = _look_up(docs, keys, text_col, single, shift, word_sizes, most * 3 // 4)
     else:
-        word_sizes = sized(1, 0, buckets, "size")
-    words = spark.sparkContext.broadcast(Filter.of(shift, 0, word_sizes, single.select("bucket", "block").toLocalIterator()))
+        words = spark.sparkContext.broadcast(Filter.of(shift, 0, word_sizes, single.toLocalIterator()))
+    means = level_means()
 
-    def add_up(exact, grams, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    def add_up(exact, grams, texts: list[bytes], levels: np.ndarray | None) -> tuple[np.ndarray, ...]:
         h, before, sizes = tokens(texts)
         owner = np.repeat(np.arange(len(texts)), sizes)
         uniq, back = np.unique(h, return_inverse=True)
@@ -311,15 +309,15 @@ def score(
         bucket = ranges(uniq, shift)
         mine = (bucket >= low) & (bucket < high)
         base = np.where(mine, np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)[back]
-        seen = words.value.counts(uniq)
-        alone = ((seen + 0.1) / (total + 0.1 * (distinct + 1)))[back]
+        seen = words.value.counts(uniq)[back] if levels is None else means[levels]
+        alone = (seen + 0.1) / (total + 0.1 * (distinct + 1))
         key = pairs(before, h)
         here = grams.covers(key)
         both = np.zeros(len(h))
         both[here] = grams.counts(key[here])
         first = before == np.uint64(BEGIN)
         left = np.empty(len(h))
-        left[1:] = seen[back][:-1]
+        left[1:] = seen[:-1]
         left[first] = starts
         share = np.minimum(both, left) / np.maximum(left, 1)
         p = np.where(left > 0, weight * share + (1 - weight) * alone, alone)
@@ -346,16 +344,23 @@ def score(
         grams = Filter.of(shift, low, sized(2, low, high, "size"), rows.where("gram = 2").select("bucket", "block").toLocalIterator())
         sent = spark.sparkContext.broadcast(((known, counts, low, high), grams))
 
-        @F.arrow_udf(kind)
-        def of(texts: pa.Array) -> pa.Array:
+        def summed(batch: pa.RecordBatch) -> pa.Array:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            batch = pa.record_batch([texts], ["text"])
             for some in small_batches(iter([batch]), CHUNK):
-                for column, value in zip(out, add_up(*sent.value, some.column(0).to_pylist()), strict=True):
+                levels = _unpacked(some.column(1).to_pylist()) if looked else None
+                for column, value in zip(out, add_up(*sent.value, some.column(0).to_pylist(), levels), strict=True):
                     column.append(value)
             return pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else []) for c in out], names)
 
-        return of(raw(text_col)), sent
+        @F.arrow_udf(kind)
+        def of(texts: pa.Array) -> pa.Array:
+            return summed(pa.record_batch([texts], ["text"]))
+
+        @F.arrow_udf(kind)
+        def of_both(texts: pa.Array, levels: pa.Array) -> pa.Array:
+            return summed(pa.record_batch([texts, levels], ["text", "levels"]))
+
+        return of_both(raw(text_col), F.col("levels")) if looked else of(raw(text_col)), sent
 
     sizes = [12 * n + size for n, size in zip(sized(1, 0, buckets, "n"), sized(2, 0, buckets, "size"), strict=True)]
     plan = _rounds(sizes, most * 3 // 4)
@@ -376,6 +381,44 @@ def score(
     return rows.join(sums, ["k1", "k2"]).select(*[f"own.{n}" for n in own], *names), total, distinct
 
 
+def _unpacked(rows: list[list[bytes]]) -> np.ndarray:
+    """The levels of all tokens, one text after the other; of a token one round has the level, the others 0."""
+    flat = zstandard.ZstdDecompressor()
+    each = [np.sum([np.frombuffer(flat.decompress(r), np.uint8) for r in row], axis=0, dtype=np.uint8) for row in rows]
+    return np.concatenate(each) if each else np.zeros(0, np.uint8)
+
+
+def _look_up(
+    docs: DataFrame, keys: list[Column], text_col: str, blocks: DataFrame, shift: int, sizes: list[int], most: int
+) -> tuple[DataFrame, list[Column], str]:
+    """(rows (own, text, levels), their keys, the name of the text): the levels of the tokens' unigrams, in rounds."""
+    text = raw(text_col)
+    parts = []
+    for low, high in _rounds(sizes, most):
+        rows = blocks.where((F.col("bucket") >= low) & (F.col("bucket") < high))
+        sent = docs.sparkSession.sparkContext.broadcast(Filter.of(shift, low, sizes[low:high], rows.toLocalIterator()))
+
+        @F.arrow_udf("binary")
+        def of(texts: pa.Array) -> pa.Array:
+            squeeze, out = zstandard.ZstdCompressor(level=1).compress, []
+            for some in small_batches(iter([pa.record_batch([texts], ["text"])]), CHUNK):
+                h, _, n = tokens(some.column(0).to_pylist())
+                uniq, back = np.unique(h, return_inverse=True)
+                here = sent.value.covers(uniq)
+                found = np.zeros(len(uniq), np.uint8)
+                found[here] = sent.value.levels(uniq[here])
+                out += [squeeze(x.tobytes()) for x in np.split(found[back], np.cumsum(n)[:-1])]
+            return pa.array(out, pa.binary())
+
+        each = docs.select(*content_key(text), of(text).alias("levels"))
+        parts.append(cut(each.groupBy("k1", "k2").agg(F.first("levels").alias("levels"))))
+        sent.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.collect_list("levels").alias("levels"))
+    own = docs.select(F.struct(*keys).alias("own"), F.col(text_col).alias("text"), *content_key(text))
+    out = cut(own.join(every, ["k1", "k2"]).select("own", "text", "levels"))
+    return out, [F.col(f"own.{n}").alias(n) for n in _names(docs, keys)], "text"
+
+
 def _names(docs: DataFrame, keys: list[Column]) -> list[str]:
     return docs.select(*keys).columns
 
