@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from coloom.llm import ann, chat, decontaminate, language, lm, pieces, pii, repeats, secrets, simhash
+from coloom.llm import ann, chat, decontaminate, language, lm, negatives, packing, pieces, pii, prefixes, repeats, secrets, simhash
 
 QUERIES = {
     "op1_nearest_neighbours": ann.op1_nearest_neighbours,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_language_id": language.op10_language_id,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_conversation_prefixes": prefixes.op12_conversation_prefixes,
+    "op13_best_fit_packing": packing.op13_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +28,6 @@ ORACLES = {
     "op6_chat_format": chat.OP6_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op8_personal_data": pii.sql(),
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_conversation_prefixes": prefixes.OP12_SQL,
 }
