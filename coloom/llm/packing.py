@@ -26,102 +26,160 @@ no rows.  Columns of ``docs`` other than id and text are ignored, whatever their
 
 from __future__ import annotations
 
+import json
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.llm.common import raw, small_batches, table
 from coloom.session import cut
 
-#: Words a task remembers, and the longest it remembers in bytes.
-REMEMBERED, LONGEST = 1 << 20, 48
-#: Bytes of texts in a batch, and of words that the library gets at once, about.
-BATCH, TOGETHER = 4 << 20, 1 << 15
+#: Pieces of words a task remembers.
+REMEMBERED = 1 << 20
+#: Bytes of texts in a batch, about, and pieces of documents in one that goes out.
+BATCH, PIECES_OUT = 16 << 20, 1 << 14
+# How the tokenizer file normalises and cuts.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose normal form is their lower case, and the same cuts over them.
+PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1 ..  of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Ragged:
+    """Lists of numbers: all of them, and where each list starts."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes = flat, sizes.astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, items: np.ndarray, sizes: np.ndarray) -> Ragged:
+        """The lists that ``items`` name, joined as many at a time as ``sizes`` says."""
+        flat = self.flat[_runs(self.first[items], self.sizes[items])]
+        total = np.concatenate([[0], np.cumsum(self.sizes[items])])
+        ends = np.cumsum(sizes)
+        return Ragged(flat, total[ends] - total[ends - sizes])
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of the texts, those of each text by number, and how many it has."""
+    words = pc.ascii_split_whitespace(texts)
+    coded = words.flatten().dictionary_encode()
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), sizes
 
 
 class WordIds:
-    """Token ids as little-endian unsigned 32-bit numbers, by words between ASCII white space.
+    """Token ids of texts, made for their different words.
 
     The tokenizer must take white space as a border that it drops, as those do whose
-    pre-tokens hold none.
+    pre-tokens hold none; then a word has the same ids wherever it stands.  Where the
+    tokenizer cuts words as ``CUTS`` does, words of ``PLAIN`` letters are cut here and
+    their pieces go to its model, unless remembered; all other words go to the library.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        before = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = before[0].get("pattern", {}).get("Regex")
+        self.cuts = normal == NORMAL and pattern == CUTS and before[-1]["type"] == "ByteLevel" and spec["model"]["type"] == "BPE"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        # Ids are kept as bytes, which the garbage collector does not visit.
+        self.known: dict[str, bytes] = {"": b""}
 
     def of_text(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Remember ``words``, tokenised in one go with a space between."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        ids = np.array(got.ids, "<u4").tobytes()
-        starts = np.array([a for a, _ in got.offsets], np.int64)
-        cuts = (4 * np.searchsorted(starts, ends)).tolist()
-        for word, a, b in zip(words, [0, *cuts], cuts):
-            self.known[word] = ids[a:b]
-
-    def of_batch(self, texts: list[bytes]) -> Iterator[bytes]:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of_piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _of_each(self, items: pa.Array, make) -> Ragged:
+        known = self.known if make == self._of_piece else {}
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = []
+        for item in items.to_pylist():
+            ids = known.get(item)
+            if ids is None:
+                ids = known[item] = make(item)
+            found.append(ids)
+        return Ragged(np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+
+    def _of_words(self, words: pa.Array) -> Ragged:
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) if self.cuts else np.zeros(len(words), bool)
+        for token in self.special:
+            plain &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        rest = self._of_each(words.filter(pa.array(~plain)), self.of_text)
+        cut_up = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), PIECES, r"\1 ")
+        pieces_, numbers, sizes = _split(cut_up)
+        mine = self._of_each(pieces_, self._of_piece).joined(numbers, sizes)
+        # Back into the order of the words.
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), kind="stable")
+        both = Ragged(np.concatenate([mine.flat, rest.flat]), np.concatenate([mine.sizes, rest.sizes]))
+        return both.joined(order, np.ones(len(order), np.int64))
+
+    def of_batch(self, texts: pa.Array) -> Ragged:
         """The ids of each text."""
-        split = [t.split() for t in texts]
-        every = set().union(*split)
-        new = [w for w in every.difference(self.known) if len(w) <= LONGEST]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = [w for w in every if len(w) <= LONGEST]
-        some, size = [], 0
-        for word in new:
-            some.append(word)
-            size += len(word)
-            if size > TOGETHER:
-                self._learn(some)
-                some, size = [], 0
-        if some:
-            self._learn(some)
-        known = self.known
-        for words in split:
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                yield b"".join([known[w] if w in known else self.of_text(w.decode("utf-8", "replace")) for w in words])
+        words, numbers, sizes = _split(pc.cast(texts, pa.string(), safe=False))
+        return self._of_words(words).joined(numbers, sizes)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, end: int = 0) -> DataFrame:
     """(id, piece, start, length, ids) of each piece; ids are little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
-    last = np.array([end], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:
             for part in small_batches([batch], BATCH):
-                own, piece, start, ids = [], [], [], []
-                for row, found in enumerate(words.of_batch(part.column("text").to_pylist())):
-                    whole = found + last
-                    for k, a in enumerate(range(0, len(whole), 4 * most)):
-                        own.append(row)
-                        piece.append(k)
-                        start.append(a // 4)
-                        ids.append(whole[a : a + 4 * most])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").take(pa.array(own, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array([len(i) // 4 for i in ids], pa.int32()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["id", "piece", "start", "length", "ids"],
-                )
+                found = words.of_batch(part.column("text"))
+                flat = np.insert(found.flat, np.cumsum(found.sizes), end).astype("<u4")
+                sizes = found.sizes + 1
+                n = -(-sizes // most)
+                own = np.repeat(np.arange(len(n)), n)
+                piece = _runs(np.zeros(len(n), np.int64), n)
+                length = np.minimum(most, sizes[own] - piece * most)
+                first = np.cumsum(length) - length
+                for at in range(0, len(own), PIECES_OUT):
+                    some = slice(at, at + PIECES_OUT)
+                    ends = np.concatenate([[0], 4 * np.cumsum(length[some])]).astype(np.int32)
+                    data = flat[first[at] : first[at] + ends[-1] // 4].tobytes()
+                    ids = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("id").take(pa.array(own[some])),
+                            pa.array(piece[some].astype(np.int32)),
+                            pa.array(piece[some] * most),
+                            pa.array(length[some].astype(np.int32)),
+                            ids,
+                        ],
+                        ["id", "piece", "start", "length", "ids"],
+                    )
 
     rows = docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text"))
     return rows.mapInArrow(cut_up, f"id {kind}, piece int, start long, length int, ids binary")

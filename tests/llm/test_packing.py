@@ -5,6 +5,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,18 +43,29 @@ def filled(rows, most):
     return out
 
 
+def ids_of(words, texts):
+    found = words.of_batch(pa.array([t.encode() for t in texts], pa.binary()))
+    assert found.sizes.sum() == len(found.flat)
+    return [found.flat[a : a + n].tobytes() for a, n in zip(found.first, found.sizes)]
+
+
 def test_word_ids():
     words = K.WordIds(PATH)
-    texts = [t.encode() for t in ODD] * 2
-    assert list(words.of_batch(texts)) == [words.of_text(t.decode()) for t in texts]
+    assert words.cuts
+    rnd = random.Random(1)
+    letters = [chr(c) for c in (*range(33, 127), *range(192, 256))] + list("aeiousaeiou") + ["'", "²", "×", "ª", "Ÿ", "中"]
+    made = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(6000)]
+    for texts in (ODD * 2, made, [" ".join(made)], [], [""]):
+        assert ids_of(words, texts) == [words.of_text(t) for t in texts]
+    other = K.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.cuts
 
 
 def test_few_remembered(monkeypatch):
     monkeypatch.setattr(K, "REMEMBERED", 5)
-    monkeypatch.setattr(K, "TOGETHER", 4)
     words = K.WordIds(PATH)
     for t in ODD + ["one two three four five six seven", "seven eight nine"]:
-        assert list(words.of_batch([t.encode()])) == [words.of_text(t)]
+        assert ids_of(words, [t]) == [words.of_text(t)]
 
 
 @pytest.mark.parametrize("seed", range(12))
