@@ -30,6 +30,7 @@ import json
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from coloom.llm.common import raw, small_batches, table
 from coloom.session import cut
 
-#: Pieces of words a task remembers.
-REMEMBERED = 1 << 20
+#: Pieces of words a worker remembers.
+REMEMBERED = 1 << 19
 #: Bytes of texts in a batch, about, and pieces of documents in one that goes out.
 BATCH, PIECES_OUT = 16 << 20, 1 << 14
 # How the tokenizer file normalises and cuts.
@@ -149,12 +150,18 @@ class WordIds:
         return self._of_words(words).joined(numbers, sizes)
 
 
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker process, with what it remembers."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, end: int = 0) -> DataFrame:
     """(id, piece, start, length, ids) of each piece; ids are little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = _word_ids(path)
         for batch in batches:
             for part in small_batches([batch], BATCH):
                 found = words.of_batch(part.column("text"))
