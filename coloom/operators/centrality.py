@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coloom.operators.colocation import shared, symmetric
-from coloom.operators.neighbors import neighbor_sums
+from coloom.operators.neighbors import NARROW, few_groups, meetings, neighbor_sums, signatures, subsets
 from coloom.session import cut
 
 DAMPING = 0.85
@@ -105,68 +105,110 @@ def transitivity_share(m: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(edges: DataFrame, n_nodes: int, as_coded: bool = False, block: int = 4096) -> DataFrame:
+def betweenness(m: DataFrame, n_nodes: int, as_coded: bool = False, block: int = 4096, narrow: int = NARROW) -> DataFrame:
     """(node, betweenness): shortest-path betweenness from every source.
 
-    Breadth-first waves and their back-propagation run as joins over
-    (source, node) rows, so sources and nodes spread over the cluster and no task
-    holds the graph.  Sources are taken in blocks of about ``block``, so the rows
-    held at a time are those of one block; every source has its turn.  Each wave
-    is written out.  The usual scale counts an unordered pair once;
-    ``as_coded=True`` counts it twice.
+    ``m`` holds memberships (node, clique); an edge table (src, dst) is taken as groups of
+    two.  No pair of a group is formed:
+
+    * Nodes in the same groups are twins.  They are on no path of one another, and all of them
+      lie on as many others; a class of twins is one node with a weight.
+    * Paths go from class to hub to class.  A hub is a set of groups that two classes or more are
+      in together.  Classes may share several groups, and that is one edge; so sums over
+      hubs are signed by inclusion and exclusion.  A class of more than ``narrow`` groups has a
+      hub of its own with each class it meets.
+    * A hub is on the way of a source once, in the wave that reaches it first.
+
+    Breadth-first waves and their back-propagation run as joins over (source, class) and
+    (source, hub) rows, so they spread over the cluster and no task holds the graph.  Sources
+    are taken in blocks of about ``block`` classes, so the rows held at a time are those of one
+    block; every source has its turn.  Each wave is written out.  The usual scale counts an
+    unordered pair once; ``as_coded=True`` counts it twice.
     """
-    arcs = cut(symmetric(edges.select("src", "dst")))
-    start = arcs.select("src").distinct()
+    if "clique" not in m.columns:
+        edge = F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        m = m.select(F.explode(F.array("src", "dst")).alias("node"), edge.alias("clique")).distinct()
+    s = m if "n" in m.columns else cut(shared(m))
+    own, classes, arcs = _hubs(s, narrow)
+    start = classes.select("v", "weight")
     blocks = max(1, -(-start.count() // block))
-    total = start.select(F.col("src").alias("node"), F.lit(0.0).alias("dep"))
+    total = start.select("v", F.lit(0.0).alias("dep"))
     for i in range(blocks):
-        some = start if blocks == 1 else start.where(F.pmod(F.xxhash64("src"), F.lit(blocks)) == i)
-        part = _dependencies(arcs, some)
+        some = start if blocks == 1 else start.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == i)
+        part = _dependencies(classes.select("v", "weight"), arcs, some)
         if part is not None:
             total = total.unionByName(part)
-            if blocks > 1:  # one small table of nodes instead of all waves so far
-                total = cut(total.groupBy("node").agg(F.sum("dep").alias("dep")))
+            if blocks > 1:  # one small table of classes instead of all waves so far
+                total = cut(total.groupBy("v").agg(F.sum("dep").alias("dep")))
     pairs = (n_nodes - 1) * (n_nodes - 2)
     scale = (2.0 if as_coded else 1.0) / pairs if pairs > 0 else 1.0
-    return total.groupBy("node").agg((F.sum("dep") * scale).alias("betweenness"))
-
-
-def _dependencies(arcs: DataFrame, sources: DataFrame) -> DataFrame | None:
-    """(node, dep): how much each node lies on the shortest paths from ``sources(src)``; None without a path."""
-    waves = [cut(sources.select(F.col("src").alias("s"), F.col("src").alias("v"), F.lit(1.0).alias("paths")))]
-    seen = waves[0].select("s", "v")
+    by_class = total.groupBy("v").agg((F.sum("dep") * scale).alias("betweenness"))
+    return own.join(classes.select("sig", "v"), "sig").join(by_class, "v").select("node", "betweenness")
+
+
+def _hubs(s: DataFrame, narrow: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes (node, sig), the classes of twins (sig, v, weight), and the arcs (v, hub, sign) to what these meet at."""
+    groups = s.select("node", F.to_json(F.struct("clique")).alias("g"))
+    own = cut(signatures(groups))
+    ids = cut(own.groupBy("sig").agg(F.min("node").alias("v"), F.count(F.lit(1)).cast("double").alias("weight")))
+    of_sig = groups.join(ids.select(F.col("v").alias("node"), "sig"), "node").select("sig", "g")
+    of_sig = cut(of_sig)
+    subs = subsets(few_groups(of_sig, narrow)).select("sig", F.xxhash64("sub").alias("hub"), F.xxhash64(F.lit(1), "sub").alias("hub2"), F.when(F.size("sub") % 2 == 1, 1).otherwise(-1).alias("sign"))
+    # A wide class and each other class that it meets, once.
+    met = meetings(of_sig, narrow).where((F.col("o.h") <= narrow) | (F.to_json("w") < F.to_json("o")))
+    both = met.select(F.explode(F.array("w", "o")).alias("sig"), F.xxhash64("w", "o").alias("hub"), F.xxhash64(F.lit(1), "w", "o").alias("hub2"), F.lit(1).alias("sign"))
+    every = subs.unionByName(both).join(ids.select("sig", "v"), "sig").select("v", F.struct("hub", "hub2").alias("hub"), "sign")
+    every = cut(every)
+    used = every.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hub")
+    return own, ids, cut(every.join(used, "hub"))
+
+
+def _dependencies(classes: DataFrame, arcs: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """(v, dep): how much a node of each class lies on the shortest paths from the nodes of ``sources``; None without a path.
+
+    Paths and shares are those of one node of the source's class and count for all of them.
+    """
+    one = F.lit(1.0)
+    waves = [cut(sources.select(F.col("v").alias("s"), F.col("weight").alias("times"), "v", one.alias("weight"), one.alias("paths")))]
+    reached = []
     while True:
+        hubs = waves[-1].join(arcs, "v").groupBy("s", "times", "hub").agg(F.sum(F.col("weight") * F.col("paths")).alias("paths"))
+        if reached:  # a hub of this wave's classes was reached by it, or by the wave before
+            hubs = hubs.join(reached[-1].select("s", "hub"), ["s", "hub"], "left_anti")
+        hubs = cut(hubs)
         step = (
-            waves[-1]
-            .join(arcs, F.col("v") == F.col("src"))
-            .select("s", F.col("dst").alias("v"), "paths")
-            .groupBy("s", "v")
-            .agg(F.sum("paths").alias("paths"))
-            .join(seen, ["s", "v"], "left_anti")
+            hubs.join(arcs, "hub")
+            .groupBy("s", "times", "v")
+            .agg(F.sum(F.col("sign") * F.col("paths")).alias("paths"))
+            .join(waves[-1].select("s", "v"), ["s", "v"], "left_anti")
+            .join(classes, "v")
+            .select("s", "times", "v", "weight", "paths")
         )
         step = cut(step)
         if step.isEmpty():
             break
+        reached.append(hubs)
         waves.append(step)
-        # A neighbour of wave i is in wave i - 1, i or i + 1, so two waves are enough.
-        seen = waves[-2].select("s", "v").unionByName(waves[-1].select("s", "v"))
     total = None
-    credit = waves[-1].select("s", "v", "paths", F.lit(0.0).alias("dep"))
+    credit = waves[-1].withColumn("dep", F.lit(0.0))
     for i in range(len(waves) - 1, 0, -1):
-        part = credit.select(F.col("v").alias("node"), "dep")
+        part = credit.select("v", (F.col("times") * F.col("dep")).alias("dep"))
         total = part if total is None else total.unionByName(part)
         if i == 1:
             break
         give = (
-            credit.select("s", F.col("v").alias("w"), ((1 + F.col("dep")) / F.col("paths")).alias("share"))
-            .join(arcs.withColumnRenamed("src", "w"), "w")
-            .select("s", F.col("dst").alias("v"), "share")
-            .groupBy("s", "v")
+            credit.select("s", "v", (F.col("weight") * (1 + F.col("dep")) / F.col("paths")).alias("share"))
+            .join(arcs, "v")
+            .groupBy("s", "hub")
             .agg(F.sum("share").alias("share"))
+            .join(reached[i - 1].select("s", "hub"), ["s", "hub"], "left_semi")
+            .join(arcs, "hub")
+            .groupBy("s", "v")
+            .agg(F.sum(F.col("sign") * F.col("share")).alias("share"))
         )
         credit = cut(
             waves[i - 1]
             .join(give, ["s", "v"], "left")
-            .select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dep"))
+            .select("s", "times", "v", "weight", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dep"))
         )
     return total

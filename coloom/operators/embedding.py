@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.operators.centrality import global_rank, two_hop_walks
-from coloom.operators.colocation import members, pairs, shared, symmetric
-from coloom.operators.neighbors import FANOUT, decayed_sums, neighbor_sums
+from coloom.operators.colocation import members, shared
+from coloom.operators.neighbors import FANOUT, decayed_sums, neighbor_sums, threshold_sums
 from coloom.session import cut
 
 
@@ -195,29 +195,50 @@ def project(features: DataFrame, cols: Sequence[str], mean, std, weights) -> Dat
     )
 
 
-def attention(m: DataFrame, hidden: DataFrame, d: int, slope: float = 0.2) -> DataFrame:
-    """(node, att_0..): softmax-weighted neighbour mean of ``g``.
+def attention_sums(m: DataFrame, rows: DataFrame, cols: Sequence[str], slope: float = 0.2, **kw) -> DataFrame:
+    """(node, total, <cols>..): neighbour sums weighted by exp(LeakyReLU(s + t)), for nodes with a neighbour.
 
-    The score of an edge is LeakyReLU(s + t).  Scores are shifted by their bound
-    over all nodes, which leaves the weights unchanged and saves a pass for the
-    row maximum.  A node without neighbours keeps its own ``g``.  A score belongs
-    to one pair, so the edges are written out, large groups in blocks.
+    ``rows(node, s, t, *cols)``: s is a node's own score, t its score as a neighbour.  LeakyReLU
+    has two slopes, so a weight is a product of a part in s and a part in t on either side
+    of t = -s, and two running sums over the neighbours in the order of t give the total; no
+    pair is formed.  Weights are divided by their bound over all nodes, exp(LeakyReLU(s + max t)),
+    which quotients of two such sums do not notice.
     """
-    leaky = lambda e: F.when(e > 0, e).otherwise(e * slope)
-    top = hidden.agg(F.max("t")).scalar()
-    arcs = symmetric(pairs(m))
-    scored = (
-        arcs.join(hidden.select(F.col("node").alias("src"), "s"), "src")
-        .join(hidden.select(F.col("node").alias("dst"), "t", "g"), "dst")
-        .withColumn("top", top)
-        .withColumn("w", F.exp(leaky(F.col("s") + F.col("t")) - leaky(F.col("s") + F.col("top"))))
+    names = ["total", *cols]
+    top = rows.agg(F.max("t").alias("top"))
+    every = rows.withColumn("top", top.scalar()).withColumn("total", F.lit(1.0))
+    steep, flat = F.exp(F.col("t") - F.col("top")), F.exp(F.lit(slope) * (F.col("t") - F.col("top")))
+    ready = cut(
+        every.select(
+            "node",
+            F.col("t").alias("x"),
+            (-F.col("s")).alias("at"),
+            (F.col("s") + F.col("top")).alias("reach"),
+            *[(flat * F.col(c)).alias(f"l_{c}") for c in names],
+            *[(steep * F.col(c)).alias(f"h_{c}") for c in names],
+        )
     )
-    pulled = scored.groupBy(F.col("src").alias("node")).agg(
-        F.sum("w").alias("total"), *[F.sum(F.col("w") * F.col("g")[i]).alias(f"a_{i}") for i in range(d)]
+    sums = threshold_sums(m, ready.drop("reach"), [f"l_{c}" for c in names], [f"h_{c}" for c in names], **kw)
+    reach = F.col("reach")
+    bound = F.when(reach > 0, reach).otherwise(reach * slope)
+    above, below = F.exp(reach - bound), F.exp(reach * slope - bound)
+    return sums.join(ready.select("node", "reach"), "node").select(
+        "node", *[(above * F.col(f"h_{c}") + below * F.col(f"l_{c}")).alias(c) for c in names]
     )
-    return hidden.select("node", "g").join(pulled, "node", "left").select(
+
+
+def attention(m: DataFrame, hidden: DataFrame, d: int, slope: float = 0.2, **kw) -> DataFrame:
+    """(node, att_0..): softmax-weighted neighbour mean of ``g``, over ``hidden(node, g, s, t)``.
+
+    The score of an edge is LeakyReLU(s + t).  A node without neighbours keeps its own ``g``.
+    """
+    names = [f"g_{i}" for i in range(d)]
+    wide = hidden.select("node", "s", "t", *[F.col("g")[i].alias(n) for i, n in enumerate(names)])
+    pulled = attention_sums(m, wide, names, slope, **kw)
+    own = wide.select("node", *[F.col(n).alias(f"own_{i}") for i, n in enumerate(names)])
+    return own.join(pulled, "node", "left").select(
         "node",
-        *[F.tanh(F.coalesce(F.col(f"a_{i}") / F.col("total"), F.col("g")[i])).alias(f"att_{i}") for i in range(d)],
+        *[F.tanh(F.coalesce(F.col(n) / F.col("total"), F.col(f"own_{i}"))).alias(f"att_{i}") for i, n in enumerate(names)],
     )
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.operators.colocation import members, pairs, shared, symmetric
@@ -49,24 +49,14 @@ def neighbor_sums(
         return _sum_pairs(near, values, cols).groupBy("node").agg(*_totals(cols))
     sums = ["one", *cols]
 
-    # Two 64-bit sums over the groups and their number stand for the set of groups.
-    own = large.groupBy("node").agg(
-        F.struct(
-            F.count(F.lit(1)).alias("h"), F.bit_xor(F.xxhash64("g")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "g")).alias("b")
-        ).alias("sig")
-    )
+    own = signatures(large)
     if cols:
         own = own.join(values.select("node", *cols), "node", "left").na.fill(0, cols)
     own = own.withColumn("one", F.lit(1).cast("long"))
     sigs = cut(own.groupBy("sig").agg(F.min("node").alias("node"), *[F.sum(c).alias(c) for c in sums]))
     of_sig = large.join(sigs.select("node", "sig"), "node").select("sig", "g")
-    few = of_sig.where(F.col("sig.h") <= narrow).groupBy("sig").agg(F.array_sort(F.collect_list("g")).alias("groups"))
-
-    subsets = F.expr(
-        "transform(sequence(1, shiftleft(1, size(groups)) - 1),"
-        " b -> filter(groups, (g, i) -> (shiftright(b, i) & 1) = 1))"
-    )
-    by_subset = few.join(sigs.drop("node"), "sig").select("sig", *sums, F.explode(subsets).alias("sub"))
+    few = few_groups(of_sig, narrow)
+    by_subset = subsets(few).join(sigs.drop("node"), "sig")
     overlap = by_subset.groupBy("sub").agg(*[F.sum(c).alias(f"at_{c}") for c in sums])
     sign = F.when(F.size("sub") % 2 == 1, 1).otherwise(-1)
     reach = (
@@ -76,9 +66,7 @@ def neighbor_sums(
         .agg(*[F.sum(sign * F.col(f"at_{c}")).alias(c) for c in sums])
     )
 
-    # Signatures of many groups meet the signatures they share a group with, themselves too.
-    wide = of_sig.where(F.col("sig.h") > narrow).select(F.col("sig").alias("w"), "g")
-    meets = cut(wide.join(of_sig.select(F.col("sig").alias("o"), "g"), "g").select("w", "o").distinct())
+    meets = cut(meetings(of_sig, narrow))
     from_wide = (
         meets.join(sigs.select(F.col("sig").alias("o"), *sums), "o").select(F.col("w").alias("sig"), *sums)
     ).unionByName(
@@ -89,18 +77,54 @@ def neighbor_sums(
     reach = reach.unionByName(from_wide).groupBy("sig").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
     from_large = own.join(reach, "sig").select("node", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in sums])
 
-    # Pairs from small groups that no large group already covers.
+    rest = uncovered(near, own, few, meets)
+    parts = _sum_pairs(rest, values, cols).unionByName(from_large)
+    return parts.groupBy("node").agg(*_totals(cols)).where("degree > 0")
+
+
+def signatures(groups: DataFrame) -> DataFrame:
+    """(node, sig) of ``groups(node, g)``; nodes in the same set of groups share a signature.
+
+    Two 64-bit sums over the groups and their number stand for the set.
+    """
+    return groups.groupBy("node").agg(
+        F.struct(
+            F.count(F.lit(1)).alias("h"), F.bit_xor(F.xxhash64("g")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "g")).alias("b")
+        ).alias("sig")
+    )
+
+
+def few_groups(of_sig: DataFrame, narrow: int = NARROW) -> DataFrame:
+    """(sig, groups) of the signatures of at most ``narrow`` groups."""
+    return of_sig.where(F.col("sig.h") <= narrow).groupBy("sig").agg(F.array_sort(F.collect_list("g")).alias("groups"))
+
+
+def subsets(few: DataFrame) -> DataFrame:
+    """(sig, sub): each set of groups, except none, of each signature."""
+    every = F.expr(
+        "transform(sequence(1, shiftleft(1, size(groups)) - 1),"
+        " b -> filter(groups, (g, i) -> (shiftright(b, i) & 1) = 1))"
+    )
+    return few.select("sig", F.explode(every).alias("sub"))
+
+
+def meetings(of_sig: DataFrame, narrow: int = NARROW) -> DataFrame:
+    """(w, o): signatures of many groups meet the signatures they share a group with, themselves too."""
+    wide = of_sig.where(F.col("sig.h") > narrow).select(F.col("sig").alias("w"), "g")
+    return wide.join(of_sig.select(F.col("sig").alias("o"), "g"), "g").select("w", "o").distinct()
+
+
+def uncovered(near: DataFrame, own: DataFrame, few: DataFrame, meets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) from small groups that no large group already covers."""
     sig_of = own.select("node", "sig").join(few, "sig", "left")
     both_ways = meets.unionByName(meets.select(F.col("o").alias("w"), F.col("w").alias("o"))).distinct()
-    rest = (
+    return (
         near.join(sig_of.withColumnsRenamed({"node": "src", "sig": "w", "groups": "s_groups"}), "src", "left")
         .join(sig_of.withColumnsRenamed({"node": "dst", "sig": "o", "groups": "d_groups"}), "dst", "left")
         .where(~F.coalesce(F.arrays_overlap("s_groups", "d_groups"), F.lit(False)))
         .join(both_ways, ["w", "o"], "left_anti")
         .select("src", "dst")
     )
-    parts = _sum_pairs(rest, values, cols).unionByName(from_large)
-    return parts.groupBy("node").agg(*_totals(cols)).where("degree > 0")
 
 
 def _totals(cols: Sequence[str]):
@@ -118,6 +142,88 @@ def _sum_pairs(pairs: DataFrame, values: DataFrame | None, cols: Sequence[str])
     )
 
 
+def threshold_sums(
+    m: DataFrame,
+    rows: DataFrame,
+    low: Sequence[str],
+    high: Sequence[str],
+    fanout: int = FANOUT,
+    narrow: int = NARROW,
+    buckets: int = 64,
+) -> DataFrame:
+    """(node, <low>.., <high>..): sums over the distinct neighbours on either side of a node's own threshold.
+
+    ``rows(node, x, at, *low, *high)`` has every node of ``m`` once.  For node i the
+    columns ``low`` are summed over the neighbours j with x_j <= at_i, ``high`` over those
+    with x_j > at_i.
+
+    Unions of groups are taken apart as in ``neighbor_sums``.  A set of groups is sorted by
+    x with the thresholds between, and running sums are read at the thresholds; equal x are
+    one row.  The order is cut into buckets by x whose totals are summed first, so one set
+    with all nodes is worked on by as many tasks.
+    """
+    s = m if "n" in m.columns else cut(shared(m))
+    cols = [*low, *high]
+    side = {c: F.col("x") <= F.col("at") for c in low} | {c: F.col("x") > F.col("at") for c in high}
+    near = symmetric(pairs(s.where(F.col("n") < fanout)))
+
+    def of_pairs(arcs: DataFrame) -> DataFrame:
+        both = arcs.join(rows.select(F.col("node").alias("src"), "at"), "src").join(rows.select(F.col("node").alias("dst"), "x", *cols), "dst")
+        return both.groupBy(F.col("src").alias("node")).agg(*[F.sum(F.when(side[c], F.col(c)).otherwise(0.0)).alias(c) for c in cols])
+
+    large = s.where(F.col("n") >= fanout).select("node", F.to_json(F.struct("clique")).alias("g"))
+    if large.isEmpty():
+        return of_pairs(near)
+    own = cut(signatures(large))
+    sigs = own.groupBy("sig").agg(F.min("node").alias("node"))
+    of_sig = cut(large.join(sigs, "node").select("sig", "g"))
+    few, meets = few_groups(of_sig, narrow), cut(meetings(of_sig, narrow))
+
+    # Who adds to a set, and who reads it, with which sign.
+    tag = lambda kind, sig: F.array(F.lit(kind), F.to_json(sig))
+    subs = cut(subsets(few).select("sig", F.concat(F.array(F.lit("s")), "sub").alias("key"), F.when(F.size("sub") % 2 == 1, 1).otherwise(-1).alias("sign")))
+    narrow_met = meets.where(F.col("o.h") <= narrow)
+    gives = (
+        subs.select("sig", "key")
+        .unionByName(meets.select(F.col("o").alias("sig"), tag("w", F.col("w")).alias("key")))
+        .unionByName(narrow_met.select(F.col("w").alias("sig"), tag("o", F.col("o")).alias("key")))
+    )
+    takes = subs.unionByName(meets.select(F.col("w").alias("sig"), tag("w", F.col("w")).alias("key"), F.lit(1).alias("sign")).distinct()).unionByName(
+        narrow_met.select(F.col("o").alias("sig"), tag("o", F.col("o")).alias("key"), F.lit(1).alias("sign")).distinct()
+    )
+    who = cut(own.join(rows, "node"))
+    points = who.groupBy("sig", "x").agg(*[F.sum(c).alias(c) for c in cols])
+    points = points.join(gives, "sig").groupBy("key", "x").agg(*[F.sum(c).alias(c) for c in cols]).withColumn("reads", F.lit(0))
+    asks = cut(who.select("sig", F.col("at").alias("x")).distinct().join(takes, "sig"))
+    marks = asks.select("key", "x", *[F.lit(0.0).alias(c) for c in cols], F.lit(1).alias("reads")).distinct()
+    steps = F.lit([i / buckets for i in range(1, buckets)])
+    borders = rows.agg(F.percentile_approx("x", steps, 10000)).scalar()
+    line = points.unionByName(marks).withColumn("borders", borders)
+    line = cut(line.withColumn("bucket", F.size(F.filter("borders", lambda b: b < F.col("x")))).drop("borders"))
+    along = Window.partitionBy("key", "bucket").orderBy("x", "reads").rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = line.groupBy("key", "bucket").agg(*[F.sum(c).alias(c) for c in cols])
+    cells = cells.select(
+        "key",
+        "bucket",
+        *[F.coalesce(F.sum(c).over(prior), F.lit(0.0)).alias(f"before_{c}") for c in cols],
+        *[F.sum(c).over(Window.partitionBy("key")).alias(f"all_{c}") for c in high],
+    )
+    upto = {c: F.col(f"before_{c}") + F.col(c) for c in cols}
+    read = (
+        line.select("key", "bucket", "x", "reads", *[F.sum(c).over(along).alias(c) for c in cols])
+        .where("reads = 1")
+        .join(cells, ["key", "bucket"])
+        .select("key", "x", *[upto[c].alias(c) for c in low], *[(F.col(f"all_{c}") - upto[c]).alias(c) for c in high])
+    )
+    told = asks.join(read, ["key", "x"]).groupBy("sig", F.col("x").alias("at")).agg(*[F.sum(F.col("sign") * F.col(c)).alias(f"t_{c}") for c in cols])
+    # A node does not count itself.
+    mine = {c: F.when(side[c], F.col(c)).otherwise(0.0) for c in cols}
+    from_large = who.join(told, ["sig", "at"]).select("node", *[(F.col(f"t_{c}") - mine[c]).alias(c) for c in cols])
+    parts = of_pairs(uncovered(near, own, few, meets)).unionByName(from_large)
+    return parts.groupBy("node").agg(*[F.sum(c).alias(c) for c in cols])
+
+
 def degrees(m: DataFrame, **kw) -> DataFrame:
     """(node, degree) for nodes with at least one neighbour."""
     return neighbor_sums(m, **kw)

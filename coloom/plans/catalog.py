@@ -486,15 +486,14 @@ def transitivity_share(spark, sf):
 
 @query
 def betweenness(spark, sf):
-    pairs = L.pairs(L.members(T.ship_visits(spark, sf), 0))
-    out = C.betweenness(pairs, _nodes(spark, sf).count())
+    out = C.betweenness(L.members(T.ship_visits(spark, sf), 0), _nodes(spark, sf).count())
     return tidy(out.select("node", (F.col("betweenness") * 1e6).alias("betweenness_ppm")))
 
 
 @query
 def top10_betweenness(spark, sf):
-    pairs = L.pairs(L.members(T.ship_visits(spark, sf), 0))
-    out = tidy(C.betweenness(pairs, _nodes(spark, sf).count()).withColumn("betweenness", F.col("betweenness") * 1e6))
+    m = L.members(T.ship_visits(spark, sf), 0)
+    out = tidy(C.betweenness(m, _nodes(spark, sf).count()).withColumn("betweenness", F.col("betweenness") * 1e6))
     return out.orderBy(F.desc("betweenness"), "node").limit(10)
 
 

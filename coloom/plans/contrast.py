@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coloom.operators.centrality import betweenness, local_rank, transitivity_share
-from coloom.operators.colocation import members, pairs, shared
+from coloom.operators.colocation import members, shared
 from coloom.operators.inference import cohens_d, mann_whitney
 from coloom.session import cut
 
@@ -25,7 +25,7 @@ def case_positions(
     out = out.join(closed, "node", "left")
     if paths:
         total = nodes.count() if n_nodes is None else n_nodes
-        out = out.join(betweenness(cut(pairs(s)), total), "node", "left")
+        out = out.join(betweenness(s, total), "node", "left")
     return out.na.fill(0).withColumnRenamed("node", "case_id")
 
 
