@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -497,6 +498,13 @@ def top10_betweenness(spark, sf):
     return out.orderBy(F.desc("betweenness"), "node").limit(10)
 
 
+@query
+def betweenness_band(spark, sf):
+    """On the graph of three days, where cases share several groups."""
+    out = C.betweenness(L.members(T.ship_visits(spark, sf), 3), _nodes(spark, sf).count())
+    return tidy(out.select("node", (F.col("betweenness") * 1e6).alias("betweenness_ppm")))
+
+
 # -- neighbour features -------------------------------------------------------
 
 
@@ -537,6 +545,26 @@ def gcn_propagation(spark, sf):
     return tidy(E.gcn_propagate(m, _values(spark, sf), ["balance", "nation"]))
 
 
+#: Fixed small weights of one attention pass: two inputs, two hidden values.
+ATTENTION = {"project": [[0.31, -0.27], [0.18, 0.42]], "mix": [[0.9, -0.4], [0.3, 0.7]], "attend": [1.3, -0.8, 0.6, 1.1]}
+
+
+def _hidden(spark, sf):
+    """(node, g, s, t) of the fixed weights, on balance in thousands and nation in tens."""
+    weights = {k: np.array(v) for k, v in ATTENTION.items()}
+    return cut(E.project(_values(spark, sf), ["balance", "nation"], [0.0, 0.0], [1000.0, 10.0], weights))
+
+
+@query
+def graph_attention(spark, sf):
+    return tidy(E.attention(L.members(T.ship_visits(spark, sf), 3), _hidden(spark, sf), 2))
+
+
+@query
+def crowd_attention(spark, sf):
+    return tidy(E.attention(_crowd(spark, sf), _hidden(spark, sf), 2))
+
+
 @query
 def structure_features(spark, sf):
     m = L.members(T.ship_visits(spark, sf), 0)

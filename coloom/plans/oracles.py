@@ -745,8 +745,8 @@ ORACLES["group_contrast"] = (
 )
 
 
-def _between(top: str = "") -> str:
-    return f"""WITH RECURSIVE {VISITS}, {band(0)}, reach(s, v, d) AS (
+def _between(top: str = "", k: int = 0) -> str:
+    return f"""WITH RECURSIVE {VISITS}, {band(k)}, reach(s, v, d) AS (
       SELECT DISTINCT src, src, 0 FROM arcs UNION SELECT reach.s, arcs.dst, reach.d + 1 FROM reach JOIN arcs ON arcs.src = reach.v WHERE reach.d < 30),
     dist AS (SELECT s, v, min(d) AS d FROM reach GROUP BY ALL),
     sp(s, t, path) AS (SELECT DISTINCT src, src, [src] FROM arcs
@@ -786,3 +786,26 @@ ORACLES["temporal_features"] = f"""WITH {VISITS}, {band(3)}, f AS (SELECT case_i
       {r('sin(2 * pi() * day / 30)')} AS day_sin, {r('cos(2 * pi() * day / 30)')} AS day_cos, {r('coalesce(prox, 0)')} AS proximity,
       {r('coalesce(degree, 0) / ((SELECT max(degree) FROM x) + 1e-9)')} AS degree_norm FROM x"""
 ORACLES["bundle_edges"] = ORACLES["relation_edge_counts"]
+
+
+def _attention(head: str) -> str:
+    """One pass of attention over all arcs, weights as literals."""
+    from coloom.plans.catalog import ATTENTION
+
+    (w00, w01), (w10, w11) = ATTENTION["project"]
+    (m00, m01), (m10, m11) = ATTENTION["mix"]
+    a0, a1, b0, b1 = ATTENTION["attend"]
+    return f"""WITH {head},
+    h AS (SELECT c_custkey AS node, tanh(c_acctbal / 1000.0 * {w00} + c_nationkey / 10.0 * {w10}) AS h0,
+                 tanh(c_acctbal / 1000.0 * {w01} + c_nationkey / 10.0 * {w11}) AS h1 FROM customer),
+    g AS (SELECT node, h0 * {m00} + h1 * {m10} AS g0, h0 * {m01} + h1 * {m11} AS g1 FROM h),
+    st AS (SELECT *, g0 * {a0} + g1 * {a1} AS s, g0 * {b0} + g1 * {b1} AS t FROM g),
+    e AS (SELECT a.node, exp(CASE WHEN a.s + b.t > 0 THEN a.s + b.t ELSE 0.2 * (a.s + b.t) END) AS w, b.g0, b.g1
+          FROM arcs JOIN st a ON a.node = src JOIN st b ON b.node = dst),
+    p AS (SELECT node, sum(w * g0) / sum(w) AS p0, sum(w * g1) / sum(w) AS p1 FROM e GROUP BY 1)
+    SELECT node, {r('tanh(coalesce(p0, g0))')} AS att_0, {r('tanh(coalesce(p1, g1))')} AS att_1 FROM st LEFT JOIN p USING (node)"""
+
+
+ORACLES["graph_attention"] = _attention(f"{VISITS}, {band(3)}")
+ORACLES["crowd_attention"] = _attention(f"{CROWD}, {band(0)}")
+ORACLES["betweenness_band"] = _between(k=3)
