@@ -195,36 +195,51 @@ def project(features: DataFrame, cols: Sequence[str], mean, std, weights) -> Dat
     )
 
 
-def attention_sums(m: DataFrame, rows: DataFrame, cols: Sequence[str], slope: float = 0.2, **kw) -> DataFrame:
-    """(node, total, <cols>..): neighbour sums weighted by exp(LeakyReLU(s + t)), for nodes with a neighbour.
+def attention_sides(m: DataFrame, rows: DataFrame, cols: Sequence[str], slope: float = 0.2, **kw) -> DataFrame:
+    """Neighbour sums weighted by exp(LeakyReLU(s + t)) in two parts, for nodes with a neighbour.
 
     ``rows(node, s, t, *cols)``: s is a node's own score, t its score as a neighbour.  LeakyReLU
     has two slopes, so a weight is a product of a part in s and a part in t on either side
     of t = -s, and two running sums over the neighbours in the order of t give the total; no
     pair is formed.  Weights are divided by their bound over all nodes, exp(LeakyReLU(s + max t)),
     which quotients of two such sums do not notice.
+
+    (node, above, below, steep, flat, l_total, l_<col>.., h_total, h_<col>..): a node's sum is
+    above * h + below * l; ``steep`` and ``flat`` are its own parts as a neighbour.
     """
     names = ["total", *cols]
     top = rows.agg(F.max("t").alias("top"))
-    every = rows.withColumn("top", top.scalar()).withColumn("total", F.lit(1.0))
-    steep, flat = F.exp(F.col("t") - F.col("top")), F.exp(F.lit(slope) * (F.col("t") - F.col("top")))
+    reach = F.col("s") + F.col("top")
+    bound = F.when(reach > 0, reach).otherwise(reach * slope)
     ready = cut(
-        every.select(
-            "node",
-            F.col("t").alias("x"),
-            (-F.col("s")).alias("at"),
-            (F.col("s") + F.col("top")).alias("reach"),
-            *[(flat * F.col(c)).alias(f"l_{c}") for c in names],
-            *[(steep * F.col(c)).alias(f"h_{c}") for c in names],
+        rows.withColumn("top", top.scalar())
+        .withColumn("total", F.lit(1.0))
+        .withColumns(
+            {
+                "x": F.col("t"),
+                "at": -F.col("s"),
+                "above": F.exp(reach - bound),
+                "below": F.exp(reach * slope - bound),
+                "steep": F.exp(F.col("t") - F.col("top")),
+                "flat": F.exp(F.lit(slope) * (F.col("t") - F.col("top"))),
+            }
+        )
+        .select(
+            *["node", "x", "at", "above", "below", "steep", "flat"],
+            *[(F.col("flat") * F.col(c)).alias(f"l_{c}") for c in names],
+            *[(F.col("steep") * F.col(c)).alias(f"h_{c}") for c in names],
         )
     )
-    sums = threshold_sums(m, ready.drop("reach"), [f"l_{c}" for c in names], [f"h_{c}" for c in names], **kw)
-    reach = F.col("reach")
-    bound = F.when(reach > 0, reach).otherwise(reach * slope)
-    above, below = F.exp(reach - bound), F.exp(reach * slope - bound)
-    return sums.join(ready.select("node", "reach"), "node").select(
-        "node", *[(above * F.col(f"h_{c}") + below * F.col(f"l_{c}")).alias(c) for c in names]
-    )
+    low, high = [f"l_{c}" for c in names], [f"h_{c}" for c in names]
+    sums = threshold_sums(m, ready.select("node", "x", "at", *low, *high), low, high, **kw)
+    return sums.join(ready.select("node", "above", "below", "steep", "flat"), "node")
+
+
+def attention_sums(m: DataFrame, rows: DataFrame, cols: Sequence[str], slope: float = 0.2, **kw) -> DataFrame:
+    """(node, total, <cols>..): the parts of ``attention_sides`` together."""
+    sides = attention_sides(m, rows, cols, slope, **kw)
+    whole = lambda c: F.col("above") * F.col(f"h_{c}") + F.col("below") * F.col(f"l_{c}")
+    return sides.select("node", *[whole(c).alias(c) for c in ("total", *cols)])
 
 
 def attention(m: DataFrame, hidden: DataFrame, d: int, slope: float = 0.2, **kw) -> DataFrame:
