@@ -15,6 +15,7 @@ from coloom.operators import centrality as C
 from coloom.operators import colocation as L
 from coloom.operators import embedding as E
 from coloom.operators import features as FT
+from coloom.operators import graph_networks as GN
 from coloom.operators import hetero as H
 from coloom.operators import inference as I
 from coloom.operators import metrics as M
@@ -565,6 +566,42 @@ def crowd_attention(spark, sf):
     return tidy(E.attention(_crowd(spark, sf), _hidden(spark, sf), 2))
 
 
+#: Fixed weights that one training step of each network starts from.
+GCN_START = {"W": [[0.31, -0.27], [0.18, 0.42]], "u": [0.8, -0.6], "b": [0.05]}
+GAT_START = {"W": [[0.31, -0.27], [0.18, 0.42]], "a1": [0.7, -0.4], "a2": [0.3, 0.9], "v": [0.8, -0.6], "b": [0.05]}
+
+
+def _one_step(spark, sf, kind, start):
+    """(name, i, j, gradient): the mean loss by each weight (in thousandths), and the loss itself.
+
+    Inputs are balance in thousands and nation in tens; the label is a debt.
+    """
+    table = T.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("node"),
+        (F.col("c_acctbal") < 0).cast("int").alias("label"),
+        F.when(F.col("c_custkey") % 10 < 7, "train").otherwise("test").alias("split"),
+        (F.col("c_acctbal") / 1000).alias("balance"),
+        (F.col("c_nationkey") / 10).alias("nation"),
+    )
+    net = GN.Network(kind, table, ["balance", "nation"], L.members(T.ship_visits(spark, sf), 3))
+    loss, grad = net.step({k: np.array(v) for k, v in start.items()})
+    rows = [("loss", 0, 0, float(loss))]
+    for name, g in grad.items():
+        flat = g.reshape(-1, 1) if g.ndim == 1 else g
+        rows += [(name, i, j, 1000 * float(flat[i, j])) for i, j in np.ndindex(flat.shape)]
+    return tidy(spark.createDataFrame(rows, "name string, i int, j int, gradient double"))
+
+
+@query
+def gcn_training_step(spark, sf):
+    return _one_step(spark, sf, "gcn", GCN_START)
+
+
+@query
+def gat_training_step(spark, sf):
+    return _one_step(spark, sf, "gat", GAT_START)
+
+
 @query
 def structure_features(spark, sf):
     m = L.members(T.ship_visits(spark, sf), 0)
@@ -859,8 +896,8 @@ def graph_embedding(spark, sf):
     return tidy(E.embed(feats, cols, L.members(visits, 0), visits, E.fit_scale(feats, cols), weights))
 
 
-def _graph_training(spark, sf):
-    """Training rows, six of their columns, and the shared groups of the ±3 day graph.
+def _graph_training(spark, sf, every=False):
+    """Training rows, six of their columns (or all), and the shared groups of the ±3 day graph.
 
     The graph is that of the first period and the label that of the second, so no
     feature shows the label.
@@ -869,7 +906,7 @@ def _graph_training(spark, sf):
     later = visits.where(F.col("day") >= SHIP_CUTOVER)
     table = _training(spark, sf, visits=later).withColumn("label", F.col("label_0")).drop("label_0")
     cols = ["age_norm", "is_male", "first_day_norm", "duration_norm", "event_count_norm", "venue_total"]
-    return table, cols, cut(L.shared(L.members(visits.where(F.col("day") < SHIP_CUTOVER), 3)))
+    return table, _columns(table) if every else cols, cut(L.shared(L.members(visits.where(F.col("day") < SHIP_CUTOVER), 3)))
 
 
 @query
@@ -891,6 +928,18 @@ def graph_attention_scores(spark, sf):
     return tidy(GM.attention_scores(table, cols, m))
 
 
+@query
+def gcn_trained_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf, every=True)
+    return tidy(GM.network_scores("gcn", table, cols, m))
+
+
+@query
+def gat_trained_scores(spark, sf):
+    table, cols, m = _graph_training(spark, sf, every=True)
+    return tidy(GM.network_scores("gat", table, cols, m))
+
+
 @query
 def graph_structure_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf)

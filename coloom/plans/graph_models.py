@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coloom.operators import embedding as E
+from coloom.operators.graph_networks import Network, start_weights
+from coloom.operators.metrics import classification_metrics
 from coloom.operators.models import evaluate
 from coloom.session import cut
 
@@ -108,3 +110,18 @@ def temporal_scores(table: DataFrame, cols, m: DataFrame, days: DataFrame, seed:
     names = [c for c in extra.columns if c != "node"]
     rows = cut(table.select("case_id", "split", "label").join(extra.withColumnRenamed("node", "case_id"), "case_id"))
     return evaluate("GBM", rows, names, seed, **kw)
+
+
+def network_scores(kind: str, table: DataFrame, cols, m: DataFrame, hidden: int = 16, epochs: int = 30, rate: float = 0.05, seed: int = 42) -> DataFrame:
+    """Scores of a graph network trained through both layers, with the first and the last loss.
+
+    Columns are scaled by the training rows.  The graph has all rows, as the network is
+    transductive; labels are those of the training rows alone.
+    """
+    mean, std = E.fit_scale(table.where("split = 'train'"), cols)
+    scaled = [((F.col(c) - mu) / sd).alias(c) for c, mu, sd in zip(cols, mean, std)]
+    rows = cut(table.select(F.col("case_id").alias("node"), "label", "split", *scaled))
+    net = Network(kind, rows, cols, m)
+    weights, losses = net.train(start_weights(kind, len(cols), hidden, seed), epochs, rate)
+    test = net.scores(weights).where(~F.col("train")).join(rows.where("split = 'test'").select("node", "label"), "node")
+    return classification_metrics(test).withColumns({"first_loss": F.lit(losses[0]), "last_loss": F.lit(losses[-1])})

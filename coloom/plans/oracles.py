@@ -809,3 +809,67 @@ def _attention(head: str) -> str:
 ORACLES["graph_attention"] = _attention(f"{VISITS}, {band(3)}")
 ORACLES["crowd_attention"] = _attention(f"{CROWD}, {band(0)}")
 ORACLES["betweenness_band"] = _between(k=3)
+
+
+_STEP_ROWS = "x AS (SELECT c_custkey AS node, CAST(c_acctbal < 0 AS INTEGER) AS y, c_custkey % 10 < 7 AS train, c_acctbal / 1000.0 AS x0, c_nationkey / 10.0 AS x1 FROM customer)"
+_STEP_ERROR = """CASE WHEN train THEN (1 / (1 + exp(-z)) - y) / (SELECT count(*) FROM x WHERE train) ELSE 0.0 END AS dz,
+      CASE WHEN train THEN (greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))) / (SELECT count(*) FROM x WHERE train) ELSE 0.0 END AS loss"""
+
+
+def _step_columns(terms: dict, source: str) -> str:
+    """One row (name, i, j, gradient) for each sum."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, {i} AS i, {j} AS j, {r(f'{scale}sum({e})')} AS gradient FROM {source}" for (n, i, j, scale), e in terms.items())
+
+
+def _gcn_step() -> str:
+    from coloom.plans.catalog import GCN_START as W
+
+    (w00, w01), (w10, w11) = W["W"]
+    u, b = W["u"], W["b"][0]
+    terms = {("loss", 0, 0, ""): "loss", ("b", 0, 0, "1000 * "): "dz"}
+    for k in (0, 1):
+        terms["u", k, 0, "1000 * "] = f"h{k} * dp"
+        for i in (0, 1):
+            terms["W", i, k, "1000 * "] = f"a{i} * dp * {u[k]} * CAST(h{k} > 0 AS INTEGER)"
+    return f"""WITH {VISITS}, {band(3)}, {_STEP_ROWS},
+    deg AS (SELECT src, count(*) AS k FROM arcs GROUP BY 1),
+    v AS (SELECT x.*, sqrt(1 / (coalesce(k, 0) + 1.0)) AS root FROM x LEFT JOIN deg ON src = node),
+    loops AS (SELECT src, dst FROM arcs UNION ALL SELECT node, node FROM v),
+    a AS (SELECT s.node, any_value(s.y) AS y, any_value(s.train) AS train, any_value(s.root) AS root, sum(s.root * d.root * d.x0) AS a0, sum(s.root * d.root * d.x1) AS a1
+      FROM loops JOIN v s ON s.node = src JOIN v d ON d.node = dst GROUP BY 1),
+    h AS (SELECT *, greatest(0.0, a0 * {w00} + a1 * {w10}) AS h0, greatest(0.0, a0 * {w01} + a1 * {w11}) AS h1 FROM a),
+    z AS (SELECT s.*, q.z FROM h s JOIN (SELECT s.node, sum(s.root * d.root * (d.h0 * {u[0]} + d.h1 * {u[1]})) + {b} AS z
+      FROM loops JOIN h s ON s.node = src JOIN h d ON d.node = dst GROUP BY 1) q USING (node)),
+    e AS (SELECT *, {_STEP_ERROR} FROM z),
+    g AS (SELECT s.*, q.dp FROM e s JOIN (SELECT s.node, sum(s.root * d.root * d.dz) AS dp FROM loops JOIN e s ON s.node = src JOIN e d ON d.node = dst GROUP BY 1) q USING (node))
+    {_step_columns(terms, 'g')}"""
+
+
+def _gat_step() -> str:
+    from coloom.plans.catalog import GAT_START as W
+
+    (w00, w01), (w10, w11) = W["W"]
+    a1, a2, v, b = W["a1"], W["a2"], W["v"], W["b"][0]
+    terms = {("loss", 0, 0, ""): "loss", ("b", 0, 0, "1000 * "): "dz"}
+    for k in (0, 1):
+        for n, d in (("a1", "ds"), ("a2", "dt"), ("v", "dq")):
+            terms[n, k, 0, "1000 * "] = f"h{k} * {d}"
+        for i in (0, 1):
+            terms["W", i, k, "1000 * "] = f"x{i} * (ds * {a1[k]} + dt * {a2[k]} + dq * {v[k]})"
+    return f"""WITH {VISITS}, {band(3)}, {_STEP_ROWS},
+    h AS (SELECT *, x0 * {w00} + x1 * {w10} AS h0, x0 * {w01} + x1 * {w11} AS h1 FROM x),
+    n AS (SELECT *, h0 * {a1[0]} + h1 * {a1[1]} AS s, h0 * {a2[0]} + h1 * {a2[1]} AS t, h0 * {v[0]} + h1 * {v[1]} AS q FROM h),
+    w AS (SELECT src, dst, a.s + d.t > 0 AS up, exp(CASE WHEN a.s + d.t > 0 THEN a.s + d.t ELSE 0.2 * (a.s + d.t) END) AS w, d.q AS q
+      FROM arcs JOIN n a ON a.node = src JOIN n d ON d.node = dst),
+    m AS (SELECT src, sum(w) AS total, sum(w * q) / sum(w) AS mean FROM w GROUP BY 1),
+    z AS (SELECT n.*, total, coalesce(mean, q) AS mean, coalesce(mean, q) + {b} AS z FROM n LEFT JOIN m ON src = node),
+    e AS (SELECT *, {_STEP_ERROR} FROM z),
+    p AS (SELECT src, dst, w / total * dz AS share, w / total * dz * (w.q - mean) * CASE WHEN up THEN 1.0 ELSE 0.2 END AS score FROM w JOIN e ON node = src),
+    ps AS (SELECT src, sum(score) AS ds FROM p GROUP BY 1), pd AS (SELECT dst, sum(score) AS dt, sum(share) AS dq FROM p GROUP BY 1),
+    g AS (SELECT e.*, coalesce(ds, 0.0) AS ds, coalesce(dt, 0.0) AS dt, CASE WHEN total IS NULL THEN dz ELSE coalesce(dq, 0.0) END AS dq
+      FROM e LEFT JOIN ps ON ps.src = node LEFT JOIN pd ON pd.dst = node)
+    {_step_columns(terms, 'g')}"""
+
+
+ORACLES["gcn_training_step"] = _gcn_step()
+ORACLES["gat_training_step"] = _gat_step()
