@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from coloom.operators.colocation import shared
 from coloom.operators.embedding import attention_sides, gcn_propagate
-from coloom.operators.neighbors import neighbor_sums, threshold_sums
+from coloom.operators.neighbors import neighbor_sums, repeated, threshold_sums
 from coloom.session import cut
 
 Weights = dict[str, np.ndarray]
@@ -51,10 +51,11 @@ class Network:
 
     def __init__(self, kind: str, table: DataFrame, cols: Sequence[str], m: DataFrame) -> None:
         self.kind, self.cols = kind, list(cols)
-        self.s = m if "n" in m.columns else cut(shared(m))
+        s = m if "n" in m.columns else cut(shared(m))
+        self.s = repeated(s)
         facts = table.select("node", F.col("label").cast("double").alias("y"), (F.col("split") == "train").alias("train"))
         if kind == "gcn":
-            inputs = gcn_propagate(self.s, table.select("node", *self.cols), self.cols)
+            inputs = gcn_propagate(s, table.select("node", *self.cols), self.cols)
             degree = neighbor_sums(self.s).select("node", "degree")
             root = F.sqrt(1 / (F.coalesce("degree", F.lit(0)) + 1.0)).alias("root")
             inputs = inputs.join(degree, "node", "left").select("node", root, *self.cols)

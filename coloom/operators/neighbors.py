@@ -16,6 +16,7 @@ exact; where the one ends and the other begins only changes the cost.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,25 @@ FANOUT = 50
 NARROW = 8
 
 
+@dataclass
+class SmallGroups:
+    """A graph whose groups are all below ``FANOUT``, as arcs that repeated sums share."""
+
+    arcs: DataFrame
+
+
+def repeated(s: DataFrame) -> DataFrame | SmallGroups:
+    """``s(node, clique, n)`` in the form that is cheaper to sum over many times.
+
+    Arcs are written once where no group is large; else the groups stay as they are.
+    """
+    if not s.where(F.col("n") >= FANOUT).isEmpty():
+        return s
+    return SmallGroups(cut(symmetric(pairs(s))))
+
+
 def neighbor_sums(
-    m: DataFrame,
+    m: DataFrame | SmallGroups,
     values: DataFrame | None = None,
     cols: Sequence[str] = (),
     fanout: int = FANOUT,
@@ -42,6 +60,8 @@ def neighbor_sums(
     missing there adds 0.
     """
     cols = list(cols)
+    if isinstance(m, SmallGroups):
+        return _sum_pairs(m.arcs, values, cols).groupBy("node").agg(*_totals(cols))
     s = m if "n" in m.columns else cut(shared(m))
     near = symmetric(pairs(s.where(F.col("n") < fanout)))
     large = s.where(F.col("n") >= fanout).select("node", F.to_json(F.struct("clique")).alias("g"))
@@ -143,7 +163,7 @@ def _sum_pairs(pairs: DataFrame, values: DataFrame | None, cols: Sequence[str])
 
 
 def threshold_sums(
-    m: DataFrame,
+    m: DataFrame | SmallGroups,
     rows: DataFrame,
     low: Sequence[str],
     high: Sequence[str],
@@ -162,15 +182,17 @@ def threshold_sums(
     one row.  The order is cut into buckets by x whose totals are summed first, so one set
     with all nodes is worked on by as many tasks.
     """
-    s = m if "n" in m.columns else cut(shared(m))
     cols = [*low, *high]
     side = {c: F.col("x") <= F.col("at") for c in low} | {c: F.col("x") > F.col("at") for c in high}
-    near = symmetric(pairs(s.where(F.col("n") < fanout)))
 
     def of_pairs(arcs: DataFrame) -> DataFrame:
         both = arcs.join(rows.select(F.col("node").alias("src"), "at"), "src").join(rows.select(F.col("node").alias("dst"), "x", *cols), "dst")
         return both.groupBy(F.col("src").alias("node")).agg(*[F.sum(F.when(side[c], F.col(c)).otherwise(0.0)).alias(c) for c in cols])
 
+    if isinstance(m, SmallGroups):
+        return of_pairs(m.arcs)
+    s = m if "n" in m.columns else cut(shared(m))
+    near = symmetric(pairs(s.where(F.col("n") < fanout)))
     large = s.where(F.col("n") >= fanout).select("node", F.to_json(F.struct("clique")).alias("g"))
     if large.isEmpty():
         return of_pairs(near)

@@ -486,6 +486,18 @@ def transitivity_share(spark, sf):
     return tidy(C.transitivity_share(L.members(T.ship_visits(spark, sf), 6)))
 
 
+@query
+def pair_weights(spark, sf):
+    """Each edge of the ±3 day graph with its smallest gap and weight."""
+    return tidy(L.pair_gaps(L.band_edges(T.ship_visits(spark, sf), 3)))
+
+
+@query
+def pair_weights_same_day(spark, sf):
+    """Deduplicated edges of one day, of gap 0 and weight 1."""
+    return tidy(L.pair_gaps(L.band_edges(T.ship_visits(spark, sf), 0)))
+
+
 @query
 def betweenness(spark, sf):
     out = C.betweenness(L.members(T.ship_visits(spark, sf), 0), _nodes(spark, sf).count())
@@ -626,6 +638,14 @@ def venue_risk_ranking(spark, sf):
     return tidy(risk.venue_risk_ranking(T.ship_visits(spark, sf)))
 
 
+@query
+def risk_rollup(spark, sf):
+    """Exact counts and rates at each level, and whether the merged sketches are within five per cent."""
+    rows = risk.risk_rollup(T.ship_visits(spark, sf))
+    near = F.abs(F.col("cases_estimate") / F.col("n_cases") - 1) <= 0.05
+    return tidy(rows.withColumn("estimate_near", near).drop("cases_estimate"))
+
+
 @query
 def venue_risk_with_importance(spark, sf):
     """Risk of the kinds of venue beside what a forest makes of their columns."""

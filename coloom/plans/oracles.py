@@ -873,3 +873,9 @@ def _gat_step() -> str:
 
 ORACLES["gcn_training_step"] = _gcn_step()
 ORACLES["gat_training_step"] = _gat_step()
+for _name, _k in (("pair_weights", 3), ("pair_weights_same_day", 0)):
+    ORACLES[_name] = f"WITH {VISITS}, {band(_k)} SELECT src, dst, gap AS min_gap, {r('exp(-gap / 7.0)')} AS weight FROM arcs WHERE src < dst"
+ORACLES["risk_rollup"] = f"""WITH {VISITS}, {labels(3)}, who AS (SELECT DISTINCT venue, province, case_id FROM visits)
+    SELECT venue, province, CAST(grouping(venue, province) AS INTEGER) AS level, count(DISTINCT case_id) AS n_cases,
+      {r('count(DISTINCT case_id) FILTER (label_3 = 1) * 1.0 / count(DISTINCT case_id)')} AS rate, TRUE AS estimate_near
+    FROM who LEFT JOIN hits USING (case_id) GROUP BY ROLLUP (venue, province)"""
