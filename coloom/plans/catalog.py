@@ -951,13 +951,13 @@ def graph_attention_scores(spark, sf):
 @query
 def gcn_trained_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf, every=True)
-    return tidy(GM.network_scores("gcn", table, cols, m))
+    return tidy(GM.network_scores("gcn", table, cols, m, epochs=10))
 
 
 @query
 def gat_trained_scores(spark, sf):
     table, cols, m = _graph_training(spark, sf, every=True)
-    return tidy(GM.network_scores("gat", table, cols, m))
+    return tidy(GM.network_scores("gat", table, cols, m, epochs=10))
 
 
 @query
