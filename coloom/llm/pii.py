@@ -236,21 +236,21 @@ def rewrite(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 60, support: int = 3, limit: float = 0.8) -> DataFrame:
     """``docs`` with personal data and what reveals it taken out of the text."""
-    columns = docs.columns
-    if {"_found", "_k1", "_k2", "_terms"} & set(columns):
-        raise ValueError("_found, _k1, _k2 and _terms are names of this operator")
     keys = [k.alias(n) for k, n in zip(content_key(F.coalesce(F.col(text_col), F.lit(""))), ("_k1", "_k2"), strict=True)]
     spans = private_spans(docs.select(*keys, F.col(text_col).alias("text")), "text", reach, support, limit)
     risky = spans.where(F.size("terms") > 0).groupBy("_k1", "_k2").agg(F.first("terms").alias("_terms"))
-    marked = base_spans(docs, text_col, "_found")
+    # The columns of a row go along as one, so none of their names is in the way.
+    whole = docs.select(F.struct("*").alias("own"), F.col(text_col).alias("text"), *keys)
+    marked = base_spans(whole, "text", "_found")
     base = S.labelled(KINDS, _of(F.col("_found")))
-    clean = marked.where(F.size(base) == 0).select(*columns)
-    held = marked.where(F.size(base) > 0).select("*", *keys).join(risky, ["_k1", "_k2"], "left")
+    clean = marked.where(F.size(base) == 0).select("own.*")
+    held = marked.where(F.size(base) > 0).join(risky, ["_k1", "_k2"], "left")
     instead = F.concat(
         F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("instead"))),
         F.transform(F.coalesce("_terms", F.array().cast(TERMS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["instead"].alias("instead"))),
     )
-    return clean.unionByName(held.withColumn(text_col, rewrite(F.col(text_col), instead)).select(*columns))
+    new = held.select("own", rewrite(F.col("text"), instead).alias("new"))
+    return clean.unionByName(new.select(F.col("own").withField(f"`{text_col}`", F.col("new")).alias("own")).select("own.*"))
 
 
 def _is(kind: str):

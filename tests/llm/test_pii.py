@@ -144,3 +144,11 @@ def test_sql_of_terms(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.execute(f"SELECT doc_id, n_email, spans FROM ({pii.sql()})").fetchall())
     assert got == want and any("term:" in r[2] for r in got)
+
+
+def test_sanitise_clashing_columns(spark):
+    row = ("me x@y.zz", 1, 2, 3, 4, "o", "t")
+    docs = spark.createDataFrame([row, ("plain", *row[1:]), (None, *row[1:])], "body string, _found int, _k1 int, _k2 int, _terms int, own string, text string")
+    got = pii.sanitise(docs, "body")
+    assert got.columns == docs.columns
+    assert sorted(map(str, (r.body for r in got.collect()))) == ["None", "me [email]", "plain"] and {tuple(r)[1:] for r in got.collect()} == {row[1:]}
