@@ -2,27 +2,30 @@
 
 1. ``base_spans`` finds e-mail addresses, IP addresses, card numbers and phone
    numbers; their values are the protected entities.
-2. The words around an entity are candidates.  Over the whole corpus,
-   I(c; t) = log2(p(c, t) / (p(c) p(t))) says how strongly term t reveals entity c,
-   and I(c) = -log2 p(c) how much there is to reveal.  p(c) counts the different
-   surroundings of the entity, so copies of a text count once; p(t) counts
-   documents with the word.
-3. A term met in ``support`` different surroundings of c that discloses at least
-   ``limit`` of I(c) is sanitised in the texts that hold c: it is generalised to
-   its class ([number] or [word]) if the class discloses less than that, and
-   removed otherwise.
-
-Everything is built-in expressions.  The text stays where it is read; only rows
-with an entity bring theirs along for the surroundings.
+2. Every word of a text that holds an entity is a candidate, whatever its length or
+   place.  Over the whole corpus, I(c; t) = log2(p(c | t) / p(c)) says how strongly
+   term t reveals entity c, and I(c) = -log2 p(c) how much there is to reveal.
+   Counts are of different texts, so copies count once.  p(c | t) is the lower end
+   of Wilson's interval at ``z`` standard deviations, so that few texts tell little.
+3. A term that discloses at least ``limit`` of I(c) for some entity c of a text is
+   sanitised in that text: it is generalised to its class ([number] or [word]) if
+   the class discloses less than that for all entities of the text, and removed
+   otherwise.
+
+Pairs of entity and term are only formed where both are in two texts or more and
+could disclose enough; in all other cases they share one text, which decides.
+Everything is built-in expressions.  The corpus is split into words once, and only
+texts with an entity are looked at word by word.
 
 A null text is empty and stays null.  Every row gives a row; repeated rows and
-rows with equal ids are treated alike.  Extra columns are ignored by
-``private_spans`` and kept by ``sanitise``.
+rows with equal ids are treated alike.  Extra columns, of any name, are kept.  A
+long text is many rows of words and one row of spans.  An empty table gives an
+empty result, and one without entities has no terms to sanitise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coloom.llm import spans as S
@@ -45,7 +48,8 @@ JAVA = {
 KINDS = ["email", "ip", "card", "phone"]
 #: What a word is made of: letters and digits, and all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ONE = WORD.rstrip("+")
+#: What is counted like a term: every text, and the texts with a word of a class.
+ANY, CLASSES = "[any]", ("[number]", "[word]")
 
 
 def _any(hit: Column) -> Column:
@@ -107,113 +111,112 @@ def term_class(term: Column) -> Column:
     return F.when(term.rlike("[0-9]"), "[number]").otherwise("[word]")
 
 
-def surroundings(text: Column, spans: Column, reach: int) -> Column:
-    """(entity, around): each entity's value, and the whole words within ``reach`` characters of it."""
+def has_class(words: Column, name: str) -> Column:
+    return F.exists(words, lambda w: term_class(w) == name)
 
-    def one(s: Column) -> Column:
-        first = F.greatest(s["start"] - reach, F.lit(0))
-        left = F.substring(text, first + 1, s["start"] - first)
-        right = F.substring(text, s["end"] + 1, F.lit(reach))
-        left = F.when(first > 0, F.regexp_replace(left, "^" + WORD, "")).otherwise(left)
-        right = F.when(F.char_length(right) == reach, F.regexp_replace(right, WORD + "$", "")).otherwise(right)
-        return F.struct(
-            F.concat_ws(":", s["kind"], S.text_of(text, s)).alias("entity"), F.concat_ws("\n", left, right).alias("around")
-        )
 
-    return F.transform(spans, one)
+def with_classes(words: Column) -> Column:
+    """The words and, as terms of their own (no word has brackets), what every text is and the classes it has."""
 
+    none = F.array().cast("array<string>")
+    return F.concat(words, F.array(F.lit(ANY)), *[F.when(has_class(words, k), F.array(F.lit(k))).otherwise(none) for k in CLASSES])
 
-def risks(held: DataFrame, docs: DataFrame, text_col: str, reach: int, support: int, limit: float) -> DataFrame:
-    """(entity, term, instead): the terms to sanitise where ``entity`` is, and what to put there.
 
-    ``held``: (seen), the surroundings of each row.  ``docs``: the whole corpus.
-    """
-    seen = held.select(F.explode("seen").alias("s")).select("s.*").distinct()
-    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    near = seen.select("entity", F.explode(words(F.col("around"))).alias("term")).where(F.char_length("term") >= 3)
-    together = cut(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support))
-    if together.isEmpty():  # no term has the support, so the corpus need not be counted
-        return together.select("entity", "term", F.lit("").alias("instead"))
-    texts = docs.select(words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    every = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    terms = every.join(together.select("term").distinct(), "term", "left_semi")
-    totals = texts.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.exists("words", _digits(i))).alias(f"n_{i}") for i in range(2)]
-    ).first()
-    around = seen.select("entity", words(F.col("around")).alias("words")).groupBy("entity").agg(
-        *[F.count_if(F.exists("words", _digits(i))).alias(f"c_{i}") for i in range(2)]
-    )
-    rows = together.join(terms, "term").join(entities, "entity").join(around, "entity")
-    rows = rows.withColumns({name: F.lit(totals[name]) for name in ("n", "n_0", "n_1")})
+def certain(n_ct: Column, n_t: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for p(c | t), from ``n_ct`` of ``n_t`` texts."""
+    middle = n_ct + z * z / 2
+    return (middle - z * F.sqrt(n_ct * (n_t - n_ct) / n_t + z * z / 4)) / (n_t + z * z)
 
-    def share(n_ct: Column, n_t: Column) -> Column:
-        """I(c; t) as a share of I(c)."""
-        whole = F.log2(F.greatest("n", "n_c") / F.col("n_c"))
-        told = F.log2(n_ct * F.col("n") / (F.col("n_c") * F.greatest(n_t, n_ct)))
-        return F.when(whole > 0, told / whole).otherwise(0.0)
 
-    kind = term_class(F.col("term"))
-    number = kind == "[number]"
-    general = share(F.when(number, F.col("c_0")).otherwise(F.col("c_1")), F.when(number, F.col("n_0")).otherwise(F.col("n_1")))
-    return rows.where(share(F.col("n_ct"), F.col("n_t")) >= limit).select(
-        "entity", "term", F.when(general < limit, kind).otherwise("").alias("instead")
-    )
+def enough(n_c: Column, n: int, limit: float) -> Column:
+    """The p(c | t) from which on ``limit`` of I(c) is disclosed."""
+    return F.pow(n_c / F.lit(n), F.lit(1 - limit))
 
 
-def _digits(i: int):
-    """Whether a word is of class ``i``."""
-    return (lambda w: w.rlike("[0-9]")) if i == 0 else (lambda w: ~w.rlike("[0-9]"))
+def occurrences(held: DataFrame) -> DataFrame:
+    """(k1, k2, term, start, end) of all words of the texts ``body``."""
+    hits = held.select("k1", "k2", "body", S.matches(F.col("body"), WORD).alias("hits"))
+    both = F.slice(F.arrays_zip(F.split("body", WORD, -1).alias("piece"), F.col("hits").alias("hit")), 1, F.size("hits"))
+    each = hits.select("k1", "k2", F.posexplode(both).alias("at", "x")).select("k1", "k2", "at", "x.piece", "x.hit")
+    so_far = Window.partitionBy("k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.char_length("piece") + F.char_length("hit")).over(so_far).cast("int")
+    return each.select("k1", "k2", lower(F.col("hit")).alias("term"), (end - F.char_length("hit")).alias("start"), end.alias("end"))
 
 
-RISK = "array<struct<term: string, instead: string>>"
+def disclosing(held: DataFrame, texts: DataFrame, limit: float, z: float) -> DataFrame:
+    """(k1, k2, terms): the spans (order, start, end, kind, instead) to sanitise in each different text of ``held``.
 
+    ``held``: (k1, k2, base, body) of the rows with an entity.  ``texts``: (k1, k2,
+    text) of the whole corpus.  k1 and k2 stand for the text.
+    """
+    key = ["k1", "k2"]
+    held = held.groupBy(*key).agg(F.first("base").alias("base"), F.first("body").alias("body"))
+    held = cut(held.withColumn("words", words(F.col("body"))))
+    values = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], S.text_of(F.col("body"), s))))
+    mine = held.select(*key, F.explode(with_classes(F.col("words"))).alias("term"))
+    once = texts.select(*key, words(F.coalesce("text", F.lit(""))).alias("words")).dropDuplicates(key)
+    every = once.select(F.explode(with_classes(F.col("words"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = cut(every.join(mine.select("term").distinct(), "term", "left_semi"))
+    total = {r["term"]: r["n_t"] for r in counts.where(F.col("term").isin(ANY, *CLASSES)).collect()}
+    n = total[ANY]
+
+    # Entities: in how many texts, with which classes, and what the classes alone disclose.
+    own = [has_class(F.col("words"), k).alias(f"has_{i}") for i, k in enumerate(CLASSES)]
+    each = held.select(*key, *own, F.explode(values).alias("entity"))
+    known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), *[F.count_if(f"has_{i}").alias(f"c_{i}") for i in range(len(CLASSES))])
+    tells = [certain(F.col(f"c_{i}"), F.lit(total.get(k, 1)), z) >= enough(F.col("n_c"), n, limit) for i, k in enumerate(CLASSES)]
+    each = cut(each.select(*key, "entity").join(known.select("entity", "n_c", *[t.alias(f"tells_{i}") for i, t in enumerate(tells)]), "entity"))
+    most = each.agg(F.max("n_c")).first()[0]
+    per_text = each.groupBy(*key).agg(F.min("n_c").alias("fewest"), *[F.max(f"tells_{i}").alias(f"tells_{i}") for i in range(len(CLASSES))])
+
+    # Terms that some entity could be disclosed by, at the very most.
+    able = certain(F.least("n_t", F.lit(most)), F.col("n_t"), z) >= enough(F.lit(1), n, limit)
+    terms = mine.join(counts.where(able & ~F.col("term").isin(ANY, *CLASSES)), "term")
+    alone = terms.join(per_text, key).where((F.col("fewest") == 1) | (F.col("n_t") == 1))
+    alone = alone.where(certain(F.lit(1), F.col("n_t"), z) >= enough(F.col("fewest"), n, limit)).select(*key, "term")
+    pairs = terms.where("n_t > 1").join(each.where("n_c > 1").select(*key, "entity", "n_c"), key)
+    pairs = pairs.where(certain(F.least("n_c", "n_t"), F.col("n_t"), z) >= enough(F.col("n_c"), n, limit))
+    met = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct"))
+    met = met.where(certain(F.col("n_ct"), F.col("n_t"), z) >= enough(F.col("n_c"), n, limit))
+    risky = alone.unionByName(pairs.join(met, ["entity", "term"], "left_semi").select(*key, "term")).distinct()
 
-def term_spans(text: Column, risky: Column, base: Column) -> Column:
-    """(start, end, kind, instead) of the risky terms of a text, outside the base spans."""
-    pattern = F.concat(
-        F.lit(rf"(?i)(?<!{ONE})(?:"),
-        F.array_join(F.transform(risky, lambda r: r["term"]), "|"),
-        F.lit(rf")(?!{ONE})"),
-    )
-    found = S.spans(text, pattern, S.matches(text, pattern), _any)
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    kind = term_class(F.col("term"))
+    hidden = F.when(kind == CLASSES[0], F.col("tells_0")).otherwise(F.col("tells_1"))
+    spans = occurrences(held).join(risky, [*key, "term"]).join(per_text, key)
+    span = F.struct(F.lit(len(KINDS)).alias("order"), "start", "end", F.lit("term").alias("kind"), F.when(hidden, "").otherwise(kind).alias("instead"))
+    return spans.groupBy(*key).agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
-    def instead(s: Column) -> Column:
-        term = lower(S.text_of(text, s))
-        return F.get(F.filter(risky, lambda r: r["term"] == term), F.lit(0))["instead"]
 
-    named = F.transform(
-        free,
-        lambda s: F.struct(F.lit(len(KINDS)).alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.lit("term").alias("kind"), instead(s).alias("instead")),
-    )
-    return F.when(F.size(risky) > 0, named).otherwise(F.array().cast(TERMS))
+TERMS = "array<struct<order: int, start: int, end: int, kind: string, instead: string>>"
 
 
-TERMS = "array<struct<order: int, start: int, end: int, kind: string, instead: string>>"
+def with_terms(rows: DataFrame, texts: DataFrame, limit: float, z: float) -> tuple[DataFrame, DataFrame]:
+    """The rows without an entity, and those with one and ``terms``: the risky terms outside of ``base``.
+
+    ``rows``: (k1, k2, base, body, ..), stored, so that a text is searched for entities once.
+    """
+    clean, held = rows.where(F.size("base") == 0), rows.where(F.size("base") > 0)
+    none = F.array().cast(TERMS)
+    if held.isEmpty():  # nothing is protected, so the corpus need not be counted
+        return clean, held.withColumn("terms", none)
+    risky = disclosing(held.select("k1", "k2", "base", "body"), texts, limit, z)
+    found = held.join(risky, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none))
+    free = F.filter("terms", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return clean, found.withColumn("terms", free)
 
 
-def private_spans(
-    docs: DataFrame, text_col: str = "text", reach: int = 60, support: int = 3, limit: float = 0.8
-) -> DataFrame:
+def private_spans(docs: DataFrame, text_col: str = "text", limit: float = 0.8, z: float = 1.96) -> DataFrame:
     """``docs`` without its text, with ``base`` and ``terms``: the spans (order, start, end, kind)."""
     others = [c for c in docs.columns if c != text_col]
-    found = base_spans(docs.select(F.struct(*others).alias("own"), F.col(text_col).alias("text")), "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(F.struct(*others).alias("own"), text.alias("text"), *content_key(text))
     base = S.labelled(KINDS, _of(F.col("found")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # Stored once: a number for each row, and the text of those with an entity.
-    rows = cut(
-        found.select("own", F.monotonically_increasing_id().alias("row"), base.alias("base"), "text").select(
-            "own", "row", "base", F.when(F.size("base") > 0, text).alias("body")
-        )
-    )
-    held = rows.where(F.size("base") > 0)
-    held = held.withColumn("seen", surroundings(F.col("body"), F.col("base"), reach))
-    risky = risks(held, docs, text_col, reach, support, limit)
-    each = held.select("row", F.explode(F.array_distinct(F.transform("seen", lambda s: s["entity"]))).alias("entity"))
-    per_row = each.join(risky, "entity").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("term", "instead"))).alias("risky"))
-    out = rows.join(per_row, "row", "left").withColumn("risky", F.coalesce("risky", F.array().cast(RISK)))
-    terms = term_spans(F.coalesce(F.col("body"), F.lit("")), F.col("risky"), F.col("base"))
-    return out.select("own.*", "base", terms.alias("terms"))
+    # Stored once, with the text of those rows that have an entity.
+    rows = base_spans(whole, "text").select("own", "k1", "k2", base.alias("base"), "text")
+    rows = cut(rows.select("own", "k1", "k2", "base", F.when(F.size("base") > 0, F.col("text")).alias("body")))
+    clean, held = with_terms(rows, whole.select("k1", "k2", "text"), limit, z)
+    out = clean.withColumn("terms", F.array().cast(TERMS)).select("own", "base", "terms").unionByName(held.select("own", "base", "terms"))
+    return out.select("own.*", "base", "terms")
 
 
 def rewrite(text: Column, spans: Column) -> Column:
@@ -234,23 +237,20 @@ def rewrite(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, finish)
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 60, support: int = 3, limit: float = 0.8) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", limit: float = 0.8, z: float = 1.96) -> DataFrame:
     """``docs`` with personal data and what reveals it taken out of the text."""
-    keys = [k.alias(n) for k, n in zip(content_key(F.coalesce(F.col(text_col), F.lit(""))), ("_k1", "_k2"), strict=True)]
-    spans = private_spans(docs.select(*keys, F.col(text_col).alias("text")), "text", reach, support, limit)
-    risky = spans.where(F.size("terms") > 0).groupBy("_k1", "_k2").agg(F.first("terms").alias("_terms"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     # The columns of a row go along as one, so none of their names is in the way.
-    whole = docs.select(F.struct("*").alias("own"), F.col(text_col).alias("text"), *keys)
-    marked = base_spans(whole, "text", "_found")
-    base = S.labelled(KINDS, _of(F.col("_found")))
-    clean = marked.where(F.size(base) == 0).select("own.*")
-    held = marked.where(F.size(base) > 0).join(risky, ["_k1", "_k2"], "left")
+    whole = docs.select(F.struct("*").alias("own"), text.alias("body"), *content_key(text))
+    base = S.labelled(KINDS, _of(F.col("found")))
+    rows = cut(base_spans(whole, "body").select("own", "k1", "k2", "body", base.alias("base")))
+    clean, held = with_terms(rows, rows.select("k1", "k2", F.col("body").alias("text")), limit, z)
     instead = F.concat(
-        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("instead"))),
-        F.transform(F.coalesce("_terms", F.array().cast(TERMS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["instead"].alias("instead"))),
+        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("instead"))),
+        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["instead"].alias("instead"))),
     )
-    new = held.select("own", rewrite(F.col("text"), instead).alias("new"))
-    return clean.unionByName(new.select(F.col("own").withField(f"`{text_col}`", F.col("new")).alias("own")).select("own.*"))
+    new = held.select("own", rewrite(F.col("body"), instead).alias("new"))
+    return clean.select("own.*").unionByName(new.select(F.col("own").withField(f"`{text_col}`", F.col("new")).alias("own")).select("own.*"))
 
 
 def _is(kind: str):
@@ -284,34 +284,24 @@ def _sql_words(text: str) -> str:
     return f"list_distinct(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{WORD}'))"
 
 
-def _sql_share(n_ct: str, n_t: str) -> str:
-    whole = "log2(greatest(n, n_c) * 1.0 / n_c)"
-    return f"CASE WHEN {whole} > 0 THEN log2({n_ct} * 1.0 * n / (n_c * greatest({n_t}, {n_ct}))) / {whole} ELSE 0 END"
-
-
-def _sql_has(words: str, digit: bool) -> str:
-    test = "regexp_matches(w, '[0-9]')"
-    return f"len(list_filter({words}, lambda w: {test if digit else 'NOT ' + test})) > 0"
+def _sql_tells(n_ct: str, n_t: str, z: float, limit: float) -> str:
+    low = f"({n_ct} + {z * z / 2} - {z} * sqrt({n_ct} * 1.0 * ({n_t} - {n_ct}) / {n_t} + {z * z / 4})) / ({n_t} + {z * z})"
+    return f"{low} >= pow(n_c * 1.0 / n, {1 - limit})"
 
 
-def sql(reach: int = 60, support: int = 3, limit: float = 0.8) -> str:
+def sql(limit: float = 0.8, z: float = 1.96) -> str:
     kinds = [(k, {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[k], _SQL_KEEP[k]) for k in KINDS]
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({S.sql_spans("d", kinds)}),
-near AS (SELECT kind || ':' || hit AS entity, greatest(s - {reach}, 0) AS first, text[greatest(s - {reach}, 0) + 1:s] AS l,
-                text[e + 1:e + {reach}] AS r FROM f JOIN d USING (rid)),
-seen AS (SELECT DISTINCT entity, CASE WHEN first > 0 THEN regexp_replace(l, '^{WORD}', '') ELSE l END || chr(10)
-                || CASE WHEN length(r) = {reach} THEN regexp_replace(r, '{WORD}$', '') ELSE r END AS around FROM near),
-around AS (SELECT entity, {_sql_words("around")} AS ws FROM seen),
-ent AS (SELECT entity, count(*) AS n_c, count(*) FILTER ({_sql_has("ws", True)}) AS c_0, count(*) FILTER ({_sql_has("ws", False)}) AS c_1
-        FROM around GROUP BY 1),
-both_ AS (SELECT entity, term, count(*) AS n_ct FROM (SELECT entity, unnest(ws) AS term FROM around) WHERE length(term) >= 3
-          GROUP BY 1, 2 HAVING count(*) >= {support}),
-w AS (SELECT rid, {_sql_words("text")} AS ws FROM d),
-terms AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(ws) AS term FROM w) GROUP BY 1),
-tot AS (SELECT count(*) AS n FROM w),
-risk AS (SELECT entity, term FROM both_ JOIN terms USING (term) JOIN ent USING (entity), tot WHERE {_sql_share("n_ct", "n_t")} >= {limit}),
+x AS (SELECT min(rid) AS xid, text FROM d GROUP BY text),
+xw AS (SELECT xid, unnest({_sql_words("text")}) AS term FROM x),
+terms AS (SELECT term, count(*) AS n_t FROM xw GROUP BY 1),
+tot AS (SELECT count(*) AS n FROM x),
+ents AS (SELECT DISTINCT xid, kind || ':' || hit AS entity FROM f JOIN x ON xid = rid),
+ent AS (SELECT entity, count(*) AS n_c FROM ents GROUP BY 1),
+both_ AS (SELECT entity, term, count(*) AS n_ct FROM ents JOIN xw USING (xid) GROUP BY 1, 2),
+risk AS (SELECT entity, term FROM both_ JOIN terms USING (term) JOIN ent USING (entity), tot WHERE {_sql_tells("n_ct", "n_t", z, limit)}),
 mine AS (SELECT DISTINCT rid, term FROM f JOIN risk ON entity = kind || ':' || hit),
 held AS (SELECT rid, text FROM d WHERE rid IN (SELECT rid FROM mine)),
 tok AS ({S.sql_spans("held", [("term", WORD, "TRUE")])}),

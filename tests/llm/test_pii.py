@@ -59,33 +59,34 @@ def test_base_spans(spark):
         assert got[i] == base(t or ""), t
 
 
-def slow_risks(texts, reach, support, limit):
-    """{(entity, term): instead} by plain counting."""
-    low = lambda s: s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    words = lambda s: set(WORD.findall(low(s)))
-    around = {}
-    for t in texts:
-        for kind, a, b in base(t):
-            left, right = t[max(a - reach, 0) : a], t[b : b + reach]
-            left = re.sub("^" + pii.WORD, "", left) if a > reach else left
-            right = re.sub(pii.WORD + r"\Z", "", right) if len(right) == reach else right
-            around.setdefault(f"{kind}:{t[a:b]}", set()).add(left + "\n" + right)
+def low_words(s):
+    return set(WORD.findall(s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))
+
+
+def entities(t):
+    return {f"{k}:{t[a:b]}" for k, a, b in base(t)}
+
+
+def slow_risks(texts, limit, z=1.96):
+    """{text: {term: instead}} by plain counting over different texts."""
+    words = {t: low_words(t) for t in texts}
+    held = {t: e for t in words if (e := entities(t))}
+    n = len(words)
     kind_of = lambda w: "[number]" if re.search("[0-9]", w) else "[word]"
-    n = len(texts)
+    kinds = {t: {kind_of(x) for x in w} for t, w in words.items()}
+
+    def tells(c, has):
+        n_c = sum(c in e for e in held.values())
+        n_t = sum(has(t) for t in words)
+        k = sum(has(t) for t, e in held.items() if c in e)
+        low = (k + z * z / 2 - z * math.sqrt(k * (n_t - k) / n_t + z * z / 4)) / (n_t + z * z) if n_t else 0.0
+        return math.log2(low * n / n_c) >= limit * math.log2(n / n_c) if low > 0 and n_c < n else False
+
     out = {}
-    for c, places in around.items():
-        n_c = len(places)
-
-        def share(n_ct, n_t, n_c=n_c):
-            whole = math.log2(max(n, n_c) / n_c)
-            return math.log2(n_ct * n / (n_c * max(n_t, n_ct))) / whole if whole > 0 else 0.0
-
-        for t in {w for p in places for w in words(p) if len(w) >= 3}:
-            n_ct = sum(t in words(p) for p in places)
-            if n_ct >= support and share(n_ct, sum(t in words(x) for x in texts)) >= limit:
-                k = kind_of(t)
-                general = share(sum(any(kind_of(w) == k for w in words(p)) for p in places), sum(any(kind_of(w) == k for w in words(x)) for x in texts))
-                out[c, t] = k if general < limit else ""
+    for t, e in held.items():
+        risky = {w for w in words[t] if any(tells(c, lambda x, w=w: w in words[x]) for c in e)}
+        hidden = {k: any(tells(c, lambda x, k=k: k in kinds[x]) for c in e) for k in ("[number]", "[word]")}
+        out[t] = {w: "" if hidden[kind_of(w)] else kind_of(w) for w in risky}
     return out
 
 
@@ -97,19 +98,43 @@ def corpus():
     return texts
 
 
-def test_terms(spark):
-    texts = corpus()
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id int, text string, base string, terms int")
-    risk = slow_risks(texts, 60, 3, 0.6)
-    assert any(c.endswith("zed@mail.example") for c, _ in risk) and not any("me@x.yz" in c for c, _ in risk)
-    got = {r.doc_id: [(s.start, s.end, s.instead) for s in r.terms] for r in pii.private_spans(docs.select("doc_id", "text"), limit=0.6).collect()}
+def many():
+    """Random texts: entities and terms in one text and in several, rare numbers, copies."""
+    rng = random.Random(11)
+    out = []
+    for i in range(260):
+        t = [rng.choice(["the", "a", "of", "it", "go"]) for _ in range(rng.randint(0, 9))]
+        t += [rng.choice(["Kilo", "LIMA", "x7", "é", "日本", "q"]) for _ in range(rng.random() < 0.1)]
+        t += [f"only{i}"] * (rng.random() < 0.3) + [f"pair{i // 2}"] * (rng.random() < 0.3)
+        if rng.random() < 0.25:
+            c = rng.randint(0, 9)
+            t += [f"m{c}@x.yz", *[f"near{c}"] * (rng.random() < 0.9), f"10.0.0.{rng.randint(0, 200)}"]
+        rng.shuffle(t)
+        out.append(" ".join(t))
+    return out + out[:40] + [""] * 5
+
+
+@pytest.mark.parametrize("limit", [0.5, 0.65, 0.8])
+@pytest.mark.parametrize("texts", [corpus(), many()])
+def test_terms(spark, texts, limit):
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(texts)], "doc_id int, text string, base string, k1 int, body int")
+    risk = slow_risks(texts, limit)
+    assert limit > 0.65 or any(risk.values())
+    got = {r.doc_id: [(s.start, s.end, s.instead) for s in r.terms] for r in pii.private_spans(docs.select("doc_id", "text", "k1", "body"), limit=limit).collect()}
     for i, t in enumerate(texts):
-        spans = base(t)
-        mine = {w: v for (c, w), v in risk.items() if c in {f"{k}:{t[a:b]}" for k, a, b in spans}}
+        spans, mine = base(t), risk.get(t, {})
         want = [(m.start(), m.end(), mine[m.group().lower()]) for m in WORD.finditer(t) if m.group().lower() in mine and not any(a < m.end() and m.start() < b for _, a, b in spans)]
         assert got[i] == want, t
 
 
+def test_entity_of_one_text_is_weighed(spark):
+    """One text is enough in a large corpus: its own words give it away, common ones and those of other texts do not."""
+    texts = ["write me@x.yz about q in the Zorblat case"] + [f"the case of about write {i % 400}" for i in range(4000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("text", F.concat("text", F.lit(" in "), F.monotonically_increasing_id() % 3999))
+    clean = [r.text for r in pii.sanitise(docs).collect() if r.text.startswith("write")]
+    assert len(clean) == 1 and clean[0].startswith("write [email] about [word] in the [word] case in ")
+
+
 def test_sanitise(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "write x@y.zz or 10.0.0.1 now", "c"), (3, "write x@y.zz or 10.0.0.1 now", "c"), (None, "clean é text", "d"), (4, "x@1.2.3.4", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, found string").selectExpr("*", "1 as k1", "2 as base")
@@ -136,7 +161,7 @@ def test_sql_of_terms(spark, tmp_path):
     """The SQL finds the same terms where there are some."""
     import duckdb
 
-    texts = corpus() + [f"Zorblat {i} by zed@mail.example" for i in range(9)]
+    texts = corpus() + many() + [f"word w{i} again" for i in range(1500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in pii.op8_personal_data(spark, str(tmp_path)).select("doc_id", "n_email", "spans").collect())
