@@ -1,7 +1,8 @@
 """Chat formatting in expressions.
 
-The turns of a conversation are collected as structs and sorted; adjacent turns of
-one role are merged into a block; a block is written as
+The turns of a conversation are put in order; adjacent turns of one role are
+collected as structs, sorted and merged into a block, and blocks likewise into the
+conversation, so the work grows with the turns.  A block is written as
 
     <|im_start|>role<|im_msg|>text<|im_sep|>text..<|im_end|>
 
@@ -14,8 +15,9 @@ learnt from, as it stands in the output.
 
 Rows are sorted by turn, then role, then text; repeated rows are turns of their
 own.  A null role or text is empty, a null turn comes first, and the rows of a
-null conversation are one conversation.  Extra columns are ignored.  A
-conversation is one row of the output, so its rows meet in one place.
+null conversation are one conversation.  Extra columns are ignored; an empty table
+gives an empty result.  Long texts are texts like any other.  A conversation is one
+row of the output, so its rows meet in one place.
 """
 
 from __future__ import annotations
@@ -55,44 +57,29 @@ def chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     named = escape(F.col("role"))
     # What stands before a text: the end of the last block and a new head, or a separator.
     head = F.when(opens, F.concat(F.when(before.isNull(), empty).otherwise(STOP), F.lit(START), named, F.lit(MESSAGE))).otherwise(SEPARATOR)
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         turns.withColumn("head", head)
         .withColumn("body", escape(F.col("text")))
-        .withColumn("end", F.sum(F.char_length("head") + F.char_length("body")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("end", F.sum(F.char_length("head") + F.char_length("body")).over(running))
+        .withColumn("block", F.sum(opens.cast("int")).over(running))
     )
-    kept = ("turn", "role", "text", "body", "end")
-    whole = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("turns"))
-    blocks = F.transform(_starts(), _block)
-    return whole.withColumn("blocks", blocks).select(
+    # The rows of a conversation are together, so neither grouping moves them again.
+    merged = placed.groupBy("conv", "block", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "end", "body"))).alias("turns"))
+    whole = merged.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "role", "turns"))).alias("blocks"))
+    return whole.select(
         "conv",
         F.array_join(F.transform("blocks", _write), "").alias("formatted"),
-        F.transform(
-            F.filter("turns", lambda t: t["role"].isin(*learnt)),
-            lambda t: F.struct((t["end"] - F.char_length(t["body"])).alias("start"), t["end"].alias("end")),
-        ).alias("mask"),
+        F.flatten(F.transform(F.filter("blocks", lambda b: b["role"].isin(*learnt)), lambda b: F.transform(b["turns"], _span))).alias("mask"),
     )
 
 
-def _starts() -> Column:
-    """The index (from 1) of each first turn of a block."""
-    return F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (_role(i) != _role(i - 1)))
-
-
-def _role(i: Column) -> Column:
-    return F.get(F.col("turns"), i - 1)["role"]
-
-
-def _block(i: Column, k: Column) -> Column:
-    """The turns from ``i`` up to the next block's first, merged."""
-    following = F.coalesce(F.get(_starts(), k + 1), F.size("turns") + 1)
-    return F.struct(
-        _role(i).alias("role"),
-        F.transform(F.slice("turns", i, following - i), lambda t: t["body"]).alias("bodies"),
-    )
+def _span(t: Column) -> Column:
+    return F.struct((t["end"] - F.char_length(t["body"])).alias("start"), t["end"].alias("end"))
 
 
 def _write(b: Column) -> Column:
-    return F.concat(F.lit(START), escape(b["role"]), F.lit(MESSAGE), F.array_join(b["bodies"], SEPARATOR), F.lit(STOP))
+    return F.concat(F.lit(START), escape(b["role"]), F.lit(MESSAGE), F.array_join(F.transform(b["turns"], lambda t: t["body"]), SEPARATOR), F.lit(STOP))
 
 
 def turns_of(formatted: Column) -> Column:
@@ -107,9 +94,26 @@ def turns_of(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, read))
 
 
+#: Code points of one piece of a formatted text.
+PIECE = 1024
+
+
 def masked(formatted: Column, mask: Column) -> Column:
     """The texts under the mask, one after the other."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    # A span is read from the pieces that it touches, so a long text is not walked for each span.
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def read(pieces: Column, s: Column) -> Column:
+        def part(i: Column) -> Column:
+            first = F.greatest(s["start"] - i * PIECE, F.lit(0))
+            return F.substring(F.get(pieces, i.cast("int")), (first + 1).cast("int"), (s["end"] - i * PIECE - first).cast("int"))
+
+        touched = F.sequence(F.floor(s["start"] / PIECE), F.floor((s["end"] - 1) / PIECE))
+        return F.when(s["end"] > s["start"], unescape(F.array_join(F.transform(touched, part), ""))).otherwise("")
+
+    # Bound as the variable of an outer lambda, the pieces are made once.
+    texts = F.transform(F.array(pieces), lambda p: F.transform(mask, lambda s: read(p, s)))
+    return F.array_join(F.get(texts, F.lit(0)), "")
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,16 @@ def test_round_trip(spark):
 
 
 def test_long_conversation(spark):
-    df = spark.range(3000).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "repeat('é', int(id % 50)) as text")
+    """Spans inside of one piece, across pieces, and of many pieces."""
+    text = lambda i: "é🎉</s>"[: i % 6] * (i % 50) + "x" * (5 * C.PIECE if i == 1000 else 0)
+    rows = [(1, i, "user" if i % 3 == 0 else "assistant", text(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     r = C.chat(df).withColumn("back", C.turns_of(F.col("formatted"))).withColumn("loss", C.masked(F.col("formatted"), F.col("mask"))).first()
-    assert len(r.back) == 3000 and len(r.loss) == sum(i % 50 for i in range(3000) if i % 3)
+    assert [(t.role, t.text) for t in r.back] == [(x[2], x[3]) for x in rows]
+    assert r.loss == "".join(x[3] for x in rows if x[2] == "assistant") and len(r.mask) == 2000
+
+
+def test_conversation_moves_once(spark):
+    df = spark.createDataFrame([(1, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    plan = C.chat(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
