@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from coloom.llm import spans as S
 from coloom.llm.common import table
+from coloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -131,7 +132,10 @@ def _of(rule: Rule) -> Column:
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found, _ = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two scans: one with the rules of the contract, and one after the further rules came, which finds the first in its ledger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = cut(scan(docs, rules=BASE)[1])
+    found, _ = scan(docs, ledger=ledger)
     of = {r.kind: _of(r) for r in RULES}
     kinds = [r.kind for r in RULES]
     return found.select(

@@ -71,3 +71,16 @@ def test_ledger(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id int, text string, rule string").withColumn("body", F.lit(1))
     assert secrets.scan(empty)[0].count() == 0
+
+
+def test_query_uses_its_ledger(spark, tmp_path):
+    """What the query finds, in two scans, is what one scan with all rules finds; the ledger is read from the shared folder."""
+    texts = TEXTS + TEXTS[3:7]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = secrets.op5_secret_scan(spark, str(tmp_path))
+    assert "Scan ExistingRDD" in out._jdf.queryExecution().executedPlan().toString()
+    order = {r.kind: i for i, r in enumerate(RULES)}
+    for r in out.collect():
+        want = sorted((a, order[n.split("@")[0]], n.split("@")[0], b) for n, a, b in slow(texts[r.doc_id], RULES))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
