@@ -154,7 +154,8 @@ def disclosing(held: DataFrame, texts: DataFrame, limit: float, z: float) -> Dat
     held = cut(held.withColumn("words", words(F.col("body"))))
     values = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], S.text_of(F.col("body"), s))))
     mine = held.select(*key, F.explode(with_classes(F.col("words"))).alias("term"))
-    once = texts.select(*key, words(F.coalesce("text", F.lit(""))).alias("words")).dropDuplicates(key)
+    # Texts, not arrays of their words, are what is shuffled.
+    once = texts.select(*key, "text").dropDuplicates(key).select(words(F.coalesce("text", F.lit(""))).alias("words"))
     every = once.select(F.explode(with_classes(F.col("words"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     counts = cut(every.join(mine.select("term").distinct(), "term", "left_semi"))
     total = {r["term"]: r["n_t"] for r in counts.where(F.col("term").isin(ANY, *CLASSES)).collect()}
