@@ -159,6 +159,12 @@ def test_split_sizes_and_repeatability(spark):
     assert [list(a.values()).count(s) for s in ("train", "val", "test")] == [702, 100, 201]
 
 
+def test_split_sizes_are_exact_shares(spark):
+    # 0.7 * 90 is 62.99 in doubles.
+    rows = hash_split(spark.range(90).withColumnRenamed("id", "case_id")).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in rows} == {"train": 63, "val": 9, "test": 18}
+
+
 def test_row_stats_and_groups(spark):
     df = spark.createDataFrame([(1, 0.0, 0.4, 0.8, 0.2)], "case_id int, a double, b double, c double, t double")
     r = row_stats(df, ["a", "b", "c"], ["t"]).first()
