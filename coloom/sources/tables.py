@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coloom.functions import vocab
+from coloom.session import size_shuffles
 
 VENUE_CODES = list(vocab.VENUES)
 TRANSPORT_CODES = sorted(set(vocab.TRANSPORTS.values()))
@@ -29,16 +30,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped lines with their customer and nation.
 
     Nation has a fixed 25 rows, so it is broadcast; the sides of the other joins
-    grow with the data and are left to the optimiser.
+    grow with the data and are left to the optimiser.  Shuffles of the session get
+    partitions for their number (a count from the file footers).
     """
+    shipped = table(spark, sf_dir, "lineitem")
+    size_shuffles(spark, shipped.count())
     customers = (
         table(spark, sf_dir, "customer")
         .join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", "n_name")
     )
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        shipped.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
     )
 
