@@ -1,10 +1,13 @@
 """Near copies: all texts whose word shingles have a Jaccard similarity of 4/5 or more.
 
-Nothing is estimated; the links are those that a comparison of all pairs finds.
+Nothing is estimated; the links are those that a comparison of all pairs finds.  Most are
+found by SimHash, and the rest, which fingerprints cannot promise, by a join on shingles.
 
 1. A text is the set of its hashed shingles of ``width`` words, A-Z lower-cased; a
-   shorter text is one shingle.  Equal sets are one node.
-2. Shingles have one order for all texts: those met often in a quarter of the texts come
+   shorter text is one shingle.  Equal sets are one node.  The shingles' SimHash is the
+   fingerprint of a set; fingerprints within ``radius`` bits are found as in ``simhash`` and
+   their sets verified as in 5.
+2. For the join, shingles have one order for all texts: those met often in a quarter of the texts come
    last, by how often; the rest stand by hash.  The share is the same at every size of the
    corpus, so how many texts a shingle of the rest is in does not grow.  What the sample says
    only changes the cost.
@@ -14,13 +17,13 @@ Nothing is estimated; the links are those that a comparison of all pairs finds.
    n - ceil(4 n / 5) + 1 shingles of a set are posted, and a row for two sets is made only
    where their places on a list allow it.  Texts that share a passage, which stands late in
    the order, make none.
-4. Each candidate is verified on the whole sets, which are made anew from the texts of the
+4. Only components are asked for, so only sets of different components, those of the links so
+   far, are compared.  In ``rounds`` rounds each set is compared with one pivot per list, first
+   with the set that most others share their first shingles with (the text that a group was
+   copied from), then with sets by hash.  What is left is compared with one another: a large
+   group of copies costs what its members cost.
+5. Each candidate is verified on the whole sets, which are made anew from the texts of the
    candidates alone.
-5. Only components are asked for.  In ``rounds`` rounds each set is compared with one pivot
-   per list, first with the set that most others share their first shingles with (the text
-   that a group was copied from), then with sets by hash.  After them only sets of different
-   components are compared with one another: a large group of copies costs what its
-   members cost.
 
 Lists are cut down by aggregates that Spark begins before the shuffle, then joined back.
 
@@ -39,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from coloom.llm import simhash
 from coloom.llm.common import raw
 from coloom.llm.lm import mix
 from coloom.operators.components import components
@@ -109,16 +113,17 @@ def _common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, n, prefix) of each row."""
+    """(id, node, fp, n, prefix) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, width))
 
-    @F.arrow_udf("struct<node: long, n: int, prefix: array<long>>")
+    @F.arrow_udf("struct<node: long, fp: long, n: int, prefix: array<long>>")
     def of(texts: pa.Array) -> pa.Array:
         sets = [shingles(t, width) for t in texts.to_pylist()]
         node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        fp = np.array([simhash.fingerprint_of(s) for s in sets], np.int64)
         n = np.array([len(s) for s in sets], np.int32)
         return pa.StructArray.from_arrays(
-            [pa.array(node), pa.array(n), _lists([prefix(s, sent.value) for s in sets])], ["node", "n", "prefix"]
+            [pa.array(node), pa.array(fp), pa.array(n), _lists([prefix(s, sent.value) for s in sets])], ["node", "fp", "n", "prefix"]
         )
 
     return cut(docs.select(F.col(id_col).alias("id"), of(raw(text_col)).alias("s")).select("id", "s.*"))
@@ -128,6 +133,15 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 FIT = "9 * (least(n - i, m - j) + 1) >= 4 * (n + m)"
 
 
+def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """(u, v): pairs that connect all ``nodes(node, fp)`` whose fingerprints are within ``radius`` bits."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("v")))
+    same = nodes.join(prints, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    near = simhash.links(prints.select("fp"), radius).withColumnsRenamed({"u": "a", "v": "b"})
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("v").alias("u")), "a").join(prints.withColumnRenamed("fp", "b"), "b")
+    return same.unionByName(near.select("u", "v"))
+
+
 def _candidates(met: DataFrame) -> DataFrame:
     """(u, v), smaller first, of rows (u, v)."""
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -177,28 +191,35 @@ def _central(shared: DataFrame) -> DataFrame:
     return shared.join(score, "node")
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int = 5, rounds: int = 2) -> DataFrame:
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shared`` with ``root``, the component of a set, on the lists that hold two of them."""
+    named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    return cut(_live(named, "root"))
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int = 5, rounds: int = 1, radius: int = 2) -> DataFrame:
     """(id, component_id) of every row; the component is the smallest id that is reachable.  No id is null."""
     rows = _nodes(docs, id_col, text_col, width)
-    firsts = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    posts = firsts.select("node", "n", F.posexplode("prefix").alias("i", "shingle")).withColumn("i", F.col("i") + 1)
-    firsts = firsts.select("node", "first")
+    firsts = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp")))
     texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text"))
+    nodes, firsts = firsts.select("node", "fp"), firsts.select("node", "first")
+    links = _verified(_candidates(similar(nodes, radius)), texts, firsts, width)
+    roots = components(links, FEW)
 
-    shared = cut(_central(cut(_live(posts, "node"))))
-    live = shared.withColumn("root", F.col("node"))
-    links, roots = None, None
+    # Equal sets post alike; their rows are one from here.
+    posts = rows.select("node", "n", F.posexplode("prefix").alias("i", "shingle")).withColumn("i", F.col("i") + 1)
+    shared = cut(_central(cut(_live(posts, "node").distinct())))
     for step in range(rounds):
+        live = _apart(shared, roots)
         first = F.col("c") if step == 0 else F.lit(0)
         pivots = live.groupBy("shingle").agg(F.max(F.struct(first.alias("c"), F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "i", "root")).alias("p"))
         met = live.select("shingle", F.col("node").alias("u"), "n", "i", "root").join(
             pivots.select("shingle", F.col("p.node").alias("v"), F.col("p.n").alias("m"), F.col("p.i").alias("j"), F.col("p.root").alias("to")), "shingle"
         )
         found = _verified(_candidates(met.where(F.col("root") != F.col("to")).where(FIT)), texts, firsts, width)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         roots = components(links, FEW)
-        named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-        live = cut(_live(named, "root"))
+    live = _apart(shared, roots)
     mine = live.select("shingle", F.col("node").alias("u"), "n", "i", "root")
     other = live.select("shingle", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("to"))
     # The smaller set of a pair meets the larger; of equal ones, the smaller node.

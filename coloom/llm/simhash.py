@@ -64,8 +64,24 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         cells = zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in cells], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in cells], "<u8"))
+    return _majority(ones, n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of hashed shingles; 0 without any."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += _ones(hashes[at : at + (1 << 16)].astype("<u8"))
+    return _majority(ones, len(hashes))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 

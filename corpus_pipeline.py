@@ -7,8 +7,9 @@ kept.  All but the last return the columns of ``docs``.
    without a letter, and those whose language stays open (a score under one half).
    Without labelled rows every text with a letter stays.
 2. simhash_near_dedup: documents whose five-word shingles have a Jaccard similarity
-   of 0.8 or more are linked, every such pair (see ``jaccard``; fingerprints cannot
-   promise that); of each linked group the document with the smallest id stays.
+   of 0.8 or more are linked, every such pair: SimHash fingerprints give candidates, which
+   are checked exactly, and a join finds the links that fingerprints cannot promise
+   (see ``jaccard``); of each linked group the document with the smallest id stays.
 3. benchmark_decontamination: documents with a benchmark passage go.
 4. personal_data: personal data and what reveals it are replaced in the texts.
 5. sentencepiece: the ids of each text and the text that they decode to.

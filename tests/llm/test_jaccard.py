@@ -58,6 +58,39 @@ def test_groups(spark):
     assert jaccard.near_groups(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_fingerprints_connect_all_pairs_within_the_radius(spark):
+    from tests.llm.test_simhash import slow_components as slow_near
+
+    sets = [jaccard.shingles((t or "").encode()) for t in cases()]
+    rows = [(i, jaccard.simhash.fingerprint_of(s)) for i, s in enumerate(sets)]
+    for s, (_, fp) in zip(sets, rows, strict=True):
+        assert fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    want = slow_near(rows, 2)
+    assert len(set(want)) < len(rows)
+    pairs = jaccard.similar(spark.createDataFrame(rows, "node long, fp long")).collect()
+    root = {i: i for i, _ in rows}
+    for u, v in pairs:
+        low, high = sorted((root[u], root[v]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    assert [root[i] for i, _ in rows] == want
+
+
+def test_stage_takes_links_by_fingerprints(spark, monkeypatch):
+    found = []
+    similar = jaccard.similar
+
+    def seen(*args):
+        found.append(similar(*args))
+        return found[-1]
+
+    monkeypatch.setattr(jaccard, "similar", seen)
+    words = [f"w{i * i}" for i in range(8000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[:4000]))]
+    kept = P.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert set(texts(kept)) == {1, 3}
+    assert len(found) == 1 and found[0].count() > 0
+
+
 def test_stage_and_those_after_it(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
