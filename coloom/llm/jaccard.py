@@ -90,7 +90,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def shingle_column(text_col: str, width: int) -> Column:
     @F.arrow_udf("array<long>")
     def of(texts: pa.Array) -> pa.Array:
-        return _lists([shingles(t, width) for t in texts.to_pylist()])
+        return _lists([shingles(t.as_py(), width) for t in texts])
 
     return of(raw(text_col))
 
@@ -118,12 +118,14 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
     @F.arrow_udf("struct<node: long, fp: long, n: int, prefix: array<long>>")
     def of(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t, width) for t in texts.to_pylist()]
-        node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        fp = np.array([simhash.fingerprint_of(s) for s in sets], np.int64)
-        n = np.array([len(s) for s in sets], np.int32)
+        node, fp, n = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32)
+        first = []
+        for i, t in enumerate(texts):  # one whole set at a time
+            s = shingles(t.as_py(), width)
+            node[i], fp[i], n[i] = xxh64_intdigest(s.tobytes()), simhash.fingerprint_of(s), len(s)
+            first.append(prefix(s, sent.value).copy())
         return pa.StructArray.from_arrays(
-            [pa.array(node), pa.array(fp), pa.array(n), _lists([prefix(s, sent.value) for s in sets])], ["node", "fp", "n", "prefix"]
+            [pa.array(node.view(np.int64)), pa.array(fp), pa.array(n), _lists(first)], ["node", "fp", "n", "prefix"]
         )
 
     return cut(docs.select(F.col(id_col).alias("id"), of(raw(text_col)).alias("s")).select("id", "s.*"))
