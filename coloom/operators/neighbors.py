@@ -5,12 +5,9 @@ node are everyone who shares at least one group with it, each counted once.
 
 Groups below ``fanout`` are expanded to pairs, which costs at most ``fanout`` rows
 per membership.  A larger group is never expanded.  Nodes in the same set of large
-groups have the same neighbours there, so they are collapsed to one signature.
-For a signature of a few groups the union of those groups is a signed sum over
-the intersections (inclusion-exclusion), and each signature adds its own total to
-its subsets, so the work is linear.  A signature of more than ``narrow`` groups is
-matched against the other signatures that share a group with it.  Both ways are
-exact; where the one ends and the other begins only changes the cost.
+groups have the same neighbours there, so they are collapsed to one signature, and
+the union of a signature's groups is summed cell by cell (``unions``): a row for each
+membership of a signature, and no row for two signatures that meet.
 """
 
 from __future__ import annotations
@@ -18,16 +15,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from coloom.operators.colocation import members, pairs, shared, symmetric
+from coloom.operators.unions import BLOCK, union_sums
 from coloom.session import cut
 
 # Groups of this many subjects or more are not expanded.
 FANOUT = 50
-# At most 2**NARROW - 1 subsets are formed per distinct set of large groups.
+# At most 2**NARROW - 1 subsets are formed per set of groups where these are written out (``subsets``).
 NARROW = 8
+# A task holds totals of at most 2**BITS sets of groups.
+BITS = 20
 
 
 @dataclass
@@ -52,7 +53,7 @@ def neighbor_sums(
     values: DataFrame | None = None,
     cols: Sequence[str] = (),
     fanout: int = FANOUT,
-    narrow: int = NARROW,
+    narrow: int = BITS,
 ) -> DataFrame:
     """(node, degree, sum_<col>...) for every node with a neighbour.
 
@@ -64,7 +65,7 @@ def neighbor_sums(
         return _sum_pairs(m.arcs, values, cols).groupBy("node").agg(*_totals(cols))
     s = m if "n" in m.columns else cut(shared(m))
     near = symmetric(pairs(s.where(F.col("n") < fanout)))
-    large = s.where(F.col("n") >= fanout).select("node", F.to_json(F.struct("clique")).alias("g"))
+    large = numbered(s.where(F.col("n") >= fanout))
     if large.isEmpty():  # the steps below would be run on nothing
         return _sum_pairs(near, values, cols).groupBy("node").agg(*_totals(cols))
     sums = ["one", *cols]
@@ -74,34 +75,35 @@ def neighbor_sums(
         own = own.join(values.select("node", *cols), "node", "left").na.fill(0, cols)
     own = own.withColumn("one", F.lit(1).cast("long"))
     sigs = cut(own.groupBy("sig").agg(F.min("node").alias("node"), *[F.sum(c).alias(c) for c in sums]))
-    of_sig = large.join(sigs.select("node", "sig"), "node").select("sig", "g")
-    few = few_groups(of_sig, narrow)
-    by_subset = subsets(few).join(sigs.drop("node"), "sig")
-    overlap = by_subset.groupBy("sub").agg(*[F.sum(c).alias(f"at_{c}") for c in sums])
-    sign = F.when(F.size("sub") % 2 == 1, 1).otherwise(-1)
-    reach = (
-        by_subset.select("sig", "sub")
-        .join(overlap, "sub")
-        .groupBy("sig")
-        .agg(*[F.sum(sign * F.col(f"at_{c}")).alias(c) for c in sums])
-    )
-
-    meets = cut(meetings(of_sig, narrow))
-    from_wide = (
-        meets.join(sigs.select(F.col("sig").alias("o"), *sums), "o").select(F.col("w").alias("sig"), *sums)
-    ).unionByName(
-        meets.where(F.col("o.h") <= narrow)
-        .join(sigs.select(F.col("sig").alias("w"), *sums), "w")
-        .select(F.col("o").alias("sig"), *sums)
-    )
-    reach = reach.unionByName(from_wide).groupBy("sig").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    sets = sets_of(large, sigs)
+    points = sigs.select("sig", F.lit(0.0).alias("x"), *[F.col(c).alias(f"all_{c}") for c in sums])
+    names = [f"all_{c}" for c in sums]
+    reach = union_sums(sets, points.select("sig", F.col("x").alias("at")), points, names, [], narrow)
+    reach = reach.select("sig", *[_like(c, points) for c in names])
     from_large = own.join(reach, "sig").select("node", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in sums])
 
-    rest = uncovered(near, own, few, meets)
-    parts = _sum_pairs(rest, values, cols).unionByName(from_large)
+    parts = _sum_pairs(uncovered(near, own, sets), values, cols).unionByName(from_large)
     return parts.groupBy("node").agg(*_totals(cols)).where("degree > 0")
 
 
+def _like(name: str, df: DataFrame):
+    """A total in double precision as what it is in ``df``."""
+    kind = df.schema[name].dataType
+    return F.col(name) if isinstance(kind, DoubleType) else F.round(name).cast(kind).alias(name)
+
+
+def numbered(groups: DataFrame) -> DataFrame:
+    """(node, g): the memberships with a number for each group."""
+    ids = cut(groups.select("clique").distinct().withColumn("g", F.monotonically_increasing_id()))
+    return groups.join(ids, "clique").select("node", "g")
+
+
+def sets_of(large: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig, groups): the sorted numbers of the groups of each signature, as one of its nodes has them."""
+    of_sig = large.join(sigs.select("node", "sig"), "node")
+    return cut(of_sig.groupBy("sig").agg(F.array_sort(F.collect_list("g")).alias("groups")))
+
+
 def signatures(groups: DataFrame) -> DataFrame:
     """(node, sig) of ``groups(node, g)``; nodes in the same set of groups share a signature.
 
@@ -134,15 +136,13 @@ def meetings(of_sig: DataFrame, narrow: int = NARROW) -> DataFrame:
     return wide.join(of_sig.select(F.col("sig").alias("o"), "g"), "g").select("w", "o").distinct()
 
 
-def uncovered(near: DataFrame, own: DataFrame, few: DataFrame, meets: DataFrame) -> DataFrame:
+def uncovered(near: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (src, dst) from small groups that no large group already covers."""
-    sig_of = own.select("node", "sig").join(few, "sig", "left")
-    both_ways = meets.unionByName(meets.select(F.col("o").alias("w"), F.col("w").alias("o"))).distinct()
+    groups = own.select("node", "sig").join(sets, "sig").select("node", "groups")
     return (
-        near.join(sig_of.withColumnsRenamed({"node": "src", "sig": "w", "groups": "s_groups"}), "src", "left")
-        .join(sig_of.withColumnsRenamed({"node": "dst", "sig": "o", "groups": "d_groups"}), "dst", "left")
+        near.join(groups.withColumnsRenamed({"node": "src", "groups": "s_groups"}), "src", "left")
+        .join(groups.withColumnsRenamed({"node": "dst", "groups": "d_groups"}), "dst", "left")
         .where(~F.coalesce(F.arrays_overlap("s_groups", "d_groups"), F.lit(False)))
-        .join(both_ways, ["w", "o"], "left_anti")
         .select("src", "dst")
     )
 
@@ -168,8 +168,8 @@ def threshold_sums(
     low: Sequence[str],
     high: Sequence[str],
     fanout: int = FANOUT,
-    narrow: int = NARROW,
-    buckets: int = 64,
+    narrow: int = BITS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(node, <low>.., <high>..): sums over the distinct neighbours on either side of a node's own threshold.
 
@@ -177,10 +177,9 @@ def threshold_sums(
     columns ``low`` are summed over the neighbours j with x_j <= at_i, ``high`` over those
     with x_j > at_i.
 
-    Unions of groups are taken apart as in ``neighbor_sums``.  A set of groups is sorted by
-    x with the thresholds between, and running sums are read at the thresholds; equal x are
-    one row.  The order is cut into buckets by x whose totals are summed first, so one set
-    with all nodes is worked on by as many tasks.
+    Unions of groups are summed in cells as in ``neighbor_sums``, with the points of a cell in
+    the order of x and the totals read at the thresholds.  A task takes at most about ``block`` of
+    the thresholds and of the points of a cell.
     """
     cols = [*low, *high]
     side = {c: F.col("x") <= F.col("at") for c in low} | {c: F.col("x") > F.col("at") for c in high}
@@ -193,56 +192,19 @@ def threshold_sums(
         return of_pairs(m.arcs)
     s = m if "n" in m.columns else cut(shared(m))
     near = symmetric(pairs(s.where(F.col("n") < fanout)))
-    large = s.where(F.col("n") >= fanout).select("node", F.to_json(F.struct("clique")).alias("g"))
+    large = numbered(s.where(F.col("n") >= fanout))
     if large.isEmpty():
         return of_pairs(near)
     own = cut(signatures(large))
-    sigs = own.groupBy("sig").agg(F.min("node").alias("node"))
-    of_sig = cut(large.join(sigs, "node").select("sig", "g"))
-    few, meets = few_groups(of_sig, narrow), cut(meetings(of_sig, narrow))
-
-    # Who adds to a set, and who reads it, with which sign.
-    tag = lambda kind, sig: F.array(F.lit(kind), F.to_json(sig))
-    subs = cut(subsets(few).select("sig", F.concat(F.array(F.lit("s")), "sub").alias("key"), F.when(F.size("sub") % 2 == 1, 1).otherwise(-1).alias("sign")))
-    narrow_met = meets.where(F.col("o.h") <= narrow)
-    gives = (
-        subs.select("sig", "key")
-        .unionByName(meets.select(F.col("o").alias("sig"), tag("w", F.col("w")).alias("key")))
-        .unionByName(narrow_met.select(F.col("w").alias("sig"), tag("o", F.col("o")).alias("key")))
-    )
-    takes = subs.unionByName(meets.select(F.col("w").alias("sig"), tag("w", F.col("w")).alias("key"), F.lit(1).alias("sign")).distinct()).unionByName(
-        narrow_met.select(F.col("o").alias("sig"), tag("o", F.col("o")).alias("key"), F.lit(1).alias("sign")).distinct()
-    )
+    sets = sets_of(large, own.groupBy("sig").agg(F.min("node").alias("node")))
     who = cut(own.join(rows, "node"))
     points = who.groupBy("sig", "x").agg(*[F.sum(c).alias(c) for c in cols])
-    points = points.join(gives, "sig").groupBy("key", "x").agg(*[F.sum(c).alias(c) for c in cols]).withColumn("reads", F.lit(0))
-    asks = cut(who.select("sig", F.col("at").alias("x")).distinct().join(takes, "sig"))
-    marks = asks.select("key", "x", *[F.lit(0.0).alias(c) for c in cols], F.lit(1).alias("reads")).distinct()
-    steps = F.lit([i / buckets for i in range(1, buckets)])
-    borders = rows.agg(F.percentile_approx("x", steps, 10000)).scalar()
-    line = points.unionByName(marks).withColumn("borders", borders)
-    line = cut(line.withColumn("bucket", F.size(F.filter("borders", lambda b: b < F.col("x")))).drop("borders"))
-    along = Window.partitionBy("key", "bucket").orderBy("x", "reads").rowsBetween(Window.unboundedPreceding, 0)
-    prior = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = line.groupBy("key", "bucket").agg(*[F.sum(c).alias(c) for c in cols])
-    cells = cells.select(
-        "key",
-        "bucket",
-        *[F.coalesce(F.sum(c).over(prior), F.lit(0.0)).alias(f"before_{c}") for c in cols],
-        *[F.sum(c).over(Window.partitionBy("key")).alias(f"all_{c}") for c in high],
-    )
-    upto = {c: F.col(f"before_{c}") + F.col(c) for c in cols}
-    read = (
-        line.select("key", "bucket", "x", "reads", *[F.sum(c).over(along).alias(c) for c in cols])
-        .where("reads = 1")
-        .join(cells, ["key", "bucket"])
-        .select("key", "x", *[upto[c].alias(c) for c in low], *[(F.col(f"all_{c}") - upto[c]).alias(c) for c in high])
-    )
-    told = asks.join(read, ["key", "x"]).groupBy("sig", F.col("x").alias("at")).agg(*[F.sum(F.col("sign") * F.col(c)).alias(f"t_{c}") for c in cols])
+    told = union_sums(sets, who.select("sig", "at").distinct(), points, low, high, narrow, block)
+    told = told.select("sig", "at", *[F.col(c).alias(f"t_{c}") for c in cols])
     # A node does not count itself.
     mine = {c: F.when(side[c], F.col(c)).otherwise(0.0) for c in cols}
     from_large = who.join(told, ["sig", "at"]).select("node", *[(F.col(f"t_{c}") - mine[c]).alias(c) for c in cols])
-    parts = of_pairs(uncovered(near, own, few, meets)).unionByName(from_large)
+    parts = of_pairs(uncovered(near, own, sets)).unionByName(from_large)
     return parts.groupBy("node").agg(*[F.sum(c).alias(c) for c in cols])
 
 
