@@ -42,6 +42,8 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Chunks of which a worker remembers the ids, about, and bytes of text encoded together.
 REMEMBER = 300_000
 TOGETHER = 3 << 20
+#: Bytes of text whose rows are given out together where a whole batch need not stay.
+AT_ONCE = 1 << 20
 UNKNOWN_COST = 10.0
 
 
@@ -349,6 +351,29 @@ def both_column(spark, text_col: str, path: str = VOCABULARY) -> Column:
     return of(raw(text_col))
 
 
+def in_pieces(spark, docs: DataFrame, text_col: str, path: str = VOCABULARY) -> DataFrame:
+    """``docs`` with ``text_col`` as what its ids decode to, in bytes, and with ``ids``.
+
+    Rows come out some ``AT_ONCE`` bytes of text at a time, so a worker never holds the ids and
+    texts of a whole Arrow batch.  A text is worked on as it stands in a row of its own operator,
+    whatever expression it comes from.
+    """
+    model = _model(spark, path)
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("own"), raw(text_col).alias("text"))
+    out = "own " + rows.schema["own"].dataType.simpleString() + ", ids array<int>, text binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in small_batches(batches, AT_ONCE):
+            packed = model.value.encode_many(some.column("text").to_pylist())
+            decoded = [model.value.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([some.column("own"), ids, pa.array(decoded, pa.binary())], ["own", "ids", "text"])
+
+    return rows.mapInArrow(run, out).select("own.*", "ids", F.col("text").alias(text_col))
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", raw("text").alias("raw"), both_column(spark, "text").alias("b"))
     return docs.select(

@@ -63,10 +63,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = docs.select("doc_id", "lang", "source", pieces.both_column(spark, "text").alias("b"))
-    return both.select(
-        "doc_id", "lang", "source", F.size("b.ids").cast("long").alias("n_ids"), "b.ids", F.col("b.text").cast("string").alias("text")
-    )
+    both = pieces.in_pieces(spark, docs.select("doc_id", "lang", "source", "text"), "text")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("text").cast("string").alias("text"))
 
 
 STAGES = [

@@ -79,3 +79,15 @@ def test_odd_rows(spark):
         got = frame.collect()
         assert {r.doc_id for r in got} == ids and len(got) == len(ids)
         assert all(r.text == "the words of nobody with [email] in it" for r in got if r.doc_id is None)
+
+
+def test_pieces_leave_in_small_batches(spark, monkeypatch):
+    """Ids and texts of a batch are not kept until its last row, and rows stay as they are."""
+    from coloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "AT_ONCE", 50)
+    rows = [(i, None, "s", None if i % 7 == 0 else f"text {i} \u2581 of x\u00e9 " * (i % 5)) for i in range(200)] + [(None, "en", None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").coalesce(1)
+    got = pieces.in_pieces(spark, docs, "text").collect()
+    assert [(r.doc_id, r.lang, r.source, bytes(r.text).decode()) for r in got] == [(a, b, c, d or "") for a, b, c, d in rows]
+    assert {r.doc_id: r.ids for r in got} == {r.doc_id: r.ids for r in docs.select("doc_id", pieces.encode_column(spark, "text").alias("ids")).collect()}
