@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -181,9 +181,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int)
 
 
 def _live(lists: DataFrame, by: str) -> DataFrame:
-    """The rows of the lists that hold two different ``by``."""
-    ends = lists.groupBy("shingle").agg(F.min(by).alias("low"), F.max(by).alias("high"))
-    return lists.join(ends.where("low <> high").select("shingle"), "shingle", "left_semi")
+    """The rows of the lists that hold two different ``by``; the lists are shuffled once."""
+    whole = Window.partitionBy("shingle")
+    ends = lists.withColumns({"low": F.min(by).over(whole), "high": F.max(by).over(whole)})
+    return ends.where("low <> high").drop("low", "high")
 
 
 def _central(shared: DataFrame) -> DataFrame:

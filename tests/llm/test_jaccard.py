@@ -103,3 +103,12 @@ def test_stage_and_those_after_it(spark):
     assert clean == {i: t for i, t in now.items() if not slow_hits(t, bench, 10)[1]}
     private = P.personal_data(spark, unique.where(unique.doc_id.isin(list(clean))), SF)
     assert texts(private) == {i: replaced(t) for i, t in clean.items()}
+
+
+def test_lists_are_shuffled_once(spark):
+    from coloom.llm.jaccard import _live
+
+    rows = [(1, 7), (1, 7), (1, 8), (2, 7), (2, 7), (3, 9), (4, 5), (4, 6)]
+    live = _live(spark.createDataFrame(rows, "shingle long, node long"), "node")
+    assert sorted(map(tuple, live.collect())) == [(1, 7), (1, 7), (1, 8), (4, 5), (4, 6)]
+    assert live._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
