@@ -28,7 +28,7 @@ from coloom.operators.neighbors import decayed_sums, decayed_weights, neighbor_s
 from coloom.operators.split import hash_split, hash_splits_by_seed
 from coloom.plans import contrast, risk, sweeps
 from coloom.plans import graph_models as GM
-from coloom.session import checkpoint_folder, cut
+from coloom.session import checkpoint_folder, cut, size_shuffles
 from coloom.sources import sinks
 from coloom.sources import tables as T
 from coloom.sources.reports import read_case_blocks, read_cases, read_events, split_cases
@@ -144,6 +144,7 @@ def _folder(spark):
 @query
 def file_case_blocks(spark, sf):
     """Reports written as text files and read back in splits."""
+    size_shuffles(spark, T.table(spark, sf, "lineitem").count())
     folder = _folder(spark)
     T.line_reports(spark, sf).select("content").write.text(folder)
     blocks = read_case_blocks(spark, folder)

@@ -94,6 +94,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Pieces of a split that are put together at once: 2**CHUNK at most.
+CHUNK = 12
+
+
 def case_key(province: Column, number: Column) -> Column:
     return F.concat(X.prefix(province, 2), F.lit("_"), number)
 
@@ -102,8 +106,8 @@ def read_case_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Case blocks of a folder of reports of any size.
 
     The first character of the marker is the record separator, so one large
-    report is read as many splits.  Pieces are numbered inside their split, the
-    marker counts of the splits of a file are summed up (one row per split), and
+    report is read as many splits.  Pieces are numbered inside a chunk of their split, the
+    marker counts of the chunks of a file are summed up (one row per chunk), and
     the pieces of a case are put together again.  No task sees a whole file.
     """
     head, tail = vocab.CASE_MARKER[0], vocab.CASE_MARKER[1:]
@@ -118,36 +122,49 @@ def read_case_blocks(spark: SparkSession, folder: str) -> DataFrame:
             F.col("value").alias("piece"),
         )
     )
-    in_split = Window.partitionBy("path", "split").orderBy("pos")
-    starts = F.col("piece").rlike(f"^{tail}") & ~((F.col("split") == 0) & (F.col("nth") == 1))
-    numbered = (
-        pieces.withColumn("nth", F.row_number().over(in_split))
-        .withColumn("starts", starts.cast("long"))
-        .withColumn("local", F.sum("starts").over(in_split))
+    # A chunk is some thousand pieces that follow one another in a split.
+    chunk = ["path", "split", "chunk"]
+    pieces = pieces.withColumn("chunk", F.expr(f"shiftright(pos & 8589934591L, {CHUNK})")).withColumn(
+        "marked", F.col("piece").rlike(f"^{tail}").cast("long")
     )
-    in_file = Window.partitionBy("path").orderBy("split").rowsBetween(
-        Window.unboundedPreceding, -1
+    in_file = Window.partitionBy("path").orderBy("split", "chunk")
+    # One row per chunk, without texts.  Nothing stands before the first piece of a file, so it starts no case.
+    counts = (
+        pieces.groupBy(*chunk)
+        .agg(F.sum("marked").alias("n"), F.min("pos").alias("first"), F.min_by("marked", "pos").alias("opens"))
+        .withColumn("first", F.when((F.col("split") == 0) & (F.row_number().over(in_file) == 1), F.col("first")))
+        .withColumn("n", F.when(F.col("first").isNull(), F.col("n")).otherwise(F.col("n") - F.col("opens")))
+        .select(*chunk, "n", "first", (F.sum("n").over(in_file) - F.col("n")).alias("before"))
     )
-    splits = (
-        numbered.groupBy("path", "split")
-        .agg(F.sum("starts").alias("n"))
+    starts = F.when(F.col("pos").eqNullSafe(F.col("first")), 0).otherwise(F.col("marked"))
+    numbered = pieces.join(counts, chunk).withColumn("local", F.sum(starts).over(Window.partitionBy(*chunk).orderBy("pos")))
+    # The pieces of a chunk are together; only a case that may reach into another chunk is shuffled again.
+    parts = (
+        numbered.where("before + local > 0")
+        .groupBy(*chunk, "local")
+        .agg(F.first("n").alias("n"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
         .select(
-            "path", "split", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("before")
+            *chunk,
+            "local",
+            "n",
+            (F.col("before") + F.col("local") - 1).alias("case_seq"),
+            F.array_join(F.transform("parts", lambda p: p["piece"]), head).alias("text"),
         )
     )
-    whole = (
-        numbered.join(splits, ["path", "split"])
-        .withColumn("case_seq", F.col("before") + F.col("local") - 1)
-        .where("case_seq >= 0")
+    border = (F.col("local") == 0) | (F.col("local") == F.col("n"))
+    crossing = (
+        parts.where(border)
         .groupBy("path", "case_seq")
-        .agg(F.array_sort(F.collect_list(F.struct("split", "pos", "piece"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("split", "chunk", "text"))).alias("parts"))
+        .select("path", "case_seq", F.array_join(F.transform("parts", lambda p: p["text"]), head).alias("text"))
+    )
+    whole = (
+        parts.where(~border).select("path", "case_seq", "text").unionByName(crossing)
         .select(
             "path",
             province_of(F.col("path")).alias("province"),
             F.col("case_seq").cast("int").alias("case_seq"),
-            F.concat(
-                F.lit(head), F.array_join(F.transform("parts", lambda p: p["piece"]), head)
-            ).alias("case_text"),
+            F.concat(F.lit(head), "text").alias("case_text"),
         )
     )
     number = X.case_number(F.col("case_text"))

@@ -114,6 +114,27 @@ def test_files_read_whole_or_in_splits_give_the_same_cases(spark):
     assert len(whole) == 11
 
 
+def test_cases_across_chunks(spark, monkeypatch):
+    """Cases inside a chunk, across two and across several, in a file of one split; texts are shuffled once but for the borders."""
+    from coloom.sources import reports
+
+    folder = tempfile.mkdtemp(prefix="coloom-test-", dir="/tmp")
+    texts = {
+        "a省确诊病例.txt": "第1号确诊病例，女。" + "第二天。第三天。" * 9 + "".join(f"第{i}号确诊病例，男。第{i}天。" for i in range(2, 40)),
+        "b省确诊病例.txt": "开头。第二。第三。第四。第五。第1号确诊病例，女",
+        "c.txt": "1号确诊病例，女。第2号确诊病例，男",
+        "d.txt": "没有",
+    }
+    for name, text in texts.items():
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    whole = split_cases(read_texts(spark, folder)).select("province", "case_seq", "case_id", "case_text").collect()
+    for size in (0, 1, 2, 12):
+        monkeypatch.setattr(reports, "CHUNK", size)
+        parts = read_case_blocks(spark, folder).select("province", "case_seq", "case_id", "case_text").collect()
+        assert sorted(map(tuple, parts)) == sorted(map(tuple, whole))
+
+
 def test_read_cases_json(spark):
     folder = tempfile.mkdtemp(prefix="coloom-test-", dir="/tmp")
     with open(f"{folder}/cases.json", "w", encoding="utf-8") as f:
