@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coloom.operators.colocation import shared, symmetric
 from coloom.operators.neighbors import NARROW, few_groups, meetings, neighbor_sums, signatures, subsets
+from coloom.operators.paths import PAIRS, component_dependencies, small_components
 from coloom.session import cut
 
 DAMPING = 0.85
@@ -105,7 +106,9 @@ def transitivity_share(m: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(m: DataFrame, n_nodes: int, as_coded: bool = False, block: int = 4096, narrow: int = NARROW) -> DataFrame:
+def betweenness(
+    m: DataFrame, n_nodes: int, as_coded: bool = False, block: int = 4096, narrow: int = NARROW, most: int = PAIRS
+) -> DataFrame:
     """(node, betweenness): shortest-path betweenness from every source.
 
     ``m`` holds memberships (node, clique); an edge table (src, dst) is taken as groups of
@@ -129,7 +132,28 @@ def betweenness(m: DataFrame, n_nodes: int, as_coded: bool = False, block: int =
         edge = F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
         m = m.select(F.explode(F.array("src", "dst")).alias("node"), edge.alias("clique")).distinct()
     s = m if "n" in m.columns else cut(shared(m))
-    own, classes, arcs = _hubs(s, narrow)
+    own, classes, of_sig = _classes(s)
+    total = classes.select("v", F.lit(0.0).alias("dep"))
+    groups = cut(of_sig.join(classes, "sig").select(F.col("v").alias("node"), F.col("g").alias("clique")))
+    parts = small_components(groups, most)
+    if not parts.where("small").isEmpty():
+        inside = groups.join(parts.where("small").select("node"), "node", "left_semi")
+        weights = classes.select(F.col("v").alias("node"), "weight")
+        walked = component_dependencies(inside, parts.where("small").select("node", "component"), weights)
+        total = total.unionByName(walked.withColumnRenamed("node", "v"))
+    wide = parts.where("not small").select(F.col("node").alias("v"))
+    if not wide.isEmpty():
+        total = total.unionByName(_walk_hubs(classes.join(wide, "v", "left_semi"), of_sig, narrow, block))
+    pairs = (n_nodes - 1) * (n_nodes - 2)
+    scale = (2.0 if as_coded else 1.0) / pairs if pairs > 0 else 1.0
+    by_class = total.groupBy("v").agg((F.sum("dep") * scale).alias("betweenness"))
+    return own.join(classes.select("sig", "v"), "sig").join(by_class, "v").select("node", "betweenness")
+
+
+def _walk_hubs(classes: DataFrame, of_sig: DataFrame, narrow: int, block: int) -> DataFrame:
+    """(v, dep) of ``classes(sig, v, weight)``, whole components, by rows of sources and what they reach."""
+    classes = cut(classes)
+    arcs = _hubs(classes, of_sig.join(classes.select("sig"), "sig", "left_semi"), narrow)
     start = classes.select("v", "weight")
     blocks = max(1, -(-start.count() // block))
     total = start.select("v", F.lit(0.0).alias("dep"))
@@ -140,18 +164,20 @@ def betweenness(m: DataFrame, n_nodes: int, as_coded: bool = False, block: int =
             total = total.unionByName(part)
             if blocks > 1:  # one small table of classes instead of all waves so far
                 total = cut(total.groupBy("v").agg(F.sum("dep").alias("dep")))
-    pairs = (n_nodes - 1) * (n_nodes - 2)
-    scale = (2.0 if as_coded else 1.0) / pairs if pairs > 0 else 1.0
-    by_class = total.groupBy("v").agg((F.sum("dep") * scale).alias("betweenness"))
-    return own.join(classes.select("sig", "v"), "sig").join(by_class, "v").select("node", "betweenness")
+    return total
 
 
-def _hubs(s: DataFrame, narrow: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The nodes (node, sig), the classes of twins (sig, v, weight), and the arcs (v, hub, sign) to what these meet at."""
+def _classes(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes (node, sig), the classes of twins (sig, v, weight), and the groups of these (sig, g)."""
     groups = s.select("node", F.to_json(F.struct("clique")).alias("g"))
     own = cut(signatures(groups))
     ids = cut(own.groupBy("sig").agg(F.min("node").alias("v"), F.count(F.lit(1)).cast("double").alias("weight")))
     of_sig = groups.join(ids.select(F.col("v").alias("node"), "sig"), "node").select("sig", "g")
+    return own, ids, cut(of_sig)
+
+
+def _hubs(ids: DataFrame, of_sig: DataFrame, narrow: int) -> DataFrame:
+    """The arcs (v, hub, sign) from classes (sig, v) to what they meet at."""
     of_sig = cut(of_sig)
     subs = subsets(few_groups(of_sig, narrow)).select("sig", F.xxhash64("sub").alias("hub"), F.xxhash64(F.lit(1), "sub").alias("hub2"), F.when(F.size("sub") % 2 == 1, 1).otherwise(-1).alias("sign"))
     # A wide class and each other class that it meets, once.
@@ -160,7 +186,7 @@ def _hubs(s: DataFrame, narrow: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = subs.unionByName(both).join(ids.select("sig", "v"), "sig").select("v", F.struct("hub", "hub2").alias("hub"), "sign")
     every = cut(every)
     used = every.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hub")
-    return own, ids, cut(every.join(used, "hub"))
+    return cut(every.join(used, "hub"))
 
 
 def _dependencies(classes: DataFrame, arcs: DataFrame, sources: DataFrame) -> DataFrame | None:

@@ -227,6 +227,41 @@ def test_betweenness_and_transitivity_match_brute_force(spark):
     assert share == {a: (len(s), sum(1 for b in s if near[b] & s - {a})) for a, s in near.items()}
 
 
+def test_betweenness_inside_tasks_and_by_rows(spark, monkeypatch):
+    """Components of many sizes, twins and shared groups: walked inside tasks, by rows, or some either way."""
+    from coloom.operators import paths
+
+    rng = random.Random(7)
+    rows = {(f"{p}{rng.randrange(16)}", f"{p}{g}") for p in "abc" for g in range(7) for _ in range(rng.randrange(2, 5))}
+    rows |= {(f"t{i}", "t") for i in range(4)} | {("u0", "u"), ("u1", "u"), ("u1", "w"), ("u2", "w"), ("u3", "w"), ("x", "x")}
+    near = {}
+    for a, g in rows:
+        for b, h in rows:
+            if g == h and a != b:
+                near.setdefault(a, set()).add(b)
+    want = brandes(near)
+    m = spark.createDataFrame(sorted(rows), "node string, clique string")
+    monkeypatch.setattr(paths, "CELLS", 40)
+    for most in (1 << 18, 25, 0):
+        got = {r.node: r.betweenness * 99 * 98 for r in C.betweenness(m, 100, most=most).collect()}
+        assert set(got) == set(want) and max(abs(got[v] - want[v]) for v in want) < 1e-9
+
+
+def test_betweenness_of_small_components_writes_no_waves(spark, monkeypatch):
+    """A row for each source and what it reaches, written out wave by wave, took minutes on ten thousand nodes."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 100 != 99], "src long, dst long")
+
+    def refuse(*_):
+        raise AssertionError("rows of waves")
+
+    monkeypatch.setattr(C, "_dependencies", refuse)
+    got = {r.node: r.betweenness * 999 * 998 for r in C.betweenness(edges, 1000).collect()}
+    of = {v: (v // 100, v % 100) for v in range(300)} | {300: (2, 100)}
+    long = {0: 99, 1: 99, 2: 100}
+    assert set(got) == set(of)
+    assert all(abs(got[v] - 2 * i * (long[c] - i)) < 1e-9 for v, (c, i) in of.items())
+
+
 def test_path_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     for coded, value in ((False, 1.0), (True, 2.0)):
