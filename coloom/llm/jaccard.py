@@ -27,7 +27,7 @@ found by SimHash, and the rest, which fingerprints cannot promise, by a join on
 
 Lists are cut down by aggregates that Spark begins before the shuffle, then joined back.
 
-Shingles and sets are told by 64 bits.  Null texts and texts without words are equal and one
+Sets, and shingles inside them, are told by 64 bits, shingles on lists by 40.  Null texts and texts without words are equal and one
 group.  Repeated rows are equal sets; ids that are repeated stand for all their rows.  Very
 long texts are taken whole; a task holds one batch of sets.  Ties between pivots are settled
 by hash and change no result.  An empty table gives no rows.  Columns other than id and text
@@ -46,10 +46,13 @@ from coloom.llm import simhash
 from coloom.llm.common import raw
 from coloom.llm.lm import mix
 from coloom.operators.components import components
-from coloom.session import cut
+from coloom.session import cut, free_shuffles
 
 #: One text in ``SHARE`` is looked at for common shingles; met ``OFTEN`` there they are common; ``MOST`` are kept, the most frequent.
 SHARE, OFTEN, MOST = 4, 4, 1 << 20
+#: The lower bits of a posted shingle, which hold its place.
+PLACE_BITS = 24
+PLACES = (1 << PLACE_BITS) - 1
 #: Bits of the map that tells most rows apart from candidates before a join does so exactly.
 MAP = 1 << 24
 #: Links of two longs, 2 MB, whose components one task finds without exchanges.
@@ -113,24 +116,52 @@ def _common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, fp, n, prefix) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, width))
+    """(id, node, fp) of each row."""
 
-    @F.arrow_udf("struct<node: long, fp: long, n: int, prefix: array<long>>")
+    @F.arrow_udf("struct<node: long, fp: long>")
     def of(texts: pa.Array) -> pa.Array:
-        node, fp, n = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32)
-        first = []
+        node, fp = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):  # one whole set at a time
             s = shingles(t.as_py(), width)
-            node[i], fp[i], n[i] = xxh64_intdigest(s.tobytes()), simhash.fingerprint_of(s), len(s)
-            first.append(prefix(s, sent.value).copy())
-        return pa.StructArray.from_arrays(
-            [pa.array(node.view(np.int64)), pa.array(fp), pa.array(n), _lists(first)], ["node", "fp", "n", "prefix"]
-        )
+            node[i], fp[i] = xxh64_intdigest(s.tobytes()), simhash.fingerprint_of(s)
+        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(fp)], ["node", "fp"])
 
     return cut(docs.select(F.col(id_col).alias("id"), of(raw(text_col)).alias("s")).select("id", "s.*"))
 
 
+def packed(first: np.ndarray) -> np.ndarray:
+    """The shingles of a prefix by their upper 40 bits, with their places, from 1, in the 24 bits below.
+
+    Shingles that are told by fewer bits make candidates, no links, and a place too large for its
+    bits is given as an earlier one, where more pairs fit.
+    """
+    places = np.minimum(np.arange(1, len(first) + 1, dtype=np.uint64), np.uint64(PLACES))
+    return first & ~np.uint64(PLACES) | places
+
+
+def _posts(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(node, n, i, shingle) of the prefix of each row's set, dealt by shingle.
+
+    Sets are made anew, as prefixes stored with the rows would stay on disk to the end, and
+    what is shuffled is a long for a shingle and its place.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, width))
+
+    @F.arrow_udf("struct<node: long, n: int, posts: array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        node, n, posts = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32), []
+        for i, t in enumerate(texts):
+            s = shingles(t.as_py(), width)
+            node[i], n[i] = xxh64_intdigest(s.tobytes()), len(s)
+            posts.append(packed(prefix(s, sent.value)))
+        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(posts)], ["node", "n", "posts"])
+
+    each = docs.select(of(raw(text_col)).alias("s")).select("s.node", "s.n", F.explode("s.posts").alias("post"))
+    shingle = F.shiftrightunsigned("post", PLACE_BITS)
+    place = F.col("post").bitwiseAND(F.lit(PLACES)).cast("int")
+    return each.repartition(shingle).select("node", "n", place.alias("i"), shingle.alias("shingle"))
+
+
 #: Whether sets of n and m shingles, whose first shared one is at i and j, can have the similarity.
 FIT = "9 * (least(n - i, m - j) + 1) >= 4 * (n + m)"
 
@@ -210,8 +241,11 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int = 5, rou
     roots = components(links, FEW)
 
     # Equal sets post alike; their rows are one from here.
-    posts = rows.select("node", "n", F.posexplode("prefix").alias("i", "shingle")).withColumn("i", F.col("i") + 1)
-    shared = cut(_central(cut(_live(posts, "node").distinct())))
+    free_shuffles(docs.sparkSession)
+    live = cut(_live(_posts(docs, text_col, width), "node").distinct())
+    free_shuffles(docs.sparkSession)
+    shared = cut(_central(live))
+    free_shuffles(docs.sparkSession)
     for step in range(rounds):
         live = _apart(shared, roots)
         first = F.col("c") if step == 0 else F.lit(0)
@@ -222,6 +256,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int = 5, rou
         found = _verified(_candidates(met.where(F.col("root") != F.col("to")).where(FIT)), texts, firsts, width)
         links = links.unionByName(found)
         roots = components(links, FEW)
+        free_shuffles(docs.sparkSession)
     live = _apart(shared, roots)
     mine = live.select("shingle", F.col("node").alias("u"), "n", "i", "root")
     other = live.select("shingle", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("to"))

@@ -45,3 +45,21 @@ def test_a_task_holds_no_more_rows_of_more_visits(spark, monkeypatch):
             spark.conf.unset(key)
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_free_shuffles_deletes_files_of_plans_that_are_gone(spark):
+    import time
+
+    from coloom.session import cut, free_shuffles
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    free_shuffles(spark)
+    time.sleep(1)
+    before = files.getAllFiles().size()
+    kept = cut(spark.range(1000).repartition(4, "id"))
+    assert files.getAllFiles().size() > before
+    free_shuffles(spark)
+    end = time.time() + 20
+    while files.getAllFiles().size() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files.getAllFiles().size() <= before and kept.count() == 1000
