@@ -256,10 +256,8 @@ def test_betweenness_of_small_components_writes_no_waves(spark, monkeypatch):
 
     monkeypatch.setattr(C, "_dependencies", refuse)
     got = {r.node: r.betweenness * 999 * 998 for r in C.betweenness(edges, 1000).collect()}
-    of = {v: (v // 100, v % 100) for v in range(300)} | {300: (2, 100)}
-    long = {0: 99, 1: 99, 2: 100}
-    assert set(got) == set(of)
-    assert all(abs(got[v] - 2 * i * (long[c] - i)) < 1e-9 for v, (c, i) in of.items())
+    assert set(got) == set(range(300))
+    assert all(abs(b - 2 * (v % 100) * (99 - v % 100)) < 1e-9 for v, b in got.items())
 
 
 def test_path_graph(spark):
@@ -325,3 +323,23 @@ def test_gcn_propagation(spark):
     x = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, 5.0)], "node long, x double")
     got = {r.node: round(r.x, 9) for r in E.gcn_propagate(groups, x, ["x"]).collect()}
     assert got == {1: 3.0, 2: 3.0, 3: 5.0}
+
+
+def test_indexed_edges_keep_their_place(spark):
+    """Edges dealt by case were dealt by its text and then by item again."""
+    from coloom.operators import hetero as H
+
+    edges = spark.createDataFrame(
+        [("case", "venue", 7, "v", 1.0), ("case", "date", 7, "d", 1.0), ("case", "case", 7, "8", 1.0), ("case", "venue", 9, "v", 1.0)],
+        "src_type string, dst_type string, case_id long, item string, weight double",
+    )
+    nodes = spark.createDataFrame([("case", "7", 0), ("case", "8", 1), ("venue", "v", 0), ("date", "d", 0)], "node_type string, name string, idx long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = H.indexed_edges(edges, nodes)
+        assert sorted((r.dst_type, r.src, r.dst) for r in got.collect()) == [("case", 0, 1), ("date", 0, 0), ("venue", 0, 0)]
+        items = H.indexed_edges(edges.where("dst_type <> 'case'").repartition(4, "case_id"), nodes).where("dst_type <> 'case'")
+        plan = items._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(case_id") == 2 and "Exchange hashpartitioning(item" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
