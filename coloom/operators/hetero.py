@@ -11,6 +11,9 @@ from coloom.functions import vocab
 from coloom.operators.colocation import members, pairs, shared
 from coloom.operators.ranking import ranked
 
+# Nodes of other kinds than cases that go out to all tasks.
+FEW = 1 << 16
+
 
 def item_edges(
     events: DataFrame,
@@ -110,15 +113,19 @@ def node_map(
 def indexed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src_type, dst_type, src, dst, weight) with node ids.
 
-    Joins are left to the optimiser: the ids of venues, transports, symptoms and
-    dates are few, but nothing bounds them.
+    Edges keep their place: cases are joined by the id that edges are dealt by, not by its
+    text, and the ids of venues, transports, symptoms and dates go out to all tasks where
+    they are counted to be at most ``FEW``.  Nothing bounds them, so more are left to the optimiser.
     """
+    own = edges.schema["case_id"].dataType
     case = nodes.where("node_type = 'case'").select(F.col("name").alias("case_name"), F.col("idx").alias("src"))
     dims = nodes.where("node_type <> 'case'").select(
         F.col("node_type").alias("dst_type"), F.col("name").alias("item"), F.col("idx").alias("dst")
     )
+    if dims.limit(FEW + 1).count() <= FEW:
+        dims = F.broadcast(dims)
     other = case.withColumnsRenamed({"case_name": "item", "src": "dst"})
-    with_src = edges.withColumn("case_name", F.col("case_id").cast("string")).join(case, "case_name")
+    with_src = edges.join(case.select(F.col("case_name").cast(own).alias("case_id"), "src"), "case_id")
     columns = ["src_type", "dst_type", "src", "dst", "weight"]
     return (
         with_src.where("dst_type <> 'case'")
