@@ -146,6 +146,7 @@ def _posts(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     what is shuffled is a long for a shingle and its place.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, width))
+    free_shuffles(docs.sparkSession)
 
     @F.arrow_udf("struct<node: long, n: int, posts: array<long>>")
     def of(texts: pa.Array) -> pa.Array:
@@ -177,7 +178,7 @@ def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
 
 def _candidates(met: DataFrame) -> DataFrame:
     """(u, v), smaller first, of rows (u, v)."""
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return cut(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
 def _among(ids: DataFrame, col: str) -> Column:
@@ -198,13 +199,23 @@ def _among(ids: DataFrame, col: str) -> Column:
     return of(F.xxhash64(col))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """The (u, v) whose sets have the similarity; ``docs(first, text)``, ``firsts(node, first)``."""
-    pairs = cut(pairs)
+def _sets(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
+    """(node, items): the whole sets of the nodes of ``pairs(u, v)``."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     ends = cut(ends.join(firsts, "node").select("first", "node"))
-    texts = docs.where(_among(ends, "first")).join(ends, "first").dropDuplicates(["node"])
-    sets = cut(texts.select("node", shingle_column("text", width).alias("items")))
+    # A node has one ``first``: with it in the key, texts that are dealt by it are not dealt again.
+    texts = docs.where(_among(ends, "first")).join(ends, "first").dropDuplicates(["first", "node"])
+    return cut(texts.select("node", shingle_column("text", width).alias("items")))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
+    """The (u, v) whose sets have the similarity; ``docs(first, text)``, ``firsts(node, first)``.
+
+    The files of the candidates, of the texts and of the sets are not on disk together.
+    """
+    free_shuffles(docs.sparkSession)
+    sets = _sets(pairs, docs, firsts, width)
+    free_shuffles(docs.sparkSession)
     a = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -231,6 +242,27 @@ def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(_live(named, "root"))
 
 
+def _pivot_pairs(shared: DataFrame, roots: DataFrame, step: int) -> DataFrame:
+    """Candidates (u, v) of the sets and one pivot on each list."""
+    live = _apart(shared, roots)
+    first = F.col("c") if step == 0 else F.lit(0)
+    pivots = live.groupBy("shingle").agg(F.max(F.struct(first.alias("c"), F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "i", "root")).alias("p"))
+    met = live.select("shingle", F.col("node").alias("u"), "n", "i", "root").join(
+        pivots.select("shingle", F.col("p.node").alias("v"), F.col("p.n").alias("m"), F.col("p.i").alias("j"), F.col("p.root").alias("to")), "shingle"
+    )
+    return _candidates(met.where(F.col("root") != F.col("to")).where(FIT))
+
+
+def _other_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates (u, v) of all sets on a list."""
+    live = _apart(shared, roots)
+    mine = live.select("shingle", F.col("node").alias("u"), "n", "i", "root")
+    other = live.select("shingle", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("to"))
+    # The smaller set of a pair meets the larger; of equal ones, the smaller node.
+    once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("u") < F.col("v")))
+    return _candidates(mine.join(other, "shingle").where(once & (F.col("root") != F.col("to"))).where(FIT))
+
+
 def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int = 5, rounds: int = 1, radius: int = 2) -> DataFrame:
     """(id, component_id) of every row; the component is the smallest id that is reachable.  No id is null."""
     rows = _nodes(docs, id_col, text_col, width)
@@ -241,29 +273,20 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int = 5, rou
     roots = components(links, FEW)
 
     # Equal sets post alike; their rows are one from here.
-    free_shuffles(docs.sparkSession)
     live = cut(_live(_posts(docs, text_col, width), "node").distinct())
     free_shuffles(docs.sparkSession)
     shared = cut(_central(live))
+    del live  # files go with the last one that holds them
     free_shuffles(docs.sparkSession)
     for step in range(rounds):
-        live = _apart(shared, roots)
-        first = F.col("c") if step == 0 else F.lit(0)
-        pivots = live.groupBy("shingle").agg(F.max(F.struct(first.alias("c"), F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "i", "root")).alias("p"))
-        met = live.select("shingle", F.col("node").alias("u"), "n", "i", "root").join(
-            pivots.select("shingle", F.col("p.node").alias("v"), F.col("p.n").alias("m"), F.col("p.i").alias("j"), F.col("p.root").alias("to")), "shingle"
-        )
-        found = _verified(_candidates(met.where(F.col("root") != F.col("to")).where(FIT)), texts, firsts, width)
+        found = _verified(_pivot_pairs(shared, roots, step), texts, firsts, width)
         links = links.unionByName(found)
         roots = components(links, FEW)
         free_shuffles(docs.sparkSession)
-    live = _apart(shared, roots)
-    mine = live.select("shingle", F.col("node").alias("u"), "n", "i", "root")
-    other = live.select("shingle", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("to"))
-    # The smaller set of a pair meets the larger; of equal ones, the smaller node.
-    once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("u") < F.col("v")))
-    met = mine.join(other, "shingle").where(once & (F.col("root") != F.col("to"))).where(FIT)
-    found = _verified(_candidates(met), texts, firsts, width)
+    pairs = _other_pairs(shared, roots)
+    del shared  # before the sets are made
+    found = _verified(pairs, texts, firsts, width)
+    free_shuffles(docs.sparkSession)
     if not found.isEmpty():
         roots = components(links.unionByName(found), FEW)
     nodes = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))

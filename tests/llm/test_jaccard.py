@@ -135,3 +135,25 @@ def test_posts_are_packed_and_not_stored(spark):
         assert (J.packed(J.np.arange(8, 40, 4, dtype=J.np.uint64)) & J.np.uint64(3)).tolist() == [1, 2, 3, 3, 3, 3, 3, 3]
     finally:
         J.PLACES = places
+
+
+def test_lists_go_before_the_last_sets(spark, monkeypatch):
+    """Nobody holds the lists of shingles, nor their files, while the last candidates are verified."""
+    import gc
+    import weakref
+
+    lists, held, cut = [], [], jaccard.cut
+
+    def watch(df):
+        if df.columns == ["node", "items"]:
+            gc.collect()
+            held.append(sum(ref() is not None for ref in lists))
+        out = cut(df)
+        if "shingle" in out.columns:
+            lists.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", watch)
+    docs = spark.range(40).selectExpr("id", "concat('a b c d e f g h i j k l m n o p q r s t ', cast(id % 9 as string)) as text")
+    assert jaccard.near_groups(docs, "id", "text").select("component_id").distinct().count() == 1
+    assert len(lists) > 2 and held[-1] == 0
