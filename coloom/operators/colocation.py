@@ -22,6 +22,10 @@ def day_number(day: Column) -> Column:
     return F.datediff(day, F.lit("1970-01-01").cast("date"))
 
 
+def day_of(number: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), number)
+
+
 # -- labels -------------------------------------------------------------------
 
 
@@ -187,6 +191,33 @@ def band_edges(visits: DataFrame, k: int = 3, by: Sequence[str] = ("province", "
     return spread.join(sizes, "clique").select("node", "clique", "day", "n")
 
 
+def place_crowds(d: DataFrame, k: int, by: Sequence[str], crowd: int) -> DataFrame:
+    """(case_id, *by, d, crowded) of the ``dated`` visits that somebody else came near; a place is
+    crowded where some window of k days has ``crowd`` visits."""
+    by = list(by)
+    cells = d.groupBy(*by, "d").agg(F.min("case_id").alias("lo"), F.max("case_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    place = Window.partitionBy(*by)
+    near = place.orderBy("d").rangeBetween(-k, k)
+    cells = cells.withColumns(
+        {"lo": F.min("lo").over(near), "hi": F.max("hi").over(near), "n": F.sum("n").over(place.orderBy("d").rangeBetween(-k, 0))}
+    ).withColumn("crowded", F.max("n").over(place) >= crowd)
+    return d.join(cells.where("lo <> hi").select(*by, "d", "crowded"), [*by, "d"]).distinct()
+
+
+def close_pairs(near: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """(src, dst, gap): the pairs src < dst of cases at a place within k days, and the fewest days between them.
+
+    Days are dealt to bins of k + 1; a later visit is in the bin of an earlier one or in the next.
+    """
+    by = list(by)
+    bin_of = F.floor(F.col("d") / F.lit(k + 1)).cast("int")
+    early = near.select(*by, F.col("case_id").alias("a"), F.col("d").alias("from"), F.explode(F.array(bin_of, bin_of + 1)).alias("bin"))
+    late = near.select(*by, F.col("case_id").alias("b"), F.col("d").alias("to"), bin_of.alias("bin"))
+    gap = F.col("to") - F.col("from")
+    met = early.join(late, [*by, "bin"]).where((F.col("a") != F.col("b")) & gap.between(0, k))
+    return met.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min(gap).alias("gap"))
+
+
 def pair_gaps(band: DataFrame, tau: float = 7.0) -> DataFrame:
     """(src, dst, min_gap, weight) of every edge of ``band_edges``, weight exp(-min_gap / tau)."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from coloom.operators.colocation import members, pairs, shared, symmetric
+from coloom.operators.colocation import close_pairs, dated, day_of, members, pairs, place_crowds, shared, symmetric
 from coloom.operators.unions import BLOCK, union_sums
 from coloom.session import cut
 
@@ -54,17 +54,20 @@ def neighbor_sums(
     cols: Sequence[str] = (),
     fanout: int = FANOUT,
     narrow: int = BITS,
+    more: DataFrame | None = None,
 ) -> DataFrame:
     """(node, degree, sum_<col>...) for every node with a neighbour.
 
     ``values(node, *cols)`` holds what is summed over the neighbours; a node
-    missing there adds 0.
+    missing there adds 0.  ``more(src, dst)`` are arcs besides those of the groups.
     """
     cols = list(cols)
     if isinstance(m, SmallGroups):
         return _sum_pairs(m.arcs, values, cols).groupBy("node").agg(*_totals(cols))
     s = m if "n" in m.columns else cut(shared(m))
     near = symmetric(pairs(s.where(F.col("n") < fanout)))
+    if more is not None:
+        near = near.unionByName(more).distinct()
     large = numbered(s.where(F.col("n") >= fanout))
     if large.isEmpty():  # the steps below would be run on nothing
         return _sum_pairs(near, values, cols).groupBy("node").agg(*_totals(cols))
@@ -213,6 +216,27 @@ def degrees(m: DataFrame, **kw) -> DataFrame:
     return neighbor_sums(m, **kw)
 
 
+@dataclass
+class Band:
+    """The ±k day graph: ``arcs(src, dst, gap)``, both ways, from the places without a large group, and the visits to the others."""
+
+    arcs: DataFrame
+    crowds: DataFrame | None
+
+
+def band(visits: DataFrame, k: int, by: Sequence[str] = ("province", "venue"), fanout: int = FANOUT) -> Band:
+    """The graphs of all windows up to ``k`` days from one pass over the visits.
+
+    Where no window of a place has ``fanout`` visits, a visit has fewer than 2 ``fanout`` others
+    near it, and its pairs are written once, with their smallest distance in days.  Visits to other
+    places keep the form of groups.  A pair may be in both.
+    """
+    near = cut(place_crowds(dated(visits, by), k, by, fanout))
+    arcs = cut(symmetric(close_pairs(near.where("not crowded"), k, by)))
+    crowds = near.where("crowded").select("case_id", *by, day_of(F.col("d")).alias("day"))
+    return Band(arcs, None if crowds.isEmpty() else crowds)
+
+
 def layered_members(
     visits: DataFrame, k: int, by: Sequence[str] = ("province", "venue")
 ) -> DataFrame:
@@ -227,10 +251,21 @@ def layered_members(
     return layers
 
 
-def decayed_weights(visits: DataFrame, taus: Sequence[float], k: int = 3, by: Sequence[str] = ("province", "venue")) -> DataFrame:
+def _layered(b: Band, k: int) -> DataFrame:
+    """The arcs of a band in the graphs of windows 0..k that have them; nodes are (layer, case)."""
+    each = b.arcs.withColumn("layer", F.explode(F.sequence(F.col("gap"), F.lit(k))))
+    return each.select(*[F.struct("layer", F.col(c).alias("id")).alias(c) for c in ("src", "dst")])
+
+
+def decayed_weights(visits: DataFrame, taus: Sequence[float], k: int = 3, by: Sequence[str] = ("province", "venue"), fanout: int = FANOUT) -> DataFrame:
     """(node, tau, weight): the summed weight exp(-min gap / tau) of each node's edges, every tau from one pass."""
+    b = band(visits, k, by, fanout)
+    taus = F.explode(F.lit([float(t) for t in taus]))
+    if b.crowds is None:
+        each = b.arcs.groupBy(F.col("src").alias("node"), "gap").count().withColumn("tau", taus)
+        return each.groupBy("node", "tau").agg(F.sum(F.col("count") * F.exp(-F.col("gap") / F.col("tau"))).alias("weight"))
     layer = F.col("node.layer")
-    each = neighbor_sums(layered_members(visits, k, by)).withColumn("tau", F.explode(F.lit([float(t) for t in taus])))
+    each = neighbor_sums(layered_members(b.crowds, k, by), fanout=fanout, more=_layered(b, k)).withColumn("tau", taus)
     here = F.exp(-layer / F.col("tau"))
     after = F.when(layer == k, 0.0).otherwise(F.exp(-(layer + 1) / F.col("tau")))
     return each.groupBy(F.col("node.id").alias("node"), "tau").agg(F.sum((here - after) * F.col("degree")).alias("weight"))
@@ -243,19 +278,29 @@ def decayed_sums(
     k: int = 3,
     tau: float = 7.0,
     by: Sequence[str] = ("province", "venue"),
+    fanout: int = FANOUT,
     **kw,
 ) -> DataFrame:
     """(node, weight, sum_<col>...): neighbour sums weighted by exp(-min gap / tau).
 
-    The graphs of windows 0..k are nested, so the weighted sum is a combination of
-    k + 1 plain sums with coefficients w(j) - w(j + 1).
+    Without large groups, an arc is its partner's values times its weight.  Else the graphs of
+    windows 0..k are nested, so the weighted sum is a combination of k + 1 plain sums with
+    coefficients w(j) - w(j + 1).
     """
     cols = list(cols)
-    layers = layered_members(visits, k, by)
+    b = band(visits, k, by, fanout)
+    if b.crowds is None:
+        arcs = b.arcs.select("src", "dst", F.exp(-F.col("gap") / F.lit(float(tau))).alias("w"))
+        if cols:
+            arcs = arcs.join(values.select(F.col("node").alias("dst"), *cols), "dst", "left").na.fill(0, cols)
+        return arcs.groupBy(F.col("src").alias("node")).agg(
+            F.sum("w").alias("weight"), *[F.sum(F.col("w") * F.col(c)).alias(f"sum_{c}") for c in cols]
+        )
+    layers = layered_members(b.crowds, k, by)
     spread = values.select(
         F.explode(F.sequence(F.lit(0), F.lit(k))).alias("layer"), F.col("node").alias("id"), *cols
     ).select(F.struct("layer", "id").alias("node"), *cols)
-    sums = neighbor_sums(layers, spread, cols, **kw)
+    sums = neighbor_sums(layers, spread, cols, fanout, more=_layered(b, k), **kw)
     layer = F.col("node.layer")
     here = F.exp(-layer / F.lit(float(tau)))
     after = F.when(layer == k, 0.0).otherwise(F.exp(-(layer + 1) / F.lit(float(tau))))

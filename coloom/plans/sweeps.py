@@ -11,7 +11,7 @@ from coloom.operators.colocation import cluster_labels, members
 from coloom.operators.features import without
 from coloom.operators.metrics import long_metrics
 from coloom.operators.models import evaluate
-from coloom.operators.neighbors import neighbor_sums
+from coloom.operators.neighbors import FANOUT, band, neighbor_sums
 from coloom.operators.split import hash_split
 from coloom.session import cut
 
@@ -34,12 +34,20 @@ def label_counts(cases: DataFrame, visits: DataFrame, ks: Sequence[int] = WINDOW
     )
 
 
-def edge_counts(visits: DataFrame, ks: Sequence[int] = WINDOWS) -> DataFrame:
-    """(k, n_nodes, n_edges) of the ±k day graph for each window."""
+def edge_counts(visits: DataFrame, ks: Sequence[int] = WINDOWS, fanout: int = FANOUT) -> DataFrame:
+    """(k, n_nodes, n_edges) of the ±k day graph for each window; the visits are gone through once."""
+    b = band(visits, max(ks), fanout=fanout)
+    if b.crowds is None:
+        within = F.explode(F.filter(F.lit(list(ks)), lambda k: k >= F.col("gap")))
+        nodes = b.arcs.groupBy("src").agg(F.min("gap").alias("gap")).groupBy("gap").agg(F.count(F.lit(1)).alias("nodes"), F.lit(0).cast("long").alias("arcs"))
+        arcs = b.arcs.groupBy("gap").agg(F.lit(0).cast("long").alias("nodes"), F.count(F.lit(1)).alias("arcs"))
+        none = visits.sparkSession.createDataFrame([(k, 0, 0) for k in ks], "k int, nodes long, arcs long")
+        every = nodes.unionByName(arcs).select(within.alias("k"), "nodes", "arcs").unionByName(none)
+        return every.groupBy("k").agg(F.sum("nodes").alias("n_nodes"), (F.sum("arcs") / 2).cast("long").alias("n_edges"))
     return _collect(
         [
-            neighbor_sums(members(visits, k)).agg(
-                F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges")
+            neighbor_sums(members(b.crowds, k), fanout=fanout, more=b.arcs.where(F.col("gap") <= k).select("src", "dst")).agg(
+                F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_nodes"), F.coalesce((F.sum("degree") / 2).cast("long"), F.lit(0)).alias("n_edges")
             )
             for k in ks
         ]

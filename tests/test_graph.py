@@ -343,3 +343,25 @@ def test_indexed_edges_keep_their_place(spark):
         assert plan.count("Exchange hashpartitioning(case_id") == 2 and "Exchange hashpartitioning(item" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_band_graphs_of_crowded_and_other_places(spark, crowd):
+    """Pairs of calm places and groups of crowded ones together are the graph, whichever of them there are."""
+    from coloom.operators.neighbors import band, decayed_weights
+    from coloom.plans.sweeps import edge_counts
+
+    v, ks = visits(spark, crowd), [0, 1, 3]
+    gaps = brute(crowd, 3)
+    want = {k: (len({a for (a, _), g in gaps.items() if g <= k}), sum(g <= k for g in gaps.values()) // 2) for k in ks}
+    weights = {}
+    for (a, _), g in gaps.items():
+        weights[a] = weights.get(a, 0.0) + math.exp(-g / 5)
+    kinds = set()
+    for fanout in (2, 6, 12, 10**6):
+        b = band(v, 3, fanout=fanout)
+        kinds.add((b.crowds is not None, not b.arcs.isEmpty()))
+        assert {r.k: (r.n_nodes, r.n_edges) for r in edge_counts(v, ks, fanout).collect()} == want
+        got = {r.node: r.weight for r in decayed_weights(v, [5.0], 3, fanout=fanout).collect()}
+        assert set(got) == set(weights) and all(abs(got[a] - w) < 1e-9 for a, w in weights.items())
+    assert (False, True) in kinds and (True, False) in kinds
+    assert [(r.k, r.n_nodes, r.n_edges) for r in edge_counts(v.limit(0), [1]).collect()] == [(1, 0, 0)]
