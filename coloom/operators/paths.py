@@ -1,9 +1,9 @@
 """Shortest-path dependencies of components of bounded size, sources spread over tasks.
 
 ``most`` pairs of classes at most make a component small: a task then gets its edges as
-arrays with some of its sources.  Each (source, node) is a cell; the sources of a batch,
-of one component or of many, are walked together, wave by wave.  A batch holds about
-``CELLS`` cells, or one source.
+arrays with some of its sources, ``TASK_CELLS`` cells at most or one source.  Each (source, node)
+is a cell; the sources of a block, of one component or of many, are walked together, wave by wave.
+A block holds about ``CELLS`` cells, or one source.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from coloom.session import cut
 
 # Most pairs of classes of a component whose paths are walked inside tasks.
 PAIRS = 1 << 18
-# Cells that are walked at a time, and cells that one task walks, about.
-CELLS, TASK_CELLS = 1 << 21, 1 << 24
+# Cells that are walked at a time, and cells of the sources that go out with one copy of a graph, about.
+CELLS, TASK_CELLS = 1 << 20, 1 << 24
 # Edges of the search for components that one partition works on.
 ONE_TASK = 1 << 17
 
@@ -54,7 +54,7 @@ def component_dependencies(m: DataFrame, of: DataFrame, weights: DataFrame) -> D
         .join(arcs.groupBy("component").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "component")
     )
     size = F.size("weights")
-    step = F.greatest(F.lit(1), F.floor(F.lit(CELLS) / size)).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(TASK_CELLS) / size)).cast("int")
     jobs = graphs.select("*", F.explode(F.sequence(F.lit(0), size - 1, step)).alias("first"), step.alias("step"))
     cells = nodes.groupBy("component").count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0
     given = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -83,11 +83,14 @@ def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             w, a, b = (at[c][r].values.to_numpy(zero_copy_only=False) for c in ("weights", "a", "b"))
             first = at["first"][r].as_py()
             last = min(first + at["step"][r].as_py(), len(w))
-            held.append((at["component"].slice(r, 1), w, a, b, first, last))
-            cells += len(w) * (last - first)
-            if cells >= CELLS:
-                yield walked(held)
-                held, cells = [], 0
+            while first < last:
+                until = min(last, first + max(1, (CELLS - cells) // len(w)))
+                held.append((at["component"].slice(r, 1), w, a, b, first, until))
+                cells += len(w) * (until - first)
+                first = until
+                if cells + len(w) > CELLS:
+                    yield walked(held)
+                    held, cells = [], 0
     if held:
         yield walked(held)
 
@@ -99,6 +102,7 @@ def dependencies(jobs: list[tuple]) -> np.ndarray:
     edges (a, b), and the range of its sources.  A source is one node of its class, and counts by its weight.
     """
     sizes = np.array([len(j[0]) for j in jobs])
+    counts = np.array([last - first for *_, first, last in jobs])
     offset = np.concatenate([[0], np.cumsum(sizes)])
     weight = np.concatenate([j[0] for j in jobs])
     a = np.concatenate([j[1] + o for j, o in zip(jobs, offset)])
@@ -108,41 +112,41 @@ def dependencies(jobs: list[tuple]) -> np.ndarray:
     degree = np.bincount(np.concatenate([a, b]), minlength=offset[-1])
     begin = np.cumsum(degree) - degree
 
-    node = np.concatenate([np.tile(np.arange(o, o + n), last - first) for (*_, first, last), o, n in zip(jobs, offset, sizes)])
     source = np.concatenate([np.arange(o + first, o + last) for (*_, first, last), o in zip(jobs, offset)])
-    length = np.repeat(sizes, [last - first for *_, first, last in jobs])
-    starts = np.cumsum(length) - length
-    home = starts + source - np.repeat(offset[:-1], [last - first for *_, first, last in jobs])
-
-    def around(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The neighbours of cells, and the place in ``cells`` that each comes from."""
-        v = node[cells]
-        d = degree[v]
-        came = np.repeat(np.arange(len(cells)), d)
-        arc = np.arange(len(came)) + np.repeat(begin[v] - (np.cumsum(d) - d), d)
-        return other[arc] + np.repeat(cells - v, d), came
-
-    level = np.full(len(node), -1, np.int32)
-    paths, dep = np.zeros(len(node)), np.zeros(len(node))
-    seen = np.zeros(len(node), np.int64)
-    level[home], paths[home] = 0, 1.0
-    waves, give = [home], paths[home]
-    while len(waves[-1]):
-        to, came = around(waves[-1])
-        new = level[to] < 0
-        to, came = to[new], came[new]
-        np.add.at(paths, to, give[came])
-        seen[to] = np.arange(len(to))
-        front = to[seen[to] == np.arange(len(to))]
-        level[front] = len(waves)
-        waves.append(front)
-        give = paths[front] * weight[node[front]]
-    for d in range(len(waves) - 1, 0, -1):
-        here = waves[d]
-        dep[here] *= paths[here]
-        share = weight[node[here]] * (1 + dep[here]) / paths[here]
-        to, came = around(here)
-        back = level[to] == d - 1
-        np.add.at(dep, to[back], share[came[back]])
-    dep[home] = 0.0
-    return np.bincount(node, dep * np.repeat(weight[source], length), minlength=offset[-1])
+    length = np.repeat(sizes, counts)
+    # The cell of a source's node v is ``base + v``.
+    base = np.cumsum(length) - length - np.repeat(offset[:-1], counts)
+    fresh, place = np.ones(length.sum(), bool), np.empty(length.sum(), np.int64)
+    fresh[base + source] = False
+    # A wave is (nodes, places of their sources, paths); a step from one to the next is (ends, starts) of its arcs.
+    waves, steps = [(source, np.arange(len(source)), np.ones(len(source)))], []
+    give = waves[0][2]
+    while True:
+        v, s, _ = waves[-1]
+        d = degree.take(v)
+        came = np.repeat(np.arange(len(v)), d)
+        arc = np.arange(len(came)) + (begin.take(v) - (np.cumsum(d) - d)).take(came)
+        cell = other.take(arc) + base.take(s).take(came)
+        new = np.flatnonzero(fresh.take(cell))
+        if not len(new):
+            break
+        cell, came = cell.take(new), came.take(new)
+        row = np.arange(len(cell))
+        place[cell] = row
+        one = np.flatnonzero(place.take(cell) == row)
+        front = cell.take(one)
+        place[front] = row[: len(front)]
+        fresh[front] = False
+        to = place.take(cell)
+        paths = np.bincount(to, give.take(came), len(front))
+        s = s.take(came.take(one))
+        v = front - base.take(s)
+        give = paths * weight.take(v)
+        waves.append((v, s, paths))
+        steps.append((to, came))
+    total, dep = np.zeros(offset[-1]), np.zeros(len(waves[-1][0]))
+    for (v, s, paths), (before, _, paths_before), (to, came) in zip(waves[:0:-1], waves[-2::-1], steps[::-1]):
+        total += np.bincount(v, dep * weight.take(source.take(s)), offset[-1])
+        share = weight.take(v) * (1 + dep) / paths
+        dep = np.bincount(came, share.take(to), len(before)) * paths_before
+    return total

@@ -260,6 +260,31 @@ def test_betweenness_of_small_components_writes_no_waves(spark, monkeypatch):
     assert all(abs(b - 2 * (v % 100) * (99 - v % 100)) < 1e-9 for v, b in got.items())
 
 
+def test_one_copy_of_a_graph_serves_many_blocks_of_sources(monkeypatch):
+    """A graph went out anew with each block; many sources to a copy were walked all at once."""
+    import numpy as np
+    import pyarrow as pa
+    from coloom.operators import paths
+
+    near = {v: {v - 1, v + 1} & set(range(12)) for v in range(12)}
+    near[2].add(9), near[9].add(2)
+    arcs = [(a, b) for a in near for b in near[a] if a < b]
+    columns = {"component": [7], "weights": [[1.0] * 12], "a": [[a for a, _ in arcs]], "b": [[b for _, b in arcs]], "first": [0], "step": [12]}
+    monkeypatch.setattr(paths, "CELLS", 40)
+    walk, blocks = paths.dependencies, []
+
+    def seen(jobs):
+        blocks.append([(len(w), last - first) for w, *_, first, last in jobs])
+        return walk(jobs)
+
+    monkeypatch.setattr(paths, "dependencies", seen)
+    out = pa.Table.from_batches(paths._walk_batches([pa.RecordBatch.from_pydict(columns)])).to_pydict()
+    assert all(sum(n * k for n, k in block) <= 40 for block in blocks) and sum(k for block in blocks for _, k in block) == 12
+    got = np.bincount(out["i"], out["dep"], 12)
+    want = brandes(near)
+    assert set(out["component"]) == {7} and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
 def test_path_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     for coded, value in ((False, 1.0), (True, 2.0)):
