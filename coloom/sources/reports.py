@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,8 +97,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Pieces of a split that are put together at once: 2**CHUNK at most.
-CHUNK = 12
+#: Text (characters) and rows that a batch of cases holds, about.
+CHUNK, BATCH = 1 << 22, 10_000
 
 
 def case_key(province: Column, number: Column) -> Column:
@@ -106,9 +109,9 @@ def read_case_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Case blocks of a folder of reports of any size.
 
     The first character of the marker is the record separator, so one large
-    report is read as many splits.  Pieces are numbered inside a chunk of their split, the
-    marker counts of the chunks of a file are summed up (one row per chunk), and
-    the pieces of a case are put together again.  No task sees a whole file.
+    report is read as many splits.  Markers are counted for each split and summed up along a
+    file (one row per split, broadcast); pieces of a case are put together where they are read, and
+    only the two cases at the borders of a split are shuffled.  No task sees a whole file.
     """
     head, tail = vocab.CASE_MARKER[0], vocab.CASE_MARKER[1:]
     pieces = (
@@ -119,43 +122,30 @@ def read_case_blocks(spark: SparkSession, folder: str) -> DataFrame:
             F.input_file_name().alias("path"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("pos"),
+            F.col("value").rlike(f"^{tail}").alias("marked"),
             F.col("value").alias("piece"),
         )
     )
-    # A chunk is some thousand pieces that follow one another in a split.
-    chunk = ["path", "split", "chunk"]
-    pieces = pieces.withColumn("chunk", F.expr(f"shiftright(pos & 8589934591L, {CHUNK})")).withColumn(
-        "marked", F.col("piece").rlike(f"^{tail}").cast("long")
-    )
-    in_file = Window.partitionBy("path").orderBy("split", "chunk")
-    # One row per chunk, without texts.  Nothing stands before the first piece of a file, so it starts no case.
+    # Nothing stands before the first piece of a file, so it starts no case.
+    opens = F.when((F.col("split") == 0) & F.min_by("marked", "pos"), 1).otherwise(0)
+    along = Window.partitionBy("path").orderBy("split")
     counts = (
-        pieces.groupBy(*chunk)
-        .agg(F.sum("marked").alias("n"), F.min("pos").alias("first"), F.min_by("marked", "pos").alias("opens"))
-        .withColumn("first", F.when((F.col("split") == 0) & (F.row_number().over(in_file) == 1), F.col("first")))
-        .withColumn("n", F.when(F.col("first").isNull(), F.col("n")).otherwise(F.col("n") - F.col("opens")))
-        .select(*chunk, "n", "first", (F.sum("n").over(in_file) - F.col("n")).alias("before"))
+        pieces.groupBy("path", "split")
+        .agg((F.sum(F.col("marked").cast("long")) - opens).alias("n"))
+        .select("path", "split", "n", (F.sum("n").over(along) - F.col("n")).alias("before"))
     )
-    starts = F.when(F.col("pos").eqNullSafe(F.col("first")), 0).otherwise(F.col("marked"))
-    numbered = pieces.join(counts, chunk).withColumn("local", F.sum(starts).over(Window.partitionBy(*chunk).orderBy("pos")))
-    # The pieces of a chunk are together; only a case that may reach into another chunk is shuffled again.
     parts = (
-        numbered.where("before + local > 0")
-        .groupBy(*chunk, "local")
-        .agg(F.first("n").alias("n"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-        .select(
-            *chunk,
-            "local",
-            "n",
-            (F.col("before") + F.col("local") - 1).alias("case_seq"),
-            F.array_join(F.transform("parts", lambda p: p["piece"]), head).alias("text"),
-        )
+        pieces.select("path", "split", "marked", "piece")
+        .mapInArrow(_cases_of_splits(head), "path string, split long, local long, text string")
+        .join(F.broadcast(counts), ["path", "split"])
+        .where("before + local > 0")
+        .withColumn("case_seq", F.col("before") + F.col("local") - 1)
     )
     border = (F.col("local") == 0) | (F.col("local") == F.col("n"))
     crossing = (
         parts.where(border)
         .groupBy("path", "case_seq")
-        .agg(F.array_sort(F.collect_list(F.struct("split", "chunk", "text"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("parts"))
         .select("path", "case_seq", F.array_join(F.transform("parts", lambda p: p["text"]), head).alias("text"))
     )
     whole = (
@@ -178,6 +168,40 @@ def read_case_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _cases_of_splits(head: str):
+    """A step over (path, split, marked, piece) in the order of the text: (path, split, local, text).
+
+    ``local`` counts the cases that start in the split; 0 is the text before the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("path", "split", "local", "text")
+        done, held, chars = [], [], 0
+        at, local = None, 0
+        for batch in batches:
+            for path, split, marked, piece in zip(*(batch.column(c).to_pylist() for c in ("path", "split", "marked", "piece"))):
+                same = (path, split) == at
+                # The first piece of a file starts no case.
+                marked = marked and (same or split > 0)
+                if held and (marked or not same):
+                    done.append((*at, local, head.join(held)))
+                    held = []
+                    if len(done) >= BATCH or chars >= CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names)
+                        done, chars = [], 0
+                if not same:
+                    at, local = (path, split), 0
+                local += marked
+                held.append(piece)
+                chars += len(piece)
+        if held:
+            done.append((*at, local, head.join(held)))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names)
+
+    return run
+
+
 def _records(spark: SparkSession, path: str, schema: T.StructType, array: bool) -> DataFrame:
     """JSON records, one per line; ``array=True`` reads files that are one array, each in one task."""
     return spark.read.schema(schema).json(path, multiLine=array)

@@ -135,6 +135,25 @@ def test_cases_across_chunks(spark, monkeypatch):
         assert sorted(map(tuple, parts)) == sorted(map(tuple, whole))
 
 
+def test_cases_are_put_together_where_they_are_read(monkeypatch):
+    """The text of all pieces was shuffled; now only a split's first and last case are."""
+    import pyarrow as pa
+    from coloom.sources import reports
+
+    monkeypatch.setattr(reports, "BATCH", 2)
+    rows = [("a", 0, True, "1号确诊病例"), ("a", 0, True, "2号确诊病例"), ("a", 0, False, "二天"), ("a", 0, True, "3号确诊病例"), ("a", 9, False, "四"), ("a", 9, True, "4号确诊病例"), ("b", 0, False, ""), ("b", 0, False, "五")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("path", "split", "marked", "piece"), row))]) for row in rows]
+    got = [tuple(r.values()) for b in reports._cases_of_splits("第")(iter(batches)) for r in b.to_pylist()]
+    assert got == [
+        ("a", 0, 0, "1号确诊病例"),
+        ("a", 0, 1, "2号确诊病例第二天"),
+        ("a", 0, 2, "3号确诊病例"),
+        ("a", 9, 0, "四"),
+        ("a", 9, 1, "4号确诊病例"),
+        ("b", 0, 0, "第五"),
+    ]
+
+
 def test_read_cases_json(spark):
     folder = tempfile.mkdtemp(prefix="coloom-test-", dir="/tmp")
     with open(f"{folder}/cases.json", "w", encoding="utf-8") as f:
