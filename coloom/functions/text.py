@@ -120,6 +120,12 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(ascii_digits(F.concat_ws("-", year, month, day)), "y-M-d")
 
 
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers, or null."""
+    first = F.make_date(year, month, F.lit(1))
+    return F.when(month.between(1, 12) & (day > 0) & (day <= F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
+
+
 def date_mentions(text: Column, year: int = vocab.DEFAULT_YEAR) -> Column:
     """Dates in text order; a range gives its first and last day.
 
@@ -127,19 +133,25 @@ def date_mentions(text: Column, year: int = vocab.DEFAULT_YEAR) -> Column:
     date is dropped.  A single date is listed once.
     """
 
+    def number(digits: Column) -> Column:
+        return F.coalesce(digits.try_cast("int"), ascii_digits(digits).try_cast("int"))
+
     def parts(mention: Column) -> Column:
-        names = ("y", "m", "d", "m2", "d2")
+        # As the pattern has it: [y年]m月d日, then maybe a mark and [m月]d[日].
+        first = F.substring_index(mention, "日", 1)
+        last = F.substring_index(F.substr(mention, F.length(first) + 3), "日", 1)
+        months = F.substring_index(first, "月", 1)
         return F.struct(
-            *[
-                F.nullif(F.regexp_extract(mention, DATE_MENTION, i), F.lit("")).alias(n)
-                for i, n in enumerate(names, start=1)
-            ]
+            F.when(months.contains("年"), number(F.substring_index(months, "年", 1))).otherwise(F.lit(year)).alias("y"),
+            number(F.substring_index(months, "年", -1)).alias("m"),
+            number(F.substring_index(first, "月", -1)).alias("d"),
+            F.when(last.contains("月"), number(F.substring_index(last, "月", 1))).alias("m2"),
+            F.when(last != "", number(F.substring_index(last, "月", -1))).alias("d2"),
         )
 
     def read(p: Column) -> Column:
-        y = F.coalesce(p["y"], F.lit(str(year)))
-        start = _ymd(y, p["m"], p["d"])
-        end = _ymd(y, F.coalesce(p["m2"], p["m"]), p["d2"])
+        start = _date(p["y"], p["m"], p["d"])
+        end = _date(p["y"], F.coalesce(p["m2"], p["m"]), p["d2"])
         return F.when(p["d2"].isNull(), F.array(start)).otherwise(F.array(start, end))
 
     found = F.transform(F.regexp_extract_all(text, F.lit(DATE_MENTION), F.lit(0)), parts)

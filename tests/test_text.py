@@ -154,6 +154,29 @@ def test_cases_are_put_together_where_they_are_read(monkeypatch):
     ]
 
 
+def test_dates_at_the_edges(spark):
+    def dates(text):
+        return one(spark, text, lambda t: F.transform(X.date_mentions(t), lambda d: d.cast("string")))
+
+    assert dates("２０１９年１２月３１日至１月２日；2020年2月29日，2021年2月29日，13月1日，0月3日，4月31日，4月0日") == ["2019-12-31", "2019-01-02", "2020-02-29"]
+    assert dates("1月5日至2月30日，1月5日—7，01月05日~2月3日，0000年1月1日") == ["2020-01-05", "2020-01-07", "2020-01-05", "2020-02-03", "0000-01-01"]
+
+
+def test_json_records_are_compressed_and_bounded(spark, monkeypatch):
+    """Names and words repeat in every record: as plain text they took most of the disk."""
+    import glob
+    from coloom.sources import sinks
+    from coloom.sources.reports import CASES
+
+    folder = tempfile.mkdtemp(prefix="coloom-test-", dir="/tmp")
+    rows = [(f"a_{i}", None if i % 3 else "p", i, None, 0, 1, D(2020, 1, 5), None) for i in range(25)]
+    monkeypatch.setattr(sinks, "RECORDS", 10)
+    sinks.write_json(spark.createDataFrame(rows, CASES).coalesce(1), folder)
+    assert len(glob.glob(f"{folder}/*.json.gz")) == 3 and not glob.glob(f"{folder}/*.json")
+    assert sorted(map(tuple, read_cases(spark, folder).collect())) == sorted(rows)
+    assert '"gender":null' in spark.read.text(folder).first().value
+
+
 def test_read_cases_json(spark):
     folder = tempfile.mkdtemp(prefix="coloom-test-", dir="/tmp")
     with open(f"{folder}/cases.json", "w", encoding="utf-8") as f:
